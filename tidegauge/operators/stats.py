@@ -12,9 +12,15 @@ from tidegauge.functions.scalars import finite, relative_error
 from tidegauge.operators.ordering import MAX_ROWS_PER_TASK, exact_quantiles
 
 
+def pearson(x: Column, y: Column) -> Column:
+    """Aggregate: Pearson correlation, null when either side is constant."""
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def correlations(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     """Rows ``(feature, position, abs_corr)``: |Pearson| with the target, 0.0 when undefined."""
-    one = df.agg(*[F.corr(f"`{c}`", f"`{target}`").alias(f"c{i}") for i, c in enumerate(features)])
+    one = df.agg(*[pearson(F.col(f"`{c}`"), F.col(f"`{target}`")).alias(f"c{i}") for i, c in enumerate(features)])
     rows = F.array(
         *[
             F.struct(
