@@ -155,8 +155,9 @@ def _bounds(arrays: Sequence[str], n_features: int) -> dict[str, Column]:
     return {"_lo": F.array(*lows), "_hi": F.array(*highs)}
 
 
-def _smoothed(count: Column, n: Column, width: Column, bins: int) -> Column:
+def _smoothed(count: Column, n: Column, spread: Column, bins: int) -> Column:
     """Bin probability from a count: density, plus the smoothing term, renormalised."""
+    width = spread / bins
     return (count / (n * width) + SMOOTHING) / (1 / width + bins * SMOOTHING)
 
 
@@ -191,13 +192,13 @@ def score_windows(
             F.posexplode("_t.x").alias("_j", "_v"),
         )
         .withColumns(
-            {"_l": F.col("_lo")[F.col("_j")], "_w": (F.col("_hi")[F.col("_j")] - F.col("_lo")[F.col("_j")]) / bins}
+            {"_l": F.col("_lo")[F.col("_j")], "_d": F.col("_hi")[F.col("_j")] - F.col("_lo")[F.col("_j")]}
         )
         .withColumn(
             "_bin",
             F.when(
-                F.col("_w") > 0,
-                F.least(F.floor((F.col("_v") - F.col("_l")) / (F.col("_w") * bins) * bins), F.lit(bins - 1)),
+                F.col("_d") > 0,
+                F.least(F.floor((F.col("_v") - F.col("_l")) / F.col("_d") * bins), F.lit(bins - 1)),
             ),
         )
     )
@@ -206,11 +207,11 @@ def score_windows(
         F.sum(1 - F.col("_b")).alias("_cw"),
         F.first("_nb").alias("_nb"),
         F.first("_nw").alias("_nw"),
-        F.first("_w").alias("_w"),
+        F.first("_d").alias("_d"),
     )
-    p = _smoothed(F.col("_cb"), F.col("_nb"), F.col("_w"), bins)
-    q = _smoothed(F.col("_cw"), F.col("_nw"), F.col("_w"), bins)
-    term = F.when(F.col("_w") > 0, _js_term(p, q))
+    p = _smoothed(F.col("_cb"), F.col("_nb"), F.col("_d"), bins)
+    q = _smoothed(F.col("_cw"), F.col("_nw"), F.col("_d"), bins)
+    term = F.when(F.col("_d") > 0, _js_term(p, q))
     return (
         counts.groupBy(*keys, "_j")
         .agg(F.sum(term).alias("_js"))
@@ -226,9 +227,9 @@ def _joint_scores(indexed, keys, size, stride, bins, n_features, per_block) -> D
     return score_windows(pairs, [*keys, "_block", "window_id"], n_features, bins).drop("_block")
 
 
-def _clipped_bin(value: Column, lo: Column, width: Column, bins: int) -> Column:
-    spot = F.floor((value - lo) / (width * bins) * bins)
-    return F.when(width > 0, F.greatest(F.lit(0), F.least(spot, F.lit(bins - 1)))).cast("int")
+def _clipped_bin(value: Column, lo: Column, spread: Column, bins: int) -> Column:
+    spot = F.floor((value - lo) / spread * bins)
+    return F.when(spread > 0, F.greatest(F.lit(0), F.least(spot, F.lit(bins - 1)))).cast("int")
 
 
 def _frozen_scores(indexed, keys, size, stride, bins, n_features, per_block) -> DataFrame:
@@ -255,7 +256,7 @@ def _frozen_scores(indexed, keys, size, stride, bins, n_features, per_block) ->
     block_keys = [*keys, "_block"]
     ranges = frozen.select(*block_keys, "_lo", "_hi")
     lo = F.col("_lo")[F.col("_j")]
-    width = (F.col("_hi")[F.col("_j")] - lo) / bins
+    spread = F.col("_hi")[F.col("_j")] - lo
     panes = (
         join_on(blocked, ranges, block_keys)
         .select(
@@ -263,7 +264,7 @@ def _frozen_scores(indexed, keys, size, stride, bins, n_features, per_block) ->
             F.floor(F.col("row_idx") / pane).alias("_pane"),
             F.posexplode("_x").alias("_j", "_v"),
         )
-        .withColumn("_bin", _clipped_bin(F.col("_v"), lo, width, bins))
+        .withColumn("_bin", _clipped_bin(F.col("_v"), lo, spread, bins))
         .groupBy(*block_keys, "_pane", "_j", "_bin")
         .agg(F.count(F.lit(1)).alias("_c"))
         .withColumn("row_idx", (F.col("_pane") * pane).cast("bigint"))
@@ -294,11 +295,11 @@ def _frozen_scores(indexed, keys, size, stride, bins, n_features, per_block) ->
     positions = F.sequence(F.lit(0), F.lit(n_features - 1))
 
     def feature_hist(j: Column) -> Column:
-        w = (F.col("_hi")[j] - F.col("_lo")[j]) / bins
-        spots = F.transform("_base", lambda x: _clipped_bin(x[j], F.col("_lo")[j], w, bins))
+        spread = F.col("_hi")[j] - F.col("_lo")[j]
+        spots = F.transform("_base", lambda x: _clipped_bin(x[j], F.col("_lo")[j], spread, bins))
         return F.struct(
             j.alias("_j"),
-            w.alias("_w"),
+            spread.alias("_d"),
             F.aggregate(
                 F.filter(spots, lambda s: s.isNotNull()),
                 F.create_map().cast("map<int,bigint>"),
@@ -315,13 +316,13 @@ def _frozen_scores(indexed, keys, size, stride, bins, n_features, per_block) ->
     zero = F.lit(0).cast("bigint")
 
     def term(b: Column) -> Column:
-        p = _smoothed(F.coalesce(F.col("_cb")[b], zero), F.lit(size), F.col("_w"), bins)
-        q = _smoothed(F.coalesce(F.col("_cw")[b], zero), F.col("_nw"), F.col("_w"), bins)
+        p = _smoothed(F.coalesce(F.col("_cb")[b], zero), F.lit(size), F.col("_d"), bins)
+        q = _smoothed(F.coalesce(F.col("_cw")[b], zero), F.col("_nw"), F.col("_d"), bins)
         return _js_term(p, q)
 
     js = F.aggregate(occupied, F.lit(0.0), lambda acc, b: acc + term(b))
     return (
-        both.select(*keys, "window_id", F.when(F.col("_w") > 0, js).alias("_js"))
+        both.select(*keys, "window_id", F.when(F.col("_d") > 0, js).alias("_js"))
         .groupBy(*keys, "window_id")
         .agg(F.coalesce(F.avg("_js"), F.lit(0.0)).alias("js"))
     )
@@ -380,26 +381,26 @@ def drift_score(
     rows = long(baseline, 1).unionByName(long(window, 0))
     ranges = rows.groupBy(*names, "_j").agg(
         F.min("_v").alias("_lo"),
-        ((F.max("_v") - F.min("_v")) / bins).alias("_w"),
+        (F.max("_v") - F.min("_v")).alias("_d"),
         F.sum("_b").alias("_nb"),
         F.sum(1 - F.col("_b")).alias("_nw"),
     )
     spot = F.least(
-        F.floor((F.col("_v") - F.col("_lo")) / (F.col("_w") * bins) * bins), F.lit(bins - 1)
+        F.floor((F.col("_v") - F.col("_lo")) / F.col("_d") * bins), F.lit(bins - 1)
     )
     counts = (
         join_on(rows, ranges, [*names, "_j"])
-        .withColumn("_bin", F.when(F.col("_w") > 0, spot))
-        .groupBy(*names, "_j", "_w", "_nb", "_nw", "_bin")
+        .withColumn("_bin", F.when(F.col("_d") > 0, spot))
+        .groupBy(*names, "_j", "_d", "_nb", "_nw", "_bin")
         .agg(F.sum("_b").alias("_cb"), F.sum(1 - F.col("_b")).alias("_cw"))
         .filter("_nb > 0 and _nw > 0")
     )
-    p = _smoothed(F.col("_cb"), F.col("_nb"), F.col("_w"), bins)
-    q = _smoothed(F.col("_cw"), F.col("_nw"), F.col("_w"), bins)
+    p = _smoothed(F.col("_cb"), F.col("_nb"), F.col("_d"), bins)
+    q = _smoothed(F.col("_cw"), F.col("_nw"), F.col("_d"), bins)
     js = F.coalesce(F.avg("_js"), F.lit(0.0))
     return (
         counts.groupBy(*names, "_j")
-        .agg(F.sum(F.when(F.col("_w") > 0, _js_term(p, q))).alias("_js"))
+        .agg(F.sum(F.when(F.col("_d") > 0, _js_term(p, q))).alias("_js"))
         .groupBy(*names)
         .agg((js / math.log(log_base) if log_base else js).alias("js"))
         .select(*[F.col(k).alias(c) for k, c in zip(names, keys)], "js")

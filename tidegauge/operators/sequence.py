@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.functions.scalars import relative_error
+from tidegauge.functions.scalars import relative_error, to_number
 from tidegauge.operators.ordering import (
     MAX_ROWS_PER_TASK,
     MAX_TOP_ROWS,
@@ -17,7 +17,17 @@ from tidegauge.operators.ordering import (
     running,
     tail_rows,
 )
-from tidegauge.operators.schema import align_schema
+
+
+def _vector(df: DataFrame, features: Sequence[str]) -> Column:
+    """Features as an array; what is absent or not a number is 0.0."""
+    have = set(df.columns)
+    return F.array(
+        *[
+            F.coalesce(to_number(F.col(f"`{c}`")), F.lit(0.0)) if c in have else F.lit(0.0)
+            for c in features
+        ]
+    )
 
 
 def sliding_windows(
@@ -41,9 +51,10 @@ def sliding_windows(
     of each group. With ``require`` an empty result is an error.
     """
     span = lookback + horizon
-    clean = align_schema(df, features, target, keep=[*group, *[c for c in order if c not in group]])
-    values = F.array(*[F.col(f"`{c}`") for c in features])
-    narrow = clean.select(*group, *order, values.alias("_x"), F.col(f"`{target}`").alias("_y"))
+    narrow = (
+        df.select(*group, *order, _vector(df, features).alias("_x"), to_number(F.col(f"`{target}`")).alias("_y"))
+        .na.drop(subset=["_y"])
+    )
 
     shift = 0
     if take_last and not group and take_last + span <= MAX_TOP_ROWS:
@@ -91,15 +102,7 @@ def last_window(
 
     Only groups with at least ``lookback`` rows have one.
     """
-    known = set(df.columns)
-    values = F.array(
-        *[
-            F.coalesce(F.col(f"`{c}`").try_cast("double"), F.lit(0.0)) if c in known else F.lit(0.0)
-            for c in features
-        ]
-    )
-    rows = df.select(*group, *order, values.alias("_x"))
-    # The newest rows of hashed sub-groups first, so a long series is not sorted in one task.
+    rows = df.select(*group, *order, _vector(df, features).alias("_x"))
     key = F.struct(*order)
     newest = F.slice(
         F.sort_array(F.collect_list(F.struct(key.alias("k"), F.col("_x").alias("x"))), asc=False),
