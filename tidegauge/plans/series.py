@@ -91,13 +91,13 @@ def drift_log2(spark, sf_dir):
 
 
 # Tier thresholds low enough for the drift present in the events table.
-EPISODE_TIERS = (("C", 0.2), ("B", 0.165), ("A", 0.155))
+EPISODE_TIERS = (("C", 0.05), ("B", 0.044), ("A", 0.04))
 
 
 @query(
     "drift_episodes",
     f"""WITH {drift_sql(SIZE, STRIDE, BINS)},
-    t AS (SELECT event_type, window_id, js, {tier_sql(0.155, 0.165, 0.2)} AS tier FROM scored),
+    t AS (SELECT event_type, window_id, js, {tier_sql(0.04, 0.044, 0.05)} AS tier FROM scored),
     m AS (SELECT *, CASE WHEN window_id - lag(window_id) OVER (PARTITION BY event_type ORDER BY window_id) <= 1
                     THEN 0 ELSE 1 END AS fresh FROM t WHERE tier IS NOT NULL),
     e AS (SELECT *, sum(fresh) OVER (PARTITION BY event_type ORDER BY window_id) AS episode FROM m)
