@@ -15,6 +15,7 @@ Both ways give the same result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -338,15 +339,16 @@ def hash_split(
     keys: Sequence[str],
     seed: int = 0,
     max_rows: int = MAX_ROWS_PER_TASK,
+    round_up: bool = True,
 ) -> DataFrame:
     """Seeded random split with an exact validation count, independent of partitioning.
 
-    ``keys`` identify a row. The validation share is rounded up.
+    ``keys`` identify a row. The validation share is rounded up, or down to at least 1.
     """
     total = df.count()
     shuffled = df.withColumn("_h", F.xxhash64(F.lit(seed), *keys))
     indexed = row_index(shuffled, ["_h", *keys], max_rows=max_rows, largest=total)
-    valid = int(-(-total * fraction // 1))
+    valid = math.ceil(total * fraction) if round_up else max(1, int(total * fraction))
     return indexed.withColumn("is_valid", F.col("row_idx") < valid).drop("_h", "row_idx")
 
 
