@@ -111,10 +111,12 @@ def test_head_tail_split(series, max_rows):
     for name, n in pdf.g.value_counts(dropna=False).items():
         assert counts[None if name is None or name != name else name] == max(1, int(n * 0.1))
     hashed = [
-        {r.k for r in o.hash_split(d, 0.3, ["k"], 0, max_rows).filter("is_valid").collect()}
+        {r.k for r in o.hash_split(d, 0.3, ["k"], 0).filter("is_valid").collect()}
         for d in (df, df.repartition(3))
     ]
     assert len(hashed[0]) == 360 and hashed[0] == hashed[1]
+    assert o.hash_split(df.limit(1), 0.2, ["k"], round_up=False).filter("is_valid").count() == 1
+    assert o.hash_split(df, 1.0, ["k"]).filter("is_valid").count() == 1200
 
 
 @pytest.mark.parametrize("k", [None, 3])

@@ -124,10 +124,15 @@ def drift_tier(
     return F.coalesce(*[F.when(score >= threshold, F.lit(name)) for name, threshold in tiers])
 
 
+def epoch_micros(ts: Column | str) -> Column:
+    """Microseconds since 1970-01-01 of a timestamp without time zone."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_diff("MICROSECOND", epoch, _col(ts))
+
+
 def epoch_seconds(ts: Column | str) -> Column:
     """Seconds since 1970-01-01 of a timestamp without time zone."""
-    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), _col(ts))
-    return micros / F.lit(1e6)
+    return epoch_micros(ts) / F.lit(1e6)
 
 
 def is_sentinel(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidegauge.models.mlp import predict_column
 from tidegauge.models.network import Network
 from tidegauge.models.regressors import MultiStepModel
-from tidegauge.operators.ordering import MAX_ROWS_PER_TASK, head_rows, join_on, row_index, tail_rows
+from tidegauge.operators.ordering import MAX_ROWS_PER_TASK, head_rows, join_on, ordered_rows, tail_rows
 from tidegauge.operators.sequence import last_window
 from tidegauge.operators.stats import StandardScaler, accuracy_within
 
@@ -61,35 +61,40 @@ def permutation_importance(
     """``(feature, mae_increase)``: mean growth of the absolute error when one feature is
     shuffled.
 
-    All features and repetitions are one job. A shuffle is a join of each row's position with
-    the position another row takes in a seeded hash order.
+    All features and repetitions are one job. For each, the rows are put in a seeded hash
+    order and every row takes the feature from the one before it (the first from the last).
     """
     total = df.count()
-    rows = row_index(df.select(*order, x, y), order, max_rows=max_rows, largest=total)
-    rows = rows.select("row_idx", F.col(x).alias("_x"), F.col(y).alias("_y"))
-    variants = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(j).alias("_j"), F.lit(r).alias("_r"))
-                for j in range(len(features))
-                for r in range(repeat)
-            ]
-        )
+    rows = df.select(
+        F.xxhash64(F.lit(seed), *order).alias("_a"),
+        F.xxhash64(*order, F.lit(seed)).alias("_b"),
+        F.col(x).alias("_x"),
+        F.col(y).alias("_y"),
     )
-    each = rows.withColumn("_v", variants).select("row_idx", "_x", "_y", "_v._j", "_v._r")
-    shuffled = row_index(
-        each.select(
-            "_j", "_r",
-            F.xxhash64(F.lit(seed), "_j", "_r", "row_idx").alias("_h"),
-            F.col("row_idx").alias("_from"),
-            F.get(F.col("_x"), F.col("_j")).alias("_donated"),
-        ),
-        ["_h", "_from"], ["_j", "_r"], max_rows=max_rows, largest=total,
-    ).drop("_h", "_from")
-    mixed = join_on(each, shuffled, ["_j", "_r", "row_idx"]).withColumn(
-        "_x", F.transform("_x", lambda v, i: F.when(i == F.col("_j"), F.col("_donated")).otherwise(v))
+    variants = F.array(
+        *[
+            F.struct(F.lit(j).alias("_j"), F.lit(r).alias("_r"))
+            for j in range(len(features))
+            for r in range(repeat)
+        ]
     )
-    base = rows.agg(F.avg(F.abs(predict(F.col("_x")) - F.col("_y")))).first()[0]
+    each = rows.select("_a", "_b", "_x", "_y", F.inline(variants)).select(
+        "_j", "_r", "_x", "_y", F.get("_x", F.col("_j")).alias("_own"),
+        F.xxhash64("_j", "_r", "_a").alias("_h"), F.xxhash64("_r", "_b", "_j").alias("_h2"),
+    )
+    ordered = ordered_rows(
+        each, ["_h", "_h2"], ["_j", "_r"], before=1, max_rows=max_rows, largest=total
+    )
+    taken = ordered.finish(
+        ordered.rows.withColumn("_taken", F.lag("_own").over(ordered.window))
+    )
+    ends = each.groupBy("_j", "_r").agg(F.max_by("_own", F.struct("_h", "_h2")).alias("_end"))
+    mixed = join_on(taken, ends, ["_j", "_r"]).withColumn(
+        "_new", F.when(F.col("row_idx") == 0, F.col("_end")).otherwise(F.col("_taken"))
+    ).withColumn(
+        "_x", F.transform("_x", lambda v, i: F.when(i == F.col("_j"), F.col("_new")).otherwise(v))
+    )
+    base = df.agg(F.avg(F.abs(predict(F.col(x)) - F.col(y)))).first()[0]
     scored = mixed.select("_j", "_r", F.abs(predict(F.col("_x")) - F.col("_y")).alias("_e"))
     names = F.array(*[F.lit(f) for f in features])
     return (

@@ -14,8 +14,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.scalars import DRIFT_TIERS, drift_tier
@@ -34,7 +35,7 @@ WINDOW_STRIDE = 50
 HISTOGRAM_BINS = 64
 SMOOTHING = 1e-12
 
-_WINDOWS_PER_BLOCK = 256
+_WINDOWS_PER_BLOCK = 64
 
 
 def window_span(size: int, stride: int, first: int = 1) -> tuple[Column, Column]:
@@ -74,69 +75,79 @@ def count_windows(
     )
 
 
-def _series(df: DataFrame, order: Sequence[str], features: Sequence[str], group: Sequence[str], max_rows: int):
-    """Indexed rows ``(_g0.., row_idx, _x)`` with the features as one array."""
-    keys = [f"_g{i}" for i in range(len(group))]
-    narrow = df.select(
-        *[F.col(c).alias(k) for c, k in zip(group, keys)],
-        *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
-        F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]).alias("_x"),
-    )
-    if not keys:
-        narrow, keys = narrow.withColumn("_g0", F.lit(0)), ["_g0"]
-    orders = [f"_o{i}" for i in range(len(order))]
-    largest = largest_group(df, group)
-    indexed = row_index(narrow, orders, keys, max_rows=max_rows, largest=largest)
-    return indexed.drop(*orders), keys, largest
+@dataclass(frozen=True)
+class _Series:
+    """Rows of all series, keyed by ``_g`` (a struct, so never null) with features ``_x``."""
 
+    rows: DataFrame
+    orders: list[str]
+    largest: int
+    max_rows: int
 
-def _window_values(indexed: DataFrame, keys: list[str], size: int, stride: int, per_block: int) -> DataFrame:
-    """One row per complete window: its rows as an array of feature arrays."""
-    low, high = window_span(size, stride)
-    spans = indexed.withColumns({"_low": low, "_high": high}).filter("_low <= _high")
-    blocks = spans.withColumn(
-        "_block",
-        F.explode(
-            F.sequence(
-                F.floor(F.col("_low") / per_block), F.floor(F.col("_high") / per_block)
-            ).cast("array<bigint>")
-        ),
-    ).repartition(*keys, "_block")
-    inside = blocks.withColumn(
-        "window_id",
-        F.explode(
-            F.sequence(
-                F.greatest("_low", F.col("_block") * per_block),
-                F.least("_high", F.col("_block") * per_block + (per_block - 1)),
-            )
-        ),
-    )
-    return (
-        inside.groupBy(*keys, "_block", "window_id")
-        .agg(F.collect_list("_x").alias("_rows"))
-        .filter(F.size("_rows") == size)
-    )
+    @staticmethod
+    def of(df: DataFrame, order: Sequence[str], features: Sequence[str], group: Sequence[str], max_rows: int):
+        key = F.struct(*[F.col(c).alias(f"g{i}") for i, c in enumerate(group)], F.lit(0).alias("_"))
+        rows = df.select(
+            key.alias("_g"),
+            *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
+            F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]).alias("_x"),
+        )
+        return _Series(rows, [f"_o{i}" for i in range(len(order))], largest_group(df, group), max_rows)
+
+    def indexed(self) -> DataFrame:
+        rows = row_index(self.rows, self.orders, ["_g"], max_rows=self.max_rows, largest=self.largest)
+        return rows.drop(*self.orders)
+
+    def baselines(self, size: int) -> DataFrame:
+        """One row per series with at least ``size`` rows: the first ones as an array.
+
+        The row number is compared directly, so every task passes on its first rows only.
+        """
+        first = Window.partitionBy("_g").orderBy(*self.orders)
+        return (
+            self.rows.withColumn("_n", F.row_number().over(first))
+            .filter(F.col("_n") <= size)
+            .groupBy("_g")
+            .agg(F.collect_list("_x").alias("_base"))
+            .filter(F.size("_base") == size)
+        )
+
+    def block_baselines(self, baselines: DataFrame, size: int, stride: int, per_block: int) -> DataFrame:
+        """Repeat a baseline for each block of windows of its series."""
+        totals = self.rows.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+        last_window = F.floor((F.col("_n") - size) / stride)
+        last_block = F.floor(last_window / per_block).cast("bigint")
+        return (
+            join_on(baselines, totals, ["_g"])
+            .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), last_block)))
+            .drop("_n")
+        )
 
 
-def _baselines(indexed: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """One row per series: the baseline rows as an array (``size`` elements at most)."""
+def _in_blocks(indexed: DataFrame, size: int, stride: int, per_block: int) -> DataFrame:
+    """Send each row to the blocks of the windows it belongs to (mostly one).
+
+    The number of partitions is fixed: rows are multiplied after this exchange, so its size
+    says little about the work to come.
+    """
+    low, high = window_span(size, stride)
+    blocks = F.sequence(F.floor(F.col("_low") / per_block), F.floor(F.col("_high") / per_block))
+    n = int(indexed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        indexed.filter(F.col("row_idx") < size)
-        .groupBy(*keys)
-        .agg(F.collect_list("_x").alias("_base"))
-        .filter(F.size("_base") == size)
+        indexed.withColumns({"_low": low, "_high": high})
+        .filter("_low <= _high")
+        .withColumn("_block", F.explode(blocks.cast("array<bigint>")))
+        .repartition(n, "_g", "_block")
     )
 
 
-def _per_block(baselines: DataFrame, indexed: DataFrame, keys: list[str], size: int, stride: int, per_block: int):
-    """Repeat a baseline for each block of windows of its series."""
-    totals = indexed.groupBy(*keys).agg(F.max("row_idx").alias("_last"))
-    last_window = F.floor((F.col("_last") + 1 - size) / stride)
-    last_block = F.floor(last_window / per_block).cast("bigint")
-    return (
-        join_on(baselines, totals, keys)
-        .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), last_block)))
-        .drop("_last")
+def _block_windows(per_block: int) -> Column:
+    """Windows of the block that contain the row."""
+    return F.explode(
+        F.sequence(
+            F.greatest("_low", F.col("_block") * per_block),
+            F.least("_high", F.col("_block") * per_block + (per_block - 1)),
+        )
     )
 
 
@@ -220,11 +231,18 @@ def score_windows(
     )
 
 
-def _joint_scores(indexed, keys, size, stride, bins, n_features, per_block) -> DataFrame:
-    windows = _window_values(indexed, keys, size, stride, per_block)
-    base = _per_block(_baselines(indexed, keys, size), indexed, keys, size, stride, per_block)
-    pairs = join_on(windows, base, [*keys, "_block"])
-    return score_windows(pairs, [*keys, "_block", "window_id"], n_features, bins).drop("_block")
+def _joint_scores(series: _Series, size, stride, bins, n_features, per_block) -> DataFrame:
+    windows = (
+        _in_blocks(series.indexed(), size, stride, per_block)
+        .withColumn("window_id", _block_windows(per_block))
+        .groupBy("_g", "_block", "window_id")
+        .agg(F.collect_list("_x").alias("_rows"))
+        .filter(F.size("_rows") == size)
+    )
+    base = series.block_baselines(series.baselines(size), size, stride, per_block)
+    # One short row per block; the windows stay where they are.
+    pairs = join_on(windows, base, ["_g", "_block"], hint="shuffle_hash")
+    return score_windows(pairs, ["_g", "_block", "window_id"], n_features, bins).drop("_block")
 
 
 def _clipped_bin(value: Column, lo: Column, spread: Column, bins: int) -> Column:
@@ -232,33 +250,43 @@ def _clipped_bin(value: Column, lo: Column, spread: Column, bins: int) -> Column
     return F.when(spread > 0, F.greatest(F.lit(0), F.least(spot, F.lit(bins - 1)))).cast("int")
 
 
-def _frozen_scores(indexed, keys, size, stride, bins, n_features, per_block) -> DataFrame:
+def _baseline_histograms(n_features: int, bins: int) -> Column:
+    """Spread and bin counts of each feature of a baseline, as an array of structs."""
+
+    def feature_hist(j: Column) -> Column:
+        spread = F.col("_hi")[j] - F.col("_lo")[j]
+        spots = F.transform("_base", lambda x: _clipped_bin(x[j], F.col("_lo")[j], spread, bins))
+        return F.struct(
+            j.alias("_j"),
+            spread.alias("_d"),
+            F.aggregate(
+                F.filter(spots, lambda s: s.isNotNull()),
+                F.create_map().cast("map<int,bigint>"),
+                lambda acc, s: F.map_concat(
+                    F.map_filter(acc, lambda k, _: k != s),
+                    F.create_map(s, F.coalesce(acc[s], F.lit(0).cast("bigint")) + 1),
+                ),
+            ).alias("_cb"),
+        )
+
+    return F.transform(F.sequence(F.lit(0), F.lit(n_features - 1)), feature_hist)
+
+
+def _frozen_scores(series: _Series, size, stride, bins, n_features, per_block) -> DataFrame:
     """Bins fixed by the baseline, so histograms of short panes add up to those of windows."""
     pane = math.gcd(size, stride)
-    base = _baselines(indexed, keys, size).withColumns(_bounds(["_base"], n_features))
-    frozen = _per_block(base, indexed, keys, size, stride, per_block)
-
+    base = series.baselines(size).withColumns(_bounds(["_base"], n_features))
+    base = base.withColumn("_hist", _baseline_histograms(n_features, bins))
+    frozen = series.block_baselines(base.drop("_base"), size, stride, per_block)
     low, high = window_span(size, stride)
-    blocked = (
-        indexed.withColumns({"_low": low, "_high": high})
-        .filter("_low <= _high")
-        .withColumn(
-            "_block",
-            F.explode(
-                F.sequence(
-                    F.floor(F.col("_low") / per_block), F.floor(F.col("_high") / per_block)
-                ).cast("array<bigint>")
-            ),
-        )
-        .drop("_low", "_high")
-        .repartition(*keys, "_block")
-    )
+    blocked = _in_blocks(series.indexed(), size, stride, per_block).drop("_low", "_high")
+    keys = ["_g"]
     block_keys = [*keys, "_block"]
     ranges = frozen.select(*block_keys, "_lo", "_hi")
     lo = F.col("_lo")[F.col("_j")]
     spread = F.col("_hi")[F.col("_j")] - lo
     panes = (
-        join_on(blocked, ranges, block_keys)
+        join_on(blocked, ranges, block_keys, hint="shuffle_hash")
         .select(
             *block_keys, "_lo", "_hi",
             F.floor(F.col("row_idx") / pane).alias("_pane"),
@@ -271,15 +299,7 @@ def _frozen_scores(indexed, keys, size, stride, bins, n_features, per_block) ->
         .withColumns({"_low": low, "_high": high})
     )
     windows = (
-        panes.withColumn(
-            "window_id",
-            F.explode(
-                F.sequence(
-                    F.greatest("_low", F.col("_block") * per_block),
-                    F.least("_high", F.col("_block") * per_block + (per_block - 1)),
-                )
-            ),
-        )
+        panes.withColumn("window_id", _block_windows(per_block))
         .groupBy(*block_keys, "window_id", "_j", "_bin")
         .agg(F.sum("_c").alias("_c"))
         .groupBy(*block_keys, "window_id", "_j")
@@ -292,26 +312,8 @@ def _frozen_scores(indexed, keys, size, stride, bins, n_features, per_block) ->
         .filter(F.col("_nw") == size)
     )
 
-    positions = F.sequence(F.lit(0), F.lit(n_features - 1))
-
-    def feature_hist(j: Column) -> Column:
-        spread = F.col("_hi")[j] - F.col("_lo")[j]
-        spots = F.transform("_base", lambda x: _clipped_bin(x[j], F.col("_lo")[j], spread, bins))
-        return F.struct(
-            j.alias("_j"),
-            spread.alias("_d"),
-            F.aggregate(
-                F.filter(spots, lambda s: s.isNotNull()),
-                F.create_map().cast("map<int,bigint>"),
-                lambda acc, s: F.map_concat(
-                    F.map_filter(acc, lambda k, _: k != s),
-                    F.create_map(s, F.coalesce(acc[s], F.lit(0).cast("bigint")) + 1),
-                ),
-            ).alias("_cb"),
-        )
-
-    base_hist = frozen.select(*block_keys, F.inline(F.transform(positions, feature_hist)))
-    both = join_on(windows, base_hist, [*block_keys, "_j"])
+    base_hist = frozen.select(*block_keys, F.inline("_hist"))
+    both = join_on(windows, base_hist, [*block_keys, "_j"], hint="shuffle_hash")
     occupied = F.array_union(F.map_keys("_cb"), F.map_keys("_cw"))
     zero = F.lit(0).cast("bigint")
 
@@ -350,12 +352,12 @@ def drift_windows(
     """
     if range_mode not in ("joint", "frozen"):
         raise ValueError(f"unknown range mode: {range_mode}")
-    indexed, keys, _ = _series(df, order, features, group, max_rows)
+    series = _Series.of(df, order, features, group, max_rows)
     score = _joint_scores if range_mode == "joint" else _frozen_scores
-    scored = score(indexed, keys, size, stride, bins, len(features), windows_per_block)
+    scored = score(series, size, stride, bins, len(features), windows_per_block)
     js = F.col("js") / math.log(log_base) if log_base else F.col("js")
     return scored.select(
-        *[F.col(k).alias(c) for k, c in zip(keys, group)], "window_id", js.alias("js")
+        *[F.col(f"_g.g{i}").alias(c) for i, c in enumerate(group)], "window_id", js.alias("js")
     ).withColumn("tier", drift_tier("js", tiers))
 
 
@@ -460,7 +462,8 @@ def calibrate_thresholds(
     Contiguous windows at seeded random starts are scored against the first window; the
     requested quantiles of those scores are the cut-offs.
     """
-    indexed, keys, total = _series(df, order, features, (), max_rows)
+    series = _Series.of(df, order, features, (), max_rows)
+    total = series.largest
     if total < size:
         raise ValueError(f"not enough rows to calibrate: rows={total}, size={size}")
     spark = df.sparkSession
@@ -473,9 +476,9 @@ def calibrate_thresholds(
         "window_id", F.explode(F.sequence("_start", F.col("_start") + (size - 1))).alias("row_idx")
     )
     windows = (
-        indexed.join(picks, "row_idx").groupBy("window_id").agg(F.collect_list("_x").alias("_rows"))
+        series.indexed().join(picks, "row_idx").groupBy("window_id").agg(F.collect_list("_x").alias("_rows"))
     )
-    base = _baselines(indexed, keys, size).select("_base")
+    base = series.baselines(size).select("_base")
     pairs = windows.withColumn("_base", base.scalar())
     scores = score_windows(pairs, ["window_id"], len(features), bins)
     cut = exact_quantiles(scores, "js", [q for _, q in quantiles], largest=resamples)

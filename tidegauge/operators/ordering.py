@@ -29,6 +29,7 @@ MAX_ROWS_PER_TASK = 2_000_000
 MAX_TOP_ROWS = 100_000
 
 _POSITION_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
+_HASH_BITS, _RANGE_BITS = 64, 16
 
 
 def largest_group(df: DataFrame, group: Sequence[str] = ()) -> int:
@@ -38,18 +39,28 @@ def largest_group(df: DataFrame, group: Sequence[str] = ()) -> int:
     return df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Null-safe equality of the key columns of two frames."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
+def join_on(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", hint: str | None = None
+) -> DataFrame:
+    """Equi-join that also matches null keys; keeps the key columns of the left side.
 
-def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join that also matches null keys; keeps the key columns of the left side."""
+    Keys that cannot be null on one side are compared plainly, which keeps an existing
+    partitioning by these columns usable.
+    """
+    solid = {f.name for df in (left, right) for f in df.schema.fields if not f.nullable}
     renamed = right.select(
         *[F.col(k).alias(f"_r_{k}") for k in keys],
         *[c for c in right.columns if c not in keys],
     )
-    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    if hint:
+        renamed = renamed.hint(hint)
+    on = reduce(
+        lambda a, b: a & b,
+        [
+            F.col(k) == F.col(f"_r_{k}") if k in solid else F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+            for k in keys
+        ],
+    )
     return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
@@ -338,18 +349,31 @@ def hash_split(
     fraction: float,
     keys: Sequence[str],
     seed: int = 0,
-    max_rows: int = MAX_ROWS_PER_TASK,
     round_up: bool = True,
 ) -> DataFrame:
     """Seeded random split with an exact validation count, independent of partitioning.
 
-    ``keys`` identify a row. The validation share is rounded up, or down to at least 1.
+    ``keys`` identify a row. The validation rows are those with the smallest key hashes; the
+    cut is found by counting hash ranges, so no row moves. The validation share is rounded up,
+    or down to at least 1.
     """
+    h, h2 = F.xxhash64(F.lit(seed), *keys), F.xxhash64(*keys, F.lit(seed + 1))
+    hashes = df.select(h.alias("_h"), h2.alias("_h2"))
     total = df.count()
-    shuffled = df.withColumn("_h", F.xxhash64(F.lit(seed), *keys))
-    indexed = row_index(shuffled, ["_h", *keys], max_rows=max_rows, largest=total)
-    valid = math.ceil(total * fraction) if round_up else max(1, int(total * fraction))
-    return indexed.withColumn("is_valid", F.col("row_idx") < valid).drop("_h", "row_idx")
+    wanted = math.ceil(total * fraction) if round_up else max(1, int(total * fraction))
+    inside = F.lit(True)
+    for shift in (_HASH_BITS - _RANGE_BITS, _HASH_BITS - 2 * _RANGE_BITS):
+        bucket = F.shiftright("_h", shift)
+        counts = hashes.filter(inside).groupBy(bucket.alias("b")).count()
+        for b, n in sorted(counts.collect()):  # at most 2 ** _RANGE_BITS rows
+            if n >= wanted:
+                break
+            wanted -= n
+        inside = bucket == b
+    # The last range holds about 2 ** -32 of the rows.
+    cut = hashes.filter(inside).orderBy("_h", "_h2").limit(wanted).agg(F.max(F.struct("_h", "_h2"))).first()[0]
+    below = (h < F.lit(cut[0])) | ((h == F.lit(cut[0])) & (h2 <= F.lit(cut[1])))
+    return df.withColumn("is_valid", below)
 
 
 def micro_batches(
@@ -370,9 +394,10 @@ def occurrence_index(
     order: Sequence[str],
     max_rows: int = MAX_ROWS_PER_TASK,
     name: str = "occurrence",
+    largest: int | None = None,
 ) -> DataFrame:
     """0-based occurrence number of each row among the rows with the same keys."""
-    return row_index(df, order, keys, name=name, max_rows=max_rows)
+    return row_index(df, order, keys, name=name, max_rows=max_rows, largest=largest)
 
 
 def rank_candidates(

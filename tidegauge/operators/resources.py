@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions.scalars import parse_kv, to_number
-from tidegauge.operators.ordering import MAX_ROWS_PER_TASK, exact_quantiles, join_on
+from tidegauge.operators.ordering import MAX_ROWS_PER_TASK, exact_quantiles, join_on, largest_group
 
 # Alias columns per quantity, in order of preference.
 TIME_ALIASES = (("ts", 1.0), ("timestamp", 1.0), ("epoch_ms", 1e-3))
@@ -57,22 +57,23 @@ def resource_summary(
     df: DataFrame, component: str = "component", max_rows: int = MAX_ROWS_PER_TASK
 ) -> DataFrame:
     """Per component: samples, and mean, 95th percentile and maximum of cpu and memory."""
-    base = df.groupBy(component).agg(
-        F.count(F.lit(1)).alias("samples"),
-        F.avg("cpu_pct").alias("cpu_pct_mean"),
-        F.max("cpu_pct").alias("cpu_pct_max"),
-        F.avg("rss_mb").alias("rss_mb_mean"),
-        F.max("rss_mb").alias("rss_mb_max"),
-    )
-    out = base
-    for measure in ("cpu_pct", "rss_mb"):
-        p95 = exact_quantiles(df, measure, [0.95], [component], max_rows)
-        out = join_on(out, p95.select(component, F.col("value").alias(f"{measure}_p95")), [component], "left")
-    return out.select(
-        component, "samples",
-        "cpu_pct_mean", "cpu_pct_p95", "cpu_pct_max",
-        "rss_mb_mean", "rss_mb_p95", "rss_mb_max",
+    columns = (
+        "samples", "cpu_pct_mean", "cpu_pct_p95", "cpu_pct_max", "rss_mb_mean", "rss_mb_p95", "rss_mb_max"
     )
+    simple = [F.count(F.lit(1)).alias("samples")] + [
+        agg(c).alias(f"{c}_{name}")
+        for c in ("cpu_pct", "rss_mb")
+        for name, agg in (("mean", F.avg), ("max", F.max))
+    ]
+    largest = largest_group(df, [component])
+    if largest <= max_rows:
+        exact = [F.percentile(c, 0.95).alias(f"{c}_p95") for c in ("cpu_pct", "rss_mb")]
+        return df.groupBy(component).agg(*simple, *exact).select(component, *columns)
+    out = df.groupBy(component).agg(*simple)
+    for c in ("cpu_pct", "rss_mb"):
+        p95 = exact_quantiles(df, c, [0.95], [component], max_rows, largest)
+        out = join_on(out, p95.select(component, F.col("value").alias(f"{c}_p95")), [component], "left")
+    return out.select(component, *columns)
 
 
 def binned_total(df: DataFrame, pod: str = "pod", bin_seconds: float = 0.5) -> DataFrame:

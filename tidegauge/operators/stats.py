@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions.scalars import finite, relative_error
-from tidegauge.operators.ordering import MAX_ROWS_PER_TASK, exact_quantiles
+from tidegauge.operators.ordering import MAX_ROWS_PER_TASK, exact_quantiles, largest_group
 
 
 def pearson(x: Column, y: Column) -> Column:
@@ -148,7 +148,7 @@ def error_quantiles(
 ) -> DataFrame:
     """Exact quantiles of the relative error as rows ``(*group, q, value)``."""
     errors = df.select(*group, relative_error(pred, truth, eps).alias("_err"))
-    return exact_quantiles(errors, "_err", quantiles, group, max_rows)
+    return exact_quantiles(errors, "_err", quantiles, group, max_rows, largest_group(df, group))
 
 
 def batch_metrics(
@@ -178,11 +178,15 @@ def modal_value(df: DataFrame, column: str, group: Sequence[str] = ()) -> DataFr
 
 
 def median_abs(
-    df: DataFrame, column: str, group: Sequence[str], max_rows: int = MAX_ROWS_PER_TASK
+    df: DataFrame,
+    column: str,
+    group: Sequence[str],
+    max_rows: int = MAX_ROWS_PER_TASK,
+    largest: int | None = None,
 ) -> DataFrame:
     """Exact median of |value| per group as ``(*group, median_abs)``."""
     absolute = df.select(*group, F.abs(F.col(column)).alias("_abs"))
-    found = exact_quantiles(absolute, "_abs", [0.5], group, max_rows)
+    found = exact_quantiles(absolute, "_abs", [0.5], group, max_rows, largest)
     return found.select(*group, F.col("value").alias("median_abs"))
 
 

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tidegauge.functions.scalars import epoch_seconds, first_number
+from tidegauge.functions.scalars import epoch_micros, epoch_seconds, first_number
 from tidegauge.models.network import Network
 from tidegauge.operators.drift import HISTOGRAM_BINS, WINDOW_SIZE, WINDOW_STRIDE
 from tidegauge.operators.stats import StandardScaler
@@ -90,7 +90,7 @@ def partition_progress(spark, sf_dir):
 )
 def rate_rollup(spark, sf_dir):
     scored = table(spark, sf_dir, "events").select(
-        F.to_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()).alias("timestamp"),
+        F.timestamp_micros(epoch_micros("ts")).alias("timestamp"),
         F.col("event_type").alias("stage"),
         F.when(F.col("value") <= 10, 1).otherwise(0).alias("hit"),
     )

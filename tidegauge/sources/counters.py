@@ -13,7 +13,12 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.scalars import NUMBER_PATTERN, first_number, to_number
 from tidegauge.operators.alignment import first_available, zip_left
-from tidegauge.operators.ordering import MAX_ROWS_PER_TASK, join_on, occurrence_index
+from tidegauge.operators.ordering import (
+    MAX_ROWS_PER_TASK,
+    join_on,
+    largest_group,
+    occurrence_index,
+)
 from tidegauge.operators.stats import median_abs
 from tidegauge.sources.text import split_path
 
@@ -41,18 +46,18 @@ def fields(line: Column | str, separator: str = ",") -> Column:
 
 
 def _largest_magnitude(tokens: Column) -> Column:
-    """Number of the largest magnitude, ignoring scale-like ones if others exist."""
-    numbers = F.filter(
-        F.transform(tokens, first_number),
-        lambda v: v.isNotNull() & (F.abs(v) != float("inf")),
-    )
-    counts = F.filter(numbers, lambda v: (F.abs(v) < 0.1) | (F.abs(v) > 10.0))
-    chosen = F.when(F.size(counts) > 0, counts).otherwise(numbers)
-    return F.aggregate(
-        chosen,
-        F.lit(None).cast("double"),
-        lambda best, v: F.when(best.isNull() | (F.abs(v) > F.abs(best)), v).otherwise(best),
+    """Number of the largest magnitude, ignoring scale-like ones if others exist.
+
+    Numbers are ranked by (not scale-like, magnitude, earliest) in one pass.
+    """
+    numbers = F.filter(F.transform(tokens, first_number), lambda v: F.abs(v) < float("inf"))
+    ranked = F.transform(
+        numbers,
+        lambda v, i: F.named_struct(
+            F.lit("count"), ~F.abs(v).between(0.1, 10.0), F.lit("size"), F.abs(v), F.lit("at"), -i, F.lit("v"), v
+        ),
     )
+    return F.array_max(ranked)["v"]
 
 
 def parse_perf_counters(
@@ -71,18 +76,21 @@ def parse_perf_counters(
     if mode not in ("positional", "legacy_max"):
         raise ValueError(f"unknown counter mode: {mode}")
     tokens = lines.withColumn("_t", fields("line"))
-    lowered = F.transform("_t", F.lower)
-    wanted = F.array(*[F.lit(e) for e in events])
-    hits = F.filter(wanted, lambda e: F.array_contains(lowered, F.lower(e)))
+    spelled = F.create_map(*[F.lit(x) for e in events for x in (e.lower(), e)])
+    wanted = F.array(*[F.lit(e.lower()) for e in events])
+    hits = F.array_intersect(wanted, F.transform("_t", F.lower))
     if mode == "positional":
         value = to_number(F.get("_t", 1))
     else:
         value = _largest_magnitude(F.col("_t"))
-    rows = tokens.select(*keys, "line_no", value.alias("value"), F.explode(hits).alias("event"))
+    rows = tokens.select(*keys, "line_no", value.alias("value"), F.explode(hits).alias("_event"))
     if mode == "legacy_max":
         rows = rows.filter("value is not null")
-    indexed = occurrence_index(rows, [*keys, "event"], ["line_no"], max_rows, "row_idx")
-    return indexed.select(*keys, "event", "row_idx", "value")
+    # A file cannot hold more occurrences than lines; counting those parses nothing.
+    indexed = occurrence_index(
+        rows, [*keys, "_event"], ["line_no"], max_rows, "row_idx", largest_group(lines, keys)
+    )
+    return indexed.select(*keys, spelled[F.col("_event")].alias("event"), "row_idx", "value")
 
 
 def pivot_counters(long: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -116,12 +124,13 @@ def parse_latency(
         every = F.regexp_extract_all("line", F.lit(f"({NUMBER_PATTERN})"), 1)
         value = F.get(every, F.size(every) - 1).try_cast("double")
     rows = lines.select(*keys, "line_no", value.alias("value")).filter("value is not null")
-    indexed = occurrence_index(rows, keys, ["line_no"], max_rows, "row_idx").drop("line_no")
+    largest = largest_group(lines, keys)
+    indexed = occurrence_index(rows, keys, ["line_no"], max_rows, "row_idx", largest).drop("line_no")
     if unit == "us":
         return indexed.withColumn("value", F.col("value") / 1000.0)
     if unit == "ms":
         return indexed
-    medians = median_abs(rows, "value", keys, max_rows)
+    medians = median_abs(rows, "value", keys, max_rows, largest)
     scaled = F.when(F.col("median_abs") > MICROSECOND_MEDIAN, F.col("value") / 1000.0)
     return (
         join_on(indexed, medians, list(keys))

@@ -18,6 +18,7 @@ from tidegauge.operators.ordering import (
     MAX_ROWS_PER_TASK,
     head_rows,
     join_on,
+    largest_group,
     occurrence_index,
 )
 from tidegauge.sources.counters import fields
@@ -183,7 +184,9 @@ def widen_by_tag(
     """
     keys = list(keys)
     rows = tag_rows(lines, keys, legacy_header)
-    indexed = occurrence_index(rows, [*keys, "tag"], ["line_no"], max_rows, "row_idx")
+    indexed = occurrence_index(
+        rows, [*keys, "tag"], ["line_no"], max_rows, "row_idx", largest_group(lines, keys)
+    )
     tag_no = F.array_position(F.array(*[F.lit(t) for t in TAGS]), F.col("tag"))
     lengths = (
         indexed.groupBy(*keys, "tag")
@@ -215,7 +218,9 @@ def parse_latency_plain(
     rows = lines.filter(F.trim("line") != "").select(
         *keys, "line_no", to_number(F.element_at(tokens, -1)).alias("value")
     )
-    indexed = occurrence_index(rows, keys, ["line_no"], max_rows, "row_idx")
+    indexed = occurrence_index(
+        rows, keys, ["line_no"], max_rows, "row_idx", largest_group(lines, keys)
+    )
     return indexed.select(
         *keys,
         F.lit(piece).alias("piece"),
