@@ -156,3 +156,23 @@ def test_divergences(spark):
     m = (p + q) / 2
     assert math.isclose(got.kl, kl(p, q), rel_tol=1e-12)
     assert math.isclose(got.js, (kl(p, m) + kl(q, m)) / 2, rel_tol=1e-12)
+
+
+def test_long_baseline_is_not_sorted_in_one_task(drifting, monkeypatch):
+    df, pdf = drifting
+    monkeypatch.setattr(d, "limits_per_task", lambda *_: False)
+    got = d.drift_windows(df, ["t"], ["a"], ["g"], 100, 50, 16, max_rows=50).toPandas()
+    x = pdf[pdf.g == "hot"].sort_values("t")[["a"]].to_numpy()
+    have = {r.window_id: r.js for r in got[got.g == "hot"].itertuples()}
+    want = np_windows(x, 100, 50, 16)
+    assert have.keys() == want.keys() and all(math.isclose(have[k], want[k], rel_tol=1e-9, abs_tol=1e-12) for k in want)
+
+
+def test_windows_move_once(drifting):
+    """After rows reach their block of windows, nothing of theirs is shuffled again."""
+    df, _ = drifting
+    scored = d.drift_windows(df, ["t"], ["a", "b"], ["g"], 100, 20)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    top = plan.split("REPARTITION_BY_NUM")[0]
+    assert "REPARTITION_BY_NUM" in plan and "Exchange hashpartitioning" not in top.rsplit("\n", 1)[0]
+    assert "SinglePartition" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan

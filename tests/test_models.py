@@ -103,14 +103,30 @@ def test_permutation_importance(linear_data):
     df, x, y = linear_data
     vec = df.select("id", F.array("a", "b", "c").alias("x"), "y")
     predict = lambda v: v[0] * 3.0 + v[1] * -0.5 + v[2] * 7.0 + 2.0
-    runs = [
-        evaluate.permutation_importance(d, ["id"], ["a", "b", "c"], "x", "y", predict, max_rows=m).collect()
-        for d, m in ((vec, 10**6), (vec.repartition(7), 50))
-    ]
-    assert [r.feature for r in runs[0]][0] in ("a", "b") and runs[0][-1].feature == "c"
-    for a, b in zip(*runs):
-        assert a.feature == b.feature and np.isclose(a.mae_increase, b.mae_increase)
-    assert all(r.mae_increase > 0 for r in runs[0])
+    def run(d, rows):
+        got = evaluate.permutation_importance(d, ["id"], ["a", "b", "c"], "x", "y", predict, bucket_rows=rows)
+        return {r.feature: r.mae_increase for r in got.collect()}
+
+    def expected(buckets):
+        """The same shuffles, row by row."""
+        h = vec.select("id", F.xxhash64(F.lit(0), "id").alias("a"), F.xxhash64("id", F.lit(0)).alias("b")).collect()
+        w = np.array([3.0, -0.5, 7.0])
+        base = np.abs(x @ w + 2 - y).mean()
+        out = []
+        for v in range(9):
+            xp = x.copy()
+            for b in range(buckets):
+                ids = [r.id for r in sorted((r for r in h if r.a % buckets == b), key=lambda r: (r.a, r.b))]
+                xp[ids, v // 3] = np.roll(x[ids, v // 3], v + 1)
+            out.append(np.abs(xp @ w + 2 - y).mean() - base)
+        return dict(zip("abc", np.array(out).reshape(3, 3).mean(axis=1)))
+
+    for rows, buckets in ((10**6, 1), (100, 4)):
+        got, again, want = run(vec, rows), run(vec.repartition(7), rows), expected(buckets)
+        assert list(got)[-1] == "c" and all(v > 0 for v in got.values())
+        for name in "abc":
+            assert np.isclose(got[name], again[name]) and np.isclose(got[name], want[name])
+    assert len(run(vec.limit(3), 100)) == 3
 
 
 def test_scoring_helpers(spark, linear_data):

@@ -61,6 +61,10 @@ def test_last_window_and_mean(ts_frame, max_rows):
     df, pdf = ts_frame
     got = {r.g: [v[0] for v in r.x] for r in sequence.last_window(df, ["t"], ["f"], 10, ["g"], max_rows).collect()}
     assert got == {g: list(p.f.tail(10)) for g, p in pdf.groupby("g") if len(p) >= 10}
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(sequence, "limits_per_task", lambda *_: False)
+        again = sequence.last_window(df, ["t"], ["f"], 10, ["g"], max_rows).collect()
+        assert {r.g: [v[0] for v in r.x] for r in again} == got
     one = sequence.last_window(df.filter("g = 'a'"), ["t"], ["f"], 3).first().x
     assert [v[0] for v in one] == list(pdf[pdf.g == "a"].f.tail(3))
     means = sequence.moving_mean(df, ["t"], "y", 5, 2, ["g"], max_rows).collect()

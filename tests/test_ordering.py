@@ -119,7 +119,7 @@ def test_head_tail_split(series, max_rows):
     assert o.hash_split(df, 1.0, ["k"]).filter("is_valid").count() == 1200
 
 
-@pytest.mark.parametrize("k", [None, 3])
+@pytest.mark.parametrize("k", [None, 3, 1001])
 def test_rank(series, k):
     df, pdf = series
     got = o.rank_candidates(df, ["v", "k"], k=k, group=["g"]).toPandas()

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.models.mlp import predict_column
 from tidegauge.models.network import Network
 from tidegauge.models.regressors import MultiStepModel
-from tidegauge.operators.ordering import MAX_ROWS_PER_TASK, head_rows, join_on, ordered_rows, tail_rows
+from tidegauge.operators.ordering import head_rows, join_on, tail_rows
 from tidegauge.operators.sequence import last_window
 from tidegauge.operators.stats import StandardScaler, accuracy_within
 
@@ -56,55 +57,67 @@ def permutation_importance(
     predict: Predict,
     repeat: int = 3,
     seed: int = 0,
-    max_rows: int = MAX_ROWS_PER_TASK,
+    bucket_rows: int = 50_000,
 ) -> DataFrame:
     """``(feature, mae_increase)``: mean growth of the absolute error when one feature is
     shuffled.
 
-    All features and repetitions are one job. For each, the rows are put in a seeded hash
-    order and every row takes the feature from the one before it (the first from the last).
+    All features and repetitions come from one sort: rows are hashed into buckets of bounded
+    size and put in hash order there, and variant ``v`` gives each row the feature of the row
+    ``v + 1`` places before it (the first rows take it from the end of their bucket).
     """
     total = df.count()
+    if total < 2:
+        raise ValueError("not enough rows to shuffle")
+    variants = [(j, r) for j in range(len(features)) for r in range(repeat)]
+    parallel = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(-(-total // bucket_rows), min(parallel, total // (100 * len(variants) + 1)), 1)
+    reach = len(variants) if buckets > 1 else min(len(variants), total - 1)
+    shifts = [1 + v % reach for v in range(len(variants))]
+
+    h = F.xxhash64(F.lit(seed), *order)
     rows = df.select(
-        F.xxhash64(F.lit(seed), *order).alias("_a"),
+        F.pmod(h, F.lit(buckets)).alias("_bucket"),
+        h.alias("_a"),
         F.xxhash64(*order, F.lit(seed)).alias("_b"),
         F.col(x).alias("_x"),
         F.col(y).alias("_y"),
     )
-    variants = F.array(
-        *[
-            F.struct(F.lit(j).alias("_j"), F.lit(r).alias("_r"))
-            for j in range(len(features))
-            for r in range(repeat)
-        ]
+    w = Window.partitionBy("_bucket").orderBy("_a", "_b")
+    placed = rows.select(
+        "*",
+        F.row_number().over(w).alias("_n"),
+        *[F.lag(F.get("_x", F.lit(j)), k).over(w).alias(f"_v{v}") for v, ((j, _), k) in enumerate(zip(variants, shifts))],
     )
-    each = rows.select("_a", "_b", "_x", "_y", F.inline(variants)).select(
-        "_j", "_r", "_x", "_y", F.get("_x", F.col("_j")).alias("_own"),
-        F.xxhash64("_j", "_r", "_a").alias("_h"), F.xxhash64("_r", "_b", "_j").alias("_h2"),
-    )
-    ordered = ordered_rows(
-        each, ["_h", "_h2"], ["_j", "_r"], before=1, max_rows=max_rows, largest=total
-    )
-    taken = ordered.finish(
-        ordered.rows.withColumn("_taken", F.lag("_own").over(ordered.window))
-    )
-    ends = each.groupBy("_j", "_r").agg(F.max_by("_own", F.struct("_h", "_h2")).alias("_end"))
-    mixed = join_on(taken, ends, ["_j", "_r"]).withColumn(
-        "_new", F.when(F.col("row_idx") == 0, F.col("_end")).otherwise(F.col("_taken"))
-    ).withColumn(
-        "_x", F.transform("_x", lambda v, i: F.when(i == F.col("_j"), F.col("_new")).otherwise(v))
+    back = Window.partitionBy("_bucket").orderBy(F.desc("_a"), F.desc("_b"))
+    ends = (
+        rows.withColumn("_m", F.row_number().over(back))
+        .filter(F.col("_m") <= reach)
+        .groupBy("_bucket")
+        .agg(F.map_from_entries(F.collect_list(F.struct("_m", "_x"))).alias("_ends"))
     )
+    mixed = join_on(placed, ends, ["_bucket"])
+
+    def error(v: int) -> Column:
+        j, k = variants[v][0], shifts[v]
+        # Row n <= k takes the k - n + 1 th row from the end.
+        wrapped = F.get(F.col("_ends")[F.lit(k + 1) - F.col("_n")], F.lit(j))
+        new = F.when(F.col("_n") <= k, wrapped).otherwise(F.col(f"_v{v}"))
+        swapped = F.concat(F.slice("_x", 1, j), F.array(new), F.slice("_x", j + 2, len(features)))
+        return F.abs(predict(swapped) - F.col("_y"))
+
     base = df.agg(F.avg(F.abs(predict(F.col(x)) - F.col(y)))).first()[0]
-    scored = mixed.select("_j", "_r", F.abs(predict(F.col("_x")) - F.col("_y")).alias("_e"))
-    names = F.array(*[F.lit(f) for f in features])
-    return (
-        scored.groupBy("_j", "_r")
-        .agg((F.avg("_e") - F.lit(base)).alias("_inc"))
-        .groupBy("_j")
-        .agg(F.avg("_inc").alias("mae_increase"))
-        .select(F.get(names, F.col("_j")).alias("feature"), "mae_increase")
-        .orderBy(F.desc("mae_increase"), "feature")
+    scored = mixed.select(*[error(v).alias(f"_e{v}") for v in range(len(variants))])
+    means = scored.agg(*[F.avg(f"_e{v}").alias(f"_e{v}") for v in range(len(variants))])
+
+    def increase(j: int) -> Column:
+        own = [F.col(f"_e{v}") for v, (f, _) in enumerate(variants) if f == j]
+        return reduce(lambda p, q: p + q, own) / len(own) - F.lit(base)
+
+    table = F.array(
+        *[F.struct(F.lit(name).alias("feature"), increase(j).alias("mae_increase")) for j, name in enumerate(features)]
     )
+    return means.select(F.inline(table)).orderBy(F.desc("mae_increase"), "feature")
 
 
 def publish_forecast(

@@ -25,6 +25,7 @@ from tidegauge.operators.ordering import (
     exact_quantiles,
     join_on,
     largest_group,
+    limits_per_task,
     ordered_rows,
     row_index,
     running,
@@ -103,11 +104,13 @@ class _Series:
 
         The row number is compared directly, so every task passes on its first rows only.
         """
-        first = Window.partitionBy("_g").orderBy(*self.orders)
+        if limits_per_task(self.rows, size):
+            first = Window.partitionBy("_g").orderBy(*self.orders)
+            rows = self.rows.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= size)
+        else:
+            rows = self.indexed().filter(F.col("row_idx") < size)
         return (
-            self.rows.withColumn("_n", F.row_number().over(first))
-            .filter(F.col("_n") <= size)
-            .groupBy("_g")
+            rows.groupBy("_g")
             .agg(F.collect_list("_x").alias("_base"))
             .filter(F.size("_base") == size)
         )

@@ -27,6 +27,7 @@ from tidegauge.session import cut_lineage
 
 MAX_ROWS_PER_TASK = 2_000_000
 MAX_TOP_ROWS = 100_000
+MAX_RANGE_PARTITIONS = 100_000
 
 _POSITION_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
 _HASH_BITS, _RANGE_BITS = 64, 16
@@ -83,13 +84,15 @@ def row_index(
     if largest <= max_rows:
         window = Window.partitionBy(*group).orderBy(*order)
         return df.withColumn(name, (F.row_number().over(window) - 1).cast("bigint"))
+    if partitions is None:
+        configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        partitions = max(configured, min(-(-largest // max_rows), MAX_RANGE_PARTITIONS))
     return _range_index(df, list(order), list(group), name, partitions)
 
 
 def _range_index(
-    df: DataFrame, order: list[str], group: list[str], name: str, partitions: int | None
+    df: DataFrame, order: list[str], group: list[str], name: str, n: int
 ) -> DataFrame:
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = group + order
     placed = (
         df.repartitionByRange(n, *keys)
@@ -409,22 +412,25 @@ def rank_candidates(
 ) -> DataFrame:
     """Ascending rank with nulls last, optionally the first ``k`` of each group.
 
-    Only ``k`` rows per group are ever sorted together: the top rows of hashed sub-groups are
-    found first, so a hot group is spread over many tasks.
+    A small ``k`` is pushed into every task, so only its first rows of each group travel;
+    otherwise rows are numbered as in ``row_index``.
     """
-    ordering = [F.col(c).asc_nulls_last() for c in by]
-    if k is not None:
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(64)))
-        local = Window.partitionBy(*group, "_salt").orderBy(*ordering)
-        df = salted.withColumn("_r", F.row_number().over(local)).filter(F.col("_r") <= k)
-        df = df.drop("_salt", "_r")
+    if k is not None and limits_per_task(df, k):
+        ordering = [F.col(c).asc_nulls_last() for c in by]
         window = Window.partitionBy(*group).orderBy(*ordering)
         return df.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
     flags = [f"_null_{i}" for i in range(len(by))]
     flagged = df.select("*", *[F.col(c).isNull().alias(f) for f, c in zip(flags, by)])
     order = [name for pair in zip(flags, by) for name in pair]
     indexed = row_index(flagged, order, group, name="rank", max_rows=max_rows)
-    return indexed.withColumn("rank", (F.col("rank") + 1).cast("int")).drop(*flags)
+    ranked = indexed.withColumn("rank", (F.col("rank") + 1).cast("int")).drop(*flags)
+    return ranked if k is None else ranked.filter(F.col("rank") <= k)
+
+
+def limits_per_task(df: DataFrame, k: int) -> bool:
+    """Whether the optimizer turns ``row_number() <= k`` into a limit before the shuffle."""
+    threshold = df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")
+    return k <= int(threshold)
 
 
 def first_seen(df: DataFrame, value: str, rank: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.scalars import relative_error, to_number
@@ -13,7 +13,9 @@ from tidegauge.operators.ordering import (
     MAX_TOP_ROWS,
     join_on,
     largest_group,
+    limits_per_task,
     ordered_rows,
+    row_index,
     running,
     tail_rows,
 )
@@ -103,25 +105,20 @@ def last_window(
     Only groups with at least ``lookback`` rows have one.
     """
     rows = df.select(*group, *order, _vector(df, features).alias("_x"))
-    key = F.struct(*order)
-    newest = F.slice(
-        F.sort_array(F.collect_list(F.struct(key.alias("k"), F.col("_x").alias("x"))), asc=False),
-        1,
-        lookback,
-    )
     if not group:
-        tail = tail_rows(rows, lookback, order, max_rows)
-        found = tail.groupBy().agg(newest.alias("_top"))
+        newest = tail_rows(rows, lookback, order, max_rows)
+    elif limits_per_task(rows, lookback):
+        back = Window.partitionBy(*group).orderBy(*[F.col(c).desc() for c in order])
+        newest = rows.withColumn("_n", F.row_number().over(back)).filter(F.col("_n") <= lookback)
     else:
-        largest = largest_group(rows, group)
-        ordered = ordered_rows(rows, order, group, max_rows=max_rows, largest=largest)
-        sizes = ordered.finish(ordered.rows).groupBy(*group).agg(F.max("row_idx").alias("_last"))
-        tail = join_on(ordered.finish(ordered.rows), sizes, list(group)).filter(
-            F.col("row_idx") > F.col("_last") - lookback
-        )
-        found = tail.groupBy(*group).agg(newest.alias("_top"))
-    return found.filter(F.size("_top") == lookback).select(
-        *group, F.transform(F.reverse("_top"), lambda s: s["x"]).alias("x")
+        indexed = row_index(rows, order, group, max_rows=max_rows)
+        sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
+        newest = join_on(indexed, sizes, list(group)).filter(F.col("row_idx") >= F.col("_size") - lookback)
+    # At most ``lookback`` rows per group are left.
+    stamped = F.struct(F.struct(*order).alias("k"), F.col("_x").alias("x"))
+    found = newest.groupBy(*group).agg(F.sort_array(F.collect_list(stamped)).alias("_rows"))
+    return found.filter(F.size("_rows") == lookback).select(
+        *group, F.transform("_rows", lambda r: r["x"]).alias("x")
     )
 
 

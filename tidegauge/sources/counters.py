@@ -20,6 +20,7 @@ from tidegauge.operators.ordering import (
     occurrence_index,
 )
 from tidegauge.operators.stats import median_abs
+from tidegauge.session import cut_lineage
 from tidegauge.sources.text import split_path
 
 # Network functions, counter events and the standard column order.
@@ -182,13 +183,19 @@ def build_perf_table(
 ) -> DataFrame:
     """The wide table of all experiments: ``(scenario, exp, row_idx)`` and 63 columns.
 
-    All files are read in one pass. The length of an experiment is that of its shortest
+    All files are read once. The length of an experiment is that of its shortest
     series among firewall instructions, both rates and latency; shorter counters are padded
     with nulls. Experiments without any of these have no rows.
     """
     keys = ["scenario", "exp"]
-    located = split_path(lines)
     vnf = F.regexp_replace("file", r"\.csv$", "")
+    known = [f"{v}.csv" for v in FUNCTIONS] + [*LATENCY_FILES, "tx_stats.csv", "rx_stats.csv"]
+    # Written once: the parsers below each take their own files from it, some more than once.
+    located = cut_lineage(
+        split_path(lines)
+        .filter(F.col("file").isin(*known))
+        .select(*keys, "file", "line_no", "line")
+    )
     counters = parse_perf_counters(
         located.filter(vnf.isin(*FUNCTIONS)).withColumn("vnf", vnf), EVENTS, mode, [*keys, "vnf"], max_rows
     ).select(*keys, F.concat_ws("_", "vnf", "event").alias("name"), "row_idx", "value")

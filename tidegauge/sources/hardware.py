@@ -21,6 +21,7 @@ from tidegauge.operators.ordering import (
     largest_group,
     occurrence_index,
 )
+from tidegauge.session import cut_lineage
 from tidegauge.sources.counters import fields
 
 # Layout of the per-tag statistics file.
@@ -245,7 +246,8 @@ def column_names(long: DataFrame, order: Sequence[str]) -> list[str]:
 def assemble(pieces: Sequence[DataFrame], keys: Sequence[str] = ("path",), names: Sequence[str] | None = None) -> DataFrame:
     """Line all pieces of an experiment up by position, cut to its shortest piece."""
     keys = list(keys)
-    long = reduce(DataFrame.unionByName, pieces)
+    # Written once: names, lengths and cells are three passes over the parsed files.
+    long = cut_lineage(reduce(DataFrame.unionByName, pieces))
     lengths = (
         long.groupBy(*keys, "piece")
         .agg((F.max("row_idx") + 1).alias("_len"))
