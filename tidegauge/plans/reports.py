@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tidegauge.functions.scalars import epoch_seconds, first_number
-from tidegauge.operators import grids, registry, resources
+from tidegauge.operators import grids, ordering, registry, resources
 from tidegauge.plans.catalog import query, table
 from tidegauge.plans.frames import EVENTS_SQL
+from tidegauge.sources import merge
 
 
 def _samples(spark, sf_dir):
@@ -187,3 +190,65 @@ def grid_semi(spark, sf_dir):
     candidates = part.groupBy("p_brand").agg(F.avg("p_size").alias("s")).filter("s > 25")
     grid = grids.expand_grid(part.select("p_brand").distinct(), {"batch_size": grids.BATCH_SIZES})
     return grids.prune_grid(grid, candidates, "p_brand")
+
+
+@query(
+    "union_by_name",
+    """
+    SELECT 'customer' AS part, c_name AS name, c_acctbal AS balance, c_mktsegment AS segment FROM customer
+    UNION ALL SELECT 'supplier', s_name, s_acctbal, NULL FROM supplier""",
+)
+def union_by_name(spark, sf_dir):
+    customers = table(spark, sf_dir, "customer").select(
+        F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment")
+    )
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_acctbal").alias("balance"), F.col("s_name").alias("name"))
+    return merge.union_tables({"customer": customers, "supplier": suppliers})
+
+
+@query(
+    "first_seen",
+    "SELECT p_brand, min(p_partkey) AS p_partkey FROM part GROUP BY 1",
+)
+def first_seen(spark, sf_dir):
+    return ordering.first_seen(table(spark, sf_dir, "part"), "p_brand", "p_partkey")
+
+
+@query(
+    "merge_traces",
+    """
+    SELECT user_id % 3 AS replica, event_id, value AS truth, value * 1.1 :: DOUBLE AS pred_adj FROM events""",
+)
+def merge_traces(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("replica", F.col("user_id") % 3)
+    trace = events.select("replica", "event_id", F.col("value").alias("truth"), (F.col("value") * 1.1).alias("pred_adj"))
+    return resources.merge_traces(*[trace.filter(F.col("replica") == i) for i in range(3)])
+
+
+@query(
+    "latest_pointer",
+    """
+    SELECT max(o_orderkey) AS o_orderkey, arg_max(o_custkey, o_orderkey) AS o_custkey FROM orders WHERE o_orderstatus = 'P'""",
+)
+def latest_pointer(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    pointed = orders.filter("o_orderstatus = 'P'").drop("o_orderstatus")
+    fallback = orders.filter("o_orderstatus <> 'P'").drop("o_orderstatus")
+    return registry.latest_pointer(pointed, fallback, "o_orderkey")
+
+
+@query(
+    "tier_candidates",
+    """
+    WITH t AS (SELECT event_type, CASE WHEN avg(value) >= 40 THEN 'A' ELSE 'B' END AS tier FROM events GROUP BY 1)
+    SELECT event_type, tier, CASE tier WHEN 'A' THEN 32 ELSE 96 END :: BIGINT AS candidates FROM t""".replace(
+        "40", "30"
+    ),
+)
+def tier_candidates(spark, sf_dir):
+    tiers = table(spark, sf_dir, "events").groupBy("event_type").agg(F.avg("value").alias("v")).select(
+        "event_type", F.when(F.col("v") >= 30, "A").otherwise("B").alias("tier")
+    )
+    grid = reduce(lambda a, b: a.unionByName(b), [grids.tier_grid(spark, t) for t in ("A", "B", "C")])
+    sizes = grid.groupBy("tier").agg(F.count(F.lit(1)).alias("candidates"))
+    return tiers.join(sizes, "tier").select("event_type", "tier", "candidates")
