@@ -12,7 +12,8 @@ from tidegauge.operators.ordering import chronological_split, hash_split
 from tidegauge.operators.stats import StandardScaler, error_metrics
 from tidegauge.plans.catalog import query, table
 from tidegauge.plans.frames import EVENT_FEATURES, LINE_ORDER, LINE_ORDER_SQL, PAIRS_SQL, event_features, price_pairs
-from tidegauge.plans.series import DAILY_SQL, daily_orders
+from tidegauge.plans.series import daily_orders
+from tidegauge.session import spread
 
 EVENT_ORDER = ["ts", "event_id"]
 LINE_FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
@@ -69,7 +70,8 @@ def _line_split(spark, sf_dir):
     frame = regressors.table_frame(
         table(spark, sf_dir, "lineitem"), LINE_FEATURES, "l_extendedprice", scale=True, keep=LINE_ORDER
     )
-    marked = hash_split(frame, 0.3, LINE_ORDER).select("features", "label", "is_valid").persist()
+    marked = hash_split(frame, 0.3, LINE_ORDER).select("features", "label", "is_valid")
+    marked = spread(marked).persist()
     return marked.filter("not is_valid"), marked.filter("is_valid")
 
 
@@ -111,7 +113,7 @@ def _daily_windows(spark, sf_dir):
     windows = sequence.sliding_windows(
         daily_orders(spark, sf_dir), ["day"], ["total", "n"], "total", 10, 5, multi_output=True
     )
-    marked = chronological_split(windows, 0.2, ["window_start"]).persist()
+    marked = spread(chronological_split(windows, 0.2, ["window_start"])).persist()
     return marked.filter("not is_valid"), marked.filter("is_valid")
 
 
@@ -177,7 +179,7 @@ def _scaled_events(spark, sf_dir):
 
 @query("mlp_fit")
 def mlp_fit(spark, sf_dir):
-    rows = hash_split(_scaled_events(spark, sf_dir), 0.3, ["event_id"]).persist()
+    rows = spread(hash_split(_scaled_events(spark, sf_dir), 0.3, ["event_id"])).persist()
     net, history = mlp.fit_mlp(
         rows.filter("not is_valid").select("x", "y"), rows.filter("is_valid").select("x", "y"), 2, (16, 8), epochs=5, lr=0.05
     )
