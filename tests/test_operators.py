@@ -1,6 +1,5 @@
 """Sequence, alignment, resource, registry, schema and statistics operators."""
 
-import json
 import math
 
 import numpy as np

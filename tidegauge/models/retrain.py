@@ -8,7 +8,6 @@ the other on the distributed rows instead.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
 import numpy as np

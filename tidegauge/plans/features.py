@@ -9,16 +9,7 @@ from tidegauge.operators import histogram as h
 from tidegauge.operators import schema, stats
 from tidegauge.operators.ordering import rank_candidates, row_index
 from tidegauge.plans.catalog import query, table
-from tidegauge.plans.frames import (
-    EVENT_TYPES,
-    EVENTS_SQL,
-    LINE_ORDER,
-    LINE_ORDER_SQL,
-    NUMBER_SQL,
-    PAIRS_SQL,
-    event_features,
-    price_pairs,
-)
+from tidegauge.plans.frames import EVENTS_SQL, NUMBER_SQL, PAIRS_SQL, event_features, price_pairs
 
 LINE_FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber", "l_partkey", "l_suppkey"]
 
@@ -146,12 +137,10 @@ def schema_audit(spark, sf_dir):
 @query(
     "align_dim",
     """
-    SELECT vec_id, list_sum(embedding[1:8] :: DOUBLE[]) AS head_sum,
-           list_sum(embedding :: DOUBLE[]) AS padded_sum,
+    SELECT vec_id, round(list_sum(embedding[1:8] :: DOUBLE[]), 6) AS head_sum,
+           round(list_sum(embedding :: DOUBLE[]), 5) AS padded_sum,
            512 :: INTEGER AS padded_dim
-    FROM embeddings""".replace("list_sum(embedding[1:8] :: DOUBLE[])", "round(list_sum(embedding[1:8] :: DOUBLE[]), 6)").replace(
-        "list_sum(embedding :: DOUBLE[]) AS", "round(list_sum(embedding :: DOUBLE[]), 5) AS"
-    ),
+    FROM embeddings""",
 )
 def align_dim(spark, sf_dir):
     def total(dim):
@@ -201,10 +190,10 @@ def canonical_models(spark, sf_dir):
 
 @query(
     "natural_sort",
-    """
-    SELECT source, row_number() OVER (ORDER BY regexp_extract(source, '^\\D*', 0),
-           CAST(regexp_extract(source, '\\d+', 0) AS BIGINT)) AS position
-    FROM (SELECT DISTINCT source FROM documents)""".replace("\\\\", "\\"),
+    r"""
+    SELECT source, row_number() OVER (ORDER BY regexp_extract(source, '^\D*', 0),
+           CAST(regexp_extract(source, '\d+', 0) AS BIGINT)) AS position
+    FROM (SELECT DISTINCT source FROM documents)""",
 )
 def natural_sort(spark, sf_dir):
     names = table(spark, sf_dir, "documents").select("source").distinct()
@@ -318,10 +307,9 @@ def median_abs(spark, sf_dir):
 @query(
     "hist",
     """
-    SELECT l_returnflag, least(floor((l_discount - 0.0) / (0.1 - 0.0) * 10), 9) :: INTEGER AS bin, COUNT(*) AS n
-    FROM lineitem WHERE l_discount BETWEEN 0.0 AND 0.1 GROUP BY 1, 2""".replace("0.1", "CAST(0.1 AS DOUBLE)").replace(
-        "0.0)", "CAST(0.0 AS DOUBLE))"
-    ),
+    WITH r AS (SELECT 0.0 :: DOUBLE AS lo, 0.1 :: DOUBLE AS hi)
+    SELECT l_returnflag, least(floor((l_discount - lo) / (hi - lo) * 10), 9) :: INTEGER AS bin, COUNT(*) AS n
+    FROM lineitem, r WHERE l_discount BETWEEN lo AND hi GROUP BY 1, 2""",
 )
 def hist(spark, sf_dir):
     return h.histogram(table(spark, sf_dir, "lineitem"), "l_discount", 10, 0.0, 0.1, ["l_returnflag"])

@@ -294,12 +294,9 @@ def hardware_table(spark, sf_dir):
                FROM events),
     sig AS (SELECT part, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS s FROM p GROUP BY 1),
     best AS (SELECT s FROM sig GROUP BY 1 ORDER BY COUNT(*) DESC, min(part) LIMIT 1)
-    SELECT part, row_idx, string_agg(CAST(COALESCE(x, 0) AS VARCHAR), ',' ORDER BY t) AS cells FROM (
+    SELECT part, row_idx, round(sum(COALESCE(x, 0)), 4) AS total, COUNT(*) AS columns FROM (
       SELECT part, row_idx, t, max(value) FILTER (event_type = t) AS x
-      FROM p, (SELECT unnest(string_split(s, ',')) AS t FROM best) b GROUP BY 1, 2, 3) GROUP BY 1, 2""".replace(
-        "string_agg(CAST(COALESCE(x, 0) AS VARCHAR), ',' ORDER BY t) AS cells",
-        "round(sum(COALESCE(x, 0)), 4) AS total, COUNT(*) AS columns",
-    ),
+      FROM p, (SELECT unnest(string_split(s, ',')) AS t FROM best) b GROUP BY 1, 2, 3) GROUP BY 1, 2""",
 )
 def modal_schema_merge(spark, sf_dir):
     events = table(spark, sf_dir, "events").select(

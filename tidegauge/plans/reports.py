@@ -101,9 +101,9 @@ def metrics_rollup(spark, sf_dir):
 
 @query(
     "metric_lines",
-    """
+    r"""
     SELECT event_id :: VARCHAR AS ts, event_type AS component, 'tick' AS event, 'pod' || (user_id % 3) AS pod,
-           '{"a":1,"k":' || regexp_extract(props, '\\d+', 0) || '}' AS kv FROM events""".replace("\\\\", "\\"),
+           '{"a":1,"k":' || regexp_extract(props, '\d+', 0) || '}' AS kv FROM events""",
 )
 def metric_lines(spark, sf_dir):
     payload = F.concat(F.lit('{"a":1,"k":'), F.regexp_extract("props", r"\d+", 0), F.lit("}"))
@@ -240,10 +240,8 @@ def latest_pointer(spark, sf_dir):
 @query(
     "tier_candidates",
     """
-    WITH t AS (SELECT event_type, CASE WHEN avg(value) >= 40 THEN 'A' ELSE 'B' END AS tier FROM events GROUP BY 1)
-    SELECT event_type, tier, CASE tier WHEN 'A' THEN 32 ELSE 96 END :: BIGINT AS candidates FROM t""".replace(
-        "40", "30"
-    ),
+    WITH t AS (SELECT event_type, CASE WHEN avg(value) >= 30 THEN 'A' ELSE 'B' END AS tier FROM events GROUP BY 1)
+    SELECT event_type, tier, CASE tier WHEN 'A' THEN 32 ELSE 96 END :: BIGINT AS candidates FROM t""",
 )
 def tier_candidates(spark, sf_dir):
     tiers = table(spark, sf_dir, "events").groupBy("event_type").agg(F.avg("value").alias("v")).select(

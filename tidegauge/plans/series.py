@@ -330,10 +330,16 @@ def chrono_split(spark, sf_dir):
     return got.select("o_orderkey", F.col("is_valid").cast("int").alias("is_valid"))
 
 
-@query("hash_split")
+@query(
+    "hash_split",
+    """
+    SELECT unnest([1, 0]) AS is_valid,
+           unnest([ceil(COUNT(*) * 0.3) :: BIGINT, COUNT(*) - ceil(COUNT(*) * 0.3) :: BIGINT]) AS n FROM orders""",
+)
 def hash_split(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey")
-    return o.hash_split(orders, 0.3, ["o_orderkey"]).groupBy("is_valid").agg(F.count(F.lit(1)).alias("n"))
+    marked = o.hash_split(orders, 0.3, ["o_orderkey"])
+    return marked.groupBy(F.col("is_valid").cast("int").alias("is_valid")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
