@@ -4,6 +4,7 @@ from __future__ import annotations
 
 
 from tidegauge.llm.licenses import license_scan
+from tidegauge.llm.simhash import near_duplicates
 from tidegauge.llm.tokens import token_counts
 from tidegauge.plans.catalog import Entry, table
 
@@ -28,3 +29,8 @@ def op3_token_counts(spark, sf_dir):
 @query("op8_license_scan")
 def op8_license_scan(spark, sf_dir):
     return license_scan(table(spark, sf_dir, "documents"))
+
+
+@query("op5_simhash_dedup")
+def op5_simhash_dedup(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_distance=2)
