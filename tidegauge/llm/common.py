@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tidegauge.session import checkpoint_dir, cut_lineage
 
-__all__ = ["col", "checkpoint_dir", "cut_lineage", "held_out", "map_texts", "others", "slices"]
+__all__ = ["col", "checkpoint_dir", "cut_lineage", "held_out", "map_texts", "others", "same", "slices", "with_facts"]
 
 TEXT = "__text"
 
@@ -27,6 +27,25 @@ def others(df: DataFrame, taken: Sequence[str]) -> list[str]:
     return [c for c in df.columns if c.lower() not in low]
 
 
+BROADCAST_ROWS = 100_000  # rows of narrow facts that every task may hold
+
+
+def same(left: str, right: str) -> Column:
+    return col(left).eqNullSafe(col(right))
+
+
+def with_facts(df: DataFrame, facts: DataFrame, key: str, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Join one narrow row a key (null is a key) to the rows of ``df``.
+
+    The facts are counted, so cut their lineage before. Up to ``rows`` of them travel to the
+    tasks and a hot key moves nothing; more are joined by shuffle, where adaptive execution
+    splits hot keys.
+    """
+    right = facts.withColumnRenamed(key, "__key")
+    few = facts.limit(rows + 1).count() <= rows
+    return df.join(F.broadcast(right) if few else right, same(key, "__key"), how).drop("__key")
+
+
 def held_out(id_col: str) -> Column:
     """Evaluation rows: the CRC-32 of the id's text is divisible by five (null id: false)."""
     return F.coalesce(F.crc32(col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 
 from tidegauge.llm.licenses import license_scan
+from tidegauge.llm.mixing import mix
 from tidegauge.llm.simhash import near_duplicates
 from tidegauge.llm.tokens import token_counts
 from tidegauge.plans.catalog import Entry, table
@@ -34,3 +35,35 @@ def op8_license_scan(spark, sf_dir):
 @query("op5_simhash_dedup")
 def op5_simhash_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_distance=2)
+
+
+@query(
+    "op10_source_mix",
+    """WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) :: BIGINT AS size
+               FROM documents),
+    s AS (SELECT source, SUM(size) :: BIGINT AS source_size FROM d GROUP BY 1),
+    r AS (SELECT source, source_size, [1, 2, 3][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1) :: INT] AS w FROM s),
+    p AS (SELECT *, SUM(source_size) OVER () AS total, SUM(w) OVER () AS total_w,
+                 coalesce(SUM(source_size) OVER before, 0) AS s_before, coalesce(SUM(w) OVER before, 0) AS w_before
+          FROM r WINDOW before AS (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    c AS (SELECT *, 3 * source_size * (total_w - w_before) < (total - 3 * s_before) * w AS capped FROM p),
+    t AS (SELECT *, (total - 3 * coalesce(SUM(source_size) FILTER (capped) OVER (), 0)) AS lft,
+                 SUM(w) FILTER (NOT capped) OVER () AS lft_w FROM c),
+    g AS (SELECT source, source_size, CASE WHEN capped THEN 3 * source_size ELSE (lft * w) :: DOUBLE / lft_w :: DOUBLE END :: DOUBLE AS target FROM t),
+    q AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio FROM g),
+    f AS (SELECT *, floor(ratio) :: BIGINT AS whole, ratio - floor(ratio) AS pi FROM q),
+    u AS (SELECT doc_id, size, f.*, target - whole * source_size AS want,
+                 (('0x' || substr(sha256('42|' || coalesce(doc_id :: VARCHAR, '')), 1, 12)) :: BIGINT + 0.5) / 281474976710656.0 :: DOUBLE AS u
+          FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source),
+    o AS (SELECT *, CASE WHEN pi > 0 THEN (u / (1 - u)) / (pi / (1 - pi)) END AS odds FROM u),
+    k AS (SELECT *, floor(odds / (1 + odds) * 281474976710655.0 :: DOUBLE) AS rank FROM o),
+    b AS (SELECT *, coalesce(SUM(size) OVER (PARTITION BY source ORDER BY rank, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k),
+    h AS (SELECT *, (pi > 0 AND size > 0 AND before + size <= want) AS fits FROM b),
+    m AS (SELECT *, want - coalesce(SUM(size) FILTER (fits) OVER (PARTITION BY source), 0) AS gap FROM h),
+    n AS (SELECT *, CASE WHEN pi > 0 AND size > 0 AND NOT fits AND abs(size - gap) < gap THEN abs(size - gap) END AS miss FROM m),
+    l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY miss NULLS LAST, rank, doc_id) = 1 AND miss IS NOT NULL AS fills FROM n),
+    e AS (SELECT *, whole + (fits OR fills) :: BIGINT AS copies FROM l)
+    SELECT doc_id, size, source_size, target, copies, (size * copies) :: BIGINT AS taken FROM e""",
+)
+def op10_source_mix(spark, sf_dir):
+    return mix(table(spark, sf_dir, "documents"))
