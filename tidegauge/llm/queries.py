@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from tidegauge.llm.licenses import license_scan
 from tidegauge.llm.mixing import mix
+from tidegauge.llm.sharding import shard
 from tidegauge.llm.simhash import near_duplicates
 from tidegauge.llm.tokens import token_counts
 from tidegauge.plans.catalog import Entry, table
@@ -67,3 +68,30 @@ def op5_simhash_dedup(spark, sf_dir):
 )
 def op10_source_mix(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents"))
+
+
+SHARD_BYTES = 4 << 20
+
+
+@query(
+    "op6_shards",
+    f"""WITH d AS (SELECT doc_id, coalesce(strlen(text), 0) :: BIGINT AS n_bytes,
+                      ('0x' || substr(md5(coalesce(doc_id :: VARCHAR, '') || '|' || coalesce(text, '')), 1, 15)) :: BIGINT AS hash
+               FROM documents),
+    a AS (SELECT hash, SUM(n_bytes) AS bytes FROM d GROUP BY 1),
+    p AS (SELECT hash, bytes, depth, hash >> (60 - depth) AS prefix FROM a, (SELECT unnest(range(61)) :: INT AS depth)),
+    b AS (SELECT depth, prefix, SUM(bytes) AS bytes FROM p GROUP BY 1, 2
+          HAVING SUM(bytes) <= {SHARD_BYTES} OR min(hash) = max(hash)),
+    f AS (SELECT hash, min(p.depth) AS depth FROM p JOIN b ON p.depth = b.depth AND p.prefix = b.prefix GROUP BY 1),
+    r AS (SELECT d.*, f.depth, b.bytes, row_number() OVER (PARTITION BY d.hash ORDER BY doc_id) - 1 AS k,
+                 greatest(1, {SHARD_BYTES} // nullif(n_bytes, 0)) AS each,
+                 CASE WHEN f.depth > 0 THEN right(lpad(bin(d.hash >> (60 - f.depth)), 60, '0'), f.depth) ELSE '' END AS bits,
+                 b.bytes > {SHARD_BYTES} AND b.bytes > n_bytes AS many
+          FROM d JOIN f USING (hash) JOIN b ON b.depth = f.depth AND b.prefix = d.hash >> (60 - f.depth))
+    SELECT doc_id, n_bytes, depth :: INT AS depth,
+           'b' || bits || CASE WHEN many THEN '.' || (k // each) ELSE '' END AS shard,
+           CASE WHEN many THEN least(each, bytes // n_bytes - (k // each) * each) * n_bytes ELSE bytes END :: BIGINT AS shard_bytes
+    FROM r""",
+)
+def op6_shards(spark, sf_dir):
+    return shard(table(spark, sf_dir, "documents"), limit=SHARD_BYTES)
