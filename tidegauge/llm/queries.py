@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 
+from tidegauge.llm.decontamination import contaminated
 from tidegauge.llm.licenses import license_scan
 from tidegauge.llm.mixing import mix
 from tidegauge.llm.sharding import shard
@@ -95,3 +96,8 @@ SHARD_BYTES = 4 << 20
 )
 def op6_shards(spark, sf_dir):
     return shard(table(spark, sf_dir, "documents"), limit=SHARD_BYTES)
+
+
+@query("op9_decontamination")
+def op9_decontamination(spark, sf_dir):
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
