@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 
+import corpus_pipeline
 from tidegauge.llm.decontamination import contaminated
 from tidegauge.llm.licenses import license_scan
 from tidegauge.llm.mixing import mix
 from tidegauge.llm.sharding import shard
 from tidegauge.llm.simhash import near_duplicates
 from tidegauge.llm.tokens import token_counts
+from tidegauge.llm.toxicity import toxicity
 from tidegauge.plans.catalog import Entry, table
 
 CATALOG: dict[str, Entry] = {}
@@ -101,3 +103,13 @@ def op6_shards(spark, sf_dir):
 @query("op9_decontamination")
 def op9_decontamination(spark, sf_dir):
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark, sf_dir):
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
