@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from tidegauge.llm.decontamination import contaminated
+from tidegauge.llm.langid import language
 from tidegauge.llm.licenses import license_scan
 from tidegauge.llm.mixing import mix
 from tidegauge.llm.sharding import shard
@@ -113,3 +114,8 @@ def op2_toxicity(spark, sf_dir):
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query("op7_language_id")
+def op7_language_id(spark, sf_dir):
+    return language(table(spark, sf_dir, "documents"))
