@@ -8,6 +8,7 @@ from tidegauge.llm.decontamination import contaminated
 from tidegauge.llm.langid import language
 from tidegauge.llm.licenses import license_scan
 from tidegauge.llm.mixing import mix
+from tidegauge.llm.neighbours import nearest
 from tidegauge.llm.sharding import shard
 from tidegauge.llm.simhash import near_duplicates
 from tidegauge.llm.tokens import token_counts
@@ -119,3 +120,8 @@ def pipeline(spark, sf_dir):
 @query("op7_language_id")
 def op7_language_id(spark, sf_dir):
     return language(table(spark, sf_dir, "documents"))
+
+
+@query("op4_nearest_neighbours")
+def op4_nearest_neighbours(spark, sf_dir):
+    return nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
