@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from tidegauge.llm.decontamination import contaminated
+from tidegauge.llm.html_text import page_text
 from tidegauge.llm.langid import language
 from tidegauge.llm.licenses import license_scan
 from tidegauge.llm.mixing import mix
@@ -125,3 +126,8 @@ def op7_language_id(spark, sf_dir):
 @query("op4_nearest_neighbours")
 def op4_nearest_neighbours(spark, sf_dir):
     return nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+@query("op1_main_text")
+def op1_main_text(spark, sf_dir):
+    return page_text(table(spark, sf_dir, "pages"))
