@@ -16,7 +16,7 @@ from tidegauge.llm.common import checkpoint_dir, col, cut_lineage
 from tidegauge.llm.decontamination import with_hits
 from tidegauge.llm.mixing import mix
 from tidegauge.llm.sharding import BYTE_LIMIT, shard
-from tidegauge.llm.simhash import near_duplicates
+from tidegauge.llm.simhash import fingerprints, hexed, near_duplicates
 from tidegauge.llm.toxicity import fit, score
 from tidegauge.session import ship_package
 
@@ -50,19 +50,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked fingerprints the document with the smallest id stays, once.
 
-    Repeated rows of one id and text are one document. Rows without an id cannot be named by their
-    group: they stay, once a text, if a group has no other rows.
+    Repeated rows of one id and text are one document. Rows without an id go if their group has
+    one with an id; of a group without any id one row stays.
     """
     own = Guarded(docs)
     doc, text = own["doc_id"], own["text"]
     groups = cut_lineage(near_duplicates(own.docs, doc, text, shingle=3, max_distance=2))
-    first = groups.where(F.col(doc).eqNullSafe(F.col("component_id"))).groupBy(F.col(doc).alias("id"))
+    first = groups.where(F.col(doc) == F.col("component_id")).groupBy(F.col(doc).alias("id"))
     first = cut_lineage(first.agg((F.count(F.lit(1)) > 1).alias("again")))
     once, again = first.where("not again"), first.where("again")
-    same = F.col(doc).eqNullSafe(F.col("id"))
+    same = F.col(doc) == F.col("id")
     kept = own.docs.join(once, same, "left_semi")
     if not again.isEmpty():
         kept = kept.unionByName(own.docs.join(again, same, "left_semi").dropDuplicates([doc, text]))
+    unnamed = groups.where("component_id is null").select("component_fp").distinct()
+    if not unnamed.isEmpty():
+        nameless = fingerprints(own.docs.where(F.col(doc).isNull()), own.docs.columns, text, shingle=3)
+        lone = nameless.join(unnamed, hexed("fp") == F.col("component_fp"), "left_semi")
+        kept = kept.unionByName(lone.dropDuplicates(["fp"]).drop("fp"))
     return own.back(kept)
 
 

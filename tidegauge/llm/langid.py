@@ -220,10 +220,12 @@ class Model:
 
         Evidence is the lead over the next language times the square root of the length.
         """
+        if not self.langs:
+            return [(-1, 0.0, 0.0)] * len(texts)
         entropy, size, letters = self.entropies(texts)
         out = []
         for row, n, some in zip(entropy, size, letters, strict=True):
-            if not some or not len(row):
+            if not some:
                 out.append((-1, 0.0, 0.0))
                 continue
             order = np.argsort(row, kind="stable")

@@ -9,11 +9,12 @@ dropped before the full Hamming check. Equal fingerprints are one node from the
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 from itertools import accumulate, combinations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,9 +46,13 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp) of every row."""
-    return map_texts(docs, text_col, [id_col], _FP, lambda: lambda texts: [[fingerprint(t, shingle) for t in texts]])
+def fingerprints(docs: DataFrame, keep: Sequence[str], text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """``keep`` and the fingerprint ``fp`` of every row."""
+    return map_texts(docs, text_col, keep, _FP, lambda: lambda texts: [[fingerprint(t, shingle) for t in texts]])
+
+
+def hexed(fp: str) -> Column:
+    return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
 def _segments(d: int) -> list[tuple[int, int]]:
@@ -123,23 +128,26 @@ def near_duplicates(
     max_distance: int = 2,
     group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
-    """(id, fingerprint, component_id) of every row.
+    """(id, fingerprint, component_id, component_fp) of every row.
 
     Words are lower-cased in A-Z and cut at ASCII white space. A text of fewer words than a shingle
     has one shingle, its words; without words (null, empty) the fingerprint is zero and links like
     any other. ``component_id`` is the smallest id of the rows linked directly or through others,
-    null if none has an id. Repeated rows and rows with a null id are kept; an empty table gives an
+    null if none has an id; ``component_fp`` is one of the component's fingerprints. Repeated rows and rows with a null id are kept; an empty table gives an
     empty one; other columns, whatever their names, are ignored.
     """
     own = docs.select(col(id_col).alias("doc"), col(text_col).alias("text"))
-    rows = cut_lineage(fingerprints(own, "doc", "text", shingle))
+    rows = cut_lineage(fingerprints(own, ["doc"], "text", shingle))
     nodes = cut_lineage(rows.groupBy("fp").agg(F.min("doc").alias("least")))
     labels = star_components(hamming_links(nodes.select("fp"), max_distance, group_rows))
     named = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "label", F.coalesce("label", "fp")
     )
     ids = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_fp = named.join(ids, "label").select("fp", "component_id")
+    of_fp = named.join(ids, "label").select("fp", "component_id", "label")
     return rows.join(of_fp, "fp").select(
-        F.col("doc").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        F.col("doc").alias(id_col),
+        hexed("fp").alias("fingerprint"),
+        "component_id",
+        hexed("label").alias("component_fp"),
     )
