@@ -104,25 +104,19 @@ def test_permutation_importance(linear_data):
     vec = df.select("id", F.array("a", "b", "c").alias("x"), "y")
     predict = lambda v: v[0] * 3.0 + v[1] * -0.5 + v[2] * 7.0 + 2.0
     def run(d, rows):
-        got = evaluate.permutation_importance(d, ["id"], ["a", "b", "c"], "x", "y", predict, bucket_rows=rows)
+        got = evaluate.permutation_importance(d, ["id"], ["a", "b", "c"], "x", "y", predict, max_rows=rows)
         return {r.feature: r.mae_increase for r in got.collect()}
 
-    def expected(buckets):
-        """The same shuffles, row by row."""
-        h = vec.select("id", F.xxhash64(F.lit(0), "id").alias("a"), F.xxhash64("id", F.lit(0)).alias("b")).collect()
-        w = np.array([3.0, -0.5, 7.0])
-        base = np.abs(x @ w + 2 - y).mean()
-        out = []
-        for v in range(9):
-            xp = x.copy()
-            for b in range(buckets):
-                ids = [r.id for r in sorted((r for r in h if r.a % buckets == b), key=lambda r: (r.a, r.b))]
-                xp[ids, v // 3] = np.roll(x[ids, v // 3], v + 1)
-            out.append(np.abs(xp @ w + 2 - y).mean() - base)
-        return dict(zip("abc", np.array(out).reshape(3, 3).mean(axis=1)))
-
-    for rows, buckets in ((10**6, 1), (100, 4)):
-        got, again, want = run(vec, rows), run(vec.repartition(7), rows), expected(buckets)
+    order = [r.id for r in vec.select("id", F.md5(F.concat_ws("|", F.lit("0"), "id")).alias("h")).orderBy("h").collect()]
+    w = np.array([3.0, -0.5, 7.0])
+    base, out = np.abs(x @ w + 2 - y).mean(), []
+    for v in range(9):
+        xp = x.copy()
+        xp[order, v // 3] = np.roll(x[order, v // 3], v + 1)
+        out.append(np.abs(xp @ w + 2 - y).mean() - base)
+    want = dict(zip("abc", np.array(out).reshape(3, 3).mean(axis=1)))
+    for rows in (10**6, 100):
+        got, again = run(vec, rows), run(vec.repartition(7), rows)
         assert list(got)[-1] == "c" and all(v > 0 for v in got.values())
         for name in "abc":
             assert np.isclose(got[name], again[name]) and np.isclose(got[name], want[name])
@@ -162,19 +156,40 @@ def test_two_stage_search(spark, window):
     assert list(net.hidden) == row.hidden
 
 
+def _blocks(window, n):
+    rows = window.filter("y is not null")
+    h = F.xxhash64(F.lit(0), "id")
+    return rows.select(F.pmod(h, F.lit(n)).cast("int").alias("block"), h.alias("h"), "x", "y"), rows.select("x", "y")
+
+
 def test_invalid_candidates_are_reported(spark, window):
-    rows = window.filter("y is not null").collect()
-    x, y = np.array([r.x for r in rows]), np.array([r.y for r in rows])
+    train, valid = _blocks(window, 2)
     grid = spark.createDataFrame(
         [(0, "C", 1e-2, 16, [4], "relu", "mse", 0.0), (1, "C", 1e-2, 16, [4], "mse", "mse", 0.0)], retrain.tier_grid(spark, "C").schema)
-    got = retrain.score_candidates(grid, (x, y, x, y), 3, None, 2, False).orderBy("candidate_id").collect()
+    got = retrain.score_candidates(grid, train, valid, 3, None, 2, False).orderBy("candidate_id").collect()
     assert got[0].error is None and got[1].error == "unsupported activation: mse" and got[1].rmse == float("inf")
     assert [r.candidate_id for r in retrain.finalists(spark.createDataFrame(got, retrain.RESULT_SCHEMA), 3).collect()] == [0]
 
 
-def test_large_windows_stay_distributed(spark, window, monkeypatch):
+def test_one_block_trains_as_a_plain_loop(spark, window):
+    grid = spark.createDataFrame(
+        [(0, "A", 1e-2, 16, [4], "relu", "mse", 0.0), (1, "A", 5e-2, 32, [4], "tanh", "smoothl1", 1e-4)], retrain.tier_grid(spark, "A").schema)
+    train, valid = _blocks(window, 1)
+    got = {r.candidate_id: r for r in retrain.score_candidates(grid, train, valid, 3, None, 3, False, seed=3).collect()}
+    rows = train.orderBy("h").collect()
+    x, y = np.array([r.x for r in rows]), np.array([r.y for r in rows])
+    for c in grid.collect():
+        net = network.Network.create(3, c.hidden, c.activation, 3)
+        opt = network.Adam(len(net.params), c.lr, c.wd)
+        for epoch in range(3):
+            network.fit_epochs(net, x, y, opt, c.loss, c.batch_size, np.random.default_rng([3, epoch, 0]))
+        assert got[c.candidate_id].rmse == pytest.approx(float(np.sqrt(np.mean((net.predict(x) - y) ** 2))))
+
+
+def test_windows_of_any_size_take_one_way(spark, window, monkeypatch):
     small = spark.createDataFrame(
         [(0, "A", 1e-2, 16, [4], "relu", "mse", 0.0), (1, "A", 5e-2, 16, [4], "tanh", "mse", 0.0)], retrain.tier_grid(spark, "A").schema)
     monkeypatch.setattr(retrain, "tier_grid", lambda *a: small)
-    row = retrain.two_stage_search(window, ["id"], "A", max_window_rows=50).first()
+    row, again = (retrain.two_stage_search(w, ["id"], "A", block_rows=20).first() for w in (window, window.repartition(9)))
     assert row.error is None and row.network and row.train_rows == 87
+    assert row.rmse == pytest.approx(again.rmse) and row.candidate_id == again.candidate_id

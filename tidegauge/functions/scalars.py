@@ -32,8 +32,6 @@ MODEL_ALIASES = {
     "gbdt": "xgboost",
 }
 
-_DIGITS_WIDTH = 64
-
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -63,15 +61,24 @@ def clean_token(text: Column | str) -> Column:
     return F.when((trimmed != "") & ~trimmed.isin(*NULL_TOKENS), text)
 
 
+def _by_value(digits: Column) -> Column:
+    size = F.length(digits).cast("string")
+    return F.concat(F.length(size).cast("string"), size, F.lit(":"), digits)
+
+
 def natural_sort_key(name: Column | str) -> Column:
-    """Sortable array of lower-case text runs and zero-padded digit runs, text first."""
+    """Sortable array of lower-case text runs and digit runs, text first.
+
+    A digit run is led by the number of its digits, itself led by its own length, so that runs of
+    any length sort by value.
+    """
     lowered = F.lower(_col(name))
     runs = F.regexp_extract_all(lowered, F.lit(r"(\d+|\D+)"), 1)
     padded = F.transform(
         runs,
         lambda r: F.when(
             r.rlike(r"^\d"),
-            F.lpad(F.regexp_replace(r, r"^0+(?=\d)", ""), _DIGITS_WIDTH, "0"),
+            _by_value(F.regexp_replace(r, r"^0+(?=\d)", "")),
         ).otherwise(r),
     )
     return F.when(lowered.rlike(r"^\d"), F.concat(F.array(F.lit("")), padded)).otherwise(padded)

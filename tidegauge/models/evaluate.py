@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.models.mlp import predict_column
 from tidegauge.models.network import Network
 from tidegauge.models.regressors import MultiStepModel
-from tidegauge.operators.ordering import head_rows, join_on, tail_rows
+from tidegauge.operators.ordering import MAX_ROWS_PER_TASK, head_rows, ordered_rows, tail_rows
 from tidegauge.operators.sequence import last_window
 from tidegauge.operators.stats import StandardScaler, accuracy_within
 
@@ -57,51 +57,42 @@ def permutation_importance(
     predict: Predict,
     repeat: int = 3,
     seed: int = 0,
-    bucket_rows: int = 50_000,
+    max_rows: int = MAX_ROWS_PER_TASK,
 ) -> DataFrame:
     """``(feature, mae_increase)``: mean growth of the absolute error when one feature is
     shuffled.
 
-    All features and repetitions come from one sort: rows are hashed into buckets of bounded
-    size and put in hash order there, and variant ``v`` gives each row the feature of the row
-    ``v + 1`` places before it (the first rows take it from the end of their bucket).
+    All features and repetitions come from one seeded order of the rows (the MD5 of the seed and
+    the order columns): variant ``v`` gives each row the feature of the row ``v + 1`` places
+    before it, and the first rows take it from the end. The order depends on the data and the seed alone, so
+    the result does not change with partitions or cluster settings.
     """
     total = df.count()
     if total < 2:
         raise ValueError("not enough rows to shuffle")
     variants = [(j, r) for j in range(len(features)) for r in range(repeat)]
-    parallel = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(-(-total // bucket_rows), min(parallel, total // (100 * len(variants) + 1)), 1)
-    reach = len(variants) if buckets > 1 else min(len(variants), total - 1)
+    reach = min(len(variants), total - 1)
     shifts = [1 + v % reach for v in range(len(variants))]
-
-    h = F.xxhash64(F.lit(seed), *order)
-    rows = df.select(
-        F.pmod(h, F.lit(buckets)).alias("_bucket"),
-        h.alias("_a"),
-        F.xxhash64(*order, F.lit(seed)).alias("_b"),
-        F.col(x).alias("_x"),
-        F.col(y).alias("_y"),
-    )
-    w = Window.partitionBy("_bucket").orderBy("_a", "_b")
-    placed = rows.select(
-        "*",
-        F.row_number().over(w).alias("_n"),
-        *[F.lag(F.get("_x", F.lit(j)), k).over(w).alias(f"_v{v}") for v, ((j, _), k) in enumerate(zip(variants, shifts))],
-    )
-    back = Window.partitionBy("_bucket").orderBy(F.desc("_a"), F.desc("_b"))
-    ends = (
-        rows.withColumn("_m", F.row_number().over(back))
-        .filter(F.col("_m") <= reach)
-        .groupBy("_bucket")
-        .agg(F.map_from_entries(F.collect_list(F.struct("_m", "_x"))).alias("_ends"))
-    )
-    mixed = join_on(placed, ends, ["_bucket"])
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in order])
+    rows = df.select(F.md5(text).alias("_a"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.col(x).alias("_x"), F.col(y).alias("_y"))
+    spots = ["_a", *[f"_o{i}" for i in range(len(order))]]
+    ordered = ordered_rows(rows, spots, before=reach, max_rows=max_rows, largest=total)
+    w = ordered.window
+    placed = ordered.finish(
+        ordered.rows.select(
+            "*",
+            *[F.lag(F.get("_x", F.lit(j)), k).over(w).alias(f"_v{v}") for v, ((j, _), k) in enumerate(zip(variants, shifts))],
+        )
+    ).withColumn("_n", F.col("row_idx") + 1)
+    # As many rows as there are variants.
+    last = tail_rows(rows, reach, spots).orderBy(*[F.desc(c) for c in spots]).select("_x").collect()
+    ends = F.array(*[F.array(*[F.lit(None if e is None else float(e)) for e in r["_x"]]) for r in last])
+    mixed = placed.withColumn("_ends", ends)
 
     def error(v: int) -> Column:
         j, k = variants[v][0], shifts[v]
         # Row n <= k takes the k - n + 1 th row from the end.
-        wrapped = F.get(F.col("_ends")[F.lit(k + 1) - F.col("_n")], F.lit(j))
+        wrapped = F.get(F.get("_ends", (F.lit(k) - F.col("_n")).cast("int")), F.lit(j))
         new = F.when(F.col("_n") <= k, wrapped).otherwise(F.col(f"_v{v}"))
         swapped = F.concat(F.slice("_x", 1, j), F.array(new), F.slice("_x", j + 2, len(features)))
         return F.abs(predict(swapped) - F.col("_y"))

@@ -1,9 +1,10 @@
 """Retraining after drift: a quick pass over all candidates, a full fit of the best ones.
 
-A drift window has a few hundred rows while the grid has many candidates, so candidates are
-distributed: the window travels to every task and each task trains its candidates on it. A
-window beyond ``MAX_WINDOW_ROWS`` is never collected; its candidates are trained one after
-the other on the distributed rows instead.
+One way serves windows of any size, and no row passes through the driver. The training rows are
+hashed into blocks of bounded size. In an epoch every block trains every candidate on its rows in
+shuffled mini-batches, from the candidate's common weights; the results are averaged by rows. A
+window of one block is thus trained as a plain mini-batch loop would. Only weights and sums of
+errors, whose size the grid bounds, come back to the driver.
 """
 
 from __future__ import annotations
@@ -11,15 +12,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.models.mlp import fit_mlp, predict_column
-from tidegauge.models.network import Adam, Network, fit_epochs
+from tidegauge.models.mlp import predict_column
+from tidegauge.models.network import LOSSES, Adam, Network, fit_epochs
 from tidegauge.operators.grids import FINALISTS, tier_grid
 from tidegauge.operators.ordering import hash_split
 from tidegauge.operators.stats import error_metrics
+from tidegauge.session import cut_lineage
 
 # The retrain budget.
 WARM_EPOCHS = 3
@@ -28,7 +30,8 @@ EARLY_PATIENCE = 2
 VALID_FRACTION = 0.2
 MIN_IMPROVEMENT = 1e-6
 
-MAX_WINDOW_ROWS = 20_000
+BLOCK_ROWS = 4096
+_FAN_IN = 32  # block results that one task adds up
 
 RESULT_SCHEMA = (
     "candidate_id int, lr double, batch_size int, hidden array<int>, activation string, loss string, "
@@ -37,68 +40,136 @@ RESULT_SCHEMA = (
 _METRICS = ("rmse", "mae", "acc_25", "acc_15")
 
 
-def _evaluate(net: Network, x: np.ndarray, y: np.ndarray) -> dict[str, float]:
-    err = np.abs(net.predict(x) - y)
-    rel = err / np.maximum(np.abs(y), 1e-6)
-    return {
-        "rmse": float(np.sqrt(np.mean(err**2))),
-        "mae": float(np.mean(err)),
-        "acc_25": float(100.0 * np.mean(rel <= 0.25)),
-        "acc_15": float(100.0 * np.mean(rel <= 0.15)),
-    }
-
-
 def can_finetune(current: Network | None, hidden: Sequence[int], activation: str) -> bool:
     return current is not None and tuple(hidden) == current.hidden and activation == current.activation
 
 
-def _train(row, data, in_dim: int, current: Network | None, epochs: int, full: bool, freeze: int, seed: int):
-    """Train one candidate on the collected window."""
-    xt, yt, xv, yv = data
-    tune = can_finetune(current, row.hidden, row.activation)
-    net = current.copy() if tune else Network.create(in_dim, row.hidden, row.activation, seed)
-    opt = Adam(len(net.params), row.lr, row.wd, net.frozen(freeze) if tune else 0)
-    rng = np.random.default_rng(seed)
-    best, best_rmse, bad = net.copy(), float("inf"), 0
-    for _ in range(max(1, epochs)):
-        fit_epochs(net, xt, yt, opt, row.loss, int(row.batch_size), rng)
-        if not full:
-            continue
-        rmse = _evaluate(net, xv, yv)["rmse"]
-        if rmse < best_rmse - MIN_IMPROVEMENT:
-            best, best_rmse, bad = net.copy(), rmse, 0
-        else:
-            bad += 1
-            if bad > EARLY_PATIENCE:
-                break
-    chosen = best if full else net
-    return chosen, "finetune" if tune else "scratch", _evaluate(chosen, xv, yv)
+class _Run:
+    """A candidate in training: its weights, the optimizer's state and the best so far."""
+
+    def __init__(self, row, in_dim: int, current: Network | None, freeze: int, seed: int):
+        self.row, self.error = row, None
+        self.tune = can_finetune(current, row.hidden, row.activation)
+        try:
+            if row.loss not in LOSSES:
+                raise ValueError(f"unsupported loss: {row.loss}")
+            self.net = current.copy() if self.tune else Network.create(in_dim, row.hidden, row.activation, seed)
+            self.opt = Adam(len(self.net.params), row.lr, row.wd, self.net.frozen(freeze) if self.tune else 0)
+            self.best, self.best_metrics, self.bad = self.net.copy(), None, 0
+        except ValueError as e:
+            self.error = str(e)
+
+    def set(self, sums: np.ndarray, rows: int, steps: int) -> None:
+        n = len(self.net.params)
+        self.net.params, self.opt.m, self.opt.v = sums[:n] / rows, sums[n : 2 * n] / rows, sums[2 * n :] / rows
+        self.opt.t = steps
+
+    def result(self, full: bool) -> tuple:
+        r = self.row
+        base = (r.candidate_id, r.lr, r.batch_size, list(r.hidden), r.activation, r.loss, r.wd)
+        if self.error:
+            return (*base, None, *[float("inf")] * 4, None, self.error)
+        mode = "finetune" if self.tune else "scratch"
+        return (*base, mode, *[self.best_metrics[m] for m in _METRICS], self.best.to_json() if full else None, None)
+
+
+_SUMS = "candidate_id int, part int, n long, steps long, sums array<double>"
+
+
+def _epoch(blocks: DataFrame, runs: list[_Run], epoch: int, seed: int) -> None:
+    """One epoch of all candidates, averaged over the blocks."""
+    shared = blocks.sparkSession.sparkContext.broadcast([(r.row, r.net, r.opt) for r in runs])
+    schema = pa.schema([("candidate_id", pa.int32()), ("part", pa.int32()), ("n", pa.int64()), ("steps", pa.int64()), ("sums", pa.list_(pa.float64()))])
+
+    def train(key, table):
+        block = key[0].as_py()
+        table = table.sort_by("h")
+        n = table.num_rows
+        x = np.asarray(table["x"].combine_chunks().flatten(), dtype=float).reshape(n, -1)
+        y = np.asarray(table["y"], dtype=float)
+        out = []
+        for row, net, opt in shared.value:
+            net, own = net.copy(), Adam(len(net.params), opt.lr, opt.weight_decay, opt.frozen)
+            own.m, own.v, own.t = opt.m.copy(), opt.v.copy(), opt.t
+            rng = np.random.default_rng([seed, epoch, block])
+            fit_epochs(net, x, y, own, row.loss, int(row.batch_size), rng)
+            sums = np.concatenate([net.params, own.m, own.v]) * n
+            out.append({"candidate_id": row.candidate_id, "part": block % _FAN_IN, "n": n, "steps": own.t, "sums": sums.tolist()})
+        return pa.Table.from_pylist(out, schema)
+
+    def add(key, table):
+        sums = np.sum([np.asarray(v.values) for v in table["sums"]], axis=0)
+        cell = {"candidate_id": key[0].as_py(), "part": 0, "n": sum(table["n"].to_pylist()), "steps": max(table["steps"].to_pylist()), "sums": sums.tolist()}
+        return pa.Table.from_pylist([cell], schema)
+
+    trained = blocks.groupBy("block").applyInArrow(train, _SUMS)
+    halfway = trained.groupBy("candidate_id", "part").applyInArrow(add, _SUMS)
+    by_id = {r.row.candidate_id: r for r in runs}
+    for got in halfway.groupBy("candidate_id").applyInArrow(add, _SUMS).collect():  # a parameter grid
+        by_id[got.candidate_id].set(np.array(got.sums), got.n, got.steps)
+    shared.unpersist()
+
+
+def _measure(valid: DataFrame, nets: dict[int, Network]) -> dict[int, dict[str, float]]:
+    """Metrics of all candidates from one pass over the validation rows."""
+    shared = valid.sparkSession.sparkContext.broadcast(nets)
+
+    def partial(batches):
+        total = {i: np.zeros(5) for i in shared.value}
+        for b in batches:
+            if b.num_rows:
+                x = np.asarray(b.column(0).flatten(), dtype=float).reshape(b.num_rows, -1)
+                y = np.asarray(b.column(1), dtype=float)
+                for i, net in shared.value.items():
+                    err = np.abs(net.predict(x) - y)
+                    rel = err / np.maximum(np.abs(y), 1e-6)
+                    total[i] += [len(y), (err**2).sum(), err.sum(), (rel <= 0.25).sum(), (rel <= 0.15).sum()]
+        ids = list(total)
+        cells = np.array([total[i] for i in ids]).reshape(-1, 5)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), *[pa.array(c) for c in cells.T]], ["i", "n", "se", "ae", "a", "b"])
+
+    sums = valid.select("x", "y").mapInArrow(partial, "i int, n double, se double, ae double, a double, b double").groupBy("i")
+    out = {}
+    for r in sums.agg(*[F.sum(c).alias(c) for c in ("n", "se", "ae", "a", "b")]).collect():
+        n = max(1.0, r.n)
+        out[r.i] = {"rmse": float(np.sqrt(r.se / n)), "mae": r.ae / n, "acc_25": 100.0 * r.a / n, "acc_15": 100.0 * r.b / n}
+    return out
 
 
 def score_candidates(
-    candidates: DataFrame, data, in_dim: int, current: Network | None, epochs: int, full: bool, freeze: int = 0, seed: int = 0
+    candidates: DataFrame,
+    train: DataFrame,
+    valid: DataFrame,
+    in_dim: int,
+    current: Network | None,
+    epochs: int,
+    full: bool,
+    freeze: int = 0,
+    seed: int = 0,
 ) -> DataFrame:
-    """One result row per candidate; an invalid candidate carries its error."""
-    # At most MAX_WINDOW_ROWS rows, checked by the caller.
-    shared = candidates.sparkSession.sparkContext.broadcast(data)
+    """One result row per candidate; an invalid candidate carries its error.
 
-    def train(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for row in pdf.itertuples(index=False):
-            base = {k: getattr(row, k) for k in ("candidate_id", "lr", "batch_size", "hidden", "activation", "loss", "wd")}
-            hidden = [int(h) for h in row.hidden]
-            try:
-                net, mode, metrics = _train(
-                    row._replace(hidden=hidden), shared.value, in_dim, current, epochs, full, freeze, seed
-                )
-                extra = {"mode": mode, "network": net.to_json() if full else None, "error": None, **metrics}
-            except ValueError as e:
-                extra = {"mode": None, "network": None, "error": str(e), **dict.fromkeys(_METRICS, float("inf"))}
-            out.append({**base, "hidden": hidden, **extra})
-        return pd.DataFrame(out)
-
-    spread = candidates.repartition(max(1, candidates.count()), "candidate_id")
-    return spread.groupBy("candidate_id").applyInPandas(train, RESULT_SCHEMA)
+    ``train`` has ``(block, h, x, y)`` and ``valid`` ``(x, y)``. A full fit keeps the best epoch and
+    stops a candidate that has not improved for longer than the patience; a quick one keeps the
+    last epoch.
+    """
+    runs = [_Run(r, in_dim, current, freeze, seed) for r in candidates.orderBy("candidate_id").collect()]
+    active = [r for r in runs if not r.error]
+    for epoch in range(max(1, epochs)):
+        if not active:
+            break
+        _epoch(train, active, epoch, seed)
+        if not full and epoch < epochs - 1:
+            continue
+        metrics = _measure(valid, {r.row.candidate_id: r.net for r in active})
+        for r in active:
+            got = metrics[r.row.candidate_id]
+            if r.best_metrics is None or got["rmse"] < r.best_metrics["rmse"] - MIN_IMPROVEMENT:
+                r.best, r.best_metrics, r.bad = r.net.copy(), got, 0
+            else:
+                r.bad += 1
+        active = [r for r in active if r.bad <= EARLY_PATIENCE]
+    return candidates.sparkSession.createDataFrame([r.result(full) for r in runs], RESULT_SCHEMA)
 
 
 def finalists(warm: DataFrame, k: int) -> DataFrame:
@@ -120,7 +191,7 @@ def two_stage_search(
     y: str = "y",
     freeze: int = 0,
     seed: int = 0,
-    max_window_rows: int = MAX_WINDOW_ROWS,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Best candidate as one row of results, with row counts and baseline metrics.
 
@@ -128,30 +199,31 @@ def two_stage_search(
     skipped); ``keys`` identify its rows for the seeded split.
     """
     labelled = window.filter(F.col(y).isNotNull()).select(*keys, F.col(x).alias("x"), F.col(y).alias("y"))
-    marked = split_window(labelled, keys, seed)
+    # Read in every epoch, so written once.
+    labelled = cut_lineage(labelled)
+    marked = cut_lineage(split_window(labelled, keys, seed))
     spark = window.sparkSession
     grid = tier_grid(spark, tier, current.hidden if current else None)
     k = FINALISTS.get(tier, FINALISTS["B"])
-    n = labelled.count()
-    if n < 2:
-        raise ValueError("not enough labelled rows to retrain")
-    if n <= max_window_rows:
-        rows = marked.orderBy(*keys).collect()
-        xs = np.array([r.x for r in rows], dtype=float)
-        ys = np.array([r.y for r in rows], dtype=float)
-        valid = np.array([r.is_valid for r in rows])
-        data = (xs[~valid], ys[~valid], xs[valid], ys[valid])
-        in_dim = xs.shape[1]
-        warm = score_candidates(grid, data, in_dim, current, WARM_EPOCHS, False, freeze, seed)
-        best_ids = finalists(warm, k).select("candidate_id")
-        chosen = grid.join(F.broadcast(best_ids), "candidate_id", "left_semi")  # k rows
-        full = score_candidates(chosen, data, in_dim, current, FULL_EPOCHS, True, freeze, seed)
-    else:
-        full = _distributed_search(marked, grid, k, current, freeze, seed)
-    best = full.filter("error is null").orderBy("rmse", "candidate_id").limit(1)
     facts = marked.agg(
-        F.count_if(~F.col("is_valid")).alias("train_rows"), F.count_if("is_valid").alias("val_rows")
+        F.count_if(~F.col("is_valid")).alias("train_rows"),
+        F.count_if("is_valid").alias("val_rows"),
+        F.max(F.size("x")).alias("width"),
     ).first()
+    if facts.train_rows + facts.val_rows < 2:
+        raise ValueError("not enough labelled rows to retrain")
+    h = F.xxhash64(F.lit(seed), *keys)
+    blocks = -(-facts.train_rows // block_rows)
+    train = marked.filter("not is_valid").select(
+        F.pmod(h, F.lit(blocks)).cast("int").alias("block"), h.alias("h"), "x", "y"
+    )
+    train = cut_lineage(train.repartition("block"))
+    valid = marked.filter("is_valid").select("x", "y")
+    warm = score_candidates(grid, train, valid, facts.width, current, WARM_EPOCHS, False, freeze, seed)
+    best_ids = finalists(warm, k).select("candidate_id")
+    chosen = grid.join(F.broadcast(best_ids), "candidate_id", "left_semi")  # k rows
+    full = score_candidates(chosen, train, valid, facts.width, current, FULL_EPOCHS, True, freeze, seed)
+    best = full.filter("error is null").orderBy("rmse", "candidate_id").limit(1)
     result = best.withColumns(
         {"tier": F.lit(tier), "train_rows": F.lit(facts.train_rows), "val_rows": F.lit(facts.val_rows)}
     )
@@ -162,42 +234,6 @@ def two_stage_search(
     return result.withColumns({f"baseline_{m}": F.lit(base[m]) for m in _METRICS})
 
 
-def _distributed_search(marked: DataFrame, grid: DataFrame, k: int, current, freeze, seed) -> DataFrame:
-    """The same two stages with data-parallel fits, for windows too large for one task."""
-    train = marked.filter("not is_valid").select("x", "y").persist()
-    valid = marked.filter("is_valid").select("x", "y").persist()
-    in_dim = train.select(F.size("x")).first()[0]
-
-    def fit(row, epochs, patience):
-        tune = can_finetune(current, row.hidden, row.activation)
-        net, _ = fit_mlp(
-            train, valid, in_dim, row.hidden, row.activation, row.loss, row.lr, row.wd, epochs,
-            patience=patience, start=current if tune else None, freeze=freeze, seed=seed,
-        )
-        scored = error_metrics(valid.withColumn("_p", predict_column(net, "x")), "y", "_p").first()
-        return net, "finetune" if tune else "scratch", {m: scored[m] for m in _METRICS}
-
-    def results(rows, epochs, patience):
-        out = []
-        for r in rows:
-            base = (r.candidate_id, r.lr, r.batch_size, r.hidden, r.activation, r.loss, r.wd)
-            try:
-                net, mode, m = fit(r, epochs, patience)
-                out.append((*base, mode, *[m[x] for x in _METRICS], net.to_json(), None))
-            except ValueError as e:
-                out.append((*base, None, *[float("inf")] * 4, None, str(e)))
-        return out
-
-    candidates = grid.orderBy("candidate_id").collect()  # a parameter grid
-    warm = results(candidates, WARM_EPOCHS, WARM_EPOCHS)
-    ranked = sorted((w for w in warm if w[-1] is None), key=lambda w: (w[8], w[0]))[:k]
-    chosen = {w[0] for w in ranked}
-    full = results([c for c in candidates if c.candidate_id in chosen], FULL_EPOCHS, EARLY_PATIENCE + 1)
-    train.unpersist()
-    valid.unpersist()
-    return marked.sparkSession.createDataFrame(full, RESULT_SCHEMA)
-
-
 def registry_entry(result: DataFrame, ts: int, threshold: float = 0.25) -> DataFrame:
     """A registry row ``(ts, model_key, metrics_key, content, metrics)`` of a search result."""
     pairs = {

@@ -33,7 +33,7 @@ def run_candidates(
             mae, r2, acc = evaluate(family, params)
             return (i, family, json.dumps(params), float(mae), r2, acc, None)
         except Exception as e:  # a candidate may be invalid
-            return (i, family, json.dumps(params), float("inf"), None, None, str(e)[:200])
+            return (i, family, json.dumps(params), float("inf"), None, None, str(e))
 
     with ThreadPoolExecutor(max_workers=parallel) as pool:
         rows = list(pool.map(run, enumerate(candidates)))

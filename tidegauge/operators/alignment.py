@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.operators.ordering import MAX_ROWS_PER_TASK, join_on, running
+from tidegauge.operators.ordering import MAX_ROWS_PER_TASK, join_facts, join_on, running
 
 
 def zip_inner(series: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
@@ -24,7 +24,7 @@ def zip_inner(series: DataFrame, keys: Sequence[str], names: Sequence[str]) -> D
     wide = series.groupBy(*keys, "row_idx").pivot("name", list(names)).agg(F.first("value"))
     if not keys:
         return wide.filter(F.col("row_idx") < lengths.scalar())
-    return join_on(wide, lengths, list(keys)).filter("row_idx < _len").drop("_len")
+    return join_facts(wide, lengths, list(keys)).filter("row_idx < _len").drop("_len")
 
 
 def zip_left(
@@ -79,7 +79,7 @@ def asof_latest(
     """Attach to each left row the newest right ``value`` at or before its time.
 
     Both sides are merged into one time line, and the last value seen is carried along it.
-    ``tie`` orders left rows of equal time; with ``max_age`` (in ``seconds``, a column over the
+    Of right rows of equal time the largest value counts. ``tie`` orders left rows of equal time; with ``max_age`` (in ``seconds``, a column over the
     time column) older values are null.
     """
     tie_cols = [tie] if tie else []
@@ -93,7 +93,7 @@ def asof_latest(
     line = marked_left.unionByName(marked_right, allowMissingColumns=True)
     stamp = F.when(F.col("_side") == 0, F.struct(F.col(time).alias("t"), F.col("_value").alias("v")))
     merged = running(
-        line, [time, "_side", *(tie_cols or ["_value"])], keys, lasts={"_seen": stamp}, max_rows=max_rows
+        line, [time, "_side", "_value", *tie_cols], keys, lasts={"_seen": stamp}, max_rows=max_rows
     ).filter("_side = 1")
     found = F.col("_seen.v")
     if max_age is not None:

@@ -23,6 +23,7 @@ from tidegauge.functions.scalars import DRIFT_TIERS, drift_tier
 from tidegauge.operators.ordering import (
     MAX_ROWS_PER_TASK,
     exact_quantiles,
+    join_facts,
     join_on,
     largest_group,
     limits_per_task,
@@ -64,7 +65,7 @@ def count_windows(
     low, high = window_span(size, stride, first=0)
     totals = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
     if group:
-        sized = join_on(indexed, totals, list(group))
+        sized = join_facts(indexed, totals, list(group))
     else:
         sized = indexed.withColumn("_n", totals.scalar())
     last = F.floor((F.col("_n") - size) / stride).cast("bigint")
@@ -394,7 +395,7 @@ def drift_score(
         F.floor((F.col("_v") - F.col("_lo")) / F.col("_d") * bins), F.lit(bins - 1)
     )
     counts = (
-        join_on(rows, ranges, [*names, "_j"])
+        join_facts(rows, ranges, [*names, "_j"])
         .withColumn("_bin", F.when(F.col("_d") > 0, spot))
         .groupBy(*names, "_j", "_d", "_nb", "_nw", "_bin")
         .agg(F.sum("_b").alias("_cb"), F.sum(1 - F.col("_b")).alias("_cw"))

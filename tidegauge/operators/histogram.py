@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.operators.ordering import join_on
+from tidegauge.operators.ordering import join_facts, join_on
 
 
 def bin_of(value: Column, lo: Column, hi: Column, bins: int) -> Column:
@@ -28,7 +28,7 @@ def with_range(
         return df.withColumns({"_lo": F.lit(float(lo)), "_hi": F.lit(float(hi))})
     bounds = df.groupBy(*group).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     if group:
-        ranged = join_on(df, bounds, list(group))
+        ranged = join_facts(df, bounds, list(group))
     else:
         ranged = df.withColumns(
             {"_lo": bounds.select("_lo").scalar(), "_hi": bounds.select("_hi").scalar()}

@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from tidegauge.session import cut_lineage
 
 MAX_ROWS_PER_TASK = 2_000_000
-MAX_TOP_ROWS = 100_000
-MAX_RANGE_PARTITIONS = 100_000
+MAX_TOP_ROWS = 5_000  # each input partition sends so many rows to one task
+MAX_FACT_ROWS = 100_000  # one-row-per-group results that every task may hold
+FACT_SALTS = 16  # parts of a group where there are more
 
 _POSITION_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
 _HASH_BITS, _RANGE_BITS = 64, 16
@@ -65,6 +66,23 @@ def join_on(
     return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def join_facts(
+    left: DataFrame, facts: DataFrame, keys: Sequence[str], how: str = "inner", rows: int = MAX_FACT_ROWS
+) -> DataFrame:
+    """``join_on`` for one narrow row per key on the right and hot keys on the left.
+
+    The facts are materialised and counted. Up to ``rows`` of them travel to the tasks, so the
+    left side stays where it is; with more every key is split into salted parts.
+    """
+    facts = cut_lineage(facts)
+    if facts.limit(rows + 1).count() <= rows:
+        return join_on(left, facts, keys, how, hint="broadcast")
+    # Any part will do, so a recomputed row may land in another one.
+    salted = left.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(FACT_SALTS)).cast("int"))
+    parts = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(FACT_SALTS - 1))))
+    return join_on(salted, parts, [*keys, "_salt"], how).drop("_salt")
+
+
 def row_index(
     df: DataFrame,
     order: Sequence[str],
@@ -77,19 +95,30 @@ def row_index(
     """Append the 0-based position of each row in its group.
 
     ``order`` must be a total order inside a group. ``largest`` is the known size of the
-    largest group; without it one aggregation finds it out.
+    largest group; without it one aggregation finds it out. Beyond ``max_rows`` the whole table
+    is cut into ranges of about that many rows, however its groups are sized.
     """
+    total = None
     if largest is None:
-        largest = largest_group(df, group)
+        largest, total = _sizes(df, group)
     if largest <= max_rows:
         window = Window.partitionBy(*group).orderBy(*order)
         return df.withColumn(name, (F.row_number().over(window) - 1).cast("bigint"))
     if partitions is None:
         configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        partitions = max(configured, min(-(-largest // max_rows), MAX_RANGE_PARTITIONS))
+        partitions = max(configured, -(-(df.count() if total is None else total) // max_rows))
     return _range_index(df, list(order), list(group), name, partitions)
 
 
+def _sizes(df: DataFrame, group: Sequence[str]) -> tuple[int, int]:
+    """Rows of the largest group and of the table."""
+    if not group:
+        n = df.count()
+        return n, n
+    counts = df.groupBy(*group).count().agg(F.max("count"), F.sum("count")).first()
+    return counts[0] or 0, counts[1] or 0
+
+
 def _range_index(
     df: DataFrame, order: list[str], group: list[str], name: str, n: int
 ) -> DataFrame:
@@ -118,11 +147,17 @@ def _range_index(
         return numbered.withColumn(name, F.col("_global")).drop(
             "_part", "_pos", "_offset", "_global"
         )
-    starts = numbered.groupBy(*group).agg(F.min("_global").alias("_start"))
+    # A group begins where its partition first has it, unless it was open at the partition's edge:
+    # only the first group of a partition can be, so the starts of those are at most n rows.
+    edges = placed.groupBy("_part").agg(F.min_by(F.struct(*group), "_pos").alias("_first"))
+    edges = edges.select("_first.*").distinct()
+    opened = join_on(numbered, edges, group, "left_semi", hint="broadcast")
+    starts = opened.groupBy(*group).agg(F.min("_global").alias("_start"))
+    inside = F.min("_global").over(Window.partitionBy("_part", *group))
     return (
-        join_on(numbered, starts, group)
-        .withColumn(name, F.col("_global") - F.col("_start"))
-        .drop("_part", "_pos", "_offset", "_global", "_start")
+        join_on(numbered.withColumn("_inside", inside), starts, group, "left", hint="broadcast")
+        .withColumn(name, F.col("_global") - F.coalesce("_start", "_inside"))
+        .drop("_part", "_pos", "_offset", "_global", "_start", "_inside")
     )
 
 
@@ -232,14 +267,15 @@ def running(
         *[F.sum(f"_carry_{n}").over(earlier).alias(f"_carry_{n}") for n in sums],
         *[F.last(f"_carry_{n}", ignorenulls=True).over(earlier).alias(f"_carry_{n}") for n in lasts],
     )
-    joined = join_on(ordered.rows, carried, keys)
+    joined = join_on(ordered.rows, carried, keys)  # blocks are bounded, so no key is hot
     result = joined.select(
         *df.columns,
         "row_idx",
         *[
-            (
-                F.coalesce(F.sum(f"_in_{n}").over(upto), F.lit(0))
-                + F.coalesce(F.col(f"_carry_{n}"), F.lit(0))
+            F.coalesce(  # null until the first value
+                F.sum(f"_in_{n}").over(upto) + F.col(f"_carry_{n}"),
+                F.sum(f"_in_{n}").over(upto),
+                F.col(f"_carry_{n}"),
             ).alias(n)
             for n in sums
         ],
@@ -341,7 +377,7 @@ def chronological_split(
     sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
     first_valid = F.col("_n") - F.greatest(F.lit(1), F.floor(F.col("_n") * fraction))
     if group:
-        sized = join_on(indexed, sizes, list(group))
+        sized = join_facts(indexed, sizes, list(group))
     else:
         sized = indexed.withColumn("_n", sizes.scalar())
     return sized.withColumn("is_valid", F.col("row_idx") >= first_valid).drop("_n")
@@ -362,13 +398,17 @@ def hash_split(
     """
     h, h2 = F.xxhash64(F.lit(seed), *keys), F.xxhash64(*keys, F.lit(seed + 1))
     hashes = df.select(h.alias("_h"), h2.alias("_h2"))
-    total = df.count()
-    wanted = math.ceil(total * fraction) if round_up else max(1, int(total * fraction))
-    inside = F.lit(True)
+    inside, wanted = F.lit(True), None
     for shift in (_HASH_BITS - _RANGE_BITS, _HASH_BITS - 2 * _RANGE_BITS):
         bucket = F.shiftright("_h", shift)
         counts = hashes.filter(inside).groupBy(bucket.alias("b")).count()
-        for b, n in sorted(counts.collect()):  # at most 2 ** _RANGE_BITS rows
+        ranges = sorted(counts.collect())  # at most 2 ** _RANGE_BITS rows
+        if wanted is None:
+            total = sum(n for _, n in ranges)
+            wanted = math.ceil(total * fraction) if round_up else max(1, int(total * fraction))
+            if not total or wanted <= 0:
+                return df.withColumn("is_valid", F.lit(False))
+        for b, n in ranges:
             if n >= wanted:
                 break
             wanted -= n
@@ -418,12 +458,12 @@ def rank_candidates(
     if k is not None and limits_per_task(df, k):
         ordering = [F.col(c).asc_nulls_last() for c in by]
         window = Window.partitionBy(*group).orderBy(*ordering)
-        return df.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
+        return df.withColumn("rank", F.row_number().over(window).cast("bigint")).filter(F.col("rank") <= k)
     flags = [f"_null_{i}" for i in range(len(by))]
     flagged = df.select("*", *[F.col(c).isNull().alias(f) for f, c in zip(flags, by)])
     order = [name for pair in zip(flags, by) for name in pair]
     indexed = row_index(flagged, order, group, name="rank", max_rows=max_rows)
-    ranked = indexed.withColumn("rank", (F.col("rank") + 1).cast("int")).drop(*flags)
+    ranked = indexed.withColumn("rank", F.col("rank") + 1).drop(*flags)
     return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
 

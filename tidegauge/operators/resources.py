@@ -56,7 +56,10 @@ def normalize_resource_units(df: DataFrame, keep: Sequence[str] = ()) -> DataFra
 def resource_summary(
     df: DataFrame, component: str = "component", max_rows: int = MAX_ROWS_PER_TASK
 ) -> DataFrame:
-    """Per component: samples, and mean, 95th percentile and maximum of cpu and memory."""
+    """Per component: samples, and mean, 95th percentile and maximum of cpu and memory.
+
+    NaN and null samples have no part in the percentile.
+    """
     columns = (
         "samples", "cpu_pct_mean", "cpu_pct_p95", "cpu_pct_max", "rss_mb_mean", "rss_mb_p95", "rss_mb_max"
     )
@@ -67,7 +70,7 @@ def resource_summary(
     ]
     largest = largest_group(df, [component])
     if largest <= max_rows:
-        exact = [F.percentile(c, 0.95).alias(f"{c}_p95") for c in ("cpu_pct", "rss_mb")]
+        exact = [F.percentile(F.when(~F.isnan(c), F.col(c)), 0.95).alias(f"{c}_p95") for c in ("cpu_pct", "rss_mb")]
         return df.groupBy(component).agg(*simple, *exact).select(component, *columns)
     out = df.groupBy(component).agg(*simple)
     for c in ("cpu_pct", "rss_mb"):
@@ -96,10 +99,10 @@ def binned_total(df: DataFrame, pod: str = "pod", bin_seconds: float = 0.5) -> D
     share = F.try_divide(F.col("vcpu"), F.col("host_cpus")) * 100.0
     return total.select(
         "ts",
-        F.round("vcpu", 4).alias("vcpu"),
-        F.round("rss_mb", 3).alias("rss_mb"),
+        F.bround("vcpu", 4).alias("vcpu"),
+        F.bround("rss_mb", 3).alias("rss_mb"),
         "host_cpus",
-        F.round(share, 4).alias("cpu_pct"),
+        F.bround(share, 4).alias("cpu_pct"),
     )
 
 
@@ -136,8 +139,8 @@ def merge_traces(*traces: DataFrame) -> DataFrame:
     return merged
 
 
-def markdown_table(summary: DataFrame, order: Sequence[str], max_lines: int = 10_000) -> str:
-    """Text of a small report table; a table beyond ``max_lines`` rows is refused."""
+def markdown_table(summary: DataFrame, order: Sequence[str], max_lines: int) -> str:
+    """Text of a report table of at most ``max_lines`` rows; a longer one is refused."""
     rows = summary.orderBy(*order).limit(max_lines + 1).collect()
     if len(rows) > max_lines:
         raise ValueError(f"a report of more than {max_lines} rows belongs in a table sink")

@@ -11,7 +11,7 @@ from tidegauge.functions.scalars import relative_error, to_number
 from tidegauge.operators.ordering import (
     MAX_ROWS_PER_TASK,
     MAX_TOP_ROWS,
-    join_on,
+    join_facts,
     largest_group,
     limits_per_task,
     ordered_rows,
@@ -85,7 +85,7 @@ def sliding_windows(
     )
     if take_last and not shift:
         sizes = narrow.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-        sized = join_on(windows, sizes, list(group)) if group else windows.withColumn("_n", sizes.scalar())
+        sized = join_facts(windows, sizes, list(group)) if group else windows.withColumn("_n", sizes.scalar())
         windows = sized.filter(F.col("window_start") > F.col("_n") - span - take_last).drop("_n")
     if require and windows.isEmpty():
         raise ValueError(f"not enough rows for windows of lookback={lookback}, horizon={horizon}")
@@ -113,7 +113,7 @@ def last_window(
     else:
         indexed = row_index(rows, order, group, max_rows=max_rows)
         sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
-        newest = join_on(indexed, sizes, list(group)).filter(F.col("row_idx") >= F.col("_size") - lookback)
+        newest = join_facts(indexed, sizes, list(group)).filter(F.col("row_idx") >= F.col("_size") - lookback)
     # At most ``lookback`` rows per group are left.
     stamped = F.struct(F.struct(*order).alias("k"), F.col("_x").alias("x"))
     found = newest.groupBy(*group).agg(F.sort_array(F.collect_list(stamped)).alias("_rows"))
@@ -145,14 +145,16 @@ def counter_rate(
     group: Sequence[str] = (),
     seconds: Column | None = None,
     max_rows: int = MAX_ROWS_PER_TASK,
+    tie: str | None = None,
 ) -> DataFrame:
     """Rate of a monotone counter between neighbouring samples: ``vcpu`` and ``cpu_pct``.
 
     A counter that falls counts as no progress; samples without elapsed time are dropped.
-    ``seconds`` is the time of a row, the order column itself by default.
+    ``seconds`` is the time of a row, the order column itself by default. Rows of equal time are
+    ordered by the counter, or by ``tie``.
     """
     timed = df.withColumn("_t", (F.col(order) if seconds is None else seconds).cast("double"))
-    ordered = ordered_rows(timed, [order], group, before=1, max_rows=max_rows)
+    ordered = ordered_rows(timed, [order, tie or counter], group, before=1, max_rows=max_rows)
     w = ordered.window
     out = ordered.rows.withColumns(
         {

@@ -15,6 +15,7 @@ from tidegauge.functions.scalars import NUMBER_PATTERN, first_number, to_number
 from tidegauge.operators.alignment import first_available, zip_left
 from tidegauge.operators.ordering import (
     MAX_ROWS_PER_TASK,
+    join_facts,
     join_on,
     largest_group,
     occurrence_index,
@@ -117,7 +118,7 @@ def parse_latency(
     """
     if skip_first4:
         sizes = lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        sized = join_on(lines, sizes, list(keys))
+        sized = join_facts(lines, sizes, list(keys))
         lines = sized.filter("_n < 4 or line_no >= 4").drop("_n")
     if number == "first":
         value = first_number("line")
@@ -134,7 +135,7 @@ def parse_latency(
     medians = median_abs(rows, "value", keys, max_rows, largest)
     scaled = F.when(F.col("median_abs") > MICROSECOND_MEDIAN, F.col("value") / 1000.0)
     return (
-        join_on(indexed, medians, list(keys))
+        join_facts(indexed, medians, list(keys))
         .withColumn("value", scaled.otherwise(F.col("value")))
         .select(*keys, "row_idx", "value")
     )
@@ -173,7 +174,7 @@ def parse_rate_stats(
     value = F.when(F.col("_pos").isNotNull(), to_number(F.get("_t", F.col("_pos")))).otherwise(
         F.coalesce(to_number(last_resort), first_number(last_resort))
     )
-    return join_on(body, choice, keys).select(
+    return join_facts(body, choice, keys).select(
         *keys, (F.col("line_no") - 1).alias("row_idx"), value.alias("value")
     )
 

@@ -17,6 +17,7 @@ from tidegauge.functions.scalars import first_number, to_number
 from tidegauge.operators.ordering import (
     MAX_ROWS_PER_TASK,
     head_rows,
+    join_facts,
     join_on,
     largest_group,
     occurrence_index,
@@ -56,7 +57,7 @@ def _cells(lines: DataFrame) -> DataFrame:
 
 def _numeric_cells(body: DataFrame, headers: DataFrame, keys: list[str], piece: Column, row_idx: Column):
     """Long numeric cells of the body under the names of each file's header."""
-    joined = join_on(body, headers, keys)
+    joined = join_facts(body, headers, keys)
     named = F.arrays_zip(F.col("_names").alias("name"), F.col("_t").alias("cell"))
     return (
         joined.select(*keys, piece.alias("piece"), row_idx.alias("row_idx"), F.posexplode(named).alias("position", "_c"))
@@ -105,7 +106,7 @@ def reshape_pcie(lines: DataFrame, piece: str = "pcie", keys: Sequence[str] = ("
     socket = F.floor(place / kinds).cast("string")
     kind = F.get(F.array(*[F.lit(k) for k in BLOCK_KINDS]), F.pmod(place, kinds))
     body = (
-        join_on(cells.filter("line_no > 0"), facts, keys)
+        join_facts(cells.filter("line_no > 0"), facts, keys)
         .withColumns({"_place": place, "_socket": socket, "_kind": kind, "_span": span})
         .filter(F.col("_place") < F.col("_span") - 1)
     )
@@ -152,7 +153,7 @@ def read_memory_counters(lines: DataFrame, piece: str = "mem", keys: Sequence[st
         .withColumn("_names", F.transform("_kept", lambda i: F.get(F.col("_header"), i)))
         .select(*keys, "_kept", unique_names(F.col("_names")).alias("_names"))
     )
-    picked = join_on(body, facts, keys).withColumn(
+    picked = join_facts(body, facts, keys).withColumn(
         "_t", F.transform("_kept", lambda i: F.get(F.col("_t"), i))
     )
     return _numeric_cells(
@@ -206,8 +207,9 @@ def widen_by_tag(
             for i, f in enumerate(TAG_FEATURES)
         ]
     )
-    present = indexed.select(*keys, "row_idx", F.inline(cells))
-    kept = join_on(present, lengths, keys).filter("row_idx < _len").drop("_len")
+    # Rows are cut before each becomes a row per field.
+    kept = join_facts(indexed, lengths, keys).filter("row_idx < _len").drop("_len")
+    kept = kept.select(*keys, "row_idx", F.inline(cells))
     return kept.select(*keys, F.lit(piece).alias("piece"), "position", "name", "row_idx", "value")
 
 
@@ -254,7 +256,7 @@ def assemble(pieces: Sequence[DataFrame], keys: Sequence[str] = ("path",), names
         .groupBy(*keys)
         .agg(F.min("_len").alias("_len"))
     )
-    kept = join_on(long, lengths, keys).filter("row_idx < _len")
+    kept = join_facts(long, lengths, keys).filter("row_idx < _len")
     if names is None:
         order = ["bridge", "firewall", "ndpi_stats", "nf_router", "payload_scan", "rx", "tx", "pcie", "mem", "tags", "latency"]
         names = column_names(long, order)

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.operators.ordering import join_on
+from tidegauge.operators.ordering import join_facts
 from tidegauge.sources.text import natural_position
 
 
@@ -18,7 +18,7 @@ def merge_scenario(table: DataFrame, scenario: str) -> DataFrame:
     """
     rows = table.filter(F.col("scenario") == scenario)
     places = natural_position(rows, "exp").withColumnRenamed("position", "exp_order")
-    return join_on(rows, places, ["exp"])
+    return join_facts(rows, places, ["exp"])
 
 
 def union_tables(parts: Mapping[str, DataFrame], key: str = "part") -> DataFrame:
