@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("features", "series", "reports", "ingest", "learning", "streams")
+_MODULES = ("features", "series", "reports", "ingest", "learning", "streams", "files")
 
 
 def load_catalog():

@@ -121,17 +121,20 @@ def numeric_discovery(spark, sf_dir):
     """
     WITH have AS (SELECT DISTINCT user_id, event_type FROM events),
     expected AS (SELECT unnest(['click', 'error', 'refund', 'view']) AS name),
-    n AS (SELECT user_id, COUNT(*) AS cols,
+    n AS (SELECT user_id, COUNT(*) AS cols, list(event_type ORDER BY event_type) AS names,
                  COUNT(*) FILTER (event_type NOT IN ('click', 'error', 'refund', 'view')) AS extra_n
           FROM have GROUP BY 1)
     SELECT user_id, cols :: INTEGER AS cols,
-           (4 - (cols - extra_n)) :: INTEGER AS missing_n, extra_n :: INTEGER AS extra_n
+           (4 - (cols - extra_n)) :: INTEGER AS missing_n, extra_n :: INTEGER AS extra_n,
+           array_to_string(list_filter(['click', 'error', 'refund', 'view'], lambda x: NOT list_contains(names, x)), ',') AS missing,
+           array_to_string(list_filter(names, lambda x: NOT list_contains(['click', 'error', 'refund', 'view'], x)), ',') AS extra
     FROM n""",
 )
 def schema_audit(spark, sf_dir):
     names = table(spark, sf_dir, "events").select("user_id", "event_type").distinct()
     audit = schema.schema_audit(names, ["click", "error", "refund", "view"], "user_id", "event_type")
-    return audit.select("user_id", "cols", "missing_n", "extra_n")
+    lists = [F.array_join(c, ",").alias(c) for c in ("missing", "extra")]
+    return audit.select("user_id", "cols", "missing_n", "extra_n", *lists)
 
 
 @query(

@@ -69,20 +69,23 @@ def counter_lines_legacy(spark, sf_dir):
     s AS (SELECT path, event_type, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY i) - 1 AS row_idx FROM u)
     SELECT path, row_idx, max(value) FILTER (event_type = 'click') AS firewall_cycles,
            max(value) FILTER (event_type = 'view') AS bridge_cycles,
+           max(value) FILTER (event_type = 'error') AS nf_router_cycles,
+           max(value) FILTER (event_type = 'purchase') AS ndpi_stats_cycles,
+           max(value) FILTER (event_type = 'signup') AS payload_scan_cycles,
            CAST(NULL AS DOUBLE) AS nf_router_branches
-    FROM s WHERE event_type IN ('click', 'view') GROUP BY 1, 2""",
+    FROM s GROUP BY 1, 2""",
 )
 def counter_pivot(spark, sf_dir):
-    rows = event_features(spark, sf_dir).filter("event_type in ('click', 'view')").select(
+    functions = {"click": "firewall", "view": "bridge", "error": "nf_router", "purchase": "ndpi_stats", "signup": "payload_scan"}
+    vnf = F.create_map(*[F.lit(x) for pair in functions.items() for x in pair])[F.col("event_type")]
+    rows = event_features(spark, sf_dir).select(
         F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("path"),
-        F.when(F.col("event_type") == "click", "firewall").otherwise("bridge").alias("vnf"),
+        vnf.alias("vnf"),
         F.lit("cycles").alias("event"), "value", *EVENT_ORDER,
     )
     long = row_index(rows, EVENT_ORDER, ["path", "vnf", "event"])
     wide = counters.pivot_counters(long, ["path"])
-    return wide.select(
-        "path", "row_idx", "firewall_cycles", "bridge_cycles", F.col("nf_router_branches")
-    )
+    return wide.select("path", "row_idx", *[f"{f}_cycles" for f in functions.values()], "nf_router_branches")
 
 
 @query(

@@ -11,7 +11,9 @@ from tidegauge.operators.drift import count_windows, drift_windows
 from tidegauge.operators.ordering import chronological_split, hash_split
 from tidegauge.operators.stats import StandardScaler, error_metrics
 from tidegauge.plans.catalog import query, table
-from tidegauge.plans.frames import EVENT_FEATURES, LINE_ORDER, LINE_ORDER_SQL, PAIRS_SQL, event_features, price_pairs
+from tidegauge.plans.frames import (
+    EVENT_FEATURES, EVENTS_SQL, LINE_ORDER, LINE_ORDER_SQL, PAIRS_SQL, event_features, price_pairs,
+)
 from tidegauge.plans.series import daily_orders
 from tidegauge.session import spread
 
@@ -133,10 +135,27 @@ def forecast(spark, sf_dir):
     return evaluate.publish_forecast(daily_orders(spark, sf_dir), ["day"], ["total", "n"], 10, model)
 
 
-@query("permutation_importance")
+_SHUFFLED = ["l_quantity", "l_discount"]
+
+
+@query(
+    "permutation_importance",
+    f"""
+    WITH s AS (SELECT avg(l_quantity) AS m1, avg(l_discount) AS m2, avg(l_extendedprice) AS my,
+                      var_pop(l_quantity) AS a, covar_pop(l_quantity, l_discount) AS b, var_pop(l_discount) AS d,
+                      covar_pop(l_quantity, l_extendedprice) AS r1, covar_pop(l_discount, l_extendedprice) AS r2 FROM lineitem),
+    w AS (SELECT (d * r1 - b * r2) / (a * d - b * b) AS w0, (a * r2 - b * r1) / (a * d - b * b) AS w1, m1, m2, my FROM s),
+    t AS (SELECT row_number() OVER (ORDER BY md5('0|' || {" || '|' || ".join(f"{c} :: VARCHAR" for c in LINE_ORDER)}), {LINE_ORDER_SQL}) - 1 AS n,
+                 COUNT(*) OVER () AS total, l_quantity AS q, l_discount AS d, l_extendedprice AS y FROM lineitem),
+    p AS (SELECT t.*, v, o.q AS oq, o.d AS od FROM t, (SELECT unnest(range(6)) AS v) JOIN t o ON o.n = (t.n - v - 1 + t.total) % t.total),
+    e AS (SELECT v, avg(abs(my + w0 * (CASE WHEN v < 3 THEN oq ELSE q END - m1) + w1 * (CASE WHEN v < 3 THEN d ELSE od END - m2) - y)) AS mae FROM p, w GROUP BY 1),
+    z AS (SELECT avg(abs(my + w0 * (q - m1) + w1 * (d - m2) - y)) AS mae FROM t, w)
+    SELECT CASE WHEN v < 3 THEN 'l_quantity' ELSE 'l_discount' END AS feature, round(avg(e.mae - z.mae), 2) AS mae_increase
+    FROM e, z GROUP BY 1""",
+)
 def permutation_importance(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
-    model = regressors.fit_linear(regressors.table_frame(lines, LINE_FEATURES, "l_extendedprice"))
+    model = regressors.fit_linear(regressors.table_frame(lines, _SHUFFLED, "l_extendedprice"))
     weights, bias = [float(w) for w in model.coefficients], float(model.intercept)
 
     def predict(x):
@@ -144,10 +163,11 @@ def permutation_importance(spark, sf_dir):
 
     vectors = lines.select(
         *LINE_ORDER,
-        F.array(*[F.col(c).cast("double") for c in LINE_FEATURES]).alias("x"),
+        F.array(*[F.col(c).cast("double") for c in _SHUFFLED]).alias("x"),
         F.col("l_extendedprice").alias("y"),
     )
-    return evaluate.permutation_importance(vectors, LINE_ORDER, LINE_FEATURES, "x", "y", predict)
+    found = evaluate.permutation_importance(vectors, LINE_ORDER, _SHUFFLED, "x", "y", predict)
+    return found.withColumn("mae_increase", F.round("mae_increase", 2))
 
 
 @query(
@@ -186,14 +206,25 @@ def mlp_fit(spark, sf_dir):
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(history)], "epoch int, mse double")
 
 
-@query("score_pair")
+_PAIR = [Network.create(2, (), seed=s) for s in (0, 1)]
+_PAIR_SQL = [f"({a!r} * h + {b!r} * k + {c!r})" for a, b, c in (map(float, net.params) for net in _PAIR)]
+
+
+@query(
+    "score_pair",
+    f"""WITH {EVENTS_SQL},
+    s AS (SELECT avg(hour) AS mh, stddev_pop(hour) AS sh, avg(k) AS mk, stddev_pop(k) AS sk FROM ev),
+    x AS (SELECT event_type, value AS y, (hour - mh) / sh AS h, (k - mk) / sk AS k FROM ev, s)
+    SELECT event_type, COUNT(*) AS n, round(avg(abs({_PAIR_SQL[0]} - y)), 6) AS mae_orig,
+           round(avg(abs({_PAIR_SQL[1]} - y)), 6) AS mae_adj FROM x GROUP BY 1""",
+)
 def score_pair(spark, sf_dir):
-    first, second = Network.create(2, (16, 8), seed=0), Network.create(2, (16, 8), seed=1)
-    scored = evaluate.score_pair(_scaled_events(spark, sf_dir), "x", first, second)
+    """Two networks without a hidden layer, whose predictions SQL can repeat."""
+    scored = evaluate.score_pair(_scaled_events(spark, sf_dir), "x", *_PAIR)
     return scored.groupBy("event_type").agg(
         F.count(F.lit(1)).alias("n"),
-        F.avg(F.abs(F.col("pred_orig") - F.col("y"))).alias("mae_orig"),
-        F.avg(F.abs(F.col("pred_adj") - F.col("y"))).alias("mae_adj"),
+        F.round(F.avg(F.abs(F.col("pred_orig") - F.col("y"))), 6).alias("mae_orig"),
+        F.round(F.avg(F.abs(F.col("pred_adj") - F.col("y"))), 6).alias("mae_adj"),
     )
 
 

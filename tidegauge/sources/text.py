@@ -81,11 +81,8 @@ def discover_experiments(
 
 def natural_position(names: DataFrame, name: str) -> DataFrame:
     """Distinct names with their place in natural order (a listing, one row per file)."""
-    order = Window.orderBy("_key")
-    return (
-        names.select(name)
-        .distinct()
-        .withColumn("_key", natural_sort_key(name))
-        .withColumn("position", F.row_number().over(order))
-        .drop("_key")
-    )
+    from tidegauge.operators.ordering import row_index
+
+    keyed = names.select(name).distinct().withColumn("_key", natural_sort_key(name))
+    placed = row_index(keyed, ["_key", name], name="position").drop("_key")
+    return placed.withColumn("position", (F.col("position") + 1).cast("int"))
