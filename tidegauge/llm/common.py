@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tidegauge.session import checkpoint_dir, cut_lineage
 
-__all__ = ["col", "checkpoint_dir", "cut_lineage", "held_out", "map_texts", "others", "same", "slices", "with_facts"]
+__all__ = ["col", "checkpoint_dir", "cut_lineage", "drawn", "held_out", "map_texts", "others", "same", "slices", "with_facts"]
 
 TEXT = "__text"
 
@@ -51,6 +51,13 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def drawn(id_col: str, wanted: int, rows: int, seed: int = 0) -> Column:
+    """About ``wanted`` of ``rows`` rows by a hash of their id; all if there are no more."""
+    if rows <= wanted:
+        return F.lit(True)
+    return F.pmod(F.xxhash64(col(id_col), F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * wanted / rows)
+
+
 def slices(texts: Sequence[str | None], limit: int = 4_000_000) -> Iterator[tuple[int, list[str]]]:
     """Runs of whole texts of about ``limit`` characters, null read as empty, with their start."""
     start, size, run = 0, 0, []

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.llm.common import col, held_out, map_texts, slices
+from tidegauge.llm.common import col, drawn, held_out, map_texts, slices
 
 ORDER = 4
 MAX_NGRAMS = 400_000  # of all languages together, the most frequent of each
@@ -298,7 +298,7 @@ def fit(
     if not model.langs or not n:
         return model
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    part = known.where(F.pmod(F.xxhash64(col(id_col)), F.lit(1_000_000)) < min(1.0, calibration_rows / n) * 1_000_000)
+    part = known.where(drawn(id_col, calibration_rows, n))
     added = T.StructType(
         [T.StructField("__l", T.IntegerType()), T.StructField("__e", T.DoubleType()), T.StructField("__m", T.DoubleType())]
     )
@@ -307,7 +307,7 @@ def fit(
         own = shared.value
         return lambda texts: [list(x) for x in zip(*(r for _, p in slices(texts, _SLICE) for r in own.margins(p)), strict=True)]
 
-    part = part.select(col(text_col).alias("text"), col(lang_col).cast("string").alias("lang")).limit(2 * calibration_rows)
+    part = part.select(col(text_col).alias("text"), col(lang_col).cast("string").alias("lang"))
     got = [r for r in map_texts(part, "text", ["lang"], added, measured).collect() if r[1] >= 0]
     right = np.array([model.langs[r[1]] == r[0] for r in got], bool)
     model.slope = _calibrate(np.array([r[3] for r in got]), right)

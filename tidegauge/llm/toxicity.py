@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.llm.common import col, cut_lineage, held_out, map_texts, slices
+from tidegauge.llm.common import col, cut_lineage, drawn, held_out, map_texts, slices
 
 MAX_TERMS = 2_000
 MIN_SUPPORT = 5  # toxic training texts with a term, and MIN_SHARE of them
@@ -27,7 +27,8 @@ MIN_SHARE = 0.01
 MIN_LOG_ODDS = 1.5
 STEM_LENGTHS = (4, 5, 6)  # letters of word beginnings that may be terms
 ERRORS = ((9, 2), (5, 1))  # letters of a term from, edits it may have
-FIT_ROWS = 50_000  # labelled rows the logistic model is fitted on at most, drawn by hash
+LABEL_ROWS = 200_000  # labelled training rows learned from at most, drawn by hash of the id if there are more
+FIT_ROWS = 50_000  # of these, rows that the few coefficients of the logistic model are fitted on
 WINDOW = 8  # words on either side
 CACHE_WORDS = 500_000
 
@@ -285,11 +286,15 @@ def _count(rows: DataFrame, make_units) -> DataFrame:
     return rows.select("text", "toxic").mapInArrow(run, _COUNT).groupBy("kind", "unit", "toxic").agg(F.sum("n").alias("n"))
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    rows = docs.where(~held_out(id_col)).select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
-    marks = labels.select(col(id_col).alias("id"), col(label_col).cast("int").alias("toxic")).where("toxic in (0, 1)")
+def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> DataFrame:
+    """(id, text, toxic) of labelled rows that are not held out; the labels are bounded and travel, not the texts."""
+    marks = labels.where(~held_out(id_col)).select(col(id_col).alias("id"), col(label_col).cast("int").alias("toxic"))
     # Of labels that contradict each other the toxic one counts.
-    return rows.join(marks.groupBy("id").agg(F.max("toxic").alias("toxic")), "id")
+    marks = cut_lineage(marks.where("toxic in (0, 1) and id is not null").groupBy("id").agg(F.max("toxic").alias("toxic")))
+    n = marks.count()
+    marks = marks.where(drawn("id", most, n))
+    rows = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
+    return rows.join(F.broadcast(marks), "id")
 
 
 def fit(
@@ -299,16 +304,17 @@ def fit(
     text_col: str = "text",
     label_col: str = "toxic",
     max_terms: int = MAX_TERMS,
+    label_rows: int = LABEL_ROWS,
     fit_rows: int = FIT_ROWS,
 ) -> Lexicon:
     """Learn terms and model from labelled texts that are not held out.
 
-    Terms are counted over all labelled training texts: first units of toxic texts with enough
-    support, then these and their misspellings in all texts. ``max_terms`` bounds the model;
-    ``fit_rows`` bounds the rows that the few coefficients are fitted on.
+    Terms are counted over all texts learned from: first units of toxic texts with enough
+    support, then these and their misspellings in the others. ``label_rows`` bounds the labelled
+    rows, ``max_terms`` the model, ``fit_rows`` the rows that the few coefficients are fitted on.
     """
     spark = docs.sparkSession
-    rows = cut_lineage(_labelled(docs, labels, id_col, text_col, label_col))
+    rows = cut_lineage(_labelled(docs, labels, id_col, text_col, label_col, label_rows))
     sizes = dict(rows.groupBy("toxic").count().collect())
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
@@ -360,8 +366,7 @@ def fit(
         # Without clean texts the guess stands; with them it gives way to what was counted.
         lexicon.spelled[word] = guess if not b else max(0.0, min(guess, evidence - 2 / math.sqrt(a + b)))
     shared = spark.sparkContext.broadcast(lexicon)
-    share = min(1.0, fit_rows / (n1 + n0))
-    part = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share * 1_000_000).limit(2 * fit_rows)
+    part = rows.where(drawn("id", fit_rows, n1 + n0, seed=1))
     wide = T.StructType([T.StructField("f", T.ArrayType(T.DoubleType()))])
 
     def measured():
