@@ -14,7 +14,7 @@ from tidegauge.plans.catalog import query, table
 from tidegauge.plans.frames import (
     EVENT_FEATURES, EVENTS_SQL, LINE_ORDER, LINE_ORDER_SQL, PAIRS_SQL, event_features, price_pairs,
 )
-from tidegauge.plans.series import daily_orders
+from tidegauge.plans.series import DAILY_SQL, daily_orders
 from tidegauge.session import spread
 
 EVENT_ORDER = ["ts", "event_id"]
@@ -135,6 +135,31 @@ def forecast(spark, sf_dir):
     return evaluate.publish_forecast(daily_orders(spark, sf_dir), ["day"], ["total", "n"], 10, model)
 
 
+_ALPHA = 1e12  # of the order of the summed squares of daily totals
+
+
+@query(
+    "forecast_one_feature",
+    f"""WITH {DAILY_SQL},
+    w AS (SELECT day, total AS x, lead(total, 1) OVER o AS y1, lead(total, 2) OVER o AS y2, lead(total, 3) OVER o AS y3
+          FROM daily WINDOW o AS (ORDER BY day)),
+    t AS (SELECT * FROM w WHERE y3 IS NOT NULL),
+    s AS ("""
+    + " UNION ALL ".join(
+        f"SELECT {h} AS step, covar_pop(y{h}, x) * COUNT(*) / (var_pop(x) * COUNT(*) + {_ALPHA}) AS b, avg(x) AS mx, avg(y{h}) AS my FROM t"
+        for h in (1, 2, 3)
+    )
+    + """)
+    SELECT step :: INTEGER AS step, round(my + b * ((SELECT arg_max(x, day) FROM w) - mx), 2) AS pred FROM s""",
+)
+def forecast_one_feature(spark, sf_dir):
+    """Three steps ahead from the last day alone, one ridge model a step."""
+    daily = daily_orders(spark, sf_dir)
+    windows = sequence.sliding_windows(daily, ["day"], ["total"], "total", 1, 3, multi_output=True)
+    model = regressors.fit_multi_output(windows, 3, "ridge", {"alpha": _ALPHA})
+    return evaluate.publish_forecast(daily, ["day"], ["total"], 1, model).withColumn("pred", F.round("pred", 2))
+
+
 _SHUFFLED = ["l_quantity", "l_discount"]
 
 
