@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidegauge.functions.scalars import epoch_micros, epoch_seconds, first_number
 from tidegauge.models.network import Network
 from tidegauge.operators.drift import HISTOGRAM_BINS, WINDOW_SIZE, WINDOW_STRIDE
+from tidegauge.operators.registry import publish_version
 from tidegauge.operators.stats import StandardScaler
 from tidegauge.plans.catalog import query, table
+from tidegauge.plans.frames import EVENTS_SQL, event_features
 from tidegauge.plans.series import drift_sql, tier_sql
 from tidegauge.session import checkpoint_dir
 from tidegauge.streaming import monitor, records, scoring
@@ -19,7 +22,9 @@ EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type st
 
 
 def events_stream(spark, sf_dir):
-    return spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    # A micro-batch is sorted per key, so its size is bounded.
+    options = {"pathGlobFilter": "events.parquet", "maxFilesPerTrigger": 16}
+    return spark.readStream.schema(EVENT_SCHEMA).options(**options).parquet(sf_dir)
 
 
 def _run_folder(spark) -> str:
@@ -52,13 +57,44 @@ def drift_stream(spark, sf_dir):
     return scored.select("event_type", "window_id", F.round("js", 9).alias("js"), "tier")
 
 
-@query("online_scoring")
+# Networks without a hidden layer, which SQL can repeat: weights of value, hour and k, and a shift.
+_FIRST, _SECOND = (20.0, 3.0, 1.0, 50.0), (28.0, 0.5, 0.0, 50.0)
+_PRED_SQL = " + ".join(f"CASE WHEN b = 0 THEN {x} ELSE {y} END{f}" for x, y, f in zip(_FIRST, _SECOND, (" * v", " * h", " * k", "")))
+
+
+@query(
+    "online_scoring",
+    f"""WITH {EVENTS_SQL},
+    s AS (SELECT avg(value) AS mv, stddev_pop(value) AS sv, avg(hour) AS mh, stddev_pop(hour) AS sh, avg(k) AS mk, stddev_pop(k) AS sk FROM ev),
+    x AS (SELECT event_id % 3 AS b, value AS y, (value - mv) / sv AS v, (hour - mh) / sh AS h, (k - mk) / sk AS k FROM ev, s),
+    e AS (SELECT b, abs({_PRED_SQL} - y) / greatest(abs(y), 1e-8) AS err FROM x),
+    t AS (SELECT b AS batch_id, COUNT(*) AS n, COUNT(*) FILTER (err <= 0.15) AS hits, COUNT(*) FILTER (err <= 0.25) AS correct FROM e GROUP BY 1)
+    SELECT batch_id :: BIGINT AS batch_id, n, hits, correct, (SUM(correct) OVER o) :: BIGINT AS cum_correct, (SUM(n) OVER o) :: BIGINT AS cum_total,
+           round(hits / n, 9) AS hit_rate, round((SUM(correct) OVER o) / (SUM(n) OVER o), 9) AS cum_acc,
+           CASE WHEN batch_id = 0 THEN 'baseline' ELSE 'model_2' END AS model_key
+    FROM t WINDOW o AS (ORDER BY batch_id)""",
+)
 def online_scoring(spark, sf_dir):
+    """Three micro-batches; versions published between them, of which only one may be loaded."""
     folder = _run_folder(spark)
-    scaler = StandardScaler(("value", "hour", "k"), (50.0, 11.5, 50.0), (50.0, 7.0, 29.0))
-    scorer = scoring.DualScorer(Network.create(3, (16, 8), seed=0), scaler, f"{folder}/registry", folder)
-    scoring.start_scoring(_records(events_stream(spark, sf_dir)), scorer, f"{folder}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{folder}/totals").drop("content")
+    events = table(spark, sf_dir, "events")
+    fitted = StandardScaler.fit(event_features(spark, sf_dir), ["value", "hour", "k"])
+    first, second, worse = (Network((3, 1), "relu", np.array(p)) for p in (_FIRST, _SECOND, (0.0, 0.0, 0.0, 0.0)))
+    published = {
+        1: [(1, "model_1", worse, {"acc@0.25": "10", "baseline_acc@0.25": "50"}), (2, "model_2", second, {"acc@0.25": "90", "baseline_acc@0.25": "50"})],
+        2: [(3, "model_3", worse, {"acc@0.25": "49", "baseline_acc@0.25": "50"})],
+    }
+    scorer = scoring.DualScorer(first, fitted, f"{folder}/registry", folder)
+    for batch in range(3):
+        for ts, key, net, metrics in published.get(batch, []):
+            row = [(ts, key, f"metrics_{ts}", net.to_json(), metrics)]
+            entry = "ts bigint, model_key string, metrics_key string, content string, metrics map<string,string>"
+            publish_version(f"{folder}/registry", spark.createDataFrame(row, entry))
+        events.where(F.col("event_id") % 3 == batch).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(EVENT_SCHEMA).parquet(f"{folder}/in")
+        scoring.start_scoring(_records(stream), scorer, f"{folder}/checkpoint").awaitTermination()
+    totals = spark.read.parquet(f"{folder}/totals").drop("content")
+    return totals.withColumns({c: F.round(c, 9) for c in ("hit_rate", "cum_acc")}).withColumn("batch_id", F.col("batch_id").cast("bigint"))
 
 
 @query(

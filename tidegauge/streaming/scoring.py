@@ -49,19 +49,15 @@ class DualScorer:
     keep: list[str] = field(default_factory=lambda: ["send_ts", "stage"])
 
     def _read(self, spark: SparkSession, path: str) -> DataFrame | None:
-        try:
-            return spark.read.option("recursiveFileLookup", "false").parquet(path)
-        except Exception as e:  # nothing written yet
-            if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-                return None
-            raise
+        """The table at a path, or none if nothing has been written there yet."""
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        return spark.read.parquet(path) if system.exists(place) else None
 
     def previous(self, spark: SparkSession, batch_id: int):
-        totals = self._read(spark, f"{self.out_path}/totals")
-        if totals is None:
-            return None
-        rows = totals.filter(F.col("batch_id") < batch_id).orderBy(F.desc("batch_id")).limit(1).collect()
-        return rows[0] if rows else None
+        """Totals of the batch before; only its own folder is read."""
+        totals = self._read(spark, f"{self.out_path}/totals/batch_id={batch_id - 1}")
+        return None if totals is None else totals.first()
 
     def current_model(self, spark: SparkSession, previous) -> tuple[str, str]:
         """Key and content of the model to use for this batch."""
