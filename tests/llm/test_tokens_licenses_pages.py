@@ -119,6 +119,13 @@ def test_page_without_article_element():
     )
 
 
+def test_names_with_header():
+    body = "<p>A paragraph that is long enough to be scored, with a comma, and then a bit more text.</p>"
+    assert html_text.main_text(f'<div class="page with-header">{body}</div>').startswith("A paragraph")
+    page = f'<div class="site-header"><p>Welcome to our site, which has a long and friendly claim, as you see.</p></div><div>{body}</div>'
+    assert html_text.main_text(page).startswith("A paragraph")
+
+
 def test_awkward_pages(spark):
     deep = "<div>" * 5000 + "text in a deep place, with a comma" + "</div>" * 5000
     rows = [

@@ -45,6 +45,7 @@ NOISE = frozenset(
 TEXT_NAMES = frozenset("article body content entry main page post story text column layout".split())
 READERS = frozenset("comment comments commentlist disqus replies respond".split())
 NEGATIONS = frozenset("with has no without is have".split())
+HEADER_ENDS = frozenset("header area bar block container inner outer top wrap wrapper".split())
 SCORED = frozenset("p pre td blockquote li dd div section article figcaption".split())
 START = {"article": 25, "main": 25, "section": 5, "div": 5, "pre": 3, "td": 3, "blockquote": 3, "form": -3, "ol": -3, "ul": -3, "dl": -3, "li": -3}
 LEAST_CHARS = 25
@@ -87,6 +88,11 @@ def _name_is_noise(name: str) -> bool:
     return not NOISE.isdisjoint(parts)
 
 
+def _name_is_header(name: str) -> bool:
+    parts = [p.lower() for p in _PARTS.findall(name)]
+    return "header" in parts and parts[0] not in NEGATIONS and parts[-1] in HEADER_ENDS
+
+
 def _is_noise(tag: str, attributes: str, parent: Node) -> bool:
     if tag in DROPPED:
         return True
@@ -108,7 +114,7 @@ def _is_noise(tag: str, attributes: str, parent: Node) -> bool:
         if name in ("class", "id") and tag not in ("article", "main"):
             if any(map(_name_is_noise, value.split())):
                 return True
-            if not in_text and any("header" in x.lower() for x in value.split()):
+            if not in_text and any(map(_name_is_header, value.split())):
                 return True
     return False
 
