@@ -73,7 +73,7 @@ def _line_split(spark, sf_dir):
         table(spark, sf_dir, "lineitem"), LINE_FEATURES, "l_extendedprice", scale=True, keep=LINE_ORDER
     )
     marked = hash_split(frame, 0.3, LINE_ORDER).select("features", "label", "is_valid")
-    marked = spread(marked).persist()
+    marked = spread(marked)
     return marked.filter("not is_valid"), marked.filter("is_valid")
 
 
@@ -115,7 +115,7 @@ def _daily_windows(spark, sf_dir):
     windows = sequence.sliding_windows(
         daily_orders(spark, sf_dir), ["day"], ["total", "n"], "total", 10, 5, multi_output=True
     )
-    marked = spread(chronological_split(windows, 0.2, ["window_start"])).persist()
+    marked = spread(chronological_split(windows, 0.2, ["window_start"]))
     return marked.filter("not is_valid"), marked.filter("is_valid")
 
 
@@ -224,7 +224,7 @@ def _scaled_events(spark, sf_dir):
 
 @query("mlp_fit")
 def mlp_fit(spark, sf_dir):
-    rows = spread(hash_split(_scaled_events(spark, sf_dir), 0.3, ["event_id"])).persist()
+    rows = spread(hash_split(_scaled_events(spark, sf_dir), 0.3, ["event_id"]))
     net, history = mlp.fit_mlp(
         rows.filter("not is_valid").select("x", "y"), rows.filter("is_valid").select("x", "y"), 2, (16, 8), epochs=5, lr=0.05
     )

@@ -70,9 +70,5 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """At least one partition per core, for inputs that an iterative job reads many times.
-
-    Inputs that already have enough partitions are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    """The rows written once, in a partition per core, for jobs that read them many times."""
+    return cut_lineage(df.repartition(df.sparkSession.sparkContext.defaultParallelism))
