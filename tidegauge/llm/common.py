@@ -58,7 +58,7 @@ def drawn(id_col: str, wanted: int, rows: int, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(col(id_col), F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * wanted / rows)
 
 
-def slices(texts: Sequence[str | None], limit: int = 4_000_000) -> Iterator[tuple[int, list[str]]]:
+def slices(texts: Sequence[str | None], limit: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
     """Runs of whole texts of about ``limit`` characters, null read as empty, with their start."""
     start, size, run = 0, 0, []
     for i, text in enumerate(texts):

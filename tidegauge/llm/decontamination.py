@@ -29,7 +29,7 @@ MAX_EDIT_RATE = 0.2  # word edits over words of the item
 TARGET_RECALL = 0.95  # of passages with that many edits spread over them
 SAMPLES = 5  # positions of a walk that must agree, the first word among them
 CHUNK_CHARACTERS = 8 << 20  # of items held by every task at once
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 250_000
 #: (words of an item from, steps of the walk, sampled positions, words the walk may reach)
 CLASSES = ((12, 16, SAMPLES, 12), (3, 3, 2, 3), (1, 1, 1, 1))
 

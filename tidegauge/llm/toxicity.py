@@ -30,7 +30,7 @@ ERRORS = ((9, 2), (5, 1))  # letters of a term from, edits it may have
 LABEL_ROWS = 200_000  # labelled training rows learned from at most, drawn by hash of the id if there are more
 FIT_ROWS = 50_000  # of these, rows that the few coefficients of the logistic model are fitted on
 WINDOW = 8  # words on either side
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 # Marks of quotation and of address.
 QUOTES = "\"“”„«»‘’'`"
