@@ -104,6 +104,14 @@ def test_kneser_ney_probabilities_sum_to_one():
         assert p.sum() == pytest.approx(1.0)
 
 
+def test_language_keeps_the_most_frequent(spark):
+    rows = [(x, g, n) for x in "ab" for g, n in ((1, 5), (2, 9), (3, 5), (4, 1))]
+    counted = spark.createDataFrame(rows, "lang string, gram long, n long")
+    got = langid._most_frequent(counted, {"a": 4, "b": 4}, 2).collect()
+    assert sorted(map(tuple, got)) == [("a", 1, 5), ("a", 2, 9), ("b", 1, 5), ("b", 2, 9)]
+    assert langid._most_frequent(counted, {"a": 4, "b": 4}, 4).count() == 8
+
+
 def test_language_awkward(awkward, empty):
     got = langid.language(awkward)
     assert got.count() == awkward.count()

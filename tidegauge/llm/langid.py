@@ -264,6 +264,19 @@ def _calibrate(evidence: np.ndarray, right: np.ndarray) -> tuple[float, float]:
     return max(0.0, float(w[0] / scale)), float(w[1])
 
 
+def _most_frequent(counted: DataFrame, sizes: dict[str, int], share: int) -> DataFrame:
+    """The ``share`` most frequent sequences of each language, ties to the smaller one."""
+    if max(sizes.values(), default=0) <= share:
+        return counted
+    # Each salted part gives up what cannot be among its language's first; few rows then meet.
+    part = F.pmod(F.xxhash64("gram"), F.lit(64))
+    first = Window.partitionBy("lang", part).orderBy(F.desc("n"), "gram")
+    kept = counted.withColumn("r", F.row_number().over(first)).where(F.col("r") <= share)
+    every = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    kept = kept.withColumn("r", F.row_number().over(every)).where(F.col("r") <= share)
+    return kept.select("lang", "gram", "n")
+
+
 def fit(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -280,11 +293,9 @@ def fit(
     train = docs.where(~held_out(id_col))
     counted = count_grams(train, text_col, lang_col).persist()
     try:
-        langs = [r.lang for r in counted.select("lang").distinct().collect()]
-        share = max(1_000, min(max_ngrams, MODEL_CELLS // max(1, len(langs))) // max(1, len(langs)))
-        by_count = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-        top = counted.withColumn("r", F.row_number().over(by_count)).where(F.col("r") <= share).select("lang", "gram", "n")
-        rows = top.toPandas()
+        sizes = {r.lang: r["count"] for r in counted.groupBy("lang").count().collect()}
+        share = max(1_000, min(max_ngrams, MODEL_CELLS // max(1, len(sizes))) // max(1, len(sizes)))
+        rows = _most_frequent(counted, sizes, share).toPandas()
     finally:
         counted.unpersist()
     parts = {}
