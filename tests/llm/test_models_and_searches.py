@@ -112,6 +112,28 @@ def test_language_keeps_the_most_frequent(spark):
     assert langid._most_frequent(counted, {"a": 4, "b": 4}, 4).count() == 8
 
 
+def test_language_bound_keeps_the_figures_of_all_sequences(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdefghijklmnop ") for _ in range(3000)) for _ in range(4)]
+    rows = spark.createDataFrame([(t, "x") for t in texts], "text string, lang string")
+    counted = langid.count_grams(rows, "text", "lang").persist()
+    size, total = counted.count(), sum(r.n for r in counted.collect())
+    key, _ = langid.grams(texts)
+    whole = langid._all_levels(*np.unique(key, return_counts=True))
+    got = langid.levels(counted, {"x": (size, total)}, 1_000)["x"]
+    most = int(langid.GROWTH * total**0.5)
+    assert 1_000 < len(got[-1].keys) == most < size  # the bound grows with the counts, and binds here
+    for a, b in zip(got, whole, strict=True):
+        assert (a.once, a.twice, a.rows) == (b.once, b.twice, b.rows)
+        at = np.searchsorted(b.keys, a.keys)
+        assert (b.keys[at] == a.keys).all() and (b.counts[at] == a.counts).all() and (b.totals[at] == a.totals).all()
+    model = langid.KneserNey.of_levels(got)
+    symbols = np.append(np.unique(key & np.uint64(0xFFFF)), np.uint64(0x7777))
+    for context in key[5:400:40] >> np.uint64(16):
+        assert np.exp(model.log_p((context << np.uint64(16)) | symbols)).sum() == pytest.approx(1.0)
+    counted.unpersist()
+
+
 def test_language_awkward(awkward, empty):
     got = langid.language(awkward)
     assert got.count() == awkward.count()

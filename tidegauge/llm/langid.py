@@ -17,11 +17,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.llm.common import col, drawn, held_out, map_texts, slices
+from tidegauge.llm.common import col, cut_lineage, drawn, held_out, map_texts, slices
 
 ORDER = 4
-MAX_NGRAMS = 400_000  # of all languages together, the most frequent of each
-MODEL_CELLS = 16_000_000  # n-grams times languages
+MAX_NGRAMS = 400_000  # of all languages together that are kept at least; a language with more text keeps more
+GROWTH = 40  # a language keeps this many sequences times the root of its counts, if that is more
+MODEL_CELLS = 16_000_000  # n-grams times languages that are tabled ahead; others are worked out when met
 CALIBRATION_ROWS = 5_000  # training texts that the confidence is fitted on, drawn by hash
 REJECT_DEVIATIONS = 5.0
 UNKNOWN = "und"
@@ -120,6 +121,34 @@ def _find(keys: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == hashed
 
 
+@dataclass
+class Level:
+    """Sequences of one order and language that the model keeps, and figures of all that were counted."""
+
+    keys: np.ndarray
+    counts: np.ndarray
+    totals: np.ndarray  # of the sequence's context, over all sequences
+    once: int
+    twice: int
+    rows: int
+
+
+def _context(key: np.ndarray, n: int) -> np.ndarray:
+    return key >> _SYMBOL if n > 1 else key * np.uint64(0)
+
+
+def _all_levels(keys: np.ndarray, counts: np.ndarray) -> list[Level]:
+    """All orders, lowest first, where every sequence of the highest order is here."""
+    found = [(keys, counts)]
+    for n in range(ORDER - 1, 0, -1):
+        found.append(np.unique(found[-1][0] & np.uint64((1 << (16 * n)) - 1), return_counts=True))
+    out = []
+    for n, (key, count) in enumerate(reversed(found), 1):
+        _, where = np.unique(_context(key, n), return_inverse=True)
+        out.append(Level(key, count, np.bincount(where, count)[where], (count == 1).sum(), (count == 2).sum(), len(key)))
+    return out
+
+
 @dataclass
 class KneserNey:
     """One language: by order the hashes of sequences and their log probabilities, and of contexts and their weights."""
@@ -131,26 +160,28 @@ class KneserNey:
     @classmethod
     def of(cls, keys: np.ndarray, counts: np.ndarray) -> KneserNey:
         """From counts of the highest order; lower orders count the different symbols before a sequence."""
-        levels = [(keys, counts.astype(float))]
-        for n in range(ORDER - 1, 0, -1):
-            mask = np.uint64((1 << (16 * n)) - 1)
-            levels.append(tuple(np.unique(levels[-1][0] & mask, return_counts=True)))
+        return cls.of_levels(_all_levels(keys, counts))
+
+    @classmethod
+    def of_levels(cls, levels: list[Level]) -> KneserNey:
+        """From the kept sequences of every order, lowest first, with figures of all that were counted.
+
+        What the sequences that are not kept had of a context goes to its backoff weight, so that
+        probabilities add up to one.
+        """
         model = cls()
-        below_keys, below = np.zeros(0, np.uint64), np.zeros(0)
-        for n, (key, count) in enumerate(reversed(levels), 1):
-            once, twice = (count == 1).sum(), (count == 2).sum()
-            discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
-            context, where = np.unique(key >> _SYMBOL if n > 1 else key * np.uint64(0), return_inverse=True)
-            total, kinds = np.bincount(where, count), np.bincount(where)
-            weight = discount * kinds / total
+        for n, level in enumerate(levels, 1):
+            key, once = level.keys, level.once
+            discount = min(0.95, max(0.05, once / (once + 2 * level.twice))) if once else 0.5
+            context, where = np.unique(_context(key, n), return_inverse=True)
+            own = (level.counts - discount) / level.totals
+            weight = np.maximum(1e-12, 1 - np.bincount(where, own))
             if n == 1:
-                lower = np.full(len(key), 1 / (len(key) + 1))
-                model.unseen = float(np.log(weight[0] / (len(key) + 1)))
+                lower = np.full(len(key), 1 / (level.rows + 1))
+                model.unseen = float(np.log(weight[0] / (level.rows + 1)))
             else:
-                lower = below[np.searchsorted(below_keys, key & np.uint64((1 << (16 * (n - 1))) - 1))]
-            p = (count - discount) / total[where] + weight[where] * lower
-            below_keys, below = key, p
-            model.grams.append(_sorted(key, np.log(p)))
+                lower = np.exp(model.log_p(key & np.uint64((1 << (16 * (n - 1))) - 1), n - 1))
+            model.grams.append(_sorted(key, np.log(own + weight[where] * lower)))
             model.contexts.append(_sorted(context, np.log(weight)))
         return model
 
@@ -189,10 +220,13 @@ class Model:
     limits: dict[str, float] = field(default_factory=dict)
 
     @classmethod
-    def of(cls, counted: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
+    def of(cls, counted: dict[str, list[Level]]) -> Model:
         langs = sorted(counted)
-        models = [KneserNey.of(*counted[x]) for x in langs]
-        every = np.unique(np.concatenate([counted[x][0] for x in langs])) if langs else np.zeros(0, np.uint64)
+        models = [KneserNey.of_levels(counted[x]) for x in langs]
+        every = np.zeros(0, np.uint64)
+        if langs:
+            every, n = _add([counted[x][-1].keys for x in langs], [counted[x][-1].counts for x in langs])
+            every = np.sort(every[np.argsort(-n, kind="stable")[: MODEL_CELLS // len(langs)]])
         table = np.array([m.log_p(every) for m in models], np.float32).T if langs else np.zeros((0, 0), np.float32)
         hashed = every * _MIX
         order = np.argsort(hashed)
@@ -264,19 +298,66 @@ def _calibrate(evidence: np.ndarray, right: np.ndarray) -> tuple[float, float]:
     return max(0.0, float(w[0] / scale)), float(w[1])
 
 
-def _most_frequent(counted: DataFrame, sizes: dict[str, int], share: int) -> DataFrame:
-    """The ``share`` most frequent sequences of each language, ties to the smaller one."""
-    if max(sizes.values(), default=0) <= share:
+def _most_frequent(counted: DataFrame, sizes: dict[str, int], share: int | dict[str, int]) -> DataFrame:
+    """The ``share`` (of all languages, or by language) most frequent sequences of each language, ties to the smaller one."""
+    shares = share if isinstance(share, dict) else dict.fromkeys(sizes, share)
+    if all(n <= shares[x] for x, n in sizes.items()):
         return counted
+    known = F.create_map(*[F.lit(y) for x in shares.items() for y in x])
+    counted = counted.withColumn("__most", F.element_at(known, F.col("lang")))
     # Each salted part gives up what cannot be among its language's first; few rows then meet.
     part = F.pmod(F.xxhash64("gram"), F.lit(64))
     first = Window.partitionBy("lang", part).orderBy(F.desc("n"), "gram")
-    kept = counted.withColumn("r", F.row_number().over(first)).where(F.col("r") <= share)
+    kept = counted.withColumn("r", F.row_number().over(first)).where(F.col("r") <= F.col("__most"))
     every = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    kept = kept.withColumn("r", F.row_number().over(every)).where(F.col("r") <= share)
+    kept = kept.withColumn("r", F.row_number().over(every)).where(F.col("r") <= F.col("__most"))
     return kept.select("lang", "gram", "n")
 
 
+def _by_language(rows: DataFrame) -> dict[str, tuple[np.ndarray, ...]]:
+    """Sequences in order with the other columns beside them, by language."""
+    out = {}
+    for lang, part in rows.toPandas().groupby("lang"):
+        keys = part.pop("gram").to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        out[lang] = (keys[order], *(part[c].to_numpy(np.int64)[order] for c in part.columns if c != "lang"))
+    return out
+
+
+def levels(counted: DataFrame, sizes: dict[str, tuple[int, int]], max_ngrams: int = MAX_NGRAMS) -> dict[str, list[Level]]:
+    """All orders of each language, lowest first, from (lang, gram, n) of the highest.
+
+    ``sizes`` has the rows and the sum of the counts by language. Totals of contexts, continuation
+    counts and counts of one and two are of all rows. Of each order a language keeps the most
+    frequent sequences, as many as its share of ``max_ngrams`` or ``GROWTH`` times the root of its
+    counts, if that is more.
+    """
+    share = max(1_000, max_ngrams // max(1, len(sizes)))
+    most = {x: max(share, int(GROWTH * total**0.5)) for x, (_, total) in sizes.items()}
+    if all(n <= most[x] for x, (n, _) in sizes.items()):  # the lower orders follow from what is here
+        return {lang: _all_levels(*x) for lang, x in _by_language(counted).items()}
+    out = {x: [] for x in sizes}
+    rows = counted
+    for n in range(ORDER, 0, -1):
+        if n < ORDER:
+            rows = cut_lineage(rows.groupBy("lang", F.col("gram").bitwiseAND((1 << (16 * n)) - 1).alias("gram")).agg(F.count(F.lit(1)).alias("n")))
+        figures = {
+            r.lang: r
+            for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("size"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).collect()
+        }
+        context = F.shiftrightunsigned("gram", 16).alias("context") if n > 1 else F.lit(0).cast("bigint").alias("context")
+        kept = cut_lineage(_most_frequent(rows, {x: r["size"] for x, r in figures.items()}, most).select("lang", "gram", "n", context))
+        # One row a context on either side.
+        wanted = kept.select("lang", "context").distinct()
+        totals = rows.select("lang", context, "n").groupBy("lang", "context").agg(F.sum("n").alias("total")).join(wanted, ["lang", "context"], "left_semi")
+        total_of = _by_language(totals.withColumnRenamed("context", "gram"))
+        for lang, (keys, counts) in _by_language(kept.drop("context")).items():
+            at, total = total_of[lang]
+            r = figures[lang]
+            out[lang].insert(0, Level(keys, counts, total[np.searchsorted(at, _context(keys, n))], r.once, r.twice, r["size"]))
+    return out
+
+
 def fit(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -287,23 +368,15 @@ def fit(
 ) -> Model:
     """Learn from all rows that are not held out and have a text and a language.
 
-    Counts cover all of them. The model keeps the most frequent sequences of each language, as
-    many as ``max_ngrams`` and ``MODEL_CELLS`` allow.
+    Counts, discounts and totals cover all of them; see ``levels`` for the sequences that are kept.
     """
     train = docs.where(~held_out(id_col))
     counted = count_grams(train, text_col, lang_col).persist()
     try:
-        sizes = {r.lang: r["count"] for r in counted.groupBy("lang").count().collect()}
-        share = max(1_000, min(max_ngrams, MODEL_CELLS // max(1, len(sizes))) // max(1, len(sizes)))
-        rows = _most_frequent(counted, sizes, share).toPandas()
+        sizes = {r.lang: (r[1], r[2]) for r in counted.groupBy("lang").agg(F.count(F.lit(1)), F.sum("n")).collect()}
+        model = Model.of(levels(counted, sizes, max_ngrams))
     finally:
         counted.unpersist()
-    parts = {}
-    for lang, part in rows.groupby("lang"):
-        keys = part["gram"].to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(keys)
-        parts[lang] = (keys[order], part["n"].to_numpy(np.int64)[order])
-    model = Model.of(parts)
     known = train.where(col(text_col).isNotNull() & col(lang_col).isNotNull())
     n = known.count()
     if not model.langs or not n:
