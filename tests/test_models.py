@@ -193,3 +193,19 @@ def test_windows_of_any_size_take_one_way(spark, window, monkeypatch):
     row, again = (retrain.two_stage_search(w, ["id"], "A", block_rows=20).first() for w in (window, window.repartition(9)))
     assert row.error is None and row.network and row.train_rows == 87
     assert row.rmse == pytest.approx(again.rmse) and row.candidate_id == again.candidate_id
+
+
+def test_queries_fit_the_full_grids_and_settings(monkeypatch):
+    from tidegauge.operators import grids
+    from tidegauge.plans import learning
+
+    asked = {}
+    monkeypatch.setattr(learning, "_line_split", lambda *_: (None, None))
+    monkeypatch.setattr(learning, "_daily_windows", lambda *_: (None, None))
+    monkeypatch.setattr(learning.search, "table_search", lambda train, valid, candidates: asked.update(table=candidates))
+    monkeypatch.setattr(learning.search, "forecast_search", lambda train, valid, horizon, candidates: asked.update(forecast=candidates))
+    monkeypatch.setattr(learning, "_fit_report", lambda spark, sf_dir, family, params: asked.update({family: params["n_estimators"]}))
+    for name in ("grid_search", "forecast_search", "forest_fit", "gbt_fit", "boosted_fit"):
+        getattr(learning, name)(None, None)
+    assert all(c in asked["table"] for c in grids.table_grid()) and asked["forecast"] == grids.forecast_grid()
+    assert (asked["forest"], asked["gbt"], asked["xgboost"]) == (200, 200, 400)

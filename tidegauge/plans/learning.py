@@ -90,24 +90,23 @@ def tree_fit(spark, sf_dir):
 
 @query("forest_fit")
 def forest_fit(spark, sf_dir):
-    return _fit_report(spark, sf_dir, "forest", {"n_estimators": 20})
+    return _fit_report(spark, sf_dir, "forest", {"n_estimators": grids.FOREST_TREES[0]})
 
 
 @query("gbt_fit")
 def gbt_fit(spark, sf_dir):
-    return _fit_report(spark, sf_dir, "gbt", {"n_estimators": 10, "learning_rate": 0.1})
+    return _fit_report(spark, sf_dir, "gbt", {"n_estimators": grids.BOOSTING_TREES[0], "learning_rate": 0.05})
 
 
 @query("boosted_fit")
 def boosted_fit(spark, sf_dir):
-    return _fit_report(spark, sf_dir, "xgboost", {"n_estimators": 10, "max_depth": 4})
+    return _fit_report(spark, sf_dir, "xgboost", {"n_estimators": 400, "max_depth": 6})
 
 
 @query("grid_search")
 def grid_search(spark, sf_dir):
     train, valid = _line_split(spark, sf_dir)
-    candidates = [("linear", {})] + [("ridge", {"alpha": a}) for a in grids.RIDGE_ALPHAS]
-    candidates += [("tree", {"max_depth": d}) for d in (4, 6)]
+    candidates = grids.table_grid() + [("tree", {"max_depth": d}) for d in (4, 6)]
     return search.table_search(train, valid, candidates)
 
 
@@ -122,10 +121,7 @@ def _daily_windows(spark, sf_dir):
 @query("forecast_search")
 def forecast_search(spark, sf_dir):
     train, valid = _daily_windows(spark, sf_dir)
-    ranked = spark.createDataFrame([("Ridge", 1), ("GradientBoosting", 2)], "model string, rank int")
-    families = {r.family for r in grids.candidate_families(ranked, 1).collect()}
-    candidates = [(k, p) for k, p in grids.forecast_grid() if k in families]
-    return search.forecast_search(train, valid, 5, candidates)
+    return search.forecast_search(train, valid, 5, grids.forecast_grid())
 
 
 @query("forecast")
@@ -226,7 +222,7 @@ def _scaled_events(spark, sf_dir):
 def mlp_fit(spark, sf_dir):
     rows = spread(hash_split(_scaled_events(spark, sf_dir), 0.3, ["event_id"]))
     net, history = mlp.fit_mlp(
-        rows.filter("not is_valid").select("x", "y"), rows.filter("is_valid").select("x", "y"), 2, (16, 8), epochs=5, lr=0.05
+        rows.filter("not is_valid").select("x", "y"), rows.filter("is_valid").select("x", "y"), 2, (64, 32), epochs=100, lr=0.05
     )
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(history)], "epoch int, mse double")
 
