@@ -76,6 +76,16 @@ def test_toxicity_ignores_other_columns_and_held_out_labels(spark, awkward):
     assert got[1].predicted == 1 and got[2] .score == got[3].score == got[4].score < 0.5
 
 
+def test_toxicity_learns_terms_of_the_long_tail(spark):
+    # One term in 25 of 3,000 toxic texts, under one in a hundred, and in no clean text.
+    rows = [(i, f"plain words {i} " + ("you grobian" if i % 120 else "wretchling") * (i % 2 == 0), int(i % 2 == 0)) for i in range(6_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    lexicon = toxicity.fit(docs.drop("toxic"), docs.drop("text"))
+    assert {"grobian", "wretchling"} <= set(lexicon.words) and "plain" not in lexicon.words
+    few = toxicity.fit(docs.drop("toxic"), docs.drop("text"), max_terms=3)
+    assert len(few.words) + len(few.stems) == 3
+
+
 def test_toxicity_awkward(awkward, empty, spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     got = toxicity.toxicity(awkward, labels)

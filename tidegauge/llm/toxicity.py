@@ -22,8 +22,7 @@ from pyspark.sql import types as T
 from tidegauge.llm.common import col, cut_lineage, drawn, held_out, map_texts, slices
 
 MAX_TERMS = 2_000
-MIN_SUPPORT = 5  # toxic training texts with a term, and MIN_SHARE of them
-MIN_SHARE = 0.01
+MIN_SUPPORT = 5  # toxic training texts with a term
 MIN_LOG_ODDS = 1.5
 STEM_LENGTHS = (4, 5, 6)  # letters of word beginnings that may be terms
 ERRORS = ((9, 2), (5, 1))  # letters of a term from, edits it may have
@@ -31,6 +30,7 @@ LABEL_ROWS = 200_000  # labelled training rows learned from at most, drawn by ha
 FIT_ROWS = 50_000  # of these, rows that the few coefficients of the logistic model are fitted on
 WINDOW = 8  # words on either side
 CACHE_WORDS = 200_000
+WANTED_UNITS = 200_000  # units that travel to the tasks; if there are more, clean texts give all of theirs
 
 # Marks of quotation and of address.
 QUOTES = "\"“”„«»‘’'`"
@@ -309,9 +309,10 @@ def fit(
 ) -> Lexicon:
     """Learn terms and model from labelled texts that are not held out.
 
-    Terms are counted over all texts learned from: first units of toxic texts with enough
-    support, then these and their misspellings in the others. ``label_rows`` bounds the labelled
-    rows, ``max_terms`` the model, ``fit_rows`` the rows that the few coefficients are fitted on.
+    Terms are counted over all texts learned from: units of toxic texts with enough support, the
+    same units in the others, and misspellings of the chosen ones in both. ``label_rows`` bounds
+    the labelled rows, ``max_terms`` the model, ``fit_rows`` the rows that the few coefficients are
+    fitted on.
     """
     spark = docs.sparkSession
     rows = cut_lineage(_labelled(docs, labels, id_col, text_col, label_col, label_rows))
@@ -319,27 +320,28 @@ def fit(
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
         return Lexicon(coefficients=(math.log((n1 + 0.5) / (n0 + 0.5)) if n1 + n0 else -2.2, *[0.0] * FEATURES))
-    support = max(MIN_SUPPORT, math.ceil(MIN_SHARE * n1))
-    often = _count(rows.where("toxic = 1"), lambda: lambda text: _units(set(words_of(text)))).where(F.col("n") >= support)
-    # A toxic text has few units of much support, so there are at most (units of a text / share) of them.
-    top = often.orderBy(F.desc("n"), "kind", "unit").limit(100 * max_terms).select("kind", "unit", "n").collect()
-    ones = {(r.kind, r.unit): r.n for r in top}
-    wanted = spark.sparkContext.broadcast(frozenset(ones))
+    ones = _count(rows.where("toxic = 1"), lambda: lambda text: _units(set(words_of(text)))).where(F.col("n") >= MIN_SUPPORT)
+    ones = cut_lineage(ones.select("kind", "unit", F.col("n").alias("a")))
+    odds = lambda a, b: F.log((a + 0.5) / (n1 + 1)) - F.log((b + 0.5) / (n0 + 1))
+    # Evidence that a chance surplus would not give: five standard errors of the log odds.
+    error = lambda a, b: F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+    a, b = F.col("a"), F.col("b")
+    none = F.lit(0)
+    # Units too rare to be sure even if no clean text holds them need no count in clean texts.
+    ones = ones.where((odds(a, none) >= MIN_LOG_ODDS) & (odds(a, none) >= 2 * error(a, none)))
+    few = [(r.kind, r.unit) for r in ones.select("kind", "unit").limit(WANTED_UNITS + 1).collect()]
+    wanted = spark.sparkContext.broadcast(frozenset(few) if len(few) <= WANTED_UNITS else None)
 
     def clean_units():
         known = wanted.value
-        return lambda text: _units(set(words_of(text))) & known
+        return lambda text: _units(set(words_of(text))) & known if known is not None else _units(set(words_of(text)))
 
-    zeros = {(r.kind, r.unit): r.n for r in _count(rows.where("toxic = 0"), clean_units).collect()}
-    odds = lambda a, b: math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))
-    weights = {k: odds(n, zeros.get(k, 0)) for k, n in ones.items()}
-    # Evidence that a chance surplus would not give: five standard errors of the log odds.
-    error = lambda k: math.sqrt(1 / (ones[k] + 0.5) + 1 / (zeros.get(k, 0) + 0.5))
-    sure = [k for k, w in weights.items() if w >= MIN_LOG_ODDS and w >= (5 if zeros.get(k, 0) else 2) * error(k)]
-    sure.sort(key=lambda k: (-weights[k] * math.sqrt(ones[k]), k))
+    zeros = _count(rows.where("toxic = 0"), clean_units).select("kind", "unit", F.col("n").alias("b"))
+    both = ones.join(zeros, ["kind", "unit"], "left").withColumn("b", F.coalesce(b, none)).withColumn("w", odds(a, b))
+    sure = both.where((F.col("w") >= MIN_LOG_ODDS) & (F.col("w") >= F.when(b > 0, 5).otherwise(2) * error(a, b)))
     lexicon = Lexicon()
-    for kind, unit in sure[:max_terms]:
-        (lexicon.words if kind == "w" else lexicon.stems)[unit] = weights[kind, unit]
+    for r in sure.orderBy(F.desc(F.col("w") * F.sqrt(a)), "kind", "unit").limit(max_terms).collect():
+        (lexicon.words if r.kind == "w" else lexicon.stems)[r.unit] = r.w
     # A beginning within a stronger one, or a word that has one, says nothing new.
     shared = spark.sparkContext.broadcast(lexicon)
 
