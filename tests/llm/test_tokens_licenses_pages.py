@@ -139,3 +139,30 @@ def test_awkward_pages(spark):
     assert texts[8:] == [(8, ""), (9, "ä")]
     none = spark.createDataFrame([], "page_id long, url string, html string, text int")
     assert html_text.page_text(none).collect() == []
+
+
+def test_license_misspelt_mentions_before_an_exact_one():
+    fuzzy = {f.size: f for f in licenses._fuzzy({"mit license": "mit", "permission is hereby granted free of charge": "mit"}, 8)}
+    mit, notice = fuzzy[11], fuzzy[43]
+    for phrase, f, text in (
+        ("mit license", mit, " the mit licence and the mit license "),
+        ("mit license", mit, " mit licence or mit licence or mit license or mit licens "),
+        ("permission is hereby granted free of charge", notice, " permision is hereby granted fre of charge x permission is herby granted free of charg permission is hereby granted free of charge "),
+    ):
+        words, want = text.encode(), set()
+        gaps = [i for i, c in enumerate(text) if c == " "]
+        near = lambda a, b: _edits(phrase, text[a + 1 : b])  # noqa: B023, E731
+        options = sorted((near(a, b), a, b) for a in gaps for b in gaps if 0 < b - a <= f.size + f.errors + 1)
+        for e, a, b in options:  # the best first, none across another
+            if e <= f.errors and all(b <= x or y <= a for x, y, _ in want):
+                want.add((a, b, e))
+        assert {(a - 1, b, e) for a, b, e in f.matches(words)} == want and len(want) > 1
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]

@@ -97,9 +97,15 @@ class Fuzzy:
                 reach.append([low, high])
         out = []
         for low, high in reach:
-            for m in self.pattern.finditer(text, max(0, low), min(len(text), high)):
-                out.append((m.start(), m.end(), sum(m.fuzzy_counts)))
-        return out
+            # The best match comes first; others may stand on either side of it.
+            parts = [(max(0, low), min(len(text), high))]
+            while parts:
+                a, b = parts.pop()
+                m = self.pattern.search(text, a, b)
+                if m:
+                    out.append((m.start(), m.end(), sum(m.fuzzy_counts)))
+                    parts += [(m.end(), b), (a, m.start())]
+        return sorted(out)
 
 
 def _places(text: bytes, seed: bytes, shift: int):
