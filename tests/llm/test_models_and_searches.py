@@ -178,6 +178,14 @@ def test_neighbours_by_brute_force(spark, sf_dir, block_bytes):
     assert hits / total >= 0.99
 
 
+def test_neighbours_keep_rows_whose_score_is_known():
+    for seed in range(400):
+        x = np.random.default_rng(seed).standard_normal((21, 64))
+        codes, scalars, centre = neighbours.encode(x)
+        for _, rows, _ in neighbours.search_block(np.arange(21), x, codes, scalars, centre, np.arange(21), x, 20, 2.5):
+            assert len(rows) == 20
+
+
 def test_neighbours_awkward(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, float(i % 3)], i) for i in range(1, 60)] + [(20, [1.0, 2.0], 0)] * 3 + [(i, [0.5, 0.5], 0) for i in range(100, 400)]

@@ -72,6 +72,7 @@ def search_block(ids, vectors, codes, scalars, centre, query_ids, queries, k: in
             floor = exact.min() if len(first) >= k else -np.inf
             slack = 1e-5 * (lengths[a + i] + 1)  # of single precision
             near = np.flatnonzero(own & (guess[i] + factor * lengths[a + i] * error + slack >= floor))
+            near = np.union1d(near, first)  # a known score counts whatever its bound
             score = np.einsum("ij,j->i", vectors[near], q)
             best = np.lexsort((ids[near], -score))[:k]
             yield a + i, near[best], score[best]
