@@ -245,6 +245,23 @@ def test_recall_of_edited_passages(spark, sf_dir):
     assert found / len(bench) >= 0.95
 
 
+@pytest.mark.parametrize("n", [5, 10, 12, 13, 15, 20, 30, 50])
+def test_no_passage_within_the_edits_is_missed(n):
+    rng, hashes = random.Random(n), decontamination.WordHashes()
+    bench = [(i, " ".join(f"w{rng.randrange(5_000)}" for _ in range(n))) for i in range(60)]
+    index, edits = decontamination.Index(bench, 0.2), int(n * 0.2)
+    for item, text in bench:
+        w = text.split()
+        fifth, first, mixed = list(w), ["new", *w[1:]], list(w)
+        for k in range(edits):
+            fifth[5 * k + 4] = "new"
+            p = rng.randrange(len(mixed))
+            mixed[p : p + 1] = rng.choice([[], ["new"], [mixed[p], "more"]])
+        for copy in (fifth, first, w[1:], mixed):
+            packed = hashes.of("before that " + " ".join(copy) + " after it") + bytes(8)
+            assert item in {r[0] for r in index.hits(np.frombuffer(packed, np.uint64), [0]).get(0, [])}
+
+
 def test_decontamination_awkward(spark, awkward, empty):
     items = spark.createDataFrame(
         [(1, None), (2, ""), (3, "lazy dog"), (4, "one"), (5, "The QUICK, brown fox jumps over a lazy dog near the river bank"), (5, "the lazy dog"), (None, "an id is missing")],

@@ -1,18 +1,13 @@
-"""Benchmark decontamination by random-walk embedding and bit-sampling search.
-
-Texts and items are sequences of normalised words. The walk of Chakraborty, Goldenberg and Koucky
-reads a sequence through a pointer that a random function of step and word moves on or not; two
-sequences that share their randomness fall into step again after an edit, so edit distance becomes
-Hamming distance of the walks. Each repetition draws the walk anew, samples a few of its positions
-and looks for windows of a text whose sampled words equal those of an item. Repetitions anchor
-their window at different places of the item, and there are as many as the target recall asks for.
-Candidates are verified by exact edit distance.
+"""Benchmark decontamination by exact seeds and edit distance.
+
+Texts and items are sequences of normalised words. An item of which at most ``k`` words may be
+edited is cut into ``k + 1`` pieces; wherever it stands, at least one piece stands unchanged
+(pigeonhole). The pieces are looked up at every word of a text, and their surroundings are
+verified by exact edit distance, so no place within the edits is missed.
 """
 
 from __future__ import annotations
 
-import math
-import random
 import re
 from bisect import bisect_right
 from collections.abc import Sequence
@@ -26,12 +21,9 @@ from pyspark.sql import types as T
 from tidegauge.llm.common import col, map_texts, slices
 
 MAX_EDIT_RATE = 0.2  # word edits over words of the item
-TARGET_RECALL = 0.95  # of passages with that many edits spread over them
-SAMPLES = 5  # positions of a walk that must agree, the first word among them
+MOST_WORDS = 8  # of a piece that are looked up
 CHUNK_CHARACTERS = 8 << 20  # of items held by every task at once
 CACHE_ENTRIES = 250_000
-#: (words of an item from, steps of the walk, sampled positions, words the walk may reach)
-CLASSES = ((12, 16, SAMPLES, 12), (3, 3, 2, 3), (1, 1, 1, 1))
 
 HITS = T.ArrayType(
     T.StructType(
@@ -69,23 +61,15 @@ class WordHashes(dict):
 
 
 @dataclass
-class Repetition:
-    """One draw of the walk, with the sampled words of all items."""
+class Pieces:
+    """All pieces of one length."""
 
-    sampled: list[int]
-    factor: np.uint64  # the word's random bits come from the high end of hash times factor
-    seen: list[np.ndarray]  # for each sampled position: may a word with these 16 bits be right
+    seen: list[np.ndarray]  # for each place in a piece: may a word with these 16 bits be right
     keys: np.ndarray
     items: np.ndarray
     offsets: np.ndarray
 
 
-def repetitions(samples: int, steps: int, rate: float, recall: float) -> int:
-    """So many that a stretch without edits turns up with the target recall."""
-    read = 1 + steps * samples / (samples + 1) / 2
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - (1 - rate) ** read)))
-
-
 def _mix(key: np.ndarray, word: np.ndarray) -> np.ndarray:
     return key * np.uint64(0x9E3779B97F4A7C15) + word
 
@@ -93,7 +77,8 @@ def _mix(key: np.ndarray, word: np.ndarray) -> np.ndarray:
 class Index:
     """Items by their sampled walks, for windows of any text."""
 
-    def __init__(self, items: Sequence[tuple[int, str | None]], rate: float, recall: float, seed: int = 7):
+    def __init__(self, items: Sequence[tuple[int, str | None]], rate: float, recall: float = 1.0):
+        """``recall`` is for older callers: nothing within the edits is missed."""
         hashes = WordHashes()
         self.rate = rate
         self.ids, self.words = [], []
@@ -102,74 +87,62 @@ class Index:
             if len(words):
                 self.ids.append(item_id)
                 self.words.append(words)
-        draw = random.Random(seed)
-        self.runs: list[Repetition] = []
-        most = math.inf
-        for least, steps, samples, reach in CLASSES:
-            chosen = [i for i, w in enumerate(self.words) if least <= len(w) < most]
-            most = least
-            n = repetitions(samples, steps, rate, recall) if chosen else 0
-            for r in range(n):
-                self.runs.append(self._repetition(chosen, steps, samples, reach, r / max(1, n - 1), draw))
-
-    def _repetition(self, chosen, steps, samples, reach, place, draw) -> Repetition:
-        # The first word, and one position from each equal part of the rest.
-        edges = [1 + (steps - 1) * i // max(1, samples - 1) for i in range(samples)]
-        sampled = [0, *(draw.randrange(a, b) for a, b in zip(edges, edges[1:], strict=False))]
-        factor = np.uint64(draw.getrandbits(64) | 1)
-        offsets = np.array([round(place * max(0, len(self.words[i]) - reach)) for i in chosen], np.int64)
-        parts = [x for i, o in zip(chosen, offsets, strict=True) for x in (self.words[i][o:], np.zeros(1, np.uint64))]
-        text = np.concatenate(parts)
-        at = np.cumsum([0, *(len(self.words[i]) - o + 1 for i, o in zip(chosen, offsets, strict=True))])[:-1]
-        walk = list(_walk(text, at, sampled, factor))
-        seen = []
-        for words in walk:
+        places: dict[int, list[tuple[int, int]]] = {}
+        for i, words in enumerate(self.words):
+            parts = min(len(words), int(len(words) * rate) + 1)
+            for k in range(parts):
+                places.setdefault(min(MOST_WORDS, len(words) // parts), []).append((i, len(words) * k // parts))
+        self.runs = [self._pieces(size, where) for size, where in sorted(places.items())]
+
+    def _pieces(self, size, where) -> Pieces:
+        rows = np.array([self.words[i][o : o + size] for i, o in where])
+        seen, keys = [], np.zeros(len(rows), np.uint64)
+        for words in rows.T:
             table = np.zeros(1 << 16, bool)
             table[(words >> np.uint64(48)).astype(np.uint16)] = True
             seen.append(table)
-        keys = np.zeros(len(chosen), np.uint64)
-        for words in walk:
             keys = _mix(keys, words)
         order = np.argsort(keys, kind="stable")
-        return Repetition(sampled, factor, seen, keys[order], np.array(chosen)[order], offsets[order])
+        items, offsets = np.array(where, np.int64).T
+        return Pieces(seen, keys[order], items[order], offsets[order])
 
     def candidates(self, text: np.ndarray):
-        """(item, place of the item's first word) for windows at every word of a text."""
+        """(item, place of the item's first word, place of the piece) for pieces anywhere in a text."""
         high = (text >> np.uint64(48)).astype(np.uint16)
         for run in self.runs:
             at = np.nonzero(run.seen[0][high] & (text != 0))[0]
-            key, pointer, step = _mix(np.zeros(len(at), np.uint64), text[at]), at.copy(), 0
-            for place, table in zip(run.sampled[1:], run.seen[1:], strict=True):
-                while step < place:
-                    pointer += _moves(text[pointer], step, run.factor)
-                    step += 1
-                words = text[pointer]
-                keep = table[(words >> np.uint64(48)).astype(np.uint16)]
-                at, pointer, key = at[keep], pointer[keep], _mix(key[keep], words[keep])
+            at = at[at <= len(text) - len(run.seen)]
+            key = _mix(np.zeros(len(at), np.uint64), text[at])
+            for place, table in enumerate(run.seen[1:], 1):
+                keep = table[high[at + place]]
+                at = at[keep]
+                key = _mix(key[keep], text[at + place])
             low, end = np.searchsorted(run.keys, key, "left"), np.searchsorted(run.keys, key, "right")
             for i in np.nonzero(end > low)[0]:
                 for j in range(low[i], end[i]):
-                    yield int(run.items[j]), int(at[i] - run.offsets[j])
+                    yield int(run.items[j]), int(at[i] - run.offsets[j]), int(at[i])
 
     def hits(self, text: np.ndarray, bounds: list[int]) -> dict[int, list[tuple]]:
         """Verified items by text number; ``bounds`` are the places where texts begin in ``text``."""
         near: dict[tuple[int, int], set[int]] = {}
-        for item, at in self.candidates(text):
-            # The anchor lies in the text that has the window, the item's start may lie before it.
-            t = bisect_right(bounds, max(at, 0)) - 1
-            inside = at + len(self.words[item]) // 2
-            t = max(t, bisect_right(bounds, min(inside, len(text) - 1)) - 1)
-            near.setdefault((t, item), set()).add(at)
+        for item, at, piece in self.candidates(text):
+            near.setdefault((bisect_right(bounds, piece) - 1, item), set()).add(at)
         out: dict[int, list[tuple]] = {}
         for (t, item), places in near.items():
             words, end = self.words[item], bounds[t + 1] - 1 if t + 1 < len(bounds) else len(text) - 1
             most = int(len(words) * self.rate)
-            best, done = None, -1
+            windows: list[list[int]] = []
             for at in sorted(places):
                 low, top = max(bounds[t], at - most - 1), min(end, at + len(words) + most + 1)
-                if top <= done:
+                if windows and low <= windows[-1][1]:
+                    windows[-1][1] = max(windows[-1][1], top)
+                else:
+                    windows.append([low, top])
+            best = None
+            for low, top in windows:
+                # Words of the item that no edit touches are in the window.
+                if np.isin(text[low:top], words).sum() < len(words) - most:
                     continue
-                done = top
                 got = nearest(words, text[low:top])
                 if got and got[0] <= most and (best is None or got[0] < best[0]):
                     best = (got[0], low + got[1], low + got[2])
@@ -179,20 +152,6 @@ class Index:
         return {t: sorted(rows) for t, rows in out.items()}
 
 
-def _moves(words: np.ndarray, step: int, factor: np.uint64) -> np.ndarray:
-    """Does the pointer move after this step; at the end of a text (zero) it never does."""
-    return ((words * factor) >> np.uint64(63 - step)) & np.uint64(1) != 0
-
-
-def _walk(text, at, sampled, factor):
-    pointer, step = at.copy(), 0
-    for place in sampled:
-        while step < place:
-            pointer += _moves(text[pointer], step, factor)
-            step += 1
-        yield text[pointer]
-
-
 def _best_end(pattern: list[int], text: list[int]) -> tuple[int, int]:
     """(distance, end) of the stretch of the text nearest to the pattern, its start free.
 
@@ -238,7 +197,7 @@ def with_hits(
     item_id_col: str = "item_id",
     item_text_col: str = "text",
     rate: float = MAX_EDIT_RATE,
-    recall: float = TARGET_RECALL,
+    recall: float = 1.0,
     chunk_characters: int = CHUNK_CHARACTERS,
 ) -> DataFrame:
     """``keep`` and ``hits``: the benchmark items that a text holds with few word edits.
