@@ -10,10 +10,13 @@ from tidegauge.llm.langid import language
 from tidegauge.llm.licenses import license_scan
 from tidegauge.llm.mixing import mix
 from tidegauge.llm.neighbours import nearest
+from tidegauge.llm.periodic import periodic_runs
 from tidegauge.llm.sharding import shard
 from tidegauge.llm.simhash import near_duplicates
 from tidegauge.llm.tokens import token_counts
 from tidegauge.llm.toxicity import toxicity
+from tidegauge.llm.vector_dedup import near_duplicate_vectors
+from tidegauge.llm.whitening import whitened
 from tidegauge.plans.catalog import Entry, table
 
 CATALOG: dict[str, Entry] = {}
@@ -131,3 +134,18 @@ def op4_nearest_neighbours(spark, sf_dir):
 @query("op1_main_text")
 def op1_main_text(spark, sf_dir):
     return page_text(table(spark, sf_dir, "pages"))
+
+
+@query("op11_whitening")
+def op11_whitening(spark, sf_dir):
+    return whitened(table(spark, sf_dir, "embeddings"), k=16)
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark, sf_dir):
+    return periodic_runs(table(spark, sf_dir, "documents"))
+
+
+@query("op13_vector_dedup")
+def op13_vector_dedup(spark, sf_dir):
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
