@@ -1,22 +1,24 @@
-"""Regressors on Spark ML, with the parameter meanings that analysts know from scikit-learn."""
+"""Regressors with the parameter meanings that analysts know from scikit-learn.
+
+Linear models come from sufficient statistics (``linear``), trees from histograms (``trees``).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.base import Model
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import (
-    DecisionTreeRegressor,
-    GBTRegressor,
-    LinearRegression,
-    RandomForestRegressor,
-)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.models.linear import Gramian, LinearModel, gramian
+from tidegauge.models.trees import Settings, TreeModel, fit_trees
+
 FAMILIES = ("linear", "ridge", "forest", "gbt", "xgboost", "tree")
+LINEAR = ("linear", "ridge")
+
+Model = LinearModel | TreeModel
 
 
 def training_frame(df: DataFrame, x: Column, y: Column, keep: Sequence[str] = ()) -> DataFrame:
@@ -38,68 +40,58 @@ def table_frame(
     return training_frame(df, x, F.col(f"`{target}`"), keep)
 
 
-def fit_linear(train: DataFrame) -> Model:
-    return LinearRegression(solver="normal").fit(train)
-
+def fit_linear(train: DataFrame) -> LinearModel:
+    return gramian(train).models()[0]
 
-def fit_ridge(train: DataFrame, alpha: float = 1.0) -> Model:
-    """Ridge with the penalty ``alpha * |w|^2`` on the summed squared error.
 
-    The normal-equation solver divides the label by its population deviation and averages
-    over rows, hence the conversion; the intercept is not penalised.
-    """
-    row = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("s")).first()
-    reg = alpha * (row["s"] or 0.0) / row["n"]
-    return LinearRegression(
-        solver="normal", elasticNetParam=0.0, standardization=False, regParam=reg
-    ).fit(train)
+def fit_ridge(train: DataFrame, alpha: float = 1.0) -> LinearModel:
+    """Ridge with the penalty ``alpha * |w|^2`` on the summed squared error; the intercept is not penalised."""
+    return gramian(train).models(alpha)[0]
 
 
-def fit_forest(train: DataFrame, n_estimators: int = 200, max_depth: int = 8, min_leaf: int = 5, seed: int = 0) -> Model:
-    return RandomForestRegressor(
-        numTrees=n_estimators, maxDepth=max_depth, minInstancesPerNode=min_leaf,
-        featureSubsetStrategy="all", seed=seed,
-    ).fit(train)
+def forest(n_estimators: int = 200, max_depth: int = 8, min_leaf: int = 5, seed: int = 0) -> Settings:
+    """Trees on samples with replacement, all features; hash parts of the rows are drawn, not single rows."""
+    return Settings("forest", n_estimators, max_depth, least=min_leaf, seed=seed)
 
 
-def fit_gbt(train: DataFrame, n_estimators: int = 200, learning_rate: float = 0.05, max_depth: int = 3, seed: int = 0) -> Model:
-    return GBTRegressor(maxIter=n_estimators, stepSize=learning_rate, maxDepth=max_depth, seed=seed).fit(train)
+def gbt(n_estimators: int = 200, learning_rate: float = 0.05, max_depth: int = 3, seed: int = 0) -> Settings:
+    return Settings("boost", n_estimators, max_depth, learning_rate, seed=seed)
 
 
-def fit_boosted(
-    train: DataFrame,
+def xgboost(
     n_estimators: int = 400,
     max_depth: int = 6,
     learning_rate: float = 0.1,
     subsample: float = 0.8,
     colsample: float = 0.8,
+    reg_lambda: float = 1.0,
+    reg_alpha: float = 0.0,
     seed: int = 0,
-) -> Model:
-    """Boosted trees on row and column samples; leaf penalties have no counterpart here."""
-    return GBTRegressor(
-        maxIter=n_estimators, stepSize=learning_rate, maxDepth=max_depth,
-        subsamplingRate=subsample, featureSubsetStrategy=str(colsample), seed=seed,
-    ).fit(train)
+) -> Settings:
+    """Boosted trees with leaf penalties, on a share of the rows (hash parts) and of the features, drawn for each tree."""
+    return Settings("boost", n_estimators, max_depth, learning_rate, 1.0, reg_lambda, reg_alpha, subsample, colsample, seed)
 
 
-def fit_tree(train: DataFrame, max_depth: int = 6, min_leaf: int = 10, seed: int = 0) -> Model:
-    return DecisionTreeRegressor(maxDepth=max_depth, minInstancesPerNode=min_leaf, seed=seed).fit(train)
+def tree(max_depth: int = 6, min_leaf: int = 10, seed: int = 0) -> Settings:
+    return Settings("tree", 1, max_depth, least=min_leaf, seed=seed)
 
 
-_FITS = {
-    "linear": fit_linear,
-    "ridge": fit_ridge,
-    "forest": fit_forest,
-    "gbt": fit_gbt,
-    "xgboost": fit_boosted,
-    "tree": fit_tree,
-}
+TREES = {"forest": forest, "gbt": gbt, "xgboost": xgboost, "tree": tree}
 
 
-def fit_family(family: str, train: DataFrame, params: Mapping | None = None) -> Model:
-    if family not in _FITS:
+def tree_settings(family: str, params: Mapping | None = None) -> Settings:
+    if family not in TREES:
         raise ValueError(f"unknown model family: {family}")
-    return _FITS[family](train, **(params or {}))
+    return TREES[family](**(params or {}))
+
+
+def fit_family(family: str, train: DataFrame, params: Mapping | None = None) -> Model:
+    """A model of a ``(features, label)`` frame."""
+    if family == "linear":
+        return fit_linear(train, **(params or {}))
+    if family == "ridge":
+        return fit_ridge(train, **(params or {}))
+    return TreeModel(fit_trees(train, [tree_settings(family, params)]))
 
 
 @dataclass(frozen=True)
@@ -120,7 +112,11 @@ class MultiStepModel:
 def fit_multi_output(
     windows: DataFrame, horizon: int, family: str, params: Mapping | None = None, x: str = "x", y: str = "y"
 ) -> MultiStepModel:
-    """Fit one regressor per step of the target array ``y``."""
+    """Fit one regressor per step of the target array ``y``; linear ones share one set of sums."""
+    if family in LINEAR:
+        alpha = {"ridge": {"alpha": 1.0}, "linear": {"alpha": 0.0}}[family] | dict(params or {})
+        steps = F.transform(F.slice(y, 1, horizon), lambda v: v.cast("double"))
+        return MultiStepModel(tuple(Gramian.of(windows, F.flatten(x), steps).models(**alpha)))
     models = []
     for step in range(horizon):
         train = training_frame(windows, F.flatten(x), F.element_at(y, step + 1))

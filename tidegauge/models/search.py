@@ -1,84 +1,125 @@
-"""Model selection and grid search: every candidate is a Spark ML fit on the same split."""
+"""Model selection and grid search: all candidates are fitted together on the same split.
+
+Linear candidates share one set of sums, tree candidates one binned table and its chains of trees;
+the validation rows are scored once, by all of them.
+"""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Sequence
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.models.regressors import fit_family, fit_multi_output
+from tidegauge.models.linear import LinearModel, gramian
+from tidegauge.models.regressors import LINEAR, training_frame, tree_settings
+from tidegauge.models.trees import TABLE_BYTES, Ensemble, fit_trees, with_predictions
 from tidegauge.operators.stats import error_metrics
 
 RESULT_SCHEMA = (
     "candidate_id int, family string, params string, mae double, r2 double, acc double, error string"
 )
 
-Evaluate = Callable[[str, dict], tuple[float, float | None, float]]
+Candidate = tuple[str, dict]
 
 
-def run_candidates(
-    spark: SparkSession, candidates: Sequence[tuple[str, dict]], evaluate: Evaluate, parallel: int = 4
-) -> DataFrame:
-    """Score every candidate; a failing one gets an infinite error and its message.
+class Fitted:
+    """All candidates of a search: what could be fitted, and why the others could not."""
 
-    Fits run as Spark jobs from a few driver threads; only their metrics come back.
-    """
+    def __init__(self, train: DataFrame, candidates: Sequence[Candidate], table_bytes: int = TABLE_BYTES):
+        self.errors: dict[int, str] = {}
+        self.linear: dict[int, LinearModel] = {}
+        self.trees: Ensemble | None = None
+        self.order: list[int] = []  # of the tree candidates in the ensemble
+        settings, sums = [], None
+        for i, (family, params) in enumerate(candidates):
+            try:  # a candidate may be invalid
+                if family in LINEAR:
+                    sums = sums or gramian(train.where("label is not null"))
+                    self.linear[i] = sums.models(**({"alpha": 1.0} if family == "ridge" else {}) | params)[0]
+                else:
+                    settings.append(tree_settings(family, params))
+                    self.order.append(i)
+            except (TypeError, ValueError) as e:
+                self.errors[i] = str(e)
+        if settings:
+            self.trees = fit_trees(train, settings, table_bytes=table_bytes)
+
+    @property
+    def ids(self) -> list[int]:
+        return [*self.linear, *self.order]
 
-    def run(item):
-        i, (family, params) = item
-        try:
-            mae, r2, acc = evaluate(family, params)
-            return (i, family, json.dumps(params), float(mae), r2, acc, None)
-        except Exception as e:  # a candidate may be invalid
-            return (i, family, json.dumps(params), float("inf"), None, None, str(e))
+    def predictor(self) -> Predictor:
+        weights = np.array([list(m.coefficients) for m in self.linear.values()])
+        return Predictor(weights, np.array([m.intercept for m in self.linear.values()]), self.trees)
 
-    with ThreadPoolExecutor(max_workers=parallel) as pool:
-        rows = list(pool.map(run, enumerate(candidates)))
-    return spark.createDataFrame(rows, RESULT_SCHEMA)
 
+@dataclass(frozen=True)
+class Predictor:
+    """From a matrix to one column a fitted candidate: the linear ones, then the trees."""
 
-def _metrics(pairs: DataFrame, threshold: float) -> tuple[float, float | None, float]:
-    row = error_metrics(
-        pairs, "label", "prediction", thresholds=(threshold,), eps=1e-8, as_percent=False
-    ).first()
-    return row["mae"], row["r2"], row[f"acc_{round(threshold * 100):d}"]
+    weights: np.ndarray
+    base: np.ndarray
+    trees: Ensemble | None
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        parts = [x @ self.weights.T + self.base] if len(self.base) else []
+        return np.concatenate(parts + ([self.trees.predict(x)] if self.trees else []), axis=1)
 
 
 def table_search(
-    train: DataFrame, valid: DataFrame, candidates: Sequence[tuple[str, dict]], threshold: float = 0.05, parallel: int = 4
+    train: DataFrame,
+    valid: DataFrame,
+    candidates: Sequence[Candidate],
+    threshold: float = 0.05,
+    table_bytes: int = TABLE_BYTES,
 ) -> DataFrame:
-    """Search over ``(features, label)`` frames; best first by (mae, candidate order)."""
+    """Search over ``(features, label)`` frames; best first by (mae, candidate order).
 
-    def evaluate(family, params):
-        return _metrics(fit_family(family, train, params).transform(valid), threshold)
-
-    return run_candidates(train.sparkSession, candidates, evaluate, parallel).orderBy("mae", "candidate_id")
+    A candidate that cannot be fitted gets an infinite error and its message.
+    """
+    spark = train.sparkSession
+    told = [(i, family, json.dumps(params)) for i, (family, params) in enumerate(candidates)]
+    fitted = Fitted(train, candidates, table_bytes)
+    frame = spark.createDataFrame(told, "candidate_id int, family string, params string")
+    bad = spark.createDataFrame(list(fitted.errors.items()), "candidate_id int, error string")
+    acc = f"acc_{round(threshold * 100):d}"
+    if fitted.ids:
+        scored = with_predictions(valid.select("features", "label"), "features", fitted.predictor(), len(fitted.ids), "__p")
+        each = scored.select("label", F.posexplode("__p").alias("place", "prediction"))
+        ids = F.array(*[F.lit(i) for i in fitted.ids])
+        each = each.select(ids[F.col("place")].alias("candidate_id"), "label", "prediction")
+        metrics = error_metrics(each, "label", "prediction", ["candidate_id"], (threshold,), eps=1e-8, as_percent=False)
+        metrics = metrics.select("candidate_id", "mae", "r2", F.col(acc).alias("acc"))
+    else:
+        metrics = spark.createDataFrame([], "candidate_id int, mae double, r2 double, acc double")
+    joined = frame.join(F.broadcast(metrics), "candidate_id", "left").join(F.broadcast(bad), "candidate_id", "left")
+    mae = F.when(F.col("error").isNotNull(), F.lit(float("inf"))).otherwise(F.col("mae")).alias("mae")
+    return joined.select("candidate_id", "family", "params", mae, "r2", "acc", "error").orderBy("mae", "candidate_id")
 
 
 def forecast_search(
     train: DataFrame,
     valid: DataFrame,
     horizon: int,
-    candidates: Sequence[tuple[str, dict]],
+    candidates: Sequence[Candidate],
     threshold: float = 0.15,
     minimum: int = 32,
-    parallel: int = 4,
+    table_bytes: int = TABLE_BYTES,
 ) -> DataFrame:
-    """Search over window frames ``(x, y array)``, judged on the first forecast step."""
+    """Search over window frames ``(x, y array)`` whose targets reach the horizon.
+
+    Candidates are judged on the first forecast step, so that one is fitted; ``fit_multi_output``
+    fits all steps of the winner.
+    """
+    train, valid = (w.where(F.size("y") >= horizon) for w in (train, valid))
     if train.limit(minimum).count() + valid.limit(minimum).count() < minimum:
         raise ValueError("not enough windows for a search")
-
-    def evaluate(family, params):
-        scored = fit_multi_output(train, horizon, family, params).predict(valid)
-        pairs = scored.select(
-            F.element_at("y", 1).alias("label"), F.element_at("yhat", 1).alias("prediction")
-        )
-        return _metrics(pairs, threshold)
-
-    return run_candidates(train.sparkSession, candidates, evaluate, parallel).orderBy("mae", "candidate_id")
+    frames = [training_frame(w, F.flatten("x"), F.element_at("y", 1)) for w in (train, valid)]
+    return table_search(*frames, candidates, threshold, table_bytes)
 
 
 def best_candidate(results: DataFrame) -> tuple[str, dict, dict]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidegauge.models import evaluate, mlp, regressors, retrain, search
+from tidegauge.models import evaluate, linear, mlp, regressors, retrain, search, trees
 from tidegauge.models.network import Network
 from tidegauge.operators import grids, sequence
 from tidegauge.operators.drift import count_windows, drift_windows
@@ -68,6 +68,48 @@ def ridge_two_features(spark, sf_dir):
     return _coefficients(spark, regressors.fit_ridge(train, 10.0))
 
 
+_PATH_ALPHAS = (1.0, 100.0, 1e4, 1e6, 1e8, 1e10)
+
+
+def _path_sql(rows: str, y: str) -> str:
+    """Closed form of ridge on two features for all penalties; ``rows`` gives step, x1, x2 and y."""
+    return f"""
+    WITH r AS ({rows}),
+    s AS (SELECT step, avg(x1) AS m1, avg(x2) AS m2, avg({y}) AS my, COUNT(*) * var_pop(x1) AS a, COUNT(*) * covar_pop(x1, x2) AS b,
+                 COUNT(*) * var_pop(x2) AS d, COUNT(*) * covar_pop(x1, {y}) AS r1, COUNT(*) * covar_pop(x2, {y}) AS r2 FROM r GROUP BY 1),
+    p AS (SELECT *, unnest([{', '.join(map(repr, _PATH_ALPHAS))}] :: DOUBLE[]) AS alpha FROM s),
+    w AS (SELECT alpha, step, m1, m2, my, ((d + alpha) * r1 - b * r2) / ((a + alpha) * (d + alpha) - b * b) AS w0,
+                 ((a + alpha) * r2 - b * r1) / ((a + alpha) * (d + alpha) - b * b) AS w1 FROM p)
+    SELECT alpha, step :: INTEGER AS step, 'w0' AS term, round(w0, 4) AS value FROM w UNION ALL SELECT alpha, step :: INTEGER, 'w1', round(w1, 4) FROM w
+    UNION ALL SELECT alpha, step :: INTEGER, 'intercept', round(my - w0 * m1 - w1 * m2, 2) FROM w"""
+
+
+def _rounded_path(rows, x, y):
+    found = linear.ridge_path(rows, x, y, _PATH_ALPHAS)
+    return found.withColumn("value", F.when(F.col("term") == "intercept", F.round("value", 2)).otherwise(F.round("value", 4)))
+
+
+@query("ridge_path", _path_sql("SELECT 1 AS step, l_quantity AS x1, l_discount AS x2, l_extendedprice AS y FROM lineitem", "y"))
+def ridge_path(spark, sf_dir):
+    """Six penalties from one set of sums."""
+    return _rounded_path(table(spark, sf_dir, "lineitem"), F.array("l_quantity", "l_discount"), F.array("l_extendedprice"))
+
+
+@query(
+    "forecast_ridge_path",
+    _path_sql(
+        f"""WITH {DAILY_SQL}, w AS (SELECT total AS x1, n AS x2, [{', '.join(f'lead(total, {h}) OVER o' for h in range(1, 6))}] AS ys
+                 FROM daily WINDOW o AS (ORDER BY day))
+        SELECT unnest(range(1, 6)) AS step, x1, x2, unnest(ys) AS y FROM w WHERE ys[5] IS NOT NULL""",
+        "y",
+    ),
+)
+def forecast_ridge_path(spark, sf_dir):
+    """Five forecast steps times six penalties from one set of sums."""
+    windows = sequence.sliding_windows(daily_orders(spark, sf_dir), ["day"], ["total", "n"], "total", 1, 5, multi_output=True)
+    return _rounded_path(windows, F.flatten("x"), F.col("y"))
+
+
 def _line_split(spark, sf_dir):
     frame = regressors.table_frame(
         table(spark, sf_dir, "lineitem"), LINE_FEATURES, "l_extendedprice", scale=True, keep=LINE_ORDER
@@ -88,6 +130,63 @@ def tree_fit(spark, sf_dir):
     return _fit_report(spark, sf_dir, "tree", {})
 
 
+_SPLIT_FEATURES = ["l_quantity", "l_discount", "l_linenumber"]
+
+
+def _stump_sql(number: int, rows: str, l2: float, l1: float, least: float) -> str:
+    """CTEs of the best split of ``rows`` (features c0.. and the label e, counted from its mean)."""
+    soft = lambda g: f"(sign({g}) * greatest(abs({g}) - {l1}, 0))"
+    score = lambda n, g: f"{soft(g)} * {soft(g)} / ({n} + {l2})"
+    union = " UNION ALL ".join(f"SELECT {i} AS f, c{i} AS x, COUNT(*) AS n, SUM(e) AS s FROM {rows} GROUP BY 2" for i in range(len(_SPLIT_FEATURES)))
+    return f"""
+    g{number} AS ({union}),
+    h{number} AS (SELECT f, x, lead(x) OVER w AS nx, SUM(n) OVER w AS ln, SUM(s) OVER w AS ls,
+                 SUM(n) OVER (PARTITION BY f) AS tn, SUM(s) OVER (PARTITION BY f) AS ts FROM g{number} WINDOW w AS (PARTITION BY f ORDER BY x)),
+    b{number} AS (SELECT f, x, (x + nx) / 2 AS cut, {soft('ls')} / (ln + {l2}) AS lo, {soft('(ts - ls)')} / (tn - ln + {l2}) AS hi FROM h{number}
+           WHERE nx IS NOT NULL AND ln >= {least} AND tn - ln >= {least}
+           ORDER BY {score('ln', 'ls')} + {score('(tn - ln)', '(ts - ls)')} DESC, f, x LIMIT 1)"""
+
+
+_SPLIT_ROWS_SQL = f"""SELECT {', '.join(f'{c} :: DOUBLE AS c{i}' for i, c in enumerate(_SPLIT_FEATURES))}, l_extendedprice - m AS e
+    FROM lineitem, (SELECT avg(l_extendedprice) AS m FROM lineitem)"""
+_SPLIT_SELECT = "SELECT {0} AS tree, f :: INTEGER AS feature, round(cut, 6) AS cut, round(lo, 4) AS left_value, round(hi, 4) AS right_value FROM b{0}"
+
+
+def _splits(spark, sf_dir, settings):
+    frame = regressors.table_frame(table(spark, sf_dir, "lineitem"), _SPLIT_FEATURES, "l_extendedprice")
+    nodes = trees.fit_trees(frame, [settings]).nodes()
+    value = {(t, i): v for t, i, *_, v in nodes}
+    rows = [(t, f, round(c, 6), value[t, left], value[t, left + 1]) for t, _, f, c, left, _ in nodes if f is not None]
+    out = spark.createDataFrame(rows, "tree int, feature int, cut double, left_value double, right_value double")
+    return out.withColumns({c: F.round(c, 4) for c in ("left_value", "right_value")})
+
+
+@query("tree_split", f"WITH r0 AS ({_SPLIT_ROWS_SQL}), {_stump_sql(0, 'r0', 0.0, 0.0, 10)} {_SPLIT_SELECT.format(0)}")
+def tree_split(spark, sf_dir):
+    """The first split of a tree, counted from the mean label."""
+    return _splits(spark, sf_dir, regressors.tree(max_depth=1))
+
+
+_BOOST_RATE, _BOOST_L2, _BOOST_L1 = 0.5, 100.0, 1000.0
+
+
+@query(
+    "boosted_splits",
+    f"WITH r0 AS ({_SPLIT_ROWS_SQL}), {_stump_sql(0, 'r0', _BOOST_L2, _BOOST_L1, 1)}, "
+    + ", ".join(
+        f"""r{k} AS (SELECT r{k - 1}.* REPLACE (e - {_BOOST_RATE} * CASE WHEN CASE f {' '.join(f'WHEN {i} THEN c{i}' for i in range(len(_SPLIT_FEATURES)))} END <= cut
+                    THEN lo ELSE hi END AS e) FROM r{k - 1}, b{k - 1}), {_stump_sql(k, f'r{k}', _BOOST_L2, _BOOST_L1, 1)}"""
+        for k in (1, 2)
+    )
+    + " "
+    + " UNION ALL ".join(_SPLIT_SELECT.format(k) for k in range(3)),
+)
+def boosted_splits(spark, sf_dir):
+    """Three rounds of boosted trees of one split each, with both leaf penalties."""
+    s = trees.Settings("boost", 3, 1, _BOOST_RATE, l2=_BOOST_L2, l1=_BOOST_L1)
+    return _splits(spark, sf_dir, s)
+
+
 @query("forest_fit")
 def forest_fit(spark, sf_dir):
     return _fit_report(spark, sf_dir, "forest", {"n_estimators": grids.FOREST_TREES[0]})
