@@ -30,6 +30,7 @@ LIMIT = 1e-10  # residual that must be reached at least
 PROBES = 12  # Lanczos passes that find the ends of the spectrum
 LARGEST = 2.0**62  # of an entry that a long can hold
 TILE_BYTES = 4 << 20
+TASK_BYTES = 64 << 20  # of the tiles that one task of a pass reads
 FEW_PARTS = 32  # partial sums that are added on the driver in one go
 _LONG = np.iinfo(np.int64).max
 
@@ -40,8 +41,12 @@ def grid(matrix: np.ndarray, scale: int, shift: int) -> np.ndarray:
     return np.floor(scale * matrix).astype(np.int64) + shift
 
 
-def _tiles(vectors: DataFrame, dim: int) -> DataFrame:
-    """The rows ``x`` (array of longs), packed into tiles of bounded bytes and written once."""
+def _tiles(vectors: DataFrame, dim: int, n: int) -> DataFrame:
+    """The ``n`` rows ``x`` (array of longs), packed into tiles of bounded bytes and written once.
+
+    A pass takes as many tasks as the bytes ask for, or as there are cores: there are many passes.
+    """
+    wanted = max(vectors.sparkSession.sparkContext.defaultParallelism, -(-n * dim * 8 // TASK_BYTES))
     rows = max(1, TILE_BYTES // (8 * dim))
 
     def pack(batches):
@@ -50,7 +55,7 @@ def _tiles(vectors: DataFrame, dim: int) -> DataFrame:
                 for at in range(0, len(m), rows):
                     yield pa.RecordBatch.from_arrays([pa.array([m[at : at + rows].astype(np.int64).tobytes()], pa.binary())], ["tile"])
 
-    return cut_lineage(vectors.mapInArrow(pack, "tile binary"))
+    return cut_lineage(vectors.coalesce(wanted).mapInArrow(pack, "tile binary"))
 
 
 def _total(tiles: DataFrame, dim: int, of: Callable[[np.ndarray], np.ndarray], kind=np.float64) -> np.ndarray:
@@ -172,7 +177,7 @@ def fit(vectors: DataFrame, k: int = COMPONENTS, guard: int = GUARD, degree: int
     if first is None or not first.dim:
         return None
     dim, n = first.dim, listed.count()
-    tiles = _tiles(listed, dim)
+    tiles = _tiles(listed, dim, n)
     # Halves of 32 bits: their sums are exact in 64 bits for two thousand million rows.
     halves = _total(tiles, dim, lambda x: np.concatenate([(x >> 32).sum(axis=0), (x & 0xFFFFFFFF).sum(axis=0)]), np.int64)
     sums = tuple((int(h) << 32) + int(w) for h, w in zip(halves[:dim], halves[dim:], strict=True))
