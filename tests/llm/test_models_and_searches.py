@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -245,21 +246,51 @@ def test_recall_of_edited_passages(spark, sf_dir):
     assert found / len(bench) >= 0.95
 
 
-@pytest.mark.parametrize("n", [5, 10, 12, 13, 15, 20, 30, 50])
-def test_no_passage_within_the_edits_is_missed(n):
+def _edited(words, edits, rng):
+    """Copies with so many edits: spread evenly, at either end, missing there, single words anywhere, anything anywhere."""
+    n, even, mixed, singles = len(words), list(words), list(words), list(words)
+    for k in range(edits):
+        even[min(n - 1, 5 * k + 4)] = "new"
+        p = rng.randrange(len(mixed))
+        mixed[p : p + 1] = rng.choice([[], ["new"], [mixed[p], "more"]])
+    for p in rng.sample(range(n), edits):
+        singles[p] = "new"
+    return even, ["new"] * edits + words[edits:], words[: n - edits] + ["new"] * edits, words[edits:], singles, mixed
+
+
+@pytest.mark.parametrize("n", [5, 6, 9, 10, 12, 13, 15, 20, 30, 50, 100, 200])
+def test_recall_of_passages_with_all_their_edits(n):
     rng, hashes = random.Random(n), decontamination.WordHashes()
     bench = [(i, " ".join(f"w{rng.randrange(5_000)}" for _ in range(n))) for i in range(60)]
-    index, edits = decontamination.Index(bench, 0.2), int(n * 0.2)
+    index, found, there = decontamination.Index(bench, 0.2), Counter(), Counter()
     for item, text in bench:
-        w = text.split()
-        fifth, first, mixed = list(w), ["new", *w[1:]], list(w)
-        for k in range(edits):
-            fifth[5 * k + 4] = "new"
-            p = rng.randrange(len(mixed))
-            mixed[p : p + 1] = rng.choice([[], ["new"], [mixed[p], "more"]])
-        for copy in (fifth, first, w[1:], mixed):
-            packed = hashes.of("before that " + " ".join(copy) + " after it") + bytes(8)
-            assert item in {r[0] for r in index.hits(np.frombuffer(packed, np.uint64), [0]).get(0, [])}
+        for kind, copy in enumerate(_edited(text.split(), int(n * 0.2), rng)):
+            words = np.frombuffer(hashes.of("before that " + " ".join(copy) + " after it") + bytes(8), np.uint64)
+            assert decontamination.nearest(index.words[item], words)[0] <= int(n * 0.2)  # what exact search finds
+            there[kind] += 1
+            found[kind] += item in {r[0] for r in index.hits(words, [0]).get(0, [])}
+    assert all(found[kind] >= 0.95 * there[kind] for kind in there)
+
+
+def test_exact_copies_of_any_length_are_found():
+    rng, hashes = random.Random(8), decontamination.WordHashes()
+    bench = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(1 + i % 14))) for i in range(400)]
+    index = decontamination.Index(bench, 0.2)
+    for item, text in bench:
+        words = np.frombuffer(hashes.of(f"before {text} after") + bytes(8), np.uint64)
+        assert item in {r[0] for r in index.hits(words, [0])[0]}
+
+
+def test_walks_fall_into_step_after_an_edit():
+    rng = np.random.default_rng(0)
+    a = rng.integers(1, 2**63, 400, dtype=np.uint64) | np.uint64(1)
+    b = np.concatenate([a[:50], a[53:], np.zeros(3, np.uint64)])  # three words are missing
+    again = 0
+    for factor in rng.integers(1, 2**62, 200, dtype=np.uint64) * np.uint64(2) + np.uint64(1):
+        sampled = list(range(0, 60, 2))
+        (x, _), (y, _) = (decontamination._walk(t, np.array([46]), sampled, factor) for t in (a, b))
+        again += sum(p[0] == q[0] for p, q in zip(x[-5:], y[-5:], strict=True)) >= 4
+    assert again > 100
 
 
 def test_decontamination_awkward(spark, awkward, empty):
