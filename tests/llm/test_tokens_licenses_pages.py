@@ -2,8 +2,10 @@
 
 import html
 import re
+import time
 
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from tidegauge.llm import html_text, licenses, tokens
@@ -126,6 +128,56 @@ def test_names_with_header():
     assert html_text.main_text(page).startswith("A paragraph")
 
 
+LONG_P = "<p>A paragraph that is long enough to be scored, with a comma, and then a bit more text.</p>"
+
+
+@pytest.mark.parametrize(
+    "name",
+    "ad-content ad-body promo-text sidebar-content newsletter-body cookie-text related-entry sponsored-post adslot share-page notice-story".split(),
+)
+def test_boxes_named_as_noise_go_inside_the_article_and_beside_it(name):
+    box = f'<div class="{name}"><p>Buy this now, it is cheap, and it is good, and there are only a few of them left.</p></div>'
+    want = html_text.main_text(f"<body><article>{LONG_P}{LONG_P}</article></body>")
+    assert html_text.main_text(f"<body><article>{LONG_P}{box}{LONG_P}</article></body>") == want
+    assert html_text.main_text(f"<body><article>{LONG_P}{LONG_P}</article>{box}</body>") == want
+    assert html_text.main_text(f"<body><div>{box}<div>{LONG_P}{LONG_P}</div></div></body>") == want
+
+
+def test_frames_named_after_noise_keep_the_article():
+    page = f'<body><div class="sidebar-layout"><div class="ads-wrapper"><article>{LONG_P}</article></div><div class="sidebar">{LONG_P}</div></div>'
+    assert html_text.main_text(page) == html_text.main_text(LONG_P)
+    assert html_text.main_text(f'<div class="sidebar-wrapper">{LONG_P}</div><div>x {LONG_P}</div>').startswith("x A paragraph")
+
+
+def test_long_attributes_and_stray_quotes():
+    for value in ("x" * 6_000 + " > LEAK", "x" * 200_000 + "<p>LEAK</p>"):
+        for quote in "\"'":
+            assert "LEAK" not in html_text.main_text(f"<article data-j={quote}{value}{quote}>{LONG_P}</article>")
+    page = f'<article><p title=5">{LONG_P[3:]}<p class="a"b>{LONG_P[3:]}</article>'
+    assert html_text.main_text(page).count("A paragraph") == 2
+    started = time.time()
+    html_text.main_text('<a b="' * 50_000 + "<a b='" * 50_000)
+    assert time.time() - started < 5
+
+
+@pytest.mark.parametrize("depth", [1, 10, 70, 700])
+def test_headers_inside_the_article_at_any_depth(depth):
+    page = f"<article>{'<div>' * depth}<header><h1>Head of it</h1></header>{LONG_P}{'</div>' * depth}</article>"
+    assert html_text.main_text(page).startswith("Head of it A paragraph")
+
+
+def test_extraction_does_not_depend_on_article_and_main_tags(spark, sf_dir):
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        plain = re.sub(r"<(/?)(?:article|main)\b", r"<\1div", r.html)
+        assert html_text.main_text(plain) == html_text.main_text(r.html)
+
+
+def test_a_very_long_page_with_name_traps():
+    trap = f'<div class="ad-content">{LONG_P}</div><div class="story">{LONG_P}</div>'
+    got = html_text.main_text(f"<body><div>{trap * 3_000}</div></body>")
+    assert got.count("A paragraph") == 3_000
+
+
 def test_awkward_pages(spark):
     deep = "<div>" * 5000 + "text in a deep place, with a comma" + "</div>" * 5000
     rows = [

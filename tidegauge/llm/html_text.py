@@ -35,14 +35,15 @@ SCOPES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"},
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form note".split())
 # Parts of class and id names.
 NOISE = frozenset(
-    "ad ads advert adverts advertisement advertising adsense adsbygoogle banner breadcrumb breadcrumbs byline captcha "
+    "ad ads adbanner adbox adcontainer adframe adslot adspace adunit adwrapper advert adverts advertisement advertising adsense adsbygoogle banner breadcrumb breadcrumbs byline captcha "
     "comment comments commentlist consent cookie cookies disqus disclaimer donate footer gdpr hidden login masthead menu "
     "modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination paywall popup "
     "privacy promo promoted promotion recommended recommendations related replies respond search share sharing shoutbox "
     "sidebar sidenav signup skip social sponsor sponsored subscribe subscription taboola tags teaser toc toolbar trending "
     "widget widgets".split()
 )
-TEXT_NAMES = frozenset("article body content entry main page post story text column layout".split())
+TEXT_NAMES = frozenset("article main".split())  # the whole text, whatever else a name says
+FRAMES = frozenset("body column container grid inner layout outer page row site wrap wrapper".split())  # may hold it beside noise
 READERS = frozenset("comment comments commentlist disqus replies respond".split())
 NEGATIONS = frozenset("with has no without is have".split())
 HEADER_ENDS = frozenset("header area bar block container inner outer top wrap wrapper".split())
@@ -53,7 +54,7 @@ LEVELS = 6
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]{0,5000}\"|'[^']{0,5000}')*+|[^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=(?:\s*(?:\"[^\"]*\"|'[^']*'))?)*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
     re.S,
 )
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -66,10 +67,12 @@ MAIN = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_cha
 class Node:
     """An element with its pieces, elements and text, in order."""
 
-    __slots__ = ("tag", "parent", "pieces", "noise", "chars", "linked", "commas", "points", "level")
+    __slots__ = ("tag", "parent", "pieces", "noise", "frame", "in_text", "chars", "linked", "commas", "points", "level")
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool = False):
-        self.tag, self.parent, self.noise = tag, parent, noise
+    def __init__(self, tag: str, parent: Node | None):
+        self.tag, self.parent, self.noise = tag, parent, False
+        self.frame = parent.frame if parent else None  # the nearest element around that is noise by a frame's name
+        self.in_text = tag in ("article", "main") or (parent is not None and parent.in_text)
         self.pieces: list[Node | str] = []
         self.chars = self.linked = self.commas = 0
         self.points = 0.0
@@ -81,52 +84,56 @@ class Node:
 
 def _name_is_noise(name: str) -> bool:
     parts = [p.lower() for p in _PARTS.findall(name)]
-    if not parts or parts[0] in NEGATIONS:
-        return False
-    if parts[-1] in TEXT_NAMES and not READERS.intersection(parts):
+    if not parts or parts[0] in NEGATIONS or (parts[-1] in TEXT_NAMES and NOISE.isdisjoint(parts[-2:-1]) and not READERS.intersection(parts)):
         return False
     return not NOISE.isdisjoint(parts)
 
 
+def _name_is_frame(name: str) -> bool:
+    """Noise by name, but of a box that may well hold the text too."""
+    return _PARTS.findall(name)[-1].lower() in FRAMES
+
+
 def _name_is_header(name: str) -> bool:
     parts = [p.lower() for p in _PARTS.findall(name)]
     return "header" in parts and parts[0] not in NEGATIONS and parts[-1] in HEADER_ENDS
 
 
-def _is_noise(tag: str, attributes: str, parent: Node) -> bool:
-    if tag in DROPPED:
-        return True
-    if tag in ("html", "body"):
-        return False
-    in_text = parent.tag in ("article", "main") or _inside(parent, ("article", "main"))
-    if tag == "header" and not in_text:
-        return True
-    if not attributes.strip():
-        return False
+def _judge(node: Node, attributes: str) -> None:
+    """Set whether an element is boilerplate by its tag, role or name."""
+    tag, in_text = node.tag, node.parent.in_text
+    if node.frame is not None and tag in ("article", "main"):
+        _clear(node)
+    if tag in DROPPED or (tag == "header" and not in_text):
+        node.noise = True
+    if node.noise or tag in ("html", "body") or not attributes.strip():
+        return
+    frames = []
     for name, a, b, c in _ATTR.findall(attributes):
         name, value = name.lower(), a or b or c
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-        if name == "role" and value.lower() in ROLES:
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name in ("class", "id") and tag not in ("article", "main"):
-            if any(map(_name_is_noise, value.split())):
-                return True
+        if (
+            name == "hidden"
+            or (name == "aria-hidden" and value == "true")
+            or (name == "role" and value.lower() in ROLES)
+            or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
+        ):
+            node.noise = True
+        elif name in ("class", "id") and tag not in ("article", "main"):
             if not in_text and any(map(_name_is_header, value.split())):
-                return True
-    return False
+                node.noise = True
+            frames += [_name_is_frame(v) for v in value.split() if _name_is_noise(v)]
+    if frames and not node.noise:
+        node.noise = True
+        if all(frames):
+            node.frame = node
 
 
-def _inside(node: Node | None, tags) -> bool:
-    for _ in range(64):
-        if node is None:
-            return False
-        if node.tag in tags:
-            return True
-        node = node.parent
-    return False
+def _clear(node: Node) -> None:
+    """An article or main element shows that the frames around it are no boilerplate."""
+    frame = node.frame
+    while frame is not None and frame.noise:
+        frame.noise = False
+        frame = frame.parent.frame
 
 
 def parse(html: str) -> Node:
@@ -185,7 +192,8 @@ def parse(html: str) -> Node:
             here = close(ENDED_BY[tag], SCOPES[tag]) or here
         if tag == "body":
             here = close({"head"}, ()) or here
-        node = Node(tag, here, here.noise or _is_noise(tag, m.group(3), here))
+        node = Node(tag, here)
+        _judge(node, m.group(3))
         here.pieces.append(node)
         if not m.group(3).rstrip().endswith("/") or tag in BLOCKS:
             open_tags[tag] = open_tags.get(tag, 0) + 1
