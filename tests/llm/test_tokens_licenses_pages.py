@@ -1,6 +1,7 @@
 """Row-wise operators against the library, plain loops and hand-written pages."""
 
 import html
+import random
 import re
 import time
 
@@ -79,15 +80,59 @@ def test_license_fuzzy_labels(spark, awkward, empty):
     assert licenses.license_scan(empty).collect() == []
 
 
+def _brute_matches(phrase, f, text):
+    """All places at word gaps within the errors, the best first and none across another."""
+    gaps = [i for i, c in enumerate(text) if c == 0x20]
+    options = []
+    for a in gaps:
+        for b in gaps:
+            if f.size - f.errors <= b - a - 1 <= f.size + f.errors:
+                options.append((_edits(phrase.encode(), text[a + 1 : b]), a + 1, b))
+    kept = []
+    for e, a, b in sorted(options):
+        if e <= f.errors and all(b <= x or y <= a for x, y, _ in kept):
+            kept.append((a, b, e))
+    return sorted(kept)
+
+
 def test_pigeonhole_finds_every_match_of_the_bounded_pattern(documents):
-    base = [(b" " + p.encode() + b" ", label, p.count(" ") + 1) for p, label in licenses.BASE_PHRASES.items()]
-    assert base
-    fuzzy = [f for f in licenses._fuzzy(licenses.BASE_PHRASES, 8) if f.errors]
-    typed = "a gnu generl publc license x mit licens y apachelicense z gnu general public licence mit lizense"
-    for text in [typed] + [r.text[:1500] for r in documents.limit(20).collect()]:
+    rng = random.Random(1)
+    typed = ["a gnu generl publc license x mit licens y apachelicense z gnu general public licence mit lizense"]
+    for _ in range(60):
+        words = " ".join(rng.choice(["mit", "license", "licence", "apache", "gnu general public license", "gnu", "genera", "x"]) for _ in range(14))
+        for _ in range(rng.randrange(4)):
+            p = rng.randrange(len(words))
+            words = words[:p] + rng.choice(["", "e", " "]) + words[p + rng.randrange(2) :]
+        typed.append(words)
+    phrases = {p: label for p, label in licenses.BASE_PHRASES.items()}
+    fuzzy = list(zip(phrases, licenses._fuzzy(phrases, 8), strict=True))
+    n = 0
+    for text in typed + [r.text[:400] for r in documents.limit(20).collect()]:
         words = b" " + b" ".join(text.encode().lower().translate(licenses._WORD_BYTES).split()) + b" "
-        for f in fuzzy:
-            assert {(a, b) for a, b, _ in f.matches(words)} == {m.span() for m in f.pattern.finditer(words)}
+        for phrase, f in fuzzy:
+            if f.errors:
+                got = f.matches(words)
+                assert got == _brute_matches(phrase, f, words)
+                n += len(got)
+    assert n > 100
+
+
+def test_repeated_notices_take_time_in_proportion():
+    taken = []
+    for times in (1_000, 8_000):
+        text = "mit licence and released under the mit licenze or " * times
+        started = time.time()
+        (n_words, n_base, first, _, _, labels, _, spans), = licenses_scan([text])
+        taken.append(time.time() - started)
+        assert (n_words, n_base, first, labels) == (9 * times, 0, None, "mit") and len(spans) == 3 * times
+    assert taken[0] < 2 and taken[1] < 24 * max(taken[0], 0.05)
+
+
+def licenses_scan(texts):
+    base = [(b" " + p.encode() + b" ", label, p.count(" ") + 1) for p, label in licenses.BASE_PHRASES.items()]
+    exact = re.compile(b"|".join(re.escape(p) for p, _, _ in base))
+    fuzzy = [f for f in licenses._fuzzy(licenses.BASE_PHRASES | licenses.NOTICES, 8) if f.errors]
+    return [licenses.scan(t, base, exact, fuzzy) for t in texts]
 
 
 def _article(page):

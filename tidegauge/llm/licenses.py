@@ -8,8 +8,10 @@ surroundings of a hit are given to the regex library's bounded-error matching.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right, insort
 from dataclasses import dataclass
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -87,25 +89,33 @@ class Fuzzy:
         return cls(label, len(raw), errors, seeds, pattern)
 
     def matches(self, text: bytes) -> list[tuple[int, int, int]]:
-        """(start, end, errors) in a text of words between single spaces; overlaps give one."""
-        reach: list[list[int]] = []
-        near = self.size + 2 * self.errors + 2
-        for low, high in sorted((p - near, p + near) for s, at in self.seeds for p in _places(text, s, at)):
-            if reach and low <= reach[-1][1]:
-                reach[-1][1] = max(reach[-1][1], high)
-            else:
-                reach.append([low, high])
-        out = []
-        for low, high in reach:
-            # The best match comes first; others may stand on either side of it.
-            parts = [(max(0, low), min(len(text), high))]
-            while parts:
-                a, b = parts.pop()
-                m = self.pattern.search(text, a, b)
+        """(start, end, errors) in a text of words between single spaces, in order.
+
+        Of all that match the ones with the fewest errors come first, of equals the earliest; what
+        overlaps one of them is out. Only windows of bounded length around the seeds are searched.
+        """
+        open_ = sorted({p for seed, at in self.seeds for p in _places(text, seed, at)})
+        taken: list[tuple[int, int, int]] = []
+        while open_:
+            found, more = set(), []
+            for p in open_:
+                low, high = max(0, p - self.errors - 2), min(len(text), p + self.size + 2 * self.errors + 2)
+                # Matches that count already bound the window; one in its midst ends the search there.
+                i = bisect_right(taken, (p + self.size // 2,))
+                if i:
+                    low = max(low, taken[i - 1][1])
+                if i < len(taken):
+                    high = min(high, taken[i][0])
+                m = self.pattern.search(text, low, high) if high - low > self.size - self.errors else None
                 if m:
-                    out.append((m.start(), m.end(), sum(m.fuzzy_counts)))
-                    parts += [(m.end(), b), (a, m.start())]
-        return sorted(out)
+                    found.add((sum(m.fuzzy_counts), m.start(), m.end()))
+                    more.append(p)
+            for errors, start, end in sorted(found):
+                i = bisect_right(taken, (start,))
+                if (not i or taken[i - 1][1] <= start) and (i == len(taken) or end <= taken[i][0]):
+                    insort(taken, (start, end, errors))
+            open_ = more
+        return taken
 
 
 def _places(text: bytes, seed: bytes, shift: int):
@@ -126,7 +136,8 @@ def scan(text: str | None, base, exact, fuzzy) -> tuple:
     n_words = words.count(b" ") - 1 if len(words) > 2 else 0
     if not exact.search(words) and not any(s in words for f in fuzzy for s, _ in f.seeds):
         return n_words, 0, None, None, "", "", 0.0, []
-    word_at = lambda p: words.count(b" ", 0, p + 1)  # noqa: E731  words that start up to p, the gap included
+    gaps = np.flatnonzero(np.frombuffer(words, np.uint8) == 0x20)
+    word_at = lambda p: int(np.searchsorted(gaps, p, "right"))  # noqa: E731  words that start up to p, the gap included
     starts, labels, best = [], set(), 0.0
     spans: dict[tuple[str, int, int], int] = {}
     for phrase, label, size in base:
