@@ -132,9 +132,59 @@ def test_mix_with_a_third_of_all_rows_repeated(spark):
     assert abs(sum(r.taken for r in hot) - hot[0].target) <= 5 and {r.size for r in hot} == {5}
 
 
+def _one_source_and_another(spark, rows):
+    """The rows as a source of which the mix wants only a part: another one takes most."""
+    return spark.createDataFrame([(i, t, "a") for i, t in rows] + [(-1, "y " * 600, "b")], "doc_id long, text string, source string")
+
+
+@pytest.mark.parametrize("own", [None, 5])
+def test_rows_that_share_an_id_or_have_none_are_drawn_each_for_itself(spark, own):
+    rows = [(own, f"w{i} b c d e") for i in range(400)] + [(own, "x " * 2_000)]
+    got = [r for r in mixing.mix(_one_source_and_another(spark, rows)).collect() if r.source_size == 4_000]
+    assert len(got) == 401 and got[0].target < 4_000
+    assert abs(sum(r.taken for r in got) - got[0].target) <= 5
+    assert len({r.copies for r in got if r.size == 5}) == 2
+
+
+def test_equal_ranks_of_different_sizes_are_ordered_by_size(spark):
+    rows = spark.createDataFrame([("a", 7, s) for s in (4, 4, 9, 2)] + [("a", 9, 5)], "source string, rank long, size long")
+    for want, full, last in ((11.0, {2: 1, 4: 2, 9: 0}, None), (6.5, {2: 1, 4: 1, 9: 0}, None), (15.0, {2: 1, 4: 2, 9: 0}, (9, 5)), (8.5, {2: 1, 4: 1, 9: 0}, (7, 4))):
+        cuts = spark.createDataFrame([("a", want, 7, 0)], "source string, want double, prefix long, done long")
+        got = mixing._last_places(rows, cuts).first()
+        assert {t.size: t.full for t in got.ties} == full
+        assert (got.last and (got.last["rank"], got.last["size"])) == last
+
+
+def test_inclusion_is_in_proportion_to_size_and_certain_ones_come_first(spark):
+    sizes = [1, 2, 2, 3, 5, 8, 13, 40, 90]
+    for want in (10.0, 60.0, 100.0, 150.0, 164.0):
+        narrow = spark.createDataFrame([("a", s) for s in sizes], "source string, size long")
+        r = mixing.inclusion_plan(narrow, spark.createDataFrame([("a", want)], "source string, want double")).first()
+        sure: set[int] = set()
+        while True:  # by the book: take what is above one, share the rest again
+            rest = [s for i, s in enumerate(sizes) if i not in sure]
+            each = (want - sum(sizes[i] for i in sure)) / sum(s * s for s in rest) if rest else 0
+            more = {i for i, s in enumerate(sizes) if i not in sure and each * s >= 1}
+            if not more:
+                break
+            sure |= more
+        assert r.certain == min((sizes[i] for i in sure), default=None)
+        assert (r.per_word or 0) == pytest.approx(each) and r.left == pytest.approx(want - sum(sizes[i] for i in sure))
+
+
+def test_large_documents_are_drawn_more_often(spark):
+    rows = [(i, "w " * (30 if i % 2 else 3)) for i in range(2_000)]
+    got = [r for r in mixing.mix(_one_source_and_another(spark, rows)).collect() if r.source_size == 33_000]
+    large, small = ([r.copies for r in got if r.size == s] for s in (30, 3))
+    assert got[0].inclusion != got[1].inclusion and abs(sum(r.taken for r in got) - got[0].target) <= 3
+    for copies, size in ((large, 30), (small, 3)):
+        pi = next(r.inclusion for r in got if r.size == size)
+        assert abs(sum(copies) - 1_000 * pi) < 4 * (1_000 * pi * (1 - pi)) ** 0.5 + 1
+
+
 def test_mix_awkward(awkward, empty):
     got = mixing.mix(awkward)
-    assert got.columns == ["doc_id", "size", "source_size", "target", "copies", "taken"] and got.count() == awkward.count()
+    assert got.columns == ["doc_id", "size", "source_size", "target", "copies", "taken", "inclusion"] and got.count() == awkward.count()
     assert {r.size for r in got.where("doc_id in (3, 4, 5)").collect()} == {0}
     kept = mixing.mix(awkward, keep=awkward.columns)
     assert "size" in kept.columns and kept.count() == awkward.count()

@@ -1,18 +1,19 @@
 """Mixing sources to target weights: whole copies, then Pareto order sampling.
 
-Native Spark: column expressions and aggregates only. Every document of a source has the same
-expected number of copies, its source's target over its size. The whole part of it is allocated
-for certain; the fraction is the document's inclusion probability in one more, fixed-size sample:
-documents are ranked by their random odds divided by their inclusion odds and taken in that order
-as long as they fit into the words still wanted. The last place goes to the document, from the cut
-on, whose size comes nearest to what is missing.
+Native Spark: column expressions and aggregates only. A source's target over its size says how often
+each of its documents is copied for certain; what is then still missing is a fixed-size sample drawn
+with unequal probabilities. A document's inclusion probability is in proportion to its size, so that
+the sample's expected words are those missing; documents that would come out above one are taken
+for certain, and the others share what is left. They are ranked by their random odds divided by
+their inclusion odds and taken in that order as long as they fit into the words still wanted. The
+last place goes to the document, from the cut on, whose size comes nearest to what is missing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.llm.common import col, cut_lineage, others, with_facts
@@ -103,25 +104,66 @@ def _pass_block(acc: Column, x: Column) -> Column:
 
 
 def _last_places(rows: DataFrame, cuts: DataFrame) -> DataFrame:
-    """(source, prefix, full, last): how many rows of the cut's rank fit, and the rank that fills the rest."""
+    """(source, prefix, ties, last): of the cut's rank how many rows of each size fit, and the rank and size that fill the rest."""
     met = with_facts(rows, cuts, "source").where(F.col("rank") >= F.col("prefix"))
-    at_cut = met.where(F.col("rank") == F.col("prefix")).groupBy("source", "want", "prefix", "done")
-    fit = F.least(F.col("n"), F.floor((F.col("want") - F.col("done")) / F.col("size")))
+    by_size = met.where(F.col("rank") == F.col("prefix")).groupBy("source", "want", "prefix", "done", "size").agg(F.count(F.lit(1)).alias("n"))
+    # Rows of one rank: repeats, and now and then another document. Few sizes, the smaller first.
+    listed = by_size.groupBy("source", "want", "prefix", "done").agg(F.array_sort(F.collect_list(F.struct("size", "n"))).alias("sizes"))
+    start = F.struct(
+        (F.col("want") - F.col("done")).alias("room"),
+        (F.col("want") - F.col("done")).alias("gap"),
+        F.array().cast("array<struct<size:bigint,n:bigint,full:bigint>>").alias("ties"),
+    )
     held = cut_lineage(
-        at_cut.agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"))
-        .withColumn("full", F.when(F.col("size") > 0, fit).otherwise(F.lit(0)).cast("bigint"))
-        .withColumn("gap", F.col("want") - (F.col("done") + F.col("full") * F.col("size")))
-        .select("source", "prefix", "n", "full", "gap")
+        listed.withColumn("f", F.aggregate("sizes", start, _fill)).select("source", "prefix", "f.ties", "f.gap")
     )
     miss = F.abs(F.col("size") - F.col("gap"))
-    free = (F.col("rank") > F.col("prefix")) | ((F.col("rank") == F.col("prefix")) & (F.col("full") < F.col("n")))
+    tie = _tie()
+    free = (F.col("rank") > F.col("prefix")) | ((F.col("rank") == F.col("prefix")) & (tie["full"] < tie["n"]))
     last = (
         with_facts(rows, held, "source")
         .where(free & (F.col("size") > 0) & (miss < F.col("gap")))
         .groupBy(F.col("source").alias("_s"))
-        .agg(F.min(F.struct(miss.alias("miss"), F.col("rank").alias("rank")))["rank"].alias("last"))
+        .agg(F.min(F.struct(miss.alias("miss"), F.col("rank").alias("rank"), F.col("size").alias("size"))).alias("last"))
+    )
+    return held.join(last, F.col("source").eqNullSafe(F.col("_s")), "left").select("source", "prefix", "ties", "last")
+
+
+def _fill(acc: Column, x: Column) -> Column:
+    fits = F.when(x["size"] > 0, F.greatest(F.lit(0), F.least(x["n"], F.floor(acc["room"] / x["size"])))).otherwise(0).cast("bigint")
+    return F.struct(
+        (acc["room"] - x["n"] * x["size"]).alias("room"),
+        (acc["gap"] - fits * x["size"]).alias("gap"),
+        F.concat(acc["ties"], F.array(F.struct(x["size"].alias("size"), x["n"].alias("n"), fits.alias("full")))).alias("ties"),
+    )
+
+
+def _tie() -> Column:
+    return F.get(F.filter("ties", lambda t: t["size"] == F.col("size")), F.lit(0))
+
+
+def inclusion_plan(narrow: DataFrame, plan: DataFrame) -> DataFrame:
+    """(source, certain, per_word, left): sizes from ``certain`` on are taken for certain, others with ``per_word`` times their size.
+
+    ``plan`` has the words wanted of each source; ``left`` are those that the certain documents leave.
+    Of sizes in falling order those are certain whose share of what the larger ones leave is one or
+    more. One row a source and size is sorted: sizes repeat, however many documents there are.
+    """
+    sizes = cut_lineage(narrow.where("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
+    met = with_facts(sizes, plan.select("source", "want"), "source")
+    falling = Window.partitionBy("source").orderBy(F.desc("size"))
+    words, squares = F.col("n") * F.col("size"), (F.col("n") * F.col("size")).cast("decimal(38,0)") * F.col("size")
+    larger = F.coalesce(F.sum(words).over(falling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    others_ = F.sum(squares.cast("decimal(38,0)")).over(falling.rowsBetween(0, Window.unboundedFollowing))
+    sure = (F.col("want") - larger) * F.col("size") >= others_.cast("double")
+    told = met.withColumn("sure", sure).withColumn("words", words).withColumn("squares", squares.cast("decimal(38,0)"))
+    held = told.groupBy("source", "want").agg(
+        F.min(F.when(F.col("sure"), F.col("size"))).alias("certain"),
+        F.coalesce(F.sum(F.when(F.col("sure"), F.col("words"))), F.lit(0)).alias("held"),
+        F.sum(F.when(~F.col("sure"), F.col("squares"))).cast("double").alias("squares"),
     )
-    return held.join(last, F.col("source").eqNullSafe(F.col("_s")), "left").select("source", "prefix", "full", "last")
+    left = F.col("want") - F.col("held")
+    return held.select("source", "certain", (left / F.col("squares")).alias("per_word"), left.alias("left"))
 
 
 def mix(
@@ -134,59 +176,68 @@ def mix(
     most: int = MOST_COPIES,
     weights=WEIGHTS,
 ) -> DataFrame:
-    """``keep`` (the id by default) and size, source_size, target, copies, taken of every row.
-
-    ``taken`` is size times copies. The random number of a document comes from a hash of its id
-    and the seed, so reruns agree. A null or empty text has size 0 and is taken 0 words; a
-    source of size 0 has target 0. A null source is a source, a null id hashes like an empty one.
-    Repeated rows share a rank; if the cut falls among them as many are taken as needed. An empty
-    table gives an empty one. Kept columns whose names clash with a result are left out.
+    """``keep`` (the id by default) and size, source_size, target, copies, taken, inclusion of every row.
+
+    ``taken`` is size times copies; ``inclusion`` is the probability of the last copy. The random
+    number of a document comes from a hash of seed, id and text, so reruns agree, and different
+    texts of one id, or without any, are drawn each for itself. A null or empty text has size 0 and
+    is taken 0 words; a source of size 0 has target 0. A null source is a source, a null id hashes
+    like an empty one. Repeated rows share a rank; if the cut falls among them as many are taken as
+    needed. Equal ranks are ordered by size. An empty table gives an empty one. Kept columns
+    whose names clash with a result are left out.
     """
-    results = ("size", "source_size", "target", "copies", "taken")
+    results = ("size", "source_size", "target", "copies", "taken", "inclusion")
     wide = docs.select(*[col(c) for c in others(docs, results) if c in (keep or [id_col])])
     kept = wide.columns
+    text = col(text_col).cast("string")
+    key = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.coalesce(col(id_col).cast("string"), F.lit("")), F.coalesce(text, F.lit(""))), 256)
     rows = docs.select(
-        *[col(c) for c in kept],
+        *[col(c).alias(f"__k{i}") for i, c in enumerate(kept)],
         col(id_col).alias("__doc"),
+        F.conv(F.substring(key, 1, 12), 16, 10).cast("bigint").alias("__u"),
         col(source_col).alias("source__"),
-        word_count(col(text_col).cast("string")).alias("size"),
+        word_count(text).alias("size"),
     )
     if not keep:
         rows = cut_lineage(rows)
-    narrow = rows.select("__doc", F.col("source__").alias("source"), "size")
+    narrow = rows.select("__doc", "__u", F.col("source__").alias("source"), "size")
     narrow = cut_lineage(narrow) if keep else narrow
     sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     plan = cut_lineage(
         source_targets(sizes, most, weights)
         .withColumn("whole", F.floor(ratio).cast("bigint"))
-        .withColumn("pi", ratio - F.col("whole"))
         .withColumn("want", F.col("target") - F.col("whole") * F.col("source_size"))
     )
-    key = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("__doc").cast("string"), F.lit(""))), 256)
-    uniform = (F.conv(F.substring(key, 1, 12), 16, 10).cast("bigint") + 0.5) / float(1 << 48)
-    rank = F.when(F.col("pi") > 0, pareto_rank(uniform, F.col("pi")))
-
-    drawn = with_facts(narrow, plan.where("pi > 0").select("source", "pi"), "source")
-    drawn = cut_lineage(drawn.select("source", rank.alias("rank"), "size"))
-    cuts = _cuts(drawn, plan.where("pi > 0").select("source", "want"))
-    places = _last_places(drawn, cuts).withColumnRenamed("source", "_s")
-    facts = cut_lineage(
-        plan.join(places, F.col("source").eqNullSafe(F.col("_s")), "left").withColumnRenamed("source", "source__").drop("_s")
-    )
-    ranked = with_facts(rows, facts, "source__").withColumn("rank", rank)
-    at_cut = F.coalesce(F.col("rank").isin(F.col("prefix"), F.col("last")), F.lit(False))
-    before = (F.col("rank") < F.col("prefix")) | (F.col("rank").isNotNull() & F.col("prefix").isNull())
-    sure = ranked.where(~at_cut).withColumn("more", F.coalesce(before, F.lit(False)))
+    drawn_from = cut_lineage(inclusion_plan(narrow, plan.where("want > 0")))
+    sure = F.coalesce(F.col("size") >= F.col("certain"), F.lit(False))
+    own = F.when(F.col("size") > 0, F.when(sure, F.lit(1.0)).otherwise(F.col("per_word") * F.col("size")))
+    inclusion = F.coalesce(own, F.lit(0.0))
+    uniform = (F.col("__u") + 0.5) / float(1 << 48)
+    rank = F.when((inclusion > 0) & (inclusion < 1), pareto_rank(uniform, inclusion))
+
+    drawn = with_facts(narrow, drawn_from, "source")
+    drawn = cut_lineage(drawn.select("source", rank.alias("rank"), "size").where("rank is not null"))
+    cuts = _cuts(drawn, drawn_from.select("source", F.col("left").alias("want")))
+    places = _last_places(drawn, cuts)
+    facts = plan.select(F.col("source").alias("source__"), "source_size", "target", "whole")
+    for more in (drawn_from.drop("left"), places):
+        facts = facts.join(more.withColumnRenamed("source", "_s"), F.col("source__").eqNullSafe(F.col("_s")), "left").drop("_s")
+    facts = cut_lineage(facts)
+    ranked = with_facts(rows, facts, "source__").withColumn("inclusion", inclusion).withColumn("rank", rank)
+    fills = (F.col("rank") == F.col("last.rank")) & (F.col("size") == F.col("last.size"))
+    at_cut = F.coalesce((F.col("rank") == F.col("prefix")) | fills, F.lit(False))
+    before = (F.col("rank") < F.col("prefix")) | (F.col("rank").isNotNull() & F.col("prefix").isNull()) | (F.col("inclusion") == 1)
+    plain = ranked.where(~at_cut).withColumn("more", F.coalesce(before, F.lit(False)))
     # One or two documents a source, or their repeats; which of the repeats are taken makes no difference.
     edge = cut_lineage(ranked.where(at_cut).withColumn("_any", F.monotonically_increasing_id()))
-    quota = F.when(F.col("rank") == F.col("prefix"), F.col("full")).otherwise(0) + F.coalesce(
-        (F.col("rank") == F.col("last")).cast("bigint"), F.lit(0)
+    quota = F.when(F.col("rank") == F.col("prefix"), F.coalesce(_tie()["full"], F.lit(0))).otherwise(0) + F.coalesce(
+        fills.cast("bigint"), F.lit(0)
     )
-    last = row_index(edge, ["__doc", "_any"], ["source__", "rank"], "_k", max_rows=GROUP_ROWS)
+    last = row_index(edge, ["__doc", "_any"], ["source__", "rank", "size"], "_k", max_rows=GROUP_ROWS)
     last = last.withColumn("more", F.col("_k") < quota).drop("_k", "_any")
     copies = F.col("whole") + F.col("more").cast("bigint")
-    return sure.unionByName(last).select(
-        *[col(c) for c in kept], "size", "source_size", "target",
-        copies.alias("copies"), (F.col("size") * copies).alias("taken"),
+    return plain.unionByName(last).select(
+        *[F.col(f"__k{i}").alias(c) for i, c in enumerate(kept)], "size", "source_size", "target",
+        copies.alias("copies"), (F.col("size") * copies).alias("taken"), "inclusion",
     )

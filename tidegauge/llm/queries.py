@@ -49,7 +49,7 @@ def op5_simhash_dedup(spark, sf_dir):
 
 @query(
     "op10_source_mix",
-    """WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) :: BIGINT AS size
+    """WITH d AS (SELECT doc_id, text, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) :: BIGINT AS size
                FROM documents),
     s AS (SELECT source, SUM(size) :: BIGINT AS source_size FROM d GROUP BY 1),
     r AS (SELECT source, source_size, [1, 2, 3][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1) :: INT] AS w FROM s),
@@ -60,20 +60,30 @@ def op5_simhash_dedup(spark, sf_dir):
     t AS (SELECT *, (total - 3 * coalesce(SUM(source_size) FILTER (capped) OVER (), 0)) AS lft,
                  SUM(w) FILTER (NOT capped) OVER () AS lft_w FROM c),
     g AS (SELECT source, source_size, CASE WHEN capped THEN 3 * source_size ELSE (lft * w) :: DOUBLE / lft_w :: DOUBLE END :: DOUBLE AS target FROM t),
-    q AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio FROM g),
-    f AS (SELECT *, floor(ratio) :: BIGINT AS whole, ratio - floor(ratio) AS pi FROM q),
-    u AS (SELECT doc_id, size, f.*, target - whole * source_size AS want,
-                 (('0x' || substr(sha256('42|' || coalesce(doc_id :: VARCHAR, '')), 1, 12)) :: BIGINT + 0.5) / 281474976710656.0 :: DOUBLE AS u
-          FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source),
-    o AS (SELECT *, CASE WHEN pi > 0 THEN (u / (1 - u)) / (pi / (1 - pi)) END AS odds FROM u),
+    f AS (SELECT *, target - whole * source_size AS want
+          FROM (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) :: BIGINT ELSE 0 END AS whole FROM g)),
+    x AS (SELECT d.source, size, COUNT(*) AS n, any_value(want) AS want FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source
+          WHERE size > 0 AND want > 0 GROUP BY 1, 2),
+    y AS (SELECT *, (want - coalesce(SUM(n * size) OVER (fall ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) :: DOUBLE) * size
+                    >= (SUM(n * size * size) OVER (fall ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) :: DOUBLE AS sure
+          FROM x WINDOW fall AS (PARTITION BY source ORDER BY size DESC)),
+    z AS (SELECT source, min(size) FILTER (sure) AS certain, any_value(want) - coalesce(SUM(n * size) FILTER (sure), 0) :: DOUBLE AS lft,
+                 (SUM(n * size * size) FILTER (NOT sure)) :: DOUBLE AS sq FROM y GROUP BY 1),
+    u AS (SELECT doc_id, size, f.source, source_size, target, whole, z.lft AS want,
+                 CASE WHEN size > 0 AND size >= certain THEN 1.0 WHEN size > 0 THEN coalesce(z.lft / z.sq * size, 0) ELSE 0 END :: DOUBLE AS pi,
+                 (('0x' || substr(sha256('42|' || coalesce(doc_id :: VARCHAR, '') || '|' || coalesce(text, '')), 1, 12)) :: BIGINT + 0.5)
+                 / 281474976710656.0 :: DOUBLE AS u
+          FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source LEFT JOIN z ON d.source IS NOT DISTINCT FROM z.source),
+    o AS (SELECT *, CASE WHEN pi > 0 AND pi < 1 THEN (u / (1 - u)) / (pi / (1 - pi)) END AS odds FROM u),
     k AS (SELECT *, floor(odds / (1 + odds) * 281474976710655.0 :: DOUBLE) AS rank FROM o),
-    b AS (SELECT *, coalesce(SUM(size) OVER (PARTITION BY source ORDER BY rank, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k),
-    h AS (SELECT *, (pi > 0 AND size > 0 AND before + size <= want) AS fits FROM b),
+    b AS (SELECT *, coalesce(SUM(size) FILTER (rank IS NOT NULL) OVER (PARTITION BY source ORDER BY rank NULLS LAST, size, doc_id
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k),
+    h AS (SELECT *, (rank IS NOT NULL AND before + size <= want) AS fits FROM b),
     m AS (SELECT *, want - coalesce(SUM(size) FILTER (fits) OVER (PARTITION BY source), 0) AS gap FROM h),
-    n AS (SELECT *, CASE WHEN pi > 0 AND size > 0 AND NOT fits AND abs(size - gap) < gap THEN abs(size - gap) END AS miss FROM m),
-    l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY miss NULLS LAST, rank, doc_id) = 1 AND miss IS NOT NULL AS fills FROM n),
-    e AS (SELECT *, whole + (fits OR fills) :: BIGINT AS copies FROM l)
-    SELECT doc_id, size, source_size, target, copies, (size * copies) :: BIGINT AS taken FROM e""",
+    n AS (SELECT *, CASE WHEN rank IS NOT NULL AND NOT fits AND abs(size - gap) < gap THEN abs(size - gap) END AS miss FROM m),
+    l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY miss NULLS LAST, rank, size, doc_id) = 1 AND miss IS NOT NULL AS fills FROM n),
+    e AS (SELECT *, whole + (fits OR fills OR pi = 1) :: BIGINT AS copies FROM l)
+    SELECT doc_id, size, source_size, target, copies, (size * copies) :: BIGINT AS taken, pi AS inclusion FROM e""",
 )
 def op10_source_mix(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents"))
