@@ -230,3 +230,80 @@ def test_drift_to_registry(spark, topic, tmp_path):
     scorer(records.decode_stream(raw, ["a", "b"], default_label=0.0), 0)
     assert spark.read.parquet(str(tmp_path / "out" / "totals")).first().model_key in ("model_99", "baseline")
     assert result.first().rmse <= result.first().baseline_rmse
+
+
+def plain_monitor(rows, done, cfg):
+    """Record by record: (event, at, row_no, js) of records (at, x) and completion times."""
+    marks = sorted([(a, 0, i) for i, (a, _) in enumerate(rows)] + [(t, 1, 0) for t in done])
+    win, base, seen, since, locked, until, out = [], None, 0, 0, False, 0.0, []
+    for at, kind, i in marks:
+        if kind:
+            if locked:
+                locked, until = False, at + cfg.cooldown_seconds
+                base = list(win) if len(win) == cfg.size else base
+                out.append(("retrain_done_seen", at, seen, None))
+            continue
+        win = [*win, rows[i][1]][-cfg.size :]
+        seen += 1
+        if base is None:
+            base = list(win) if len(win) == cfg.size else None
+            continue
+        since += 1
+        if locked or at < until or since < cfg.stride:
+            continue
+        since = 0
+        js = monitor.window_divergence(np.array(base), np.array(win), cfg.bins)
+        drifted = js >= cfg.tiers[-1][1]
+        out.append(("drift" if drifted else "js_tick", at, seen, js))
+        locked = drifted and cfg.lock_on_drift
+    return out
+
+
+@pytest.mark.parametrize("cooldown,size,stride", [(0.0, 30, 7), (25.0, 30, 7), (40.0, 20, 20), (5.0, 10, 1)])
+def test_lock_cooldown_and_refresh_equal_a_plain_replay(cooldown, size, stride):
+    cfg = monitor.MonitorConfig(size=size, stride=stride, bins=8, tiers=(("A", 0.12),), cooldown_seconds=cooldown)
+    rng = np.random.default_rng(int(cooldown) + size)
+    for _ in range(10):
+        n = int(rng.integers(5, 400))
+        at = np.sort(rng.integers(0, n, n)).astype(float)
+        x = rng.normal(size=(n, 2)) + np.sin(np.arange(n) / 30)[:, None]
+        done = np.sort(rng.integers(0, n, 12)).astype(float)
+        want = plain_monitor(list(zip(at, x, strict=True)), done, cfg)
+        cuts = sorted(rng.integers(0, n + 1, 3))
+        for pieces in ([n], [*cuts, n]):  # the state carries over micro-batches, which do not split equal times
+            pieces = sorted({int(np.searchsorted(at, at[p])) if p < n else n for p in pieces})
+            saved, got, a, t = None, [], 0, -1.0
+            for z in pieces:
+                end = at[z] if z < n else np.inf
+                series = monitor._Series(cfg, saved)
+                mine = done[(done >= t) & (done < end)] if z < n else done[done >= t]
+                got += [(e["event"], e["at"], e["row_no"], e.get("js")) for e in series.advance(at[a:z], x[a:z], [None] * (z - a), mine)]
+                saved, a, t = series.saved(), z, end
+            assert [g[:3] for g in got] == [w[:3] for w in want]
+            assert np.allclose([g[3] for g in got if g[3] is not None], [w[3] for w in want if w[3] is not None])
+
+
+def test_registered_lock_query_equals_a_plain_replay(spark, sf_dir):
+    from tidegauge.functions.scalars import epoch_seconds, first_number
+    from tidegauge.plans import streams
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        "event_type", epoch_seconds("ts").alias("at"), "event_id",
+        F.array("value", F.hour("ts").cast("double"), first_number("props")).alias("x"), first_number("props").alias("k"),
+    )
+    cfg = monitor.MonitorConfig(tiers=streams.MONITOR_TIERS, cooldown_seconds=streams.MONITOR_COOLDOWN)
+    rows = events.orderBy("at", "event_id").collect()
+    got = {}
+    for r in streams.drift_lock_stream(spark, sf_dir).collect():
+        got.setdefault(r.event_type, []).append(r)
+    for kind in {r.event_type for r in rows}:
+        own = [r for r in rows if r.event_type == kind]
+        want = plain_monitor([(r["at"], r.x) for r in own], [r["at"] for r in own if r.k % 5 == 0], cfg)
+        mine = sorted(got[kind], key=lambda r: (r["at"], r.event != "drift", r.row_no))
+        assert sorted((r.event, r["at"], r.row_no) for r in mine) == sorted(w[:3] for w in want)
+        assert np.allclose(sorted(r.js for r in mine if r.js is not None), sorted(w[3] for w in want if w[3] is not None), atol=1e-9)
+        assert {r.event for r in mine} >= {"drift", "retrain_done_seen"}
+        for r in mine:  # the snapshot of a window that triggered
+            if r.event == "drift":
+                last = own[r.row_no - cfg.size : r.row_no]
+                assert r.labelled == len(last) and np.isclose(r.mean_label, np.mean([v.x[0] for v in last]), atol=1e-6)

@@ -57,6 +57,50 @@ def drift_stream(spark, sf_dir):
     return scored.select("event_type", "window_id", F.round("js", 9).alias("js"), "tier")
 
 
+MONITOR_TIERS = (("B", 0.045), ("A", 0.035))
+MONITOR_COOLDOWN = 3_600.0
+
+
+def completions_stream(spark, sf_dir):
+    """(event_type, at): records whose k ends in 0 or 5 stand for the end of a retrain."""
+    events = events_stream(spark, sf_dir).where(F.pmod(first_number("props"), F.lit(5.0)) == 0)
+    return events.select("event_type", epoch_seconds("ts").alias("at"))
+
+
+@query("drift_lock_stream")
+def drift_lock_stream(spark, sf_dir):
+    """The monitor with its lock: drift waits for the end of a retrain, a cooldown follows, the baseline is renewed."""
+    folder = _run_folder(spark)
+    events = monitor.monitor_stream(
+        _records(events_stream(spark, sf_dir)), "event_type", epoch_seconds("send_ts"), [F.col("event_id")],
+        monitor.MonitorConfig(tiers=MONITOR_TIERS, cooldown_seconds=MONITOR_COOLDOWN), completions_stream(spark, sf_dir),
+    )
+    monitor.write_monitor(
+        events, "event_type", f"{folder}/events", f"{folder}/windows", f"{folder}/checkpoint"
+    ).awaitTermination()
+    # What the snapshots of the triggering windows hold, read back.
+    windows = spark.read.parquet(f"{folder}/windows").groupBy("event_type", "window_id").agg(
+        F.count(F.lit(1)).alias("labelled"), F.round(F.avg("label"), 6).alias("mean_label")
+    )
+    told = spark.read.parquet(f"{folder}/events").join(windows, ["event_type", "window_id"], "left")
+    return told.select("event_type", "event", "at", "row_no", "window_id", F.round("js", 9).alias("js"), "tier", "labelled", "mean_label")
+
+
+@query("idle_stream", "SELECT event_type, 'idle_timeout' AS event, COUNT(*) AS row_no FROM events GROUP BY 1")
+def idle_stream(spark, sf_dir):
+    """Every series ends some time after its last record; its state goes."""
+    folder = _run_folder(spark)
+    events = monitor.monitor_stream(
+        _records(events_stream(spark, sf_dir)), "event_type", epoch_seconds("send_ts"), [F.col("event_id")],
+        monitor.MonitorConfig(lock_on_drift=False, idle_seconds=1),
+    )
+    running = monitor.write_monitor(
+        events, "event_type", f"{folder}/events", f"{folder}/windows", f"{folder}/checkpoint", processingTime="500 milliseconds"
+    )
+    monitor.await_idle(running, 120)
+    return spark.read.parquet(f"{folder}/events").where("event = 'idle_timeout'").select("event_type", "event", "row_no")
+
+
 # Networks without a hidden layer, which SQL can repeat: weights of value, hour and k, and a shift.
 _FIRST, _SECOND = (20.0, 3.0, 1.0, 50.0), (28.0, 0.5, 0.0, 50.0)
 _PRED_SQL = " + ".join(f"CASE WHEN b = 0 THEN {x} ELSE {y} END{f}" for x, y, f in zip(_FIRST, _SECOND, (" * v", " * h", " * k", "")))

@@ -6,6 +6,7 @@ task; load spreads over keys. The state of a key is bounded by two windows of ro
 
 from __future__ import annotations
 
+import time as clock
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -61,55 +62,66 @@ def window_divergence(base: np.ndarray, window: np.ndarray, bins: int) -> float:
 
 
 class _Series:
-    """Window, baseline and trigger state of one stream key."""
+    """Window, baseline and trigger state of one stream key, as arrays.
+
+    Nothing happens record by record: from any state the place of the next evaluation, or of the
+    completion that ends a lock, follows from counts and times, so there is a step an event.
+    """
 
     def __init__(self, config: MonitorConfig, saved: tuple | None):
         self.config = config
-        xs, ys, base, seen, since, locked, until = saved or ([], [], [], 0, 0, False, 0.0)
-        self.xs = [list(v) for v in xs]
-        self.ys = list(ys)
-        self.baseline = [list(v) for v in base]
-        self.seen, self.since, self.locked, self.until = seen, since, locked, until
+        xs, ys, base, self.seen, self.since, self.locked, self.until = saved or ([], [], [], 0, 0, False, 0.0)
+        self.xs, self.ys = [list(v) for v in xs], list(ys)
+        self.baseline = np.array([list(v) for v in base], float)
 
     def saved(self) -> tuple:
-        return self.xs, self.ys, self.baseline, self.seen, self.since, self.locked, self.until
-
-    def push(self, x: list[float], label: float | None) -> None:
-        self.xs.append(x)
-        self.ys.append(label)
-        if len(self.xs) > self.config.size:
-            del self.xs[0], self.ys[0]
-        self.seen += 1
-
-    def record(self, at: float, x: list[float], label: float | None) -> dict | None:
+        return self.xs, self.ys, self.baseline.tolist(), self.seen, self.since, self.locked, self.until
+
+    def advance(self, at: np.ndarray, x: np.ndarray, labels: list, done: np.ndarray) -> Iterator[dict]:
+        """Events of further records in order of time, and of the times at which retrains were completed."""
+        c, n, held = self.config, len(at), len(self.xs)
+        rows = np.concatenate([np.array(self.xs, float), x]) if held else x
+        ys = self.ys + labels
+        before = np.searchsorted(at, done, side="right")  # records that come first
+
+        def window(count: int) -> slice:
+            return slice(max(0, held + count - c.size), held + count)
+
+        i = 0  # records taken so far
+        if not len(self.baseline):
+            i = min(n, c.size - held)
+            if held + i == c.size:
+                self.baseline = rows[: c.size]
+        while len(self.baseline):
+            if self.locked:
+                d = int(np.searchsorted(before, i, side="left"))
+                if d == len(done):
+                    break
+                self.since, i = self.since + int(before[d]) - i, int(before[d])
+                self.locked, self.until = False, float(done[d]) + c.cooldown_seconds
+                if held + i >= c.size:
+                    self.baseline = rows[window(i)]
+                yield {"event": "retrain_done_seen", "at": float(done[d]), "row_no": self.seen + i}
+            j = max(i + max(1, c.stride - self.since), int(np.searchsorted(at, self.until)) + 1)
+            if j > n:
+                break
+            self.since, i = 0, j
+            yield self._evaluate(float(at[j - 1]), rows[window(j)], ys[window(j)], self.seen + j)
+        self.since += (n - i) if len(self.baseline) else 0
+        self.seen += n
+        last = window(n)
+        self.xs, self.ys = rows[last].tolist(), ys[last]
+
+    def _evaluate(self, at: float, rows: np.ndarray, labels: list, row_no: int) -> dict:
         c = self.config
-        self.push(x, label)
-        if not self.baseline:
-            if len(self.xs) >= c.size:
-                self.baseline = list(self.xs)
-            return None
-        self.since += 1
-        if self.locked or at < self.until or self.since < c.stride:
-            return None
-        self.since = 0
-        js = window_divergence(np.array(self.baseline), np.array(self.xs), c.bins)
+        js = window_divergence(self.baseline, rows, c.bins)
         tier = next((name for name, threshold in c.tiers if js >= threshold), None)
-        event = {"event": "js_tick", "js": js, "tier": tier}
+        event = {"event": "js_tick", "js": js, "tier": tier, "at": at, "row_no": row_no}
         if tier:
-            rows = [{"x": x, "label": y} for x, y in zip(self.xs, self.ys)]
-            event = {"event": "drift", "js": js, "tier": tier, "rows": rows}
+            event |= {"event": "drift", "rows": [{"x": x, "label": y} for x, y in zip(rows.tolist(), labels, strict=True)]}
             self.locked = c.lock_on_drift
         return event
 
-    def retrained(self, at: float) -> dict | None:
-        if not self.locked:
-            return None
-        self.locked = False
-        self.until = at + self.config.cooldown_seconds
-        if len(self.xs) >= self.config.size:
-            self.baseline = list(self.xs)
-        return {"event": "retrain_done_seen"}
-
 
 def monitor_stream(
     records: DataFrame,
@@ -153,14 +165,11 @@ def monitor_stream(
             return
         series = _Series(config, state.get if state.exists else None)
         rows = pd.concat(list(batches)).sort_values(["at", *orders], kind="stable")
-        found = []
-        for r in rows.itertuples(index=False):
-            if r.kind == RECORD:
-                event = series.record(r.at, [float(v) for v in r.x], None if pd.isna(r.label) else float(r.label))
-            else:
-                event = series.retrained(r.at)
-            if event:
-                found.append({**event, "at": r.at, "row_no": series.seen})
+        own = rows[rows.kind == RECORD]
+        x = np.array(own.x.tolist(), float).reshape(len(own), -1)
+        labels = [None if v != v else v for v in own.label.astype(float).tolist()]
+        done = np.sort(rows.loc[rows.kind == RETRAIN_DONE, "at"].to_numpy(float))
+        found = list(series.advance(own["at"].to_numpy(float), x, labels, done))
         state.update(series.saved())
         if config.idle_seconds:
             state.setTimeoutDuration(config.idle_seconds * 1000)
@@ -216,3 +225,19 @@ def write_monitor(events: DataFrame, key: str, events_path: str, snapshot_path:
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
+
+
+def await_idle(running, seconds: float) -> None:
+    """Stop a monitor when the state of all its keys has timed out, or fail after so many seconds."""
+    end = clock.monotonic() + seconds
+    try:
+        while clock.monotonic() < end and running.isActive:
+            last = running.lastProgress
+            if last and last["stateOperators"] and last["numInputRows"] == 0 and last["stateOperators"][0]["numRowsTotal"] == 0:
+                return
+            clock.sleep(0.2)
+        if running.exception():
+            raise running.exception()
+        raise TimeoutError(f"keys still active after {seconds} s")
+    finally:
+        running.stop()
