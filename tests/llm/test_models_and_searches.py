@@ -168,7 +168,7 @@ def test_neighbours_by_brute_force(spark, sf_dir, block_bytes):
     ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
     table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     found = {}
-    for r in neighbours.nearest(table, block_bytes=block_bytes, query_rows=7).collect():
+    for r in neighbours.nearest(table, block_bytes=block_bytes, query_bytes=7 * 64 * 8).collect():
         found.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
     hits = total = 0
     for q in np.flatnonzero(ids % 20 == 0):
@@ -179,6 +179,19 @@ def test_neighbours_by_brute_force(spark, sf_dir, block_bytes):
     assert hits / total >= 0.99
 
 
+@pytest.mark.parametrize("size", [1e-30, 1e20, 1e140])
+def test_neighbours_of_large_and_small_components(spark, size):
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((3_000, 16)) * size
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    found = {}
+    for r in neighbours.nearest(table, every=100).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    ids = np.arange(len(x))
+    hits = sum(len(found[q] & {i for i, _ in _exact(ids, x, q, 20)}) for q in range(0, 3_000, 100))
+    assert hits >= 0.99 * 20 * 30
+
+
 def test_neighbours_keep_rows_whose_score_is_known():
     for seed in range(400):
         x = np.random.default_rng(seed).standard_normal((21, 64))

@@ -55,7 +55,8 @@ def drawn(id_col: str, wanted: int, rows: int, seed: int = 0) -> Column:
     """About ``wanted`` of ``rows`` rows by a hash of their id; all if there are no more."""
     if rows <= wanted:
         return F.lit(True)
-    return F.pmod(F.xxhash64(col(id_col), F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * wanted / rows)
+    # The whole hash is compared, so that a small share of very many rows is not rounded to none.
+    return F.xxhash64(col(id_col), F.lit(seed)) < F.lit((wanted << 64) // rows - (1 << 63))
 
 
 def slices(texts: Sequence[str | None], limit: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:

@@ -1,10 +1,12 @@
 """Nearest neighbours by inner product with randomly rotated one-bit codes.
 
-Rows lie in blocks of bounded bytes. In a block every vector, taken from the block's centroid and
-turned by a random rotation, is coded by the signs of its components; two numbers correct the
-code, its length and its inner product with the unit vector. Packed bits and corrections give an
-unbiased estimate of every inner product and a bound of its error. The best by estimate are
-computed exactly, and so is every row whose upper bound reaches the last of these.
+Rows lie in blocks of bounded bytes, which stay where they are. In a block every vector, taken from
+the block's centroid and turned by a random rotation, is coded by the signs of its components; two
+numbers correct the code, its length and its inner product with the unit vector. Packed bits and
+corrections give an unbiased estimate of every inner product and a bound of its error. The best by
+estimate are computed exactly, and so is every row whose upper bound reaches the last of these.
+Queries travel to the blocks in parts of bounded bytes, one pass over the blocks each; a task
+merges what its blocks find for a query.
 """
 
 from __future__ import annotations
@@ -16,14 +18,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.llm.common import col, cut_lineage
+from tidegauge.llm.vectors import finite, matrices, nonzero
 
 BLOCK_BYTES = 8 << 20
-QUERY_ROWS = 2048  # queries that meet a block in one task
+QUERY_BYTES = 64 << 20  # of the queries that every task holds in one pass
+LEAST_BLOCK_ROWS = 512
 ERROR_FACTOR = 2.5  # standard errors of the estimate that a bound allows for
 _SUB_ROWS = 128  # queries whose estimates are held at once
 
-_BLOCK = "dim int, block long, ids binary, vectors binary, codes binary, scalars binary, centre binary"
-_CHUNK = "dim int, chunk long, query_ids binary, query_keys binary, query_vectors binary"
+_BLOCK = "dim int, ids binary, vectors binary, codes binary, scalars binary, centre binary"
 _FOUND = "query_id long, query_key long, vec_id long, score double"
 
 
@@ -34,8 +37,14 @@ def rotation(dim: int, seed: int = 11) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def _scale(vectors: np.ndarray) -> float:
+    """The largest component; what is divided by it neither over- nor underflows in single precision sums."""
+    return float(np.abs(vectors).max(initial=0)) or 1.0
+
+
 def encode(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(packed sign bits, lengths and corrections, centroid) of a block."""
+    """(packed sign bits, lengths and corrections, centroid) of a block, in units of its largest component."""
+    vectors = vectors / _scale(vectors)
     centre = vectors.mean(axis=0)
     turned = (vectors - centre) @ rotation(vectors.shape[1]).T
     length = np.sqrt(np.einsum("ij,ij->i", turned, turned))
@@ -59,27 +68,40 @@ def estimate(codes, scalars, centre, dim: int, queries: np.ndarray) -> tuple[np.
 def search_block(ids, vectors, codes, scalars, centre, query_ids, queries, k: int, factor: float):
     """(query place, row places, exact scores) of the best ``k`` rows of a block, ties to the smaller id."""
     dim = vectors.shape[1]
-    lengths = np.sqrt(np.einsum("ij,ij->i", queries, queries))
+    scaled = vectors / _scale(vectors)
+    scales = np.array([_scale(q) for q in queries]).reshape(-1, 1)
+    small = queries / scales
+    lengths = np.sqrt(np.einsum("ij,ij->i", small, small))
+    longest = float(scalars[0].max(initial=0)) + float(np.linalg.norm(centre))
     for a in range(0, len(queries), _SUB_ROWS):
-        part = queries[a : a + _SUB_ROWS]
+        part = small[a : a + _SUB_ROWS]
         guess, error = estimate(codes, scalars, centre, dim, part)
         for i, q in enumerate(part):
             own = ids != query_ids[a + i]
             line = np.where(own, guess[i], -np.inf)
             first = np.argpartition(-line, k)[:k] if len(line) > k else np.arange(len(line))
             first = first[own[first]]
-            exact = np.einsum("ij,j->i", vectors[first], q)
-            floor = exact.min() if len(first) >= k else -np.inf
-            slack = 1e-5 * (lengths[a + i] + 1)  # of single precision
+            floor = np.einsum("ij,j->i", scaled[first], q).min() if len(first) >= k else -np.inf
+            slack = 1e-5 * lengths[a + i] * longest  # of single precision
             near = np.flatnonzero(own & (guess[i] + factor * lengths[a + i] * error + slack >= floor))
             near = np.union1d(near, first)  # a known score counts whatever its bound
-            score = np.einsum("ij,j->i", vectors[near], q)
+            score = np.einsum("ij,j->i", vectors[near], queries[a + i])
             best = np.lexsort((ids[near], -score))[:k]
             yield a + i, near[best], score[best]
 
 
-def _numbers(column, dtype=np.float64) -> np.ndarray:
-    return np.array(column.to_pylist(), dtype)
+class Best:
+    """The best so far of every query of a pass, from the blocks of one task."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.ids = [np.zeros(0, np.int64)] * queries
+        self.scores = [np.zeros(0)] * queries
+
+    def add(self, query: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        ids, scores = np.concatenate([self.ids[query], ids]), np.concatenate([self.scores[query], scores])
+        keep = np.lexsort((ids, -scores))[: self.k]
+        self.ids[query], self.scores[query] = ids[keep], scores[keep]
 
 
 def nearest(
@@ -89,7 +111,7 @@ def nearest(
     every: int = 20,
     k: int = 20,
     block_bytes: int = BLOCK_BYTES,
-    query_rows: int = QUERY_ROWS,
+    query_bytes: int = QUERY_BYTES,
     factor: float = ERROR_FACTOR,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest of each row whose id is divisible by ``every``.
@@ -104,60 +126,81 @@ def nearest(
     import pyarrow as pa
 
     v = F.col("v")
-    usable = (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     given = rows.select(col(id_col).cast("bigint").alias("id"), col(vector_col).cast("array<double>").alias("v"))
-    given = given.where(F.col("id").isNotNull() & F.coalesce(usable, F.lit(False))).distinct()
+    given = given.where(F.col("id").isNotNull() & finite(v) & nonzero(v)).distinct()
     alike = Window.partitionBy("v").orderBy("id")
-    given = given.withColumn("key", F.xxhash64("id", "v")).withColumn("dim", F.size("v"))
-    given = cut_lineage(given)
+    given = cut_lineage(given.withColumn("key", F.xxhash64("id", "v")).withColumn("dim", F.size("v")))
     kept = given.withColumn("n", F.row_number().over(alike)).where(F.col("n") <= k + 1).drop("n")
     asked = given.where(F.col("id") % every == 0)
     n, widest = kept.agg(F.count(F.lit(1)), F.max("dim")).first()
-    n_blocks = max(1, -(-n * 8 * (widest or 1) // block_bytes))
-    n_chunks = max(1, -(-asked.count() // query_rows))
-
-    def pack_block(key, table):
-        dim, block = key[0].as_py(), key[1].as_py()
-        ids, vectors = _numbers(table["id"], np.int64), _numbers(table["v"])
-        codes, scalars, centre = encode(vectors)
-        cells = [dim, block, *[x.tobytes() for x in (ids, vectors, codes, scalars, centre)]]
-        return pa.table({name: [c] for name, c in zip("dim block ids vectors codes scalars centre".split(), cells, strict=True)},
-                        schema=pa.schema([("dim", pa.int32()), ("block", pa.int64())] + [(x, pa.binary()) for x in "ids vectors codes scalars centre".split()]))
-
-    def pack_queries(key, table):
-        cells = [key[0].as_py(), key[1].as_py(), _numbers(table["id"], np.int64).tobytes(), _numbers(table["key"], np.int64).tobytes(), _numbers(table["v"]).tobytes()]
-        names = "query_ids query_keys query_vectors".split()
-        return pa.table({name: [c] for name, c in zip(["dim", "chunk", *names], cells, strict=True)},
-                        schema=pa.schema([("dim", pa.int32()), ("chunk", pa.int64())] + [(x, pa.binary()) for x in names]))
-
-    def search(key, table):
-        out = ([], [], [], [])
-        for row in table.to_pylist():
-            dim = row["dim"]
-            read = lambda name, kind=np.float64: np.frombuffer(row[name], kind)  # noqa: B023, E731
-            ids, query_ids, query_keys = read("ids", np.int64), read("query_ids", np.int64), read("query_keys", np.int64)
-            codes = read("codes", np.uint8).reshape(len(ids), -1)
-            found = search_block(
-                ids, read("vectors").reshape(-1, dim), codes, read("scalars").reshape(2, -1), read("centre"),
-                query_ids, read("query_vectors").reshape(-1, dim), k, factor,
-            )
-            for i, places, scores in found:
-                out[0].append(np.full(len(places), query_ids[i]))
-                out[1].append(np.full(len(places), query_keys[i]))
-                out[2].append(ids[places])
-                out[3].append(scores)
-        whole = [np.concatenate(x) if x else np.zeros(0) for x in out]
-        kinds = [pa.int64()] * 3 + [pa.float64()]
-        arrays = [pa.array(x, kind, from_pandas=False) if len(x) else pa.array([], kind) for x, kind in zip(whole, kinds, strict=True)]
-        return pa.table(arrays, names=["query_id", "query_key", "vec_id", "score"])
-
-    spread = lambda count: F.pmod(F.col("key"), F.lit(count))
-    blocks = kept.select("dim", spread(n_blocks).alias("block"), "id", "v").groupBy("dim", "block").applyInArrow(pack_block, _BLOCK)
-    chunks = asked.select("dim", spread(n_chunks).alias("chunk"), "id", "key", "v").groupBy("dim", "chunk").applyInArrow(pack_queries, _CHUNK)
-    # The stated query set meets all rows: a pair of block and chunk is one unit of work.
-    every_chunk = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_chunks - 1).cast("bigint")))
-    pairs = cut_lineage(blocks).withColumn("chunk", every_chunk).join(cut_lineage(chunks), ["dim", "chunk"])
-    found = pairs.groupBy("dim", "block", "chunk").applyInArrow(search, _FOUND)
+    spark = rows.sparkSession
+    row_bytes = 8 * (widest or 1)
+    most = max(1, block_bytes // row_bytes)  # rows of a block
+    cores = spark.sparkContext.defaultParallelism
+    parts = max(1, min(-(-n // LEAST_BLOCK_ROWS), max(2 * cores, -(-n // (4 * most)))))
+    passes = max(1, -(-asked.count() * row_bytes // query_bytes))
+
+    def pack(batches):
+        held: dict[int, list] = {}
+
+        def block(dim):
+            ids, vectors = (np.concatenate(x) for x in zip(*held.pop(dim), strict=True))
+            for a in range(0, len(ids), most):
+                own = vectors[a : a + most]
+                cells = [ids[a : a + most], own, *encode(own)]
+                arrays = [pa.array([dim], pa.int32()), *[pa.array([c.tobytes()], pa.binary()) for c in cells]]
+                yield pa.RecordBatch.from_arrays(arrays, "dim ids vectors codes scalars centre".split())
+
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for places, m in matrices(batch.column(1)):
+                dim = m.shape[1]
+                held.setdefault(dim, []).append((ids[places], m))
+                if sum(len(x) for x, _ in held[dim]) >= most:
+                    yield from block(dim)
+        for dim in list(held):
+            yield from block(dim)
+
+    # The number of partitions is given: adaptive execution would put small blocks into one task.
+    blocks = cut_lineage(kept.select("id", "v", "key").repartition(parts, "key").select("id", "v").mapInArrow(pack, _BLOCK))
+
+    def one_pass(number: int) -> DataFrame:
+        mine = asked.where(F.pmod("key", F.lit(passes)) == number) if passes > 1 else asked
+        by_dim: dict[int, list] = {}
+        for r in mine.select("id", "key", "dim", "v").toArrow().to_batches():  # at most query_bytes
+            for places, m in matrices(r.column(3)):
+                by_dim.setdefault(m.shape[1], []).append((r.column(0).to_numpy()[places], r.column(1).to_numpy()[places], m))
+        shared = spark.sparkContext.broadcast({d: [np.concatenate(x) for x in zip(*p, strict=True)] for d, p in by_dim.items()})
+
+        def search(batches):
+            best: dict[int, Best] = {}
+            for batch in batches:
+                for row in batch.to_pylist():
+                    dim = row["dim"]
+                    if dim not in shared.value:
+                        continue
+                    query_ids, _, queries = shared.value[dim]
+                    read = lambda name, kind=np.float64: np.frombuffer(row[name], kind)  # noqa: B023, E731
+                    ids = read("ids", np.int64)
+                    codes, scalars = read("codes", np.uint8).reshape(len(ids), -1), read("scalars").reshape(2, -1)
+                    own = best.setdefault(dim, Best(len(queries), k))
+                    for i, places, scores in search_block(ids, read("vectors").reshape(-1, dim), codes, scalars, read("centre"), query_ids, queries, k, factor):
+                        own.add(i, ids[places], scores)
+            for dim, own in best.items():
+                query_ids, query_keys, _ = shared.value[dim]
+                for a in range(0, len(query_ids), 4096):
+                    sizes = [len(x) for x in own.ids[a : a + 4096]]
+                    each = [np.repeat(x[a : a + 4096], sizes) for x in (query_ids, query_keys)]
+                    found = [np.concatenate(x[a : a + 4096]) for x in (own.ids, own.scores)]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, each), *map(pa.array, found)], ["query_id", "query_key", "vec_id", "score"])
+
+        return blocks.mapInArrow(search, _FOUND)
+
+    found = one_pass(0)
+    if passes > 1:
+        found = cut_lineage(found)
+        for number in range(1, passes):
+            found = found.unionByName(cut_lineage(one_pass(number)))
     best = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
