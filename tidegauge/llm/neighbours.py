@@ -73,21 +73,31 @@ def search_block(ids, vectors, codes, scalars, centre, query_ids, queries, k: in
     small = queries / scales
     lengths = np.sqrt(np.einsum("ij,ij->i", small, small))
     longest = float(scalars[0].max(initial=0)) + float(np.linalg.norm(centre))
+    order = np.argsort(ids, kind="stable")
+    low, high = (np.searchsorted(ids, query_ids, side, sorter=order) for side in ("left", "right"))
     for a in range(0, len(queries), _SUB_ROWS):
-        part = small[a : a + _SUB_ROWS]
+        part, length = small[a : a + _SUB_ROWS], lengths[a : a + _SUB_ROWS, None]
         guess, error = estimate(codes, scalars, centre, dim, part)
-        for i, q in enumerate(part):
-            own = ids != query_ids[a + i]
-            line = np.where(own, guess[i], -np.inf)
-            first = np.argpartition(-line, k)[:k] if len(line) > k else np.arange(len(line))
-            first = first[own[first]]
-            floor = np.einsum("ij,j->i", scaled[first], q).min() if len(first) >= k else -np.inf
-            slack = 1e-5 * lengths[a + i] * longest  # of single precision
-            near = np.flatnonzero(own & (guess[i] + factor * lengths[a + i] * error + slack >= floor))
-            near = np.union1d(near, first)  # a known score counts whatever its bound
-            score = np.einsum("ij,j->i", vectors[near], queries[a + i])
-            best = np.lexsort((ids[near], -score))[:k]
-            yield a + i, near[best], score[best]
+        for i in range(len(part)):  # its own rows are no neighbours of a query
+            guess[i, order[low[a + i] : high[a + i]]] = -np.inf
+        rows = np.arange(len(part))[:, None]
+        slack = 1e-5 * length * longest  # of single precision
+        upper = guess + (factor * length * error + slack).astype(np.float32)
+        near = np.isfinite(guess)
+        if len(ids) > k:
+            first = np.argpartition(-guess, k - 1, axis=1)[:, :k]
+            known = np.where(np.isfinite(guess[rows, first]), np.einsum("ijd,id->ij", scaled[first], part), -np.inf)
+            near &= upper >= known.min(axis=1)[:, None]
+            near[rows, first] |= np.isfinite(guess[rows, first])  # a known score counts whatever its bound
+        # The union of what the queries' bounds let through is multiplied at once; each query keeps its own.
+        some = np.flatnonzero(near.any(axis=0))
+        score = np.where(near[:, some], part @ scaled[some].T, -np.inf)
+        last = np.partition(score, max(0, len(some) - k), axis=1)[:, max(0, len(some) - k)] if len(some) else np.zeros(len(part))
+        for i in range(len(part)):
+            mine = some[(score[i] >= last[i] - 1e-12 * length[i] * longest) & (score[i] > -np.inf)]
+            exact = np.einsum("ij,j->i", vectors[mine], queries[a + i])
+            best = np.lexsort((ids[mine], -exact))[:k]
+            yield a + i, mine[best], exact[best]
 
 
 class Best:
