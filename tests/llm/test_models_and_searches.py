@@ -24,9 +24,22 @@ def _distance(a, b):
     return row[-1]
 
 
+def _distance_with_swaps(a, b):
+    """Edits of single letters, and neighbours that change places as one."""
+    rows = [list(range(len(b) + 1))]
+    for i, x in enumerate(a, 1):
+        rows.append([i])
+        for j, y in enumerate(b, 1):
+            best = min(rows[i - 1][j] + 1, rows[i][j - 1] + 1, rows[i - 1][j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                best = min(best, rows[i - 2][j - 2] + 1)
+            rows[i].append(best)
+    return rows[-1][-1]
+
+
 def test_automaton_finds_what_edit_distance_says():
     rng = random.Random(5)
-    terms = ["idiot", "moron", "worthless", "disgusting", "scum", "morons", "wört"]
+    terms = ["idiot", "moron", "worthless", "disgusting", "scum", "morons", "wört", "ass"]
     auto = toxicity.Automaton(terms)
     words = set(terms)
     for t in terms:
@@ -34,14 +47,23 @@ def test_automaton_finds_what_edit_distance_says():
             w = list(t)
             for _ in range(rng.randrange(4)):
                 p = rng.randrange(len(w) + 1)
-                op = rng.randrange(3)
-                w = w[:p] + [rng.choice("aeio")] * (op < 2) + w[p + (op > 0) :]
+                op = rng.randrange(4)
+                if op == 3:
+                    w[p : p + 2] = w[p : p + 2][::-1]
+                else:
+                    w = w[:p] + [rng.choice("aeio")] * (op < 2) + w[p + (op > 0) :]
             words.add("".join(w))
     for w in words:
-        want = {(t, _distance(t, w)) for t in terms if _distance(t, w) <= toxicity.edits(t)}
+        want = {(t, _distance_with_swaps(t, w)) for t in terms if _distance_with_swaps(t, w) <= toxicity.edits(t)}
         assert set(auto.find(w)) == want, w
 
 
+def test_short_terms_and_swaps_are_caught():
+    reader = toxicity.Lexicon(words={"moron": 3.0, "scum": 3.0, "ass": 3.0}).reader()
+    for word, found in (("skum", True), ("mroon", True), ("scmu", True), ("as", False), ("sskm", False), ("skm", False)):
+        assert bool(reader.hits(f"a {word} here")[0]) == found
+
+
 def test_context_parts_quotation_from_abuse():
     reader = toxicity.Lexicon(words={"moron": 3.0}).reader()
     abuse = reader.hits("you are such a moron and I mean it")[0][0][3]
@@ -87,6 +109,24 @@ def test_toxicity_learns_terms_of_the_long_tail(spark):
     assert len(few.words) + len(few.stems) == 3
 
 
+def test_copies_of_one_text_are_one_piece_of_evidence(spark):
+    rows = [(i, "lorem ipsum dolor grobian" if i % 2 else f"plain words {i} and more", int(i % 2)) for i in range(400)]
+    rows += [(1_000 + i, f"some{i} other{i} wretchling here{i} again{i}", 1) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    lexicon = toxicity.fit(docs.drop("toxic"), docs.drop("text"))
+    assert "wretchling" in lexicon.words and not {"lorem", "ipsum", "dolor"} & set(lexicon.words)
+
+
+def test_misspellings_that_clean_texts_hold_are_all_counted(spark):
+    alphabet = "bcdfghjklmnpqrstvwxz"
+    wrong = [f"grob{a}an" for a in alphabet] + [f"gro{a}ian" for a in alphabet] + [f"{a}robian" for a in alphabet if a != "g"]
+    rows = [(i, f"so{i} very grobian it{i} is", 1) for i in range(400)]
+    rows += [(1_000 + i, f"some{i} clean {wrong[i % len(wrong)]} text{i}", 0) for i in range(1_200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    lexicon = toxicity.fit(docs.drop("toxic"), docs.drop("text"), max_terms=6)
+    assert set(wrong) <= set(lexicon.spelled) and max(lexicon.spelled[w] for w in wrong) < 1.0
+
+
 def test_toxicity_awkward(awkward, empty, spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     got = toxicity.toxicity(awkward, labels)

@@ -25,9 +25,10 @@ MAX_TERMS = 2_000
 MIN_SUPPORT = 5  # toxic training texts with a term
 MIN_LOG_ODDS = 1.5
 STEM_LENGTHS = (4, 5, 6)  # letters of word beginnings that may be terms
-ERRORS = ((9, 2), (5, 1))  # letters of a term from, edits it may have
+ERRORS = ((9, 2), (4, 1))  # letters of a term from, edits it may have; two neighbours that change places are one
 LABEL_ROWS = 200_000  # labelled training rows learned from at most, drawn by hash of the id if there are more
 FIT_ROWS = 50_000  # of these, rows that the few coefficients of the logistic model are fitted on
+SKETCH_WORDS = 2  # smallest word hashes by which copies are known
 WINDOW = 8  # words on either side
 CACHE_WORDS = 200_000
 WANTED_UNITS = 200_000  # units that travel to the tasks; if there are more, clean texts give all of theirs
@@ -57,7 +58,11 @@ def edits(term: str) -> int:
 
 
 class Automaton:
-    """The trie of all terms run against Levenshtein automata of their edit budgets."""
+    """The trie of all terms run against Levenshtein automata of their edit budgets.
+
+    A state holds the cost of each node it may be at. A pair of a node and a letter waits for that
+    letter: the one before it came too early.
+    """
 
     DEAD = -1
 
@@ -83,8 +88,8 @@ class Automaton:
         self.moves: list[dict[str, int]] = []
         self.start = self._state({0: 0})
 
-    def _state(self, cost: dict[int, int]) -> int:
-        todo = list(cost)
+    def _state(self, cost: dict) -> int:
+        todo = [n for n in cost if not isinstance(n, tuple)]
         while todo:  # letters of the term that the word leaves out
             node = todo.pop()
             for child in self.children[node].values():
@@ -94,7 +99,7 @@ class Automaton:
                     todo.append(child)
         if not cost:
             return self.DEAD
-        key = tuple(sorted(cost.items()))
+        key = frozenset(cost.items())
         if key not in self.numbers:
             self.numbers[key] = len(self.states)
             self.states.append(dict(key))
@@ -102,16 +107,23 @@ class Automaton:
         return self.numbers[key]
 
     def _step(self, state: int, ch: str) -> int:
-        cost: dict[int, int] = {}
+        cost: dict = {}
 
-        def reach(node, c):
-            if c <= self.most[node] and c < cost.get(node, 99):
+        def reach(node, c, at=None):
+            if c <= self.most[node if at is None else at] and c < cost.get(node, 99):
                 cost[node] = c
 
         for node, c in self.states[state].items():
+            if isinstance(node, tuple):
+                if node[1] == ch:
+                    reach(node[0], c)
+                continue
             reach(node, c + 1)  # a letter too many
             for letter, child in self.children[node].items():
                 reach(child, c if letter == ch else c + 1)
+                after = self.children[child].get(ch)
+                if after is not None and letter != ch:
+                    reach((after, letter), c + 1, after)
         self.moves[state][ch] = got = self._state(cost)
         return got
 
@@ -125,7 +137,7 @@ class Automaton:
             state = self._step(state, ch) if after is None else after
         if state < 0:
             return []
-        ends = [(self.terms[n], c) for n, c in self.states[state].items() if self.terms[n] is not None]
+        ends = [(self.terms[n], c) for n, c in self.states[state].items() if not isinstance(n, tuple) and self.terms[n] is not None]
         return sorted(((t, c) for t, c in ends if c <= self.budget[t]), key=lambda x: (x[1], x[0]))
 
 
@@ -181,21 +193,22 @@ class Reader:
         """
         words = words_of(text)
         self.learn(words)
-        if self.marked.isdisjoint(words):
+        marked = self.marked
+        if marked.isdisjoint(words):
             return [], len(words)
         low = text.lower()
-        places = list(_WORD.finditer(low))
+        places = list(_WORD.finditer(low)) if any(q in low for q in QUOTES) else []
         out = []
-        for i, m in enumerate(places):
-            got = self.known.get(m.group()) if m.group() in self.marked else None
-            if got:
-                around = {x.group() for x in places[max(0, i - WINDOW) : i + WINDOW + 1]}
-                first = places[max(0, i - WINDOW)].start()
-                last = places[min(len(places), i + WINDOW + 1) - 1].end()
-                before, after = low[first : m.start()], low[m.end() : last]
+        for i in [i for i, w in enumerate(words) if w in marked]:
+            weight, exact = self.known[words[i]]
+            around = set(words[max(0, i - WINDOW) : i + WINDOW + 1])
+            quoted = False
+            if places:
+                first, last = places[max(0, i - WINDOW)].start(), places[min(len(places), i + WINDOW + 1) - 1].end()
+                before, after = low[first : places[i].start()], low[places[i].end() : last]
                 quoted = any(q in before for q in QUOTES) and any(q in after for q in QUOTES)
-                context = 0.5 - 0.25 * quoted - 0.25 * bool(around & REPORTING) + 0.25 * bool(around & ADDRESS)
-                out.append((m.group(), got[0], got[1], min(1.0, max(0.0, context))))
+            context = 0.5 - 0.25 * quoted - 0.25 * (not around.isdisjoint(REPORTING)) + 0.25 * (not around.isdisjoint(ADDRESS))
+            out.append((words[i], weight, exact, min(1.0, max(0.0, context))))
         return out, len(words)
 
 
@@ -297,6 +310,17 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
     return rows.join(F.broadcast(marks), "id")
 
 
+def _one_of_copies(rows: DataFrame) -> DataFrame:
+    """One row of the copies, and most near copies, of a text with one label: those with the same smallest word hashes.
+
+    A term is evidence if different texts hold it; a text that was copied a thousand times shows its words once.
+    """
+    words = F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+")
+    sketch = F.slice(F.array_sort(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))), 1, SKETCH_WORDS)
+    least = rows.groupBy("toxic", sketch.alias("sketch")).agg(F.min(F.struct("id", "text")).alias("r"))
+    return least.select("r.id", "r.text", "toxic")
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -309,10 +333,10 @@ def fit(
 ) -> Lexicon:
     """Learn terms and model from labelled texts that are not held out.
 
-    Terms are counted over all texts learned from: units of toxic texts with enough support, the
-    same units in the others, and misspellings of the chosen ones in both. ``label_rows`` bounds
-    the labelled rows, ``max_terms`` the model, ``fit_rows`` the rows that the few coefficients are
-    fitted on.
+    Terms are counted over all different texts learned from: units of toxic texts with enough
+    support, the same units in the others, and misspellings of the chosen ones that clean texts hold
+    too. ``label_rows`` bounds the labelled rows, and with them the misspellings, ``max_terms`` the
+    terms, ``fit_rows`` the rows that the few coefficients are fitted on.
     """
     spark = docs.sparkSession
     rows = cut_lineage(_labelled(docs, labels, id_col, text_col, label_col, label_rows))
@@ -320,6 +344,10 @@ def fit(
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
         return Lexicon(coefficients=(math.log((n1 + 0.5) / (n0 + 0.5)) if n1 + n0 else -2.2, *[0.0] * FEATURES))
+    labelled, all_rows = rows, n1 + n0
+    rows = cut_lineage(_one_of_copies(rows))
+    sizes = dict(rows.groupBy("toxic").count().collect())
+    n1, n0 = sizes[1], sizes[0]
     ones = _count(rows.where("toxic = 1"), lambda: lambda text: _units(set(words_of(text)))).where(F.col("n") >= MIN_SUPPORT)
     ones = cut_lineage(ones.select("kind", "unit", F.col("n").alias("a")))
     odds = lambda a, b: F.log((a + 0.5) / (n1 + 1)) - F.log((b + 0.5) / (n0 + 1))
@@ -359,16 +387,15 @@ def fit(
     found = _count(rows, misspelled).groupBy("unit").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b")
     )
-    for r in found.orderBy(F.desc(F.col("a") + F.col("b")), "unit").limit(50 * max_terms).collect():
+    for r in found.where("b > 0").collect():  # of others the guess stands, as for any new one
         seen[r.unit] = [r.a, r.b]
     reader = lexicon.reader()
     for word, (a, b) in seen.items():
         guess = reader.weigh(word)[0]
         evidence = math.log((a + 1) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))
-        # Without clean texts the guess stands; with them it gives way to what was counted.
-        lexicon.spelled[word] = guess if not b else max(0.0, min(guess, evidence - 2 / math.sqrt(a + b)))
+        lexicon.spelled[word] = max(0.0, min(guess, evidence - 2 / math.sqrt(a + b)))
     shared = spark.sparkContext.broadcast(lexicon)
-    part = rows.where(drawn("id", fit_rows, n1 + n0, seed=1))
+    part = labelled.where(drawn("id", fit_rows, all_rows, seed=1))
     wide = T.StructType([T.StructField("f", T.ArrayType(T.DoubleType()))])
 
     def measured():
