@@ -120,7 +120,7 @@ def test_copies_of_one_text_are_one_piece_of_evidence(spark):
 def test_misspellings_that_clean_texts_hold_are_all_counted(spark):
     alphabet = "bcdfghjklmnpqrstvwxz"
     wrong = [f"grob{a}an" for a in alphabet] + [f"gro{a}ian" for a in alphabet] + [f"{a}robian" for a in alphabet if a != "g"]
-    rows = [(i, f"so{i} very grobian it{i} is", 1) for i in range(400)]
+    rows = [(i, f"so{i} ver{i} grobian it{i} is{i}", 1) for i in range(400)]
     rows += [(1_000 + i, f"some{i} clean {wrong[i % len(wrong)]} text{i}", 0) for i in range(1_200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     lexicon = toxicity.fit(docs.drop("toxic"), docs.drop("text"), max_terms=6)
@@ -185,6 +185,14 @@ def test_language_bound_keeps_the_figures_of_all_sequences(spark):
     counted.unpersist()
 
 
+def test_language_without_a_bound_keeps_every_sequence(spark):
+    rows = [(x, g, 1 + g % 3) for x in "ab" for g in range(1 << 16, 6_000 + (1 << 16))]
+    counted = spark.createDataFrame(rows, "lang string, gram long, n long")
+    sizes = {x: (6_000, sum(n for y, _, n in rows if y == x)) for x in "ab"}
+    bounded, whole = (langid.levels(counted, sizes, m) for m in (100, None))
+    assert len(bounded["a"][-1].keys) < 6_000 == len(whole["a"][-1].keys)
+
+
 def test_language_awkward(awkward, empty):
     got = langid.language(awkward)
     assert got.count() == awkward.count()

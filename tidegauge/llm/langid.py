@@ -324,14 +324,16 @@ def _by_language(rows: DataFrame) -> dict[str, tuple[np.ndarray, ...]]:
     return out
 
 
-def levels(counted: DataFrame, sizes: dict[str, tuple[int, int]], max_ngrams: int = MAX_NGRAMS) -> dict[str, list[Level]]:
+def levels(counted: DataFrame, sizes: dict[str, tuple[int, int]], max_ngrams: int | None = MAX_NGRAMS) -> dict[str, list[Level]]:
     """All orders of each language, lowest first, from (lang, gram, n) of the highest.
 
     ``sizes`` has the rows and the sum of the counts by language. Totals of contexts, continuation
     counts and counts of one and two are of all rows. Of each order a language keeps the most
     frequent sequences, as many as its share of ``max_ngrams`` or ``GROWTH`` times the root of its
-    counts, if that is more.
+    counts, if that is more; all of them if ``max_ngrams`` is None.
     """
+    if max_ngrams is None:
+        return {lang: _all_levels(*x) for lang, x in _by_language(counted).items()}
     share = max(1_000, max_ngrams // max(1, len(sizes)))
     most = {x: max(share, int(GROWTH * total**0.5)) for x, (_, total) in sizes.items()}
     if all(n <= most[x] for x, (n, _) in sizes.items()):  # the lower orders follow from what is here
@@ -363,7 +365,7 @@ def fit(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
-    max_ngrams: int = MAX_NGRAMS,
+    max_ngrams: int | None = MAX_NGRAMS,
     calibration_rows: int = CALIBRATION_ROWS,
 ) -> Model:
     """Learn from all rows that are not held out and have a text and a language.
