@@ -119,7 +119,7 @@ def test_copies_of_one_text_are_one_piece_of_evidence(spark):
 
 def test_misspellings_that_clean_texts_hold_are_all_counted(spark):
     alphabet = "bcdfghjklmnpqrstvwxz"
-    wrong = [f"grob{a}an" for a in alphabet] + [f"gro{a}ian" for a in alphabet] + [f"{a}robian" for a in alphabet if a != "g"]
+    wrong = [f"grob{a}an" for a in alphabet] + [f"gro{a}ian" for a in alphabet if a != "b"] + [f"{a}robian" for a in alphabet if a != "g"]
     rows = [(i, f"so{i} ver{i} grobian it{i} is{i}", 1) for i in range(400)]
     rows += [(1_000 + i, f"some{i} clean {wrong[i % len(wrong)]} text{i}", 0) for i in range(1_200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
