@@ -72,3 +72,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """The rows written once, in a partition per core, for jobs that read them many times."""
     return cut_lineage(df.repartition(df.sparkSession.sparkContext.defaultParallelism))
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that this program wrote, on whatever file system it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
