@@ -18,7 +18,7 @@ from tidegauge.llm.mixing import mix
 from tidegauge.llm.sharding import BYTE_LIMIT, shard
 from tidegauge.llm.simhash import fingerprints, hexed, near_duplicates
 from tidegauge.llm.toxicity import fit, score
-from tidegauge.session import ship_package
+from tidegauge.session import remove, ship_package
 
 ORACLE_SQL = None  # learned scores and fingerprints have no SQL counterpart; tests compare with brute force
 
@@ -40,7 +40,12 @@ class Guarded:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects (score of 0.5 or more) go; unlabelled ones are scored alike."""
+    """Documents that the toxicity model rejects (score of 0.5 or more) go; unlabelled ones are scored alike.
+
+    Null and empty texts have the base score of texts without hits; repeated rows share a score and
+    stay or go together; a null id is never labelled. Without labels of both kinds nothing is learned
+    and the base rate decides. An empty table gives an empty one; other columns pass through.
+    """
     own = Guarded(docs)
     lexicon = fit(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = score(own.docs, lexicon, own.docs.columns, own["text"], "score__", "predicted__")
@@ -50,19 +55,28 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked fingerprints the document with the smallest id stays, once.
 
-    Repeated rows of one id and text are one document. Rows without an id go if their group has
-    one with an id; of a group without any id one row stays.
+    Repeated rows of one id and text are one document. Of an id with different texts each counts by
+    its own text: it stays only where that leads its group. Rows without an id go if their group has
+    one with an id; of a group without any id one row stays. Null and empty texts are copies of each
+    other. An empty table gives an empty one; other columns pass through.
     """
     own = Guarded(docs)
     doc, text = own["doc_id"], own["text"]
     groups = cut_lineage(near_duplicates(own.docs, doc, text, shingle=3, max_distance=2))
-    first = groups.where(F.col(doc) == F.col("component_id")).groupBy(F.col(doc).alias("id"))
-    first = cut_lineage(first.agg((F.count(F.lit(1)) > 1).alias("again")))
+    # The row that stays of each group: its id, and the fingerprint where an id has several texts.
+    first = groups.where(F.col(doc) == F.col("component_id")).groupBy("component_fp", F.col(doc).alias("id"))
+    first = first.agg(F.min("fingerprint").alias("kept_fp"))
+    often = groups.where(F.col(doc).isNotNull()).groupBy(F.col(doc).alias("often")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = cut_lineage(first.join(often, F.col("id") == F.col("often"), "left").select("id", "kept_fp", F.col("n").isNotNull().alias("again")))
     once, again = first.where("not again"), first.where("again")
     same = F.col(doc) == F.col("id")
     kept = own.docs.join(once, same, "left_semi")
     if not again.isEmpty():
-        kept = kept.unionByName(own.docs.join(again, same, "left_semi").dropDuplicates([doc, text]))
+        repeated = fingerprints(own.docs.join(again, same, "left_semi"), own.docs.columns, text, shingle=3)
+        repeated = repeated.join(again, same & (hexed("fp") == F.col("kept_fp")), "left_semi")
+        whole = F.struct(*[F.col(c) for c in own.docs.columns])
+        one = repeated.groupBy(doc, "fp").agg(F.min_by(whole, F.col(text)).alias("row"))
+        kept = kept.unionByName(one.select("row.*"))
     unnamed = groups.where("component_id is null").select("component_fp").distinct()
     if not unnamed.isEmpty():
         nameless = fingerprints(own.docs.where(F.col(doc).isNull()), own.docs.columns, text, shingle=3)
@@ -72,21 +86,35 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go.
+
+    Null and empty texts hold none and stay; repeated rows stay or go together, whatever their ids;
+    an empty table of documents or items leaves the documents as they are.
+    """
     own = Guarded(docs)
     found = with_hits(own.docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), own.docs.columns, own["text"])
     return own.back(found.where(F.size("hits") == 0))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as many times as the mix takes it."""
+    """Every document as many times as the mix takes it.
+
+    Null and empty texts have size 0 and follow their source's whole copies; a null source is a
+    source; of repeated rows as many are taken as the mix needs. Ties in the order of a sample go to
+    the smaller size, then to the smaller id. An empty table gives an empty one.
+    """
     own = Guarded(docs)
     mixed = mix(own.docs, own["doc_id"], own["text"], own["source"], keep=own.docs.columns)
     return own.back(mixed.withColumn("copy__", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))))
 
 
 def cut_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with the shard each belongs to."""
+    """All documents with the shard each belongs to.
+
+    A null text counts as empty, a null id hashes like an empty one; repeated rows beyond the limit
+    fill shards of their own. Columns of the documents named like a result are replaced. An empty
+    table gives an empty one.
+    """
     own = Guarded(docs)
     cut = shard(own.docs, own["doc_id"], own["text"], keep=own.docs.columns, limit=BYTE_LIMIT)
     return own.back(cut, "n_bytes", "depth", "shard", "shard_bytes")
@@ -102,10 +130,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; the last one's rows."""
+    """All stages over ``documents``; the last one's rows. What the others wrote is removed at the end."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4()}"
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+    for i in range(len(STAGES) - 1):
+        remove(spark, f"{folder}/{i}")
     return docs
