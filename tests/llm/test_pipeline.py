@@ -56,3 +56,22 @@ def test_stages_take_awkward_and_empty_tables(spark, sf_dir, awkward, empty, tmp
             if start is awkward and i == 1:
                 assert [r.doc_id for r in docs.where("text like 'The quick%'").collect()] == [1]
                 assert docs.where("doc_id is null").count() == 1  # the one without text is a copy of document 3
+
+
+def test_an_id_with_several_texts_stays_only_where_it_leads(spark, sf_dir):
+    prose = [" ".join(f"{w}{i * k % 97}" for k in range(1, 60)) for i, w in ((3, "a"), (5, "b"), (7, "c"))]
+    rows = [(1, prose[0]), (2, prose[0]), (2, prose[1]), (2, prose[1]), (5, prose[1]), (4, prose[2]), (4, prose[2]), (None, prose[2])]
+    docs = spark.createDataFrame([(*r, "en", "a", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_copies(spark, docs, sf_dir).select("doc_id", "text").collect()
+    assert sorted(map(tuple, got)) == [(1, prose[0]), (2, prose[1]), (4, prose[2])]
+
+
+def test_run_removes_what_its_stages_wrote(spark, sf_dir):
+    from pathlib import Path
+
+    from tidegauge.session import checkpoint_dir
+
+    assert corpus_pipeline.run(spark, sf_dir.replace("0.01", "0.001")).count() > 0
+    folder = Path(checkpoint_dir(spark).removeprefix("file:"))
+    newest = max(folder.glob("pipeline-*"), key=lambda p: p.stat().st_mtime)
+    assert [p.name for p in newest.iterdir()] == [str(len(corpus_pipeline.STAGES) - 1)]
