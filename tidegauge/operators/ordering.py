@@ -389,14 +389,15 @@ def hash_split(
     keys: Sequence[str],
     seed: int = 0,
     round_up: bool = True,
+    hashes: tuple[Column, Column] | None = None,
 ) -> DataFrame:
     """Seeded random split with an exact validation count, independent of partitioning.
 
     ``keys`` identify a row. The validation rows are those with the smallest key hashes; the
     cut is found by counting hash ranges, so no row moves. The validation share is rounded up,
-    or down to at least 1.
+    or down to at least 1. ``hashes`` are two bigint columns to use in place of hashes of the keys.
     """
-    h, h2 = F.xxhash64(F.lit(seed), *keys), F.xxhash64(*keys, F.lit(seed + 1))
+    h, h2 = hashes or (F.xxhash64(F.lit(seed), *keys), F.xxhash64(*keys, F.lit(seed + 1)))
     hashes = df.select(h.alias("_h"), h2.alias("_h2"))
     inside, wanted = F.lit(True), None
     for shift in (_HASH_BITS - _RANGE_BITS, _HASH_BITS - 2 * _RANGE_BITS):

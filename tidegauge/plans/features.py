@@ -191,6 +191,28 @@ def canonical_models(spark, sf_dir):
     )
 
 
+_SPELLINGS = (
+    "Ridge", " XGBoost ", "xgb", "XGBRegressor", "TransformerLight1D", "transformerlight", "Transformer", "RandomForest",
+    "random_forest", "RF", "GradientBoosting", "gbrt", "GBDT", "LSTM", "svr", "",
+)
+
+
+@query(
+    "canonical_names",
+    f"""
+    WITH n AS (SELECT p_partkey, lower(trim([{', '.join(f"'{x}'" for x in _SPELLINGS)}][(p_partkey % {len(_SPELLINGS)} + 1) :: INT])) AS name FROM part),
+    f AS (SELECT p_partkey, CASE WHEN name = 'ridge' THEN 'ridge' WHEN name LIKE 'transformer%' THEN 'transformerlight'
+                 WHEN name LIKE 'xgb%' OR name LIKE 'g%b%t%' OR name LIKE 'gradient%' OR name LIKE '%forest' OR name = 'rf' THEN 'xgboost' END AS family FROM n)
+    SELECT family, COUNT(*) AS n, min(p_partkey) AS first_rank FROM f GROUP BY 1""",
+)
+def canonical_names(spark, sf_dir):
+    """The shipped map of model names, over all its spellings and some unknown ones."""
+    spelled = F.array(*[F.lit(x) for x in _SPELLINGS])
+    named = table(spark, sf_dir, "part").select(spelled[(F.col("p_partkey") % len(_SPELLINGS)).cast("int")].alias("name"), "p_partkey")
+    families = named.select(s.canonical_model("name").alias("family"), "p_partkey")
+    return families.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("first_rank"))
+
+
 @query(
     "natural_sort",
     r"""

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import functions as F
 
-from tidegauge.operators import schema
+from tidegauge.operators import commits, schema
 from tidegauge.plans.catalog import query, table
 from tidegauge.plans.frames import EVENT_TYPES, event_features
 from tidegauge.plans.ingest import USER_SQL, _counter_lines
 from tidegauge.session import checkpoint_dir
-from tidegauge.sources import counters, sinks, text
+from tidegauge.sources import counters, parts, sinks, text
 
 
 def run_folder(spark, name):
@@ -104,3 +105,78 @@ def first_of_equal_names(spark, sf_dir):
     events = event_features(spark, sf_dir)
     twice = events.select("event_id", "value", F.lit("first").alias("kind"), F.lit("second").alias("kind"), F.lit(0).alias("value"))
     return schema.keep_first_columns(twice)
+
+
+@query(
+    "registry_commits",
+    """SELECT (s_suppkey % 6) :: INTEGER AS model, COUNT(*) AS n, 1 :: BIGINT AS versions, round(SUM(s_acctbal), 4) AS total, 6 :: BIGINT AS newest
+    FROM supplier GROUP BY 1""",
+)
+def registry_commits(spark, sf_dir):
+    """Six versions published by three writers at once, each of them tried twice."""
+    folder = run_folder(spark, "registry")
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", (F.col("s_suppkey") % 6).cast("int").alias("model"))
+
+    def write(model):
+        for _ in range(2):
+            commits.publish(rows.where(F.col("model") == model), folder, f"model-{model}")
+
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(write, range(6)))
+    back = commits.read_versions(spark, folder, "s_suppkey bigint, s_acctbal double, model int")
+    newest = commits.commits(spark, folder).agg(F.max("version").alias("newest"))
+    read = back.groupBy("model").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("version").alias("versions"), F.round(F.sum("s_acctbal"), 4).alias("total")
+    )
+    return read.join(F.broadcast(newest))
+
+
+_BROKEN = {
+    "cut.csv.gz": (b"\x1f\x8b\x08\x00broken", "damaged archive"),
+    "binary.csv": (b"a,b\n\0\1,2\n", "not text"),
+    "ragged.csv": (b"a,b\n1,2,3\n", "more cells than names"),
+    "nothing.csv": (b"\n\n", "empty"),
+}
+
+
+def _write_parts(spark, sf_dir):
+    """One CSV part for each event type, two columns of which only some have, and broken ones."""
+    folder = run_folder(spark, "parts")
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", F.when(F.col("event_id") % 5 == 0, "<not counted>").otherwise(F.col("value").cast("string")).alias("value"), "user_id")
+    for i, kind in enumerate(EVENT_TYPES):
+        own = events.where(F.col("event_type") == kind).drop("event_type", "user_id" if i % 2 else "event_type")
+        own.coalesce(1).write.option("header", True).csv(f"{folder}/{kind}")
+    for name, (content, _) in _BROKEN.items():
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/broken/{name}")
+        out = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(place)
+        out.write(bytearray(content))
+        out.close()
+    return folder
+
+
+def _part_name(path):
+    return F.regexp_replace(F.regexp_extract(path, r"([^/]+/[^/]+)$", 1), r"/part-.*", "")
+
+
+@query(
+    "part_status",
+    "SELECT event_type AS part, COUNT(*) AS n_rows, NULL :: VARCHAR AS reason FROM events GROUP BY 1 UNION ALL "
+    + " UNION ALL ".join(f"SELECT 'broken/{n}', 0, '{why}'" for n, (_, why) in _BROKEN.items()),
+)
+def part_status(spark, sf_dir):
+    """What could be read of every part, and why not."""
+    read = parts.read_parts(spark, _write_parts(spark, sf_dir))
+    return read.status.select(_part_name("path").alias("part"), "n_rows", "reason")
+
+
+@query(
+    "part_rows",
+    f"""SELECT event_type AS part, event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS value,
+               CASE WHEN event_type IN ({', '.join(f"'{k}'" for k in EVENT_TYPES[::2])}) THEN user_id END AS user_id FROM events""",
+)
+def part_rows(spark, sf_dir):
+    """The readable parts merged by name."""
+    rows = parts.read_parts(spark, _write_parts(spark, sf_dir)).rows
+    return rows.select(
+        _part_name("path").alias("part"), F.col("event_id").cast("bigint").alias("event_id"), F.col("value").cast("double").alias("value"), F.col("user_id").cast("bigint").alias("user_id")
+    )

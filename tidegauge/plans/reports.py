@@ -237,6 +237,36 @@ def latest_pointer(spark, sf_dir):
     return registry.latest_pointer(pointed, fallback, "o_orderkey")
 
 
+_GRID_SQL = {
+    "A": ("[0.005, 0.01]", "['32,16', '64,32']", "['relu', 'gelu']", "['smoothl1']"),
+    "B": ("[0.003, 0.01]", "['64,32', '96,48', '128,64']", "['relu', 'gelu']", "['smoothl1', 'mse']"),
+    "C": ("[0.001, 0.003, 0.01]", "['128,64', '160,80', '192,96']", "['relu', 'mse']", "['smoothl1', 'mse']"),
+}
+
+
+def _grid_sql(tier: str, rates: str, shapes: str, activations: str, losses: str) -> str:
+    axes = {"lr": f"{rates} :: DOUBLE[]", "batch_size": "[16, 32]", "hidden": shapes, "activation": activations, "loss": losses, "wd": "[0.0, 0.0001] :: DOUBLE[]"}
+    tables = ", ".join(f"(SELECT unnest({v}) AS {k}, generate_subscripts({v}, 1) AS i_{k})" for k, v in axes.items())
+    order = ", ".join(f"i_{k}" for k in axes)
+    return f"SELECT '{tier}' AS tier, (row_number() OVER (ORDER BY {order}) - 1) :: INTEGER AS candidate_id, {', '.join(axes)} FROM {tables}"
+
+
+@query(
+    "tier_grid_rows",
+    f"""
+    WITH t AS (SELECT event_type, CASE WHEN COUNT(*) % 3 = 0 THEN 'A' WHEN COUNT(*) % 3 = 1 THEN 'B' ELSE 'C' END AS tier FROM events GROUP BY 1),
+    g AS ({' UNION ALL '.join(_grid_sql(t, *axes) for t, axes in _GRID_SQL.items())})
+    SELECT event_type, t.tier, candidate_id, lr, batch_size, hidden, activation, loss, wd FROM t JOIN g ON t.tier = g.tier""",
+)
+def tier_grid_rows(spark, sf_dir):
+    """The candidates themselves of the tier each event type falls into."""
+    rest = F.count(F.lit(1)) % 3
+    tiers = table(spark, sf_dir, "events").groupBy("event_type").agg(F.when(rest == 0, "A").when(rest == 1, "B").otherwise("C").alias("tier"))
+    grid = reduce(lambda a, b: a.unionByName(b), [grids.tier_grid(spark, t) for t in ("A", "B", "C")])
+    rows = tiers.join(F.broadcast(grid), "tier")
+    return rows.select("event_type", "tier", "candidate_id", "lr", "batch_size", F.array_join(F.col("hidden").cast("array<string>"), ",").alias("hidden"), "activation", "loss", "wd")
+
+
 @query(
     "tier_candidates",
     """

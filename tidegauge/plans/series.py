@@ -342,6 +342,21 @@ def hash_split(spark, sf_dir):
     return marked.groupBy(F.col("is_valid").cast("int").alias("is_valid")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "hash_split_rows",
+    """
+    WITH h AS (SELECT o_orderkey, ('0x' || substr(md5('7|' || o_orderkey :: VARCHAR), 1, 15)) :: BIGINT AS h FROM orders),
+    r AS (SELECT o_orderkey, row_number() OVER (ORDER BY h, o_orderkey) AS r, COUNT(*) OVER () AS n FROM h)
+    SELECT o_orderkey, (r <= ceil(n * 0.3)) :: INTEGER AS is_valid FROM r""",
+)
+def hash_split_rows(spark, sf_dir):
+    """Which rows a split chooses, by a hash that SQL has too."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    digest = F.substring(F.md5(F.concat(F.lit("7|"), F.col("o_orderkey").cast("string"))), 1, 15)
+    marked = o.hash_split(orders, 0.3, ["o_orderkey"], hashes=(F.conv(digest, 16, 10).cast("bigint"), F.col("o_orderkey")))
+    return marked.select("o_orderkey", F.col("is_valid").cast("int").alias("is_valid"))
+
+
 @query(
     "head_tail",
     f"""

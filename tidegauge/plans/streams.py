@@ -16,7 +16,7 @@ from tidegauge.plans.catalog import query, table
 from tidegauge.plans.frames import EVENTS_SQL, event_features
 from tidegauge.plans.series import drift_sql, tier_sql
 from tidegauge.session import checkpoint_dir
-from tidegauge.streaming import monitor, records, scoring
+from tidegauge.streaming import asof, monitor, records, scoring, topic_log
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -190,3 +190,78 @@ def round_trip(spark, sf_dir):
         "event_id", F.col("ts").alias("timestamp"), F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz").alias("send_ts")
     )
     return records.round_trip(timed).select("event_id", "rtt_ms")
+
+
+@query(
+    "topic_stream",
+    """
+    WITH r AS (SELECT (user_id % 3) :: INTEGER AS partition, event_type AS stage, value, row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id) - 1 AS o
+               FROM events)
+    SELECT partition, stage, COUNT(*) AS n, min(o) AS first_offset, max(o) AS last_offset, round(SUM(value), 4) AS total, 1 AS done
+    FROM r GROUP BY 1, 2""",
+)
+def topic_stream(spark, sf_dir):
+    """Events as JSON records in a three-partition topic with end markers: read, deduplicated and decoded as a stream."""
+    folder = _run_folder(spark)
+    path = f"{folder}/topic" if ":" in folder else f"file://{folder}/topic"
+    events = table(spark, sf_dir, "events")
+    no_headers = F.array().cast("array<struct<key:string,value:binary>>").alias("headers")
+    body = F.to_json(
+        F.struct(F.create_map(F.lit("value"), "value").alias("features"), F.col("value").alias("label"), F.col("ts").cast("string").alias("send_ts"), F.col("event_type").alias("stage"))
+    )
+    lines = events.select(
+        (F.col("user_id") % 3).alias("partition"), F.col("event_type").cast("binary").alias("key"), body.cast("binary").alias("value"),
+        F.timestamp_micros(epoch_micros("ts")).alias("timestamp"), no_headers, F.col("event_id").alias("o"),
+    )
+    last = lines.groupBy("partition").agg(F.max("timestamp").alias("timestamp"), (F.max("o") + 1).alias("o"))
+    ends = last.select("partition", F.lit(None).cast("binary").alias("key"), F.lit("__EOF__").cast("binary").alias("value"), "timestamp", no_headers, "o")
+    topic_log.write_topic(lines.unionByName(ends), path, ["o"])
+
+    def stream():
+        return topic_log.read_topic_log(spark, path, "earliest")
+
+    once = records.decode_stream(records.deduplicate(stream(), "365 days"), ["value"])
+    once.select("partition", "offset", "stage", "label").writeStream.format("parquet").option("path", f"{folder}/out").option(
+        "checkpointLocation", f"{folder}/c1"
+    ).trigger(availableNow=True).start().awaitTermination()
+    progress = records.partition_progress(stream()).writeStream.outputMode("complete").foreachBatch(
+        lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/progress")
+    )
+    progress.option("checkpointLocation", f"{folder}/c2").trigger(availableNow=True).start().awaitTermination()
+    read = spark.read.parquet(f"{folder}/out").groupBy("partition", "stage").agg(
+        F.count(F.lit(1)).alias("n"), F.min("offset").alias("first_offset"), F.max("offset").alias("last_offset"), F.round(F.sum("label"), 4).alias("total")
+    )
+    done = spark.read.parquet(f"{folder}/progress").select("partition", F.col("done").cast("int").alias("done"))
+    return read.join(done, "partition")
+
+
+@query(
+    "asof_streams",
+    """
+    WITH l AS (SELECT * FROM events WHERE event_type <> 'error'),
+    r AS (SELECT ts, value FROM events WHERE event_type = 'error')
+    SELECT l.event_id, CASE WHEN epoch_us(l.ts) - epoch_us(r.ts) <= 600000000 THEN r.value END AS js
+    FROM l ASOF LEFT JOIN r ON l.ts >= r.ts""",
+)
+def asof_streams(spark, sf_dir):
+    """Two streams joined as of their times; a last record far ahead lets the watermark pass all others."""
+    folder = _run_folder(spark)
+    events = table(spark, sf_dir, "events").select("event_id", F.timestamp_micros(epoch_micros("ts")).alias("ts"), "event_type", "value")
+    events.write.parquet(f"{folder}/in/0")
+    far = events.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("bigint").alias("event_id"), (F.col("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"))
+    both = far.select("*", F.explode(F.array(F.lit("error"), F.lit("end"))).alias("event_type"), F.lit(0.0).alias("value"))
+
+    def stream():
+        return spark.readStream.schema(events.schema).parquet(f"{folder}/in/*")
+
+    def run():
+        left, right = stream().where("event_type <> 'error'"), stream().where("event_type = 'error'").withColumnRenamed("value", "js")
+        joined = asof.asof_stream(left, right, "event_id", "ts", "js", 600.0, "1 hour")
+        joined.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(
+            availableNow=True
+        ).start().awaitTermination()
+
+    run()
+    both.write.parquet(f"{folder}/in/1")
+    run()
+    return spark.read.parquet(f"{folder}/out").where("event_id >= 0").select("event_id", "js")
