@@ -307,3 +307,53 @@ def test_registered_lock_query_equals_a_plain_replay(spark, sf_dir):
             if r.event == "drift":
                 last = own[r.row_no - cfg.size : r.row_no]
                 assert r.labelled == len(last) and np.isclose(r.mean_label, np.mean([v.x[0] for v in last]), atol=1e-6)
+
+
+def test_chain_of_drift_retrain_publish_and_swap_equals_a_plain_replay(spark, sf_dir):
+    from tidegauge.functions.scalars import epoch_seconds, first_number
+    from tidegauge.plans import streams
+
+    got = {(r.part, r.key): r for r in streams.drift_chain(spark, sf_dir).collect()}
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        "event_type", epoch_seconds("ts").alias("at"), "event_id", "value",
+        F.array("value", F.hour("ts").cast("double"), first_number("props")).alias("x"),
+    ).orderBy("at", "event_id").collect()
+    cfg = monitor.MonitorConfig(tiers=streams.MONITOR_TIERS)
+    cuts = np.quantile([r["at"] for r in rows], [0.25, 0.5, 0.75])
+    kinds = sorted({r.event_type for r in rows})
+    state = {k: {"win": [], "base": None, "since": 0, "locked": None, "until": 0.0} for k in kinds}
+    models, version = {}, 0
+    for part in range(4):
+        here = [r for r in rows if int((cuts <= r["at"]).sum()) == part]
+        for k in kinds:
+            own = [r for r in here if r.event_type == k]
+            used, w, b = models.get(k, (0, None, None))
+            assert (got[part, k].n, got[part, k].version) == (len(own), used)
+            if used:
+                assert np.isclose(got[part, k].mae, np.mean([abs(np.dot(r.x, w) + b - r.value) for r in own]), atol=1e-5)
+            else:
+                assert got[part, k].mae is None
+        trained = {}
+        for k in kinds:
+            s = state[k]
+            if s["locked"] is not None:  # the retrain of the part before is done
+                s["until"], s["locked"], s["base"] = s["locked"] + streams.MONITOR_COOLDOWN, None, list(s["win"])
+            for r in (r for r in here if r.event_type == k):
+                s["win"] = [*s["win"], r][-cfg.size :]
+                if s["base"] is None:
+                    s["base"] = list(s["win"]) if len(s["win"]) == cfg.size else None
+                    continue
+                s["since"] += 1
+                if s["locked"] is not None or r["at"] < s["until"] or s["since"] < cfg.stride:
+                    continue
+                s["since"] = 0
+                js = monitor.window_divergence(*(np.array([v.x for v in side]) for side in (s["base"], s["win"])), cfg.bins)
+                if js >= cfg.tiers[-1][1]:
+                    s["locked"] = r["at"]
+                    x = np.array([[*v.x, 1.0] for v in s["win"]])
+                    *w, b = np.linalg.lstsq(x, np.array([v.value for v in s["win"]]), rcond=None)[0]
+                    trained[k] = (np.array(w), b)
+        if trained:
+            version += 1
+            models |= {k: (version, *m) for k, m in trained.items()}
+    assert version >= 2 and max(r.version for r in got.values()) >= 2

@@ -16,7 +16,7 @@ from tidegauge.plans.catalog import query, table
 from tidegauge.plans.frames import EVENTS_SQL, event_features
 from tidegauge.plans.series import drift_sql, tier_sql
 from tidegauge.session import checkpoint_dir
-from tidegauge.streaming import asof, monitor, records, scoring, topic_log
+from tidegauge.streaming import asof, feedback, monitor, records, scoring, topic_log
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -265,3 +265,30 @@ def asof_streams(spark, sf_dir):
     both.write.parquet(f"{folder}/in/1")
     run()
     return spark.read.parquet(f"{folder}/out").where("event_id >= 0").select("event_id", "js")
+
+
+CHAIN_PARTS = 4
+
+
+@query("drift_chain")
+def drift_chain(spark, sf_dir):
+    """Drift, retrain, publish and swap over the events in four parts; what each part was scored with, and its error."""
+    folder = _run_folder(spark)
+    events = table(spark, sf_dir, "events")
+    cuts = events.select(F.percentile(epoch_seconds("ts"), [i / CHAIN_PARTS for i in range(1, CHAIN_PARTS)])).first()[0]
+    part = sum(((epoch_seconds("ts") >= c).cast("int") for c in cuts), F.lit(0))
+    config = monitor.MonitorConfig(tiers=MONITOR_TIERS, cooldown_seconds=MONITOR_COOLDOWN)
+    loop = feedback.FeedbackLoop(spark, folder, config)
+    for i in range(CHAIN_PARTS):
+        events.where(part == i).write.parquet(f"{folder}/in/{i}")
+
+        def stream():
+            raw = spark.readStream.schema(EVENT_SCHEMA).parquet(f"{folder}/in/*")
+            return _records(raw).withColumn("key", F.col("event_type"))
+
+        loop.score(stream()).awaitTermination()
+        loop.monitor(stream(), epoch_seconds("send_ts"), [F.col("event_id")]).awaitTermination()
+    trace = spark.read.parquet(f"{folder}/trace")
+    return trace.groupBy(F.col("batch_id").cast("int").alias("part"), "key", "version").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg(F.abs(F.col("prediction") - F.col("label"))), 6).alias("mae")
+    )
