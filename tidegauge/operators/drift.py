@@ -16,8 +16,11 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegauge.functions.scalars import DRIFT_TIERS, drift_tier
 from tidegauge.operators.ordering import (
@@ -249,89 +252,60 @@ def _joint_scores(series: _Series, size, stride, bins, n_features, per_block) ->
     return score_windows(pairs, ["_g", "_block", "window_id"], n_features, bins).drop("_block")
 
 
-def _clipped_bin(value: Column, lo: Column, spread: Column, bins: int) -> Column:
-    spot = F.floor((value - lo) / spread * bins)
-    return F.when(spread > 0, F.greatest(F.lit(0), F.least(spot, F.lit(bins - 1)))).cast("int")
-
-
-def _baseline_histograms(n_features: int, bins: int) -> Column:
-    """Spread and bin counts of each feature of a baseline, as an array of structs."""
-
-    def feature_hist(j: Column) -> Column:
-        spread = F.col("_hi")[j] - F.col("_lo")[j]
-        spots = F.transform("_base", lambda x: _clipped_bin(x[j], F.col("_lo")[j], spread, bins))
-        return F.struct(
-            j.alias("_j"),
-            spread.alias("_d"),
-            F.aggregate(
-                F.filter(spots, lambda s: s.isNotNull()),
-                F.create_map().cast("map<int,bigint>"),
-                lambda acc, s: F.map_concat(
-                    F.map_filter(acc, lambda k, _: k != s),
-                    F.create_map(s, F.coalesce(acc[s], F.lit(0).cast("bigint")) + 1),
-                ),
-            ).alias("_cb"),
-        )
+def frozen_divergences(base: np.ndarray, rows: np.ndarray, first: int, starts: np.ndarray, size: int, pane: int, bins: int) -> np.ndarray:
+    """Divergence of the windows at ``starts`` from the baseline, whose ranges fix the bins.
 
-    return F.transform(F.sequence(F.lit(0), F.lit(n_features - 1)), feature_hist)
+    ``rows`` are consecutive from row ``first``, a multiple of the pane. Histograms of panes are
+    summed up once; those of any window are the difference of two rows of the sums.
+    """
+    lo, hi = base.min(axis=0), base.max(axis=0)
+    used = np.flatnonzero(hi > lo)
+    if not len(used):
+        return np.zeros(len(starts))
+    spread = (hi - lo)[used]
+
+    def spots(x: np.ndarray) -> np.ndarray:
+        at = np.floor((x[:, used] - lo[used]) / spread * bins)
+        return np.clip(np.where(np.isnan(at), bins - 1, at), 0, bins - 1).astype(np.int64)
+
+    width = len(used) * bins
+    cell = np.arange(len(used)) * bins
+    panes = -(-len(rows) // pane)
+    place = (np.arange(len(rows)) // pane)[:, None] * width + cell + spots(rows)
+    counts = np.bincount(place.ravel(), minlength=panes * width).reshape(panes, width)
+    sums = np.concatenate([np.zeros((1, width), np.int64), counts.cumsum(axis=0)])
+    at = (starts - first) // pane
+    window = (sums[at + size // pane] - sums[at]).reshape(len(starts), len(used), bins)
+    whole = np.bincount((cell + spots(base)).ravel(), minlength=width).reshape(len(used), bins)
+    step = (spread / bins)[:, None]
+    p, q = ((c / (size * step) + SMOOTHING) / (1 / step + bins * SMOOTHING) for c in (whole, window))
+    middle = (p + q) / 2
+    return ((p * np.log(p / middle) + q * np.log(q / middle)) / 2).sum(axis=2).mean(axis=1)
 
 
 def _frozen_scores(series: _Series, size, stride, bins, n_features, per_block) -> DataFrame:
-    """Bins fixed by the baseline, so histograms of short panes add up to those of windows."""
+    """Bins fixed by the baseline; a task holds the rows of a block of windows, each once."""
     pane = math.gcd(size, stride)
-    base = series.baselines(size).withColumns(_bounds(["_base"], n_features))
-    base = base.withColumn("_hist", _baseline_histograms(n_features, bins))
-    frozen = series.block_baselines(base.drop("_base"), size, stride, per_block)
-    low, high = window_span(size, stride)
-    blocked = _in_blocks(series.indexed(), size, stride, per_block).drop("_low", "_high")
-    keys = ["_g"]
-    block_keys = [*keys, "_block"]
-    ranges = frozen.select(*block_keys, "_lo", "_hi")
-    lo = F.col("_lo")[F.col("_j")]
-    spread = F.col("_hi")[F.col("_j")] - lo
-    panes = (
-        join_on(blocked, ranges, block_keys, hint="shuffle_hash")
-        .select(
-            *block_keys, "_lo", "_hi",
-            F.floor(F.col("row_idx") / pane).alias("_pane"),
-            F.posexplode("_x").alias("_j", "_v"),
-        )
-        .withColumn("_bin", _clipped_bin(F.col("_v"), lo, spread, bins))
-        .groupBy(*block_keys, "_pane", "_j", "_bin")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("row_idx", (F.col("_pane") * pane).cast("bigint"))
-        .withColumns({"_low": low, "_high": high})
-    )
-    windows = (
-        panes.withColumn("window_id", _block_windows(per_block))
-        .groupBy(*block_keys, "window_id", "_j", "_bin")
-        .agg(F.sum("_c").alias("_c"))
-        .groupBy(*block_keys, "window_id", "_j")
-        .agg(
-            F.sum("_c").alias("_nw"),
-            F.map_from_entries(
-                F.collect_list(F.when(F.col("_bin").isNotNull(), F.struct("_bin", "_c")))
-            ).alias("_cw"),
-        )
-        .filter(F.col("_nw") == size)
-    )
-
-    base_hist = frozen.select(*block_keys, F.inline("_hist"))
-    both = join_on(windows, base_hist, [*block_keys, "_j"], hint="shuffle_hash")
-    occupied = F.array_union(F.map_keys("_cb"), F.map_keys("_cw"))
-    zero = F.lit(0).cast("bigint")
-
-    def term(b: Column) -> Column:
-        p = _smoothed(F.coalesce(F.col("_cb")[b], zero), F.lit(size), F.col("_d"), bins)
-        q = _smoothed(F.coalesce(F.col("_cw")[b], zero), F.col("_nw"), F.col("_d"), bins)
-        return _js_term(p, q)
-
-    js = F.aggregate(occupied, F.lit(0.0), lambda acc, b: acc + term(b))
-    return (
-        both.select(*keys, "window_id", F.when(F.col("_d") > 0, js).alias("_js"))
-        .groupBy(*keys, "window_id")
-        .agg(F.coalesce(F.avg("_js"), F.lit(0.0)).alias("js"))
-    )
+    base = series.block_baselines(series.baselines(size), size, stride, per_block)
+    base = base.select(F.col("_g").alias("_h"), F.col("_block").alias("_c"), "_base")
+    blocked = _in_blocks(series.indexed(), size, stride, per_block).select("_g", "_block", "row_idx", "_x")
+    schema = T.StructType([blocked.schema["_g"], T.StructField("window_id", T.LongType()), T.StructField("js", T.DoubleType())])
+
+    def score(rows: pa.Table, bases: pa.Table) -> pa.Table:
+        ids, js = np.zeros(0, np.int64), np.zeros(0)
+        if rows.num_rows and bases.num_rows:
+            at = rows["row_idx"].to_numpy()
+            order = np.argsort(at)
+            x = np.array(rows["_x"].to_pylist(), float)[order]
+            first, end = int(at.min()), int(at.max()) + 1
+            block = bases["_c"][0].as_py()
+            ids = np.arange(max(1, block * per_block), (block + 1) * per_block)
+            ids = ids[(ids * stride >= first) & (ids * stride + size <= end)]
+            js = frozen_divergences(np.array(bases["_base"][0].as_py(), float), x, first, ids * stride, size, pane, bins)
+        group = (bases["_h"] if bases.num_rows else rows["_g"]).take(pa.array(np.zeros(len(ids), np.int64)))
+        return pa.table([group, pa.array(ids, pa.int64()), pa.array(js, pa.float64())], names=schema.names)
+
+    return blocked.groupBy("_g", "_block").cogroup(base.groupBy("_h", "_c")).applyInArrow(score, schema)
 
 
 def drift_windows(
@@ -460,11 +434,13 @@ def calibrate_thresholds(
     bins: int = HISTOGRAM_BINS,
     seed: int = 0,
     max_rows: int = MAX_ROWS_PER_TASK,
+    draw: Column | None = None,
 ) -> DataFrame:
     """Thresholds from undrifted data, as rows ``(tier, threshold)``.
 
     Contiguous windows at seeded random starts are scored against the first window; the
-    requested quantiles of those scores are the cut-offs.
+    requested quantiles of those scores are the cut-offs. ``draw``, a whole number from the resample's
+    ``id``, replaces the hash that the starts come from.
     """
     series = _Series.of(df, order, features, (), max_rows)
     total = series.largest
@@ -473,7 +449,7 @@ def calibrate_thresholds(
     spark = df.sparkSession
     starts = spark.range(resamples).select(
         F.col("id").alias("window_id"),
-        F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(total - size + 1)).alias("_start"),
+        F.pmod(F.xxhash64(F.lit(seed), "id") if draw is None else draw, F.lit(total - size + 1)).alias("_start"),
     )
     # resamples * size rows: bounded by the two parameters.
     picks = starts.select(

@@ -23,22 +23,24 @@ SIZE, STRIDE, BINS = drift.WINDOW_SIZE, drift.WINDOW_STRIDE, drift.HISTOGRAM_BIN
 EVENT_ORDER = ["ts", "event_id"]
 
 
-def drift_sql(size: int, stride: int, bins: int, frozen: bool = False) -> str:
-    """CTEs ending in ``scored(event_type, window_id, js)``."""
+def drift_sql(size: int, stride: int, bins: int, frozen: bool = False, group: str = "event_type", spans: str = "", start: str = "") -> str:
+    """CTEs ending in ``scored(event_type, window_id, js)``; ``spans`` may name other windows (g, k) with a ``start``."""
+    start = start or f"s.k * {stride}"
+    spans = spans or f"SELECT g, unnest(range(1, (n - {size}) // {stride} + 1)) AS k FROM sizes WHERE n >= {size}"
     lo, hi = ("b.lo", "b.hi") if frozen else ("least(min(w.v), b.lo)", "greatest(max(w.v), b.hi)")
     spot = f"least(floor((v - lo) / (hi - lo) * {bins}), {bins - 1})"
     if frozen:
         spot = f"greatest(0, {spot})"
     smooth = lambda c: f"(({c} / ({size} * ((hi - lo) / {bins})) + 1e-12) / (1 / ((hi - lo) / {bins}) + {bins} * 1e-12))"
     return f"""{EVENTS_SQL},
-    src AS (SELECT event_type AS g, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS i,
+    src AS (SELECT {group} AS g, row_number() OVER (PARTITION BY {group} ORDER BY ts, event_id) - 1 AS i,
                    value, hour, k FROM ev),
     feat AS (SELECT g, i, 0 AS j, value AS v FROM src UNION ALL SELECT g, i, 1, hour FROM src
              UNION ALL SELECT g, i, 2, COALESCE(k, 0.0) FROM src),
     sizes AS (SELECT g, COUNT(*) AS n FROM src GROUP BY 1),
-    spans AS (SELECT g, unnest(range(1, (n - {size}) // {stride} + 1)) AS k FROM sizes WHERE n >= {size}),
+    spans AS ({spans}),
     w AS (SELECT f.g, s.k, f.j, f.v FROM feat f JOIN spans s
-          ON f.g = s.g AND f.i >= s.k * {stride} AND f.i < s.k * {stride} + {size}),
+          ON f.g = s.g AND f.i >= {start} AND f.i < {start} + {size}),
     base AS (SELECT g, j, v FROM feat WHERE i < {size}),
     ends AS (SELECT g, j, min(v) AS lo, max(v) AS hi FROM base GROUP BY 1, 2),
     rng AS (SELECT w.g, w.k, w.j, {lo} AS lo, {hi} AS hi FROM w JOIN ends b ON w.g = b.g AND w.j = b.j
@@ -160,9 +162,23 @@ def drift_score(spark, sf_dir):
     return got.withColumn("js", F.round("js", 9))
 
 
-@query("drift_calibration")
+_RESAMPLES = 200
+_STARTS_SQL = f"""SELECT g, id AS k, ('0x' || substr(md5('0|' || id :: VARCHAR), 1, 15)) :: BIGINT % (n - {SIZE} + 1) AS s
+    FROM sizes, range({_RESAMPLES}) t(id)"""
+
+
+@query(
+    "drift_calibration",
+    f"WITH {drift_sql(SIZE, STRIDE, BINS, False, "'all'", _STARTS_SQL, 's.s')} SELECT unnest(['A', 'B', 'C']) AS tier, "
+    "unnest([round(quantile_cont(js :: DOUBLE, 0.9), 9), round(quantile_cont(js :: DOUBLE, 0.95), 9), round(quantile_cont(js :: DOUBLE, 0.99), 9)]) AS threshold FROM scored",
+)
 def drift_calibration(spark, sf_dir):
-    return drift.calibrate_thresholds(event_features(spark, sf_dir), EVENT_ORDER, EVENT_FEATURES)
+    """Thresholds from windows whose starts a hash chooses that SQL has too."""
+    digest = F.substring(F.md5(F.concat(F.lit("0|"), F.col("id").cast("string"))), 1, 15)
+    found = drift.calibrate_thresholds(
+        event_features(spark, sf_dir), EVENT_ORDER, EVENT_FEATURES, resamples=_RESAMPLES, draw=F.conv(digest, 16, 10).cast("bigint")
+    )
+    return found.withColumn("threshold", F.round("threshold", 9))
 
 
 DAILY_SQL = """daily AS (
