@@ -99,6 +99,38 @@ def test_distributed_mlp(linear_data):
     assert np.allclose(best.params[: best.frozen(1)], net.params[: net.frozen(1)])
 
 
+@pytest.mark.parametrize("block_rows", [1000, 100])
+def test_mini_batches_equal_a_plain_loop_over_blocks(linear_data, block_rows):
+    df, _, _ = linear_data
+    rows = mlp.rows_frame(df, ["a", "b", "c"], "y").withColumn("y", F.col("y") / 10).cache()
+    best, history = mlp.fit_mlp(rows, rows, 3, (8,), "tanh", lr=0.01, epochs=4, batch_size=16, block_rows=block_rows, seed=5)
+    blocks = {}
+    for r in sorted(mlp.in_blocks(rows, block_rows).collect(), key=lambda r: r.h):
+        blocks.setdefault(r.block, []).append(r)
+    assert len(blocks) == -(-400 // block_rows)
+    net, opt, want = network.Network.create(3, (8,), "tanh", 5), network.Adam(41, 0.01), []
+    state = np.zeros((3, 41))
+    state[0] = net.params
+    x, y = np.array([r.x for r in rows.collect()]), np.array([r.y for r in rows.collect()])
+    steps = 0
+    for epoch in range(4):
+        total, done = np.zeros((3, 41)), 0
+        for block, own in blocks.items():
+            one, opt = net.copy(), network.Adam(41, 0.01)
+            one.params, opt.m, opt.v, opt.t = (*(s.copy() for s in state), steps)
+            bx, by = np.array([r.x for r in own]), np.array([r.y for r in own])
+            rng = np.random.default_rng([5, epoch, block])
+            for idx in np.array_split(rng.permutation(len(bx)), -(-len(bx) // 16)):
+                one.params = opt.step(one.params, one.gradient(bx[idx], by[idx], "smoothl1")[1] / len(idx))
+            total += np.stack([one.params, opt.m, opt.v]) * len(bx)
+            done = max(done, opt.t)
+        state, steps = total / 400, done
+        net.params = state[0].copy()
+        want.append(float(np.mean((net.predict(x) - y) ** 2)))
+    assert np.allclose(history, want) and min(history) < history[0]
+    assert np.isclose(np.mean((best.predict(x) - y) ** 2), min(want))
+
+
 def test_permutation_importance(linear_data):
     df, x, y = linear_data
     vec = df.select("id", F.array("a", "b", "c").alias("x"), "y")

@@ -1,8 +1,10 @@
 """Dense regression network trained on a distributed table.
 
-Every step is one Spark job: each task sums the gradient over its rows, the sums are added by an
-aggregation, and the driver, which holds only the weights, makes one Adam step. A step therefore
-sees the whole table (full batch) where small-batch training would make many noisy ones.
+In mini-batches, an epoch is one Spark job: rows lie in blocks of bounded size, every block runs
+through its own batches from the common weights, and weights and Adam state are averaged by rows. A
+table of one block is thus trained as a plain loop would. Without a batch size a step is one job: the
+tasks sum the gradient over the whole table, and the driver, which holds only the weights, makes one
+Adam step.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.models.network import Adam, Network
+from tidegauge.session import cut_lineage
 
 
 def rows_frame(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
@@ -93,6 +96,37 @@ class Plateau:
             opt.lr, self.bad = max(self.min_lr, opt.lr / 2), 0
 
 
+@dataclass(frozen=True)
+class _Settings:
+    loss: str
+    batch_size: int
+    candidate_id: int = 0
+
+
+@dataclass
+class _Trained:
+    """The network in training, as ``retrain.batch_epoch`` takes it."""
+
+    row: _Settings
+    net: Network
+    opt: Adam
+
+    def set(self, sums: np.ndarray, rows: int, steps: int) -> None:
+        n = len(self.net.params)
+        self.net.params, self.opt.m, self.opt.v = sums[:n] / rows, sums[n : 2 * n] / rows, sums[2 * n :] / rows
+        self.opt.t = steps
+
+
+def in_blocks(train: DataFrame, block_rows: int) -> DataFrame:
+    """``(block, h, x, y)`` written once: rows hashed into blocks of about ``block_rows``."""
+    n = train.count()
+    if not n:
+        raise ValueError("no training rows")
+    h = F.xxhash64("x", "y")
+    rows = train.select(F.pmod(h, F.lit(-(-n // block_rows))).cast("int").alias("block"), h.alias("h"), "x", "y")
+    return cut_lineage(rows.repartition("block"))
+
+
 def fit_mlp(
     train: DataFrame,
     valid: DataFrame,
@@ -109,10 +143,13 @@ def fit_mlp(
     start: Network | None = None,
     freeze: int = 0,
     seed: int = 0,
+    batch_size: int | None = None,
+    block_rows: int | None = None,
 ) -> tuple[Network, list[float]]:
     """Best network by validation error, and the validation errors of all epochs.
 
-    ``train`` and ``valid`` are ``(x, y)`` tables; persist them, they are read once per step.
+    ``train`` and ``valid`` are ``(x, y)`` tables; persist them, they are read once per step, or once per
+    epoch with a ``batch_size``. Rows of equal x and y share a block.
     ``start`` fine-tunes a copy of an existing network, optionally with its first ``freeze``
     layers fixed.
     """
@@ -120,8 +157,16 @@ def fit_mlp(
     opt = Adam(len(net.params), lr, weight_decay, net.frozen(freeze) if start else 0)
     plateau = Plateau(plateau_patience)
     best, best_value, bad, history = net.copy(), float("inf"), 0, []
-    for _ in range(epochs):
-        for _ in range(steps_per_epoch):
+    if batch_size:
+        from tidegauge.models.retrain import BLOCK_ROWS, batch_epoch
+
+        blocks = in_blocks(train, block_rows or BLOCK_ROWS)
+        own = _Trained(_Settings(loss, batch_size), net, opt)
+    for epoch in range(epochs):
+        if batch_size:
+            batch_epoch(blocks, [own], epoch, seed)
+            net = own.net
+        for _ in range(0 if batch_size else steps_per_epoch):
             _, grad, n = gradient_sums(train, net, loss)
             if n == 0:
                 raise ValueError("no training rows")

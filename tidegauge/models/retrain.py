@@ -76,7 +76,7 @@ class _Run:
 _SUMS = "candidate_id int, part int, n long, steps long, sums array<double>"
 
 
-def _epoch(blocks: DataFrame, runs: list[_Run], epoch: int, seed: int) -> None:
+def batch_epoch(blocks: DataFrame, runs: list[_Run], epoch: int, seed: int) -> None:
     """One epoch of all candidates, averaged over the blocks."""
     shared = blocks.sparkSession.sparkContext.broadcast([(r.row, r.net, r.opt) for r in runs])
     schema = pa.schema([("candidate_id", pa.int32()), ("part", pa.int32()), ("n", pa.int64()), ("steps", pa.int64()), ("sums", pa.list_(pa.float64()))])
@@ -158,7 +158,7 @@ def score_candidates(
     for epoch in range(max(1, epochs)):
         if not active:
             break
-        _epoch(train, active, epoch, seed)
+        batch_epoch(train, active, epoch, seed)
         if not full and epoch < epochs - 1:
             continue
         metrics = _measure(valid, {r.row.candidate_id: r.net for r in active})

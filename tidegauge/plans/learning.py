@@ -321,7 +321,7 @@ def _scaled_events(spark, sf_dir):
 def mlp_fit(spark, sf_dir):
     rows = spread(hash_split(_scaled_events(spark, sf_dir), 0.3, ["event_id"]))
     net, history = mlp.fit_mlp(
-        rows.filter("not is_valid").select("x", "y"), rows.filter("is_valid").select("x", "y"), 2, (64, 32), epochs=100, lr=0.05
+        rows.filter("not is_valid").select("x", "y"), rows.filter("is_valid").select("x", "y"), 2, (64, 32), epochs=100, batch_size=16
     )
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(history)], "epoch int, mse double")
 
