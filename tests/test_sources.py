@@ -222,3 +222,12 @@ def test_metric_sink(spark, tmp_path):
     f = spark.createDataFrame([([1.0, 2.0],)], "yhat array<double>")
     sinks.write_forecast(f, str(tmp_path / "f"))
     assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "f")).collect()) == [(1, 1.0), (2, 2.0)]
+
+
+def test_more_names_than_columns_is_an_error(spark):
+    from tidegauge.sources import hardware
+
+    long = spark.createDataFrame([("mem", i, f"c{i}") for i in range(5)], "piece string, position int, name string")
+    assert hardware.column_names(long, ["mem"], 5) == [f"c{i}" for i in range(5)]
+    with pytest.raises(ValueError, match="more than 4"):
+        hardware.column_names(long, ["mem"], 4)

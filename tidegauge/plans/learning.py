@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from tidegauge.models import evaluate, linear, mlp, regressors, retrain, search, trees
 from tidegauge.models.network import Network
 from tidegauge.operators import grids, sequence
-from tidegauge.operators.drift import count_windows, drift_windows
-from tidegauge.operators.ordering import chronological_split, hash_split
+from tidegauge.operators.drift import WINDOW_SIZE, WINDOW_STRIDE, drift_windows
+from tidegauge.operators.ordering import chronological_split, hash_split, row_index
 from tidegauge.operators.stats import StandardScaler, error_metrics
 from tidegauge.plans.catalog import query, table
 from tidegauge.plans.frames import (
@@ -354,8 +354,8 @@ def drift_retrain(spark, sf_dir):
     events = event_features(spark, sf_dir)
     scored = drift_windows(events, EVENT_ORDER, EVENT_FEATURES)
     worst = scored.orderBy(F.desc("js"), "window_id").limit(1).first()
-    rows = _scaled_events(spark, sf_dir)
-    window = count_windows(rows, EVENT_ORDER).filter(F.col("window_id") == worst.window_id)
+    first = worst.window_id * WINDOW_STRIDE
+    window = row_index(_scaled_events(spark, sf_dir), EVENT_ORDER).filter(F.col("row_idx").between(first, first + WINDOW_SIZE - 1))
     base = Network.create(2, (64, 32), seed=0)
     result = retrain.two_stage_search(window, ["event_id"], worst.tier or "A", baseline=base, current=base)
     return result.drop("network")

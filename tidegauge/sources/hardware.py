@@ -238,11 +238,17 @@ def prefixed(long: DataFrame, prefix: str) -> DataFrame:
     return long.withColumn("name", F.concat(F.lit(prefix), "name"))
 
 
-def column_names(long: DataFrame, order: Sequence[str]) -> list[str]:
-    """Column names in piece order, then file order; the width of the table to build."""
+MAX_COLUMNS = 10_000  # of a table built from names that stand in the files
+
+
+def column_names(long: DataFrame, order: Sequence[str], most: int = MAX_COLUMNS) -> list[str]:
+    """Column names in piece order, then file order; error if they are more than a table should have."""
     rank = F.array_position(F.array(*[F.lit(p) for p in order]), F.col("piece"))
     found = long.groupBy("name").agg(F.min(F.struct(rank, "position")).alias("_p")).orderBy("_p", "name")
-    return [r["name"] for r in found.select("name").collect()]
+    names = [r["name"] for r in found.select("name").limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} different columns")
+    return names
 
 
 def assemble(pieces: Sequence[DataFrame], keys: Sequence[str] = ("path",), names: Sequence[str] | None = None) -> DataFrame:
