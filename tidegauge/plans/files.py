@@ -7,7 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import functions as F
 
-from tidegauge.operators import commits, schema
+from tidegauge.operators import commits, resources, schema
 from tidegauge.plans.catalog import query, table
 from tidegauge.plans.frames import EVENT_TYPES, event_features
 from tidegauge.plans.ingest import USER_SQL, _counter_lines
@@ -180,3 +180,21 @@ def part_rows(spark, sf_dir):
     return rows.select(
         _part_name("path").alias("part"), F.col("event_id").cast("bigint").alias("event_id"), F.col("value").cast("double").alias("value"), F.col("user_id").cast("bigint").alias("user_id")
     )
+
+
+@query(
+    "report_table",
+    """WITH r AS (SELECT event_type AS component, COUNT(*) AS n, COUNT(*) FILTER (user_id % 2 = 1) AS odd FROM events GROUP BY 1),
+    l AS (SELECT 2 + row_number() OVER (ORDER BY component) - 1 AS line_no, '| ' || component || ' | ' || n || ' | ' || odd || ' |' AS line FROM r)
+    SELECT 0 :: BIGINT AS line_no, '| component | n | odd |' AS line UNION ALL SELECT 1, '| --- | --- | --- |' UNION ALL SELECT line_no, line FROM l""",
+)
+def report_table(spark, sf_dir):
+    """A summary written as a table and as the text of a report, and read back from both."""
+    folder = run_folder(spark, "report")
+    odd = F.count_if(F.col("user_id") % 2 == 1).alias("odd")
+    summary = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("component")).agg(F.count(F.lit(1)).alias("n"), odd)
+    sinks.write_table(summary, f"{folder}/table", fmt="csv")
+    back = text.read_table(spark, f"{folder}/table")
+    lines = resources.markdown_table(back, ["component"], 100).split("\n")
+    spark.createDataFrame([(x,) for x in lines], "line string").coalesce(1).write.text(f"{folder}/text")
+    return text.read_lines(spark, f"{folder}/text").select("line_no", "line")
