@@ -185,6 +185,17 @@ def test_language_bound_keeps_the_figures_of_all_sequences(spark):
     counted.unpersist()
 
 
+def test_language_cut_among_ties_and_signs(spark):
+    rng = random.Random(4)
+    rows = list({(x, rng.choice([1, 40_000, -(1 << 62)]) + rng.randrange(200)): (x, 0, 0) for x in "abc" for _ in range(300)})
+    rows = [(x, g, rng.choice([1, 1, 1, 2, 70_000, 1 << 40])) for x, g in rows]
+    sizes = {x: sum(r[0] == x for r in rows) for x in "abc"}
+    for share in ({"a": 10, "b": 150, "c": 1_000}, {"a": 1, "b": sizes["b"] - 1, "c": sizes["c"]}):
+        got = langid._most_frequent(spark.createDataFrame(rows, "lang string, gram long, n long"), sizes, share).collect()
+        want = [r for x in "abc" for r in sorted((r for r in rows if r[0] == x), key=lambda r: (-r[2], r[1]))[: share[x]]]
+        assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_language_without_a_bound_keeps_every_sequence(spark):
     rows = [(x, g, 1 + g % 3) for x in "ab" for g in range(1 << 16, 6_000 + (1 << 16))]
     counted = spark.createDataFrame(rows, "lang string, gram long, n long")

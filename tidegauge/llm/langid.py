@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -303,15 +303,37 @@ def _most_frequent(counted: DataFrame, sizes: dict[str, int], share: int | dict[
     shares = share if isinstance(share, dict) else dict.fromkeys(sizes, share)
     if all(n <= shares[x] for x, n in sizes.items()):
         return counted
-    known = F.create_map(*[F.lit(y) for x in shares.items() for y in x])
-    counted = counted.withColumn("__most", F.element_at(known, F.col("lang")))
-    # Each salted part gives up what cannot be among its language's first; few rows then meet.
-    part = F.pmod(F.xxhash64("gram"), F.lit(64))
-    first = Window.partitionBy("lang", part).orderBy(F.desc("n"), "gram")
-    kept = counted.withColumn("r", F.row_number().over(first)).where(F.col("r") <= F.col("__most"))
-    every = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    kept = kept.withColumn("r", F.row_number().over(every)).where(F.col("r") <= F.col("__most"))
-    return kept.select("lang", "gram", "n")
+    # The cut (count, sequence) of each language, digit by digit from counts of ranges: no task sorts a language.
+    left = {x: shares[x] for x, n in sizes.items() if n > shares[x]}
+    some = counted.where(F.col("lang").isin(list(left)))
+    cut_n, left = _cut(some, "n", left, falling=True)
+    ties = some.where(F.col("n") == _of(cut_n))
+    cut_gram, _ = _cut(ties, "gram", left, falling=False)
+    n, gram = _of(cut_n), _of(cut_gram)
+    return counted.where(n.isNull() | (F.col("n") > n) | ((F.col("n") == n) & (F.col("gram") <= gram)))
+
+
+def _of(values: dict[str, int]):
+    """The value of the row's language, null if it has none."""
+    return F.element_at(F.create_map(*[F.lit(y) for x in values.items() for y in x]), F.col("lang")).cast("bigint")
+
+
+def _cut(rows: DataFrame, name: str, wanted: dict[str, int], falling: bool) -> tuple[dict[str, int], dict[str, int]]:
+    """The value of each language's last wanted row in order of ``name``, and how many are wanted of that value."""
+    prefix, left = dict.fromkeys(wanted, 0), dict(wanted)
+    for shift in (48, 32, 16, 0):
+        digit = F.shiftright(name, shift)
+        inside = rows if shift == 48 else rows.where(F.shiftright(name, shift + 16) == _of(prefix))
+        counts: dict[str, list] = {}
+        for lang, d, n in inside.groupBy("lang", digit.alias("d")).agg(F.count(F.lit(1))).collect():  # at most 65,536 a language
+            counts.setdefault(lang, []).append((d, n))
+        for lang, found in counts.items():
+            for d, n in sorted(found, reverse=falling):
+                if n >= left[lang]:
+                    break
+                left[lang] -= n
+            prefix[lang] = d
+    return prefix, left
 
 
 def _by_language(rows: DataFrame) -> dict[str, tuple[np.ndarray, ...]]:
