@@ -357,3 +357,34 @@ def test_chain_of_drift_retrain_publish_and_swap_equals_a_plain_replay(spark, sf
             version += 1
             models |= {k: (version, *m) for k, m in trained.items()}
     assert version >= 2 and max(r.version for r in got.values()) >= 2
+
+
+def test_pieces_of_a_micro_batch_give_the_events_of_the_whole(monkeypatch):
+    cfg = monitor.MonitorConfig(size=30, stride=7, bins=8, tiers=(("A", 0.12),), cooldown_seconds=25.0)
+    rng = np.random.default_rng(4)
+    at = np.sort(rng.integers(0, 150, 300)).astype(float)
+    x = rng.normal(size=(300, 2)) + np.sin(np.arange(300) / 30)[:, None]
+    done = np.sort(rng.integers(0, 150, 12)).astype(float)
+    want = plain_monitor(list(zip(at, x, strict=True)), done, cfg)
+    for rows in (1, 7, 100, 1000):
+        monkeypatch.setattr(monitor, "STEP_ROWS", rows)
+        got = list(monitor._Series(cfg, None).replay(at, x, np.full(300, np.nan), done))
+        assert [(e["event"], e["at"], e["row_no"]) for e in got] == [w[:3] for w in want]
+        assert all(len(e["_v"]) == 90 for e in got if e["event"] == "drift")
+
+
+def test_parts_of_events_are_bounded_and_leave_no_gap(spark, tmp_path):
+    from tidegauge.plans import streams
+
+    rows = [(i, START.replace(tzinfo=None) + timedelta(seconds=t), k) for i, (k, t) in enumerate([("a", s // 4) for s in range(40)] + [("b", 3), ("b", 1), ("b", 2)])]
+    table = spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, event_type string").selectExpr("event_id", "ts", "1L AS user_id", "event_type", "0D AS value", "'' AS props")
+    table.write.parquet(str(tmp_path / "t" / "events.parquet"))
+    where = streams.events_parts(spark, str(tmp_path / "t"), str(tmp_path / "run"), 3)
+    got, last = [], {}
+    for _, batch in sorted(spark.read.schema(streams.EVENT_SCHEMA).parquet(where).select("*", "_metadata.file_path").toPandas().groupby("file_path")):
+        got.append(len(batch))
+        for kind, own in batch.groupby("event_type"):
+            assert len(own) <= 4 and last.get(kind, (len(got) - 1, own.ts.min() - pd.Timedelta(1)))[0] == len(got) - 1
+            assert own.ts.min() > last.get(kind, (0, pd.Timestamp(0)))[1]  # equal times stay together
+            last[kind] = (len(got), own.ts.max())
+    assert sum(got) == 43 and len(got) == 10 and streams.events_stream(spark, where).isStreaming

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.scalars import epoch_micros, epoch_seconds, first_number
@@ -21,10 +22,29 @@ from tidegauge.streaming import asof, feedback, monitor, records, scoring, topic
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def events_stream(spark, sf_dir):
-    # A micro-batch is sorted per key, so its size is bounded.
-    options = {"pathGlobFilter": "events.parquet", "maxFilesPerTrigger": 16}
-    return spark.readStream.schema(EVENT_SCHEMA).options(**options).parquet(sf_dir)
+PART_ROWS = 250_000  # of a type in a micro-batch
+
+
+def events_parts(spark, sf_dir, folder, rows: int = PART_ROWS) -> str:
+    """The events as files of which each is a micro-batch, in order of time; their folder.
+
+    A part has up to about ``rows`` records of every type, which a task holds. Equal times are not
+    split, and the parts of a type follow one another without a gap, so no type looks idle between two
+    of its own. The files are written one after the other, as the source takes them by their age.
+    """
+    own = Window.partitionBy("event_type")
+    spot = F.rank().over(own.orderBy(F.col("ts").asc_nulls_last()))
+    cut = table(spark, sf_dir, "events").withColumn("_c", F.floor((spot - 1) / rows))
+    parts = cut.withColumn("part", F.dense_rank().over(own.orderBy("_c"))).drop("_c")
+    parts.repartition("part").write.partitionBy("part").parquet(f"{folder}/parts")
+    last = spark.read.parquet(f"{folder}/parts").agg(F.max("part")).first()[0] or 0
+    for i in range(1, last + 1):
+        spark.read.parquet(f"{folder}/parts/part={i}").coalesce(1).write.parquet(f"{folder}/in/{i:06d}")
+    return f"{folder}/in/*"
+
+
+def events_stream(spark, parts):
+    return spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(parts)
 
 
 def _run_folder(spark) -> str:
@@ -46,8 +66,9 @@ def _records(events):
 )
 def drift_stream(spark, sf_dir):
     folder = _run_folder(spark)
+    parts = events_parts(spark, sf_dir, folder)
     events = monitor.monitor_stream(
-        _records(events_stream(spark, sf_dir)), "event_type", epoch_seconds("send_ts"), [F.col("event_id")],
+        _records(events_stream(spark, parts)), "event_type", epoch_seconds("send_ts"), [F.col("event_id")],
         monitor.MonitorConfig(lock_on_drift=False),
     )
     monitor.write_monitor(
@@ -61,9 +82,9 @@ MONITOR_TIERS = (("B", 0.045), ("A", 0.035))
 MONITOR_COOLDOWN = 3_600.0
 
 
-def completions_stream(spark, sf_dir):
+def completions_stream(spark, parts):
     """(event_type, at): records whose k ends in 0 or 5 stand for the end of a retrain."""
-    events = events_stream(spark, sf_dir).where(F.pmod(first_number("props"), F.lit(5.0)) == 0)
+    events = events_stream(spark, parts).where(F.pmod(first_number("props"), F.lit(5.0)) == 0)
     return events.select("event_type", epoch_seconds("ts").alias("at"))
 
 
@@ -71,9 +92,10 @@ def completions_stream(spark, sf_dir):
 def drift_lock_stream(spark, sf_dir):
     """The monitor with its lock: drift waits for the end of a retrain, a cooldown follows, the baseline is renewed."""
     folder = _run_folder(spark)
+    parts = events_parts(spark, sf_dir, folder)
     events = monitor.monitor_stream(
-        _records(events_stream(spark, sf_dir)), "event_type", epoch_seconds("send_ts"), [F.col("event_id")],
-        monitor.MonitorConfig(tiers=MONITOR_TIERS, cooldown_seconds=MONITOR_COOLDOWN), completions_stream(spark, sf_dir),
+        _records(events_stream(spark, parts)), "event_type", epoch_seconds("send_ts"), [F.col("event_id")],
+        monitor.MonitorConfig(tiers=MONITOR_TIERS, cooldown_seconds=MONITOR_COOLDOWN), completions_stream(spark, parts),
     )
     monitor.write_monitor(
         events, "event_type", f"{folder}/events", f"{folder}/windows", f"{folder}/checkpoint"
@@ -90,8 +112,9 @@ def drift_lock_stream(spark, sf_dir):
 def idle_stream(spark, sf_dir):
     """Every series ends some time after its last record; its state goes."""
     folder = _run_folder(spark)
+    parts = events_parts(spark, sf_dir, folder)
     events = monitor.monitor_stream(
-        _records(events_stream(spark, sf_dir)), "event_type", epoch_seconds("send_ts"), [F.col("event_id")],
+        _records(events_stream(spark, parts)), "event_type", epoch_seconds("send_ts"), [F.col("event_id")],
         monitor.MonitorConfig(lock_on_drift=False, idle_seconds=1),
     )
     running = monitor.write_monitor(

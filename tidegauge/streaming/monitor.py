@@ -1,7 +1,8 @@
 """Drift monitor of a record stream.
 
 Windows are counted per stream key, so records of one key are processed in order by one
-task; load spreads over keys. The state of a key is bounded by two windows of rows.
+task; load spreads over keys. The state of a key is bounded by two windows of rows, and what a task
+holds by the records of a key in one micro-batch, as arrays of numbers.
 """
 
 from __future__ import annotations
@@ -26,6 +27,14 @@ EVENT_SCHEMA = (
     "event string, at double, row_no bigint, window_id bigint, js double, tier string, "
     "rows array<struct<x: array<double>, label: double>>"
 )
+# The rows of a window leave a task as flat arrays, features and label of one row after the other, not
+# as an object a row; what is missing is flagged.
+_FLAT_SCHEMA = (
+    "event string, at double, row_no bigint, window_id bigint, js double, tier string, "
+    "_width int, _v array<double>, _gap array<boolean>"
+)
+STEP_ROWS = 20_000  # records advanced at once
+EVENTS_AT_ONCE = 500  # events that leave a task together
 STATE_SCHEMA = (
     "window_x array<array<double>>, window_y array<double>, baseline array<array<double>>, "
     "seen bigint, since bigint, locked boolean, cooldown_until double"
@@ -80,7 +89,8 @@ class _Series:
     def advance(self, at: np.ndarray, x: np.ndarray, labels: list, done: np.ndarray) -> Iterator[dict]:
         """Events of further records in order of time, and of the times at which retrains were completed."""
         c, n, held = self.config, len(at), len(self.xs)
-        rows = np.concatenate([np.array(self.xs, float), x]) if held else x
+        rows = np.array(self.xs, float) if held else x
+        rows = np.concatenate([rows, x]) if held and n else rows
         ys = self.ys + labels
         before = np.searchsorted(at, done, side="right")  # records that come first
 
@@ -112,13 +122,25 @@ class _Series:
         last = window(n)
         self.xs, self.ys = rows[last].tolist(), ys[last]
 
+    def replay(self, at: np.ndarray, x: np.ndarray, labels: np.ndarray, done: np.ndarray) -> Iterator[dict]:
+        """``advance`` in pieces of a bounded number of records; a completion goes with the records before it."""
+        before = np.searchsorted(at, done, side="right")
+        d = 0
+        for a in range(0, max(len(at), 1), STEP_ROWS):
+            z = min(a + STEP_ROWS, len(at))
+            e = len(done) if z == len(at) else int(np.searchsorted(before, z, side="right"))
+            known = [None if v != v else v for v in labels[a:z].tolist()]
+            yield from self.advance(at[a:z], x[a:z], known, done[d:e])
+            d = e
+
     def _evaluate(self, at: float, rows: np.ndarray, labels: list, row_no: int) -> dict:
         c = self.config
         js = window_divergence(self.baseline, rows, c.bins)
         tier = next((name for name, threshold in c.tiers if js >= threshold), None)
         event = {"event": "js_tick", "js": js, "tier": tier, "at": at, "row_no": row_no}
         if tier:
-            event |= {"event": "drift", "rows": [{"x": x, "label": y} for x, y in zip(rows.tolist(), labels, strict=True)]}
+            flat = np.column_stack([rows, np.array(labels, float)])
+            event |= {"event": "drift", "_width": flat.shape[1], "_v": np.where(flat != flat, 0.0, flat).ravel(), "_gap": np.isnan(flat).ravel()}
             self.locked = c.lock_on_drift
         return event
 
@@ -164,12 +186,12 @@ def monitor_stream(
             yield _events([{"event": "idle_timeout", "row_no": saved[3]}], group[0], config)
             return
         series = _Series(config, state.get if state.exists else None)
-        rows = pd.concat(list(batches)).sort_values(["at", *orders], kind="stable")
-        own = rows[rows.kind == RECORD]
-        x = np.array(own.x.tolist(), float).reshape(len(own), -1)
-        labels = [None if v != v else v for v in own.label.astype(float).tolist()]
-        done = np.sort(rows.loc[rows.kind == RETRAIN_DONE, "at"].to_numpy(float))
-        found = list(series.advance(own["at"].to_numpy(float), x, labels, done))
+        found = []
+        for event in series.replay(*_sorted_arrays(batches, orders)):
+            found.append(event)
+            if len(found) == EVENTS_AT_ONCE:
+                yield _events(found, group[0], config)
+                found = []
         state.update(series.saved())
         if config.idle_seconds:
             state.setTimeoutDuration(config.idle_seconds * 1000)
@@ -178,16 +200,34 @@ def monitor_stream(
     timeout = (
         GroupStateTimeout.ProcessingTimeTimeout if config.idle_seconds else GroupStateTimeout.NoTimeout
     )
-    return (
-        lines.groupBy("_key")
-        .applyInPandasWithState(step, f"_key string, {EVENT_SCHEMA}", STATE_SCHEMA, "append", timeout)
-        .withColumnRenamed("_key", key)
+    told = lines.groupBy("_key").applyInPandasWithState(step, f"_key string, {_FLAT_SCHEMA}", STATE_SCHEMA, "append", timeout)
+    value = lambda k: F.when(~F.get("_gap", k.cast("int")), F.get("_v", k.cast("int")))
+    width = F.col("_width")
+    row = lambda i: F.struct(
+        F.transform(F.sequence(i, i + width - 2), value).alias("x"), value(i + width - 1).alias("label")
     )
+    rows = F.transform(F.sequence(F.lit(0), F.size("_v") - width, width), row)
+    return told.select(F.col("_key").alias(key), "event", "at", "row_no", "window_id", "js", "tier", rows.alias("rows"))
+
+
+def _sorted_arrays(batches: Iterator[pd.DataFrame], orders: list[str]) -> tuple[np.ndarray, ...]:
+    """Times, features and labels of a key's records in order, and the sorted times of its completions."""
+    parts = []
+    for batch in batches:
+        own = batch[batch.kind == RECORD]
+        x = np.array(own.x.tolist(), float).reshape(len(own), -1) if len(own) else np.empty((0, 0))
+        ended = batch.loc[batch.kind == RETRAIN_DONE, "at"].to_numpy(float)
+        parts.append((own[["at", *orders]].to_numpy(float), x, own.label.to_numpy(float), ended))
+    place, labels, done = (np.concatenate([p[i] for p in parts]) for i in (0, 2, 3))
+    x = np.concatenate([p[1] for p in parts if len(p[1])] or [parts[0][1]])
+    del parts
+    order = np.lexsort(place.T[::-1])
+    return place[order, 0], x[order], labels[order], np.sort(done)
 
 
 def _events(found: list[dict], key: str, config: MonitorConfig) -> pd.DataFrame:
     """Event rows; ``window_id`` counts windows as the batch operator does."""
-    names = ["event", "at", "row_no", "window_id", "js", "tier", "rows"]
+    names = ["event", "at", "row_no", "window_id", "js", "tier", "_width", "_v", "_gap"]
     frame = pd.DataFrame(found, columns=names).astype(object)
     frame["window_id"] = [
         (e["row_no"] - config.size) // config.stride if e["event"] in ("js_tick", "drift") else None for e in found
@@ -228,16 +268,18 @@ def write_monitor(events: DataFrame, key: str, events_path: str, snapshot_path:
 
 
 def await_idle(running, seconds: float) -> None:
-    """Stop a monitor when the state of all its keys has timed out, or fail after so many seconds."""
+    """Stop a monitor when the state of all its keys has timed out, or fail so many seconds after its last record."""
     end = clock.monotonic() + seconds
     try:
         while clock.monotonic() < end and running.isActive:
-            last = running.lastProgress
+            now, last = running.status, running.lastProgress
+            if now["isTriggerActive"] and now["isDataAvailable"]:
+                end = clock.monotonic() + seconds
             if last and last["stateOperators"] and last["numInputRows"] == 0 and last["stateOperators"][0]["numRowsTotal"] == 0:
                 return
             clock.sleep(0.2)
         if running.exception():
             raise running.exception()
-        raise TimeoutError(f"keys still active after {seconds} s")
+        raise TimeoutError(f"keys still active {seconds} s after the last record")
     finally:
         running.stop()
