@@ -131,3 +131,16 @@ def test_streams_joined_as_of_a_time_equal_the_batch(spark, tmp_path):
     query.trigger(availableNow=True).start().awaitTermination(120)
     got = {r.id: r.js for r in spark.table("asof_test").where("id >= 0").collect()}
     assert got == want and None in want.values() and any(v is not None for v in want.values())
+
+
+def test_reader_of_a_topic_holds_batches_of_bounded_size(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/topic"
+    monkeypatch.setattr(topic_log, "READ_ROWS", 10)
+    for n in (35, 20):
+        topic_log.append(path, 0, [(None, str(i).encode(), at(i), None if i % 2 else [("h", b"x")]) for i in range(n)])
+    reader = topic_log.TopicReader({"path": path})
+    got = list(reader.read(topic_log.Slice(0, 7, 50)))
+    assert max(b.num_rows for b in got) <= 10
+    rows = [r for b in got for r in b.to_pylist()]
+    assert [r["offset"] for r in rows] == list(range(7, 50)) and [int(r["value"]) for r in rows] == [*range(7, 35), *range(15)]
+    assert {len(r["headers"]) for r in rows} == {0, 1} and {r["partition"] for r in rows} == {0}

@@ -21,6 +21,7 @@ LOG_SCHEMA = (
     "key binary, value binary, topic string, partition int, offset bigint, timestamp timestamp, "
     "headers array<struct<key string, value binary>>"
 )
+READ_ROWS = 8_192  # records a reader holds at once
 _HEADERS = pa.list_(pa.struct([("key", pa.string()), ("value", pa.binary())]))
 _SEGMENT = pa.schema([("key", pa.binary()), ("value", pa.binary()), ("timestamp", pa.timestamp("us", "UTC")), ("headers", _HEADERS)])
 
@@ -86,6 +87,18 @@ def _ends(system, root: str) -> dict[int, int]:
     return {p: s[-1][1] for p, s in _segments(system, root).items()}
 
 
+def _batches(file: pq.ParquetFile, first: int, lo: int, hi: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(offset, records) of the batches of a segment's row groups that hold offsets from ``lo`` to ``hi``."""
+    for g in range(file.num_row_groups):
+        end = first + file.metadata.row_group(g).num_rows
+        if end > lo and first < hi:
+            at = first
+            for batch in file.iter_batches(READ_ROWS, [g], _SEGMENT.names):
+                yield at, batch
+                at += batch.num_rows
+        first = end
+
+
 class Slice(InputPartition):
     def __init__(self, partition: int, start: int, end: int):
         super().__init__((partition, start, end))
@@ -150,15 +163,28 @@ class TopicReader(DataSourceStreamReader):
             system.move(f"{name}.tmp", f"{name}.json")
         return [Slice(int(p), start.get(p, 0), n) for p, n in end.items() if n > start.get(p, 0)]
 
-    def read(self, partition: Slice) -> Iterator[tuple]:
+    def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
+        """The records in batches of bounded size; a segment is never held whole."""
         system, root = self._open()
         for first, end, path in _segments(system, root).get(partition.partition, []):
             if end > partition.start and first < partition.end:
-                table = pq.read_table(path, filesystem=system)
-                lo, hi = max(partition.start, first), min(partition.end, end)
-                for i, r in enumerate(table.slice(lo - first, hi - lo).to_pylist()):
-                    headers = [(h["key"], h["value"]) for h in r["headers"] or []]
-                    yield r["key"], r["value"], self.topic, partition.partition, lo + i, r["timestamp"], headers
+                with system.open_input_file(path) as f:
+                    for at, batch in _batches(pq.ParquetFile(f), first, partition.start, partition.end):
+                        lo, hi = max(partition.start, at), min(partition.end, at + batch.num_rows)
+                        if lo < hi:
+                            yield self._records(batch.slice(lo - at, hi - lo), partition.partition, lo)
+
+    def _records(self, batch: pa.RecordBatch, partition: int, first: int) -> pa.RecordBatch:
+        n = batch.num_rows
+        headers = batch["headers"]
+        if headers.null_count:
+            headers = pa.array([h or [] for h in headers.to_pylist()], _HEADERS)
+        told = {
+            "key": batch["key"], "value": batch["value"], "topic": pa.array([self.topic] * n, pa.string()),
+            "partition": pa.array([partition] * n, pa.int32()), "offset": pa.array(range(first, first + n), pa.int64()),
+            "timestamp": batch["timestamp"], "headers": headers,
+        }
+        return pa.RecordBatch.from_arrays(list(told.values()), list(told))
 
     def commit(self, end: dict) -> None:
         pass
