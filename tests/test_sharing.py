@@ -144,3 +144,19 @@ def test_reader_of_a_topic_holds_batches_of_bounded_size(spark, tmp_path, monkey
     rows = [r for b in got for r in b.to_pylist()]
     assert [r["offset"] for r in rows] == list(range(7, 50)) and [int(r["value"]) for r in rows] == [*range(7, 35), *range(15)]
     assert {len(r["headers"]) for r in rows} == {0, 1} and {r["partition"] for r in rows} == {0}
+
+
+def test_asof_of_crowded_ranges_makes_no_pairs(spark, tmp_path):
+    """20,000 rows a side in one range: pairs would be 200 million."""
+    n = 20_000
+    left = spark.range(n).select("id", F.timestamp_micros(F.col("id") * 10 + 5).alias("ts"))
+    right = spark.range(n).select(F.timestamp_micros(F.col("id") * 10).alias("ts"), F.col("id").cast("double").alias("js"))
+    for name, df, far in (("l", left, (-1, at(10_000))), ("r", right, (at(10_000), -1.0))):
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}/0")
+        spark.createDataFrame([far], df.schema).coalesce(1).write.parquet(f"{tmp_path}/{name}/1")
+    streams = [spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{n}/*") for n, d in (("l", left), ("r", right))]
+    joined = asof.asof_stream(*streams, "id", "ts", "js", 600.0, "200 seconds")
+    query = joined.writeStream.format("memory").queryName("asof_crowded").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert all(op["numRowsTotal"] < 100 for p in query.recentProgress for op in p["stateOperators"])  # a range is a row
+    assert spark.table("asof_crowded").where("id >= 0 and js = id").count() == n
