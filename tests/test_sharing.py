@@ -160,3 +160,21 @@ def test_asof_of_crowded_ranges_makes_no_pairs(spark, tmp_path):
     query.awaitTermination(120)
     assert all(op["numRowsTotal"] < 100 for p in query.recentProgress for op in p["stateOperators"])  # a range is a row
     assert spark.table("asof_crowded").where("id >= 0 and js = id").count() == n
+
+
+def test_rows_of_a_part_are_given_out_in_blocks(monkeypatch):
+    import gzip
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(parts, "_ROWS", 4)
+    body = "a,b\n" + "".join(f'{i},"x\ny{i}"\n' for i in range(10)) + "10\n"
+    for packed in (False, True):
+        content = pa.py_buffer(gzip.compress(body.encode()) if packed else body.encode())
+        names, blocks = parts.parse_part(content, packed)
+        got = list(blocks)
+        assert names == ["a", "b"] and [len(b) for b in got] == [4, 4, 3]
+        assert [r for b in got for r in b] == [[str(i), f"x\ny{i}"] for i in range(10)] + [["10", None]]
+    for late, why in ((b"1,2,3\n", "more cells than names"), (b'"1\n', "broken quotes"), (b"\0", "not text")):
+        with pytest.raises(ValueError, match=why):
+            parts.parse_part(pa.py_buffer(body.encode() + late))
