@@ -231,3 +231,16 @@ def test_more_names_than_columns_is_an_error(spark):
     assert hardware.column_names(long, ["mem"], 5) == [f"c{i}" for i in range(5)]
     with pytest.raises(ValueError, match="more than 4"):
         hardware.column_names(long, ["mem"], 4)
+
+
+def test_assembled_rows_are_spread_by_their_cells(spark, monkeypatch):
+    cells = spark.range(4_000).select(
+        F.lit("f").alias("path"), F.lit("p").alias("piece"), (F.col("id") % 4).cast("int").alias("position"),
+        F.concat(F.lit("c"), F.col("id") % 4).alias("name"), F.floor(F.col("id") / 4).alias("row_idx"), F.col("id").cast("double").alias("value"),
+    )
+    monkeypatch.setattr(hardware, "CELLS_PER_TASK", 100)
+    wide = hardware.assemble([cells])
+    sizes = wide.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) > 30 and max(r["count"] for r in sizes) <= 60
+    assert wide.columns == ["path", "row_idx", "c0", "c1", "c2", "c3"]
+    assert wide.where("c0 = 4 * row_idx and c3 = c0 + 3").count() == 1_000

@@ -238,13 +238,16 @@ def prefixed(long: DataFrame, prefix: str) -> DataFrame:
     return long.withColumn("name", F.concat(F.lit(prefix), "name"))
 
 
+CELLS_PER_TASK = 1_000_000  # that become rows of a wide table
 MAX_COLUMNS = 10_000  # of a table built from names that stand in the files
 
 
 def column_names(long: DataFrame, order: Sequence[str], most: int = MAX_COLUMNS) -> list[str]:
     """Column names in piece order, then file order; error if they are more than a table should have."""
     rank = F.array_position(F.array(*[F.lit(p) for p in order]), F.col("piece"))
-    found = long.groupBy("name").agg(F.min(F.struct(rank, "position")).alias("_p")).orderBy("_p", "name")
+    # Repeated names go by hash; the smallest structs are found by sorting, so among few rows.
+    places = long.select("name", "piece", "position").distinct()
+    found = places.groupBy("name").agg(F.min(F.struct(rank, "position")).alias("_p")).orderBy("_p", "name")
     names = [r["name"] for r in found.select("name").limit(most + 1).collect()]
     if len(names) > most:
         raise ValueError(f"more than {most} different columns")
@@ -266,7 +269,10 @@ def assemble(pieces: Sequence[DataFrame], keys: Sequence[str] = ("path",), names
     if names is None:
         order = ["bridge", "firewall", "ndpi_stats", "nf_router", "payload_scan", "rx", "tx", "pcie", "mem", "tags", "latency"]
         names = column_names(long, order)
-    wide = kept.groupBy(*keys, "row_idx").pivot("name", list(names)).agg(F.first("value"))
+    # Rows are spread by the number of cells, so that what a task aggregates does not grow with the table.
+    tasks = max(-(-long.count() // CELLS_PER_TASK), long.sparkSession.sparkContext.defaultParallelism)
+    spaced = kept.repartition(tasks, *keys, "row_idx")
+    wide = spaced.groupBy(*keys, "row_idx").pivot("name", list(names)).agg(F.first("value"))
     return wide.select(*keys, "row_idx", *[F.col(f"`{c}`") for c in names])
 
 
