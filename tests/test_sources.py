@@ -244,3 +244,32 @@ def test_assembled_rows_are_spread_by_their_cells(spark, monkeypatch):
     assert len(sizes) > 30 and max(r["count"] for r in sizes) <= 60
     assert wide.columns == ["path", "row_idx", "c0", "c1", "c2", "c3"]
     assert wide.where("c0 = 4 * row_idx and c3 = c0 + 3").count() == 1_000
+
+
+def test_many_line_files_lie_in_few_folders(spark, tmp_path):
+    from tidegauge.plans import files
+    from tidegauge.session import checkpoint_dir
+
+    rows = [(i, 1_700_000_000 + i, None if i % 41 == 40 else i % 41, "view", float(i), '{"k": %d}' % (i % 30)) for i in range(410)]
+    events = spark.createDataFrame(rows, "event_id long, ts long, user_id long, event_type string, value double, props string")
+    events.withColumn("ts", F.timestamp_seconds("ts")).write.parquet(str(tmp_path / "events.parquet"))
+    root = checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(root))
+    got = files.file_lines(spark, str(tmp_path)).collect()
+    (folder,) = (n for n in set(os.listdir(root)) - before if n.startswith("lines-"))
+    found = [(d, n) for d, _, names in os.walk(f"{root}/{folder}") for n in names]
+    assert len(found) == 41 and len({d for d, _ in found}) <= 8  # a folder, a checksum and a chmod for each file made writing slow
+    assert {n for _, n in found} >= {"path=user0.txt", "path=user39.txt", "path=__HIVE_DEFAULT_PARTITION__.txt"}
+    assert len(got) == 410 and {r.path for r in got} == {"", *(f"user{u}" for u in range(40))}
+    assert sorted((r.row_idx, r.value) for r in got if r.path == "user7") == [(j, float(i) if i % 30 >= 10 else None) for j, i in enumerate(range(7, 410, 41))]
+
+
+def test_line_files_keep_names_and_order(spark, tmp_path):
+    rows = [(p, i, f"{p} {i} é") for p in ("a/b", "c d", "_x") for i in range(50)] + [("a/b", 50, None)]
+    lines = spark.createDataFrame(rows, "path string, line_no long, line string").repartition(4)
+    sinks.write_lines(lines, str(tmp_path / "lines"))
+    back = text.read_lines(spark, str(tmp_path / "lines")).collect()
+    assert sorted((r.line_no, r.line) for r in back if "_x" in r.path) == [(i, f"_x {i} é") for i in range(50)]
+    assert sorted((r.line_no, r.line) for r in back if "a%" in r.path)[50] == (50, "") and len(back) == 151
+    sinks.write_lines(lines.limit(0), str(tmp_path / "none"))
+    assert text.read_lines(spark, str(tmp_path / "none")).count() == 0

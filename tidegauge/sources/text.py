@@ -24,33 +24,46 @@ def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """``(path, line_no, line)`` of text files, in file order.
 
     Files stay splittable: a line's number is its place in its file split plus the lines of the
-    splits before it. A file with invalid UTF-8 anywhere is read as Latin-1.
+    splits before it. Files that are too small to be split are opened once and numbered where their lines
+    meet. A file with invalid UTF-8 anywhere is read as Latin-1.
     """
-    raw = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_seq"),
+    conf = spark._jsparkSession.sessionState().conf()
+    whole = min(conf.filesOpenCostInBytes(), conf.filesMaxPartitionBytes())  # no split of a larger file is smaller
+    files = spark.read.text(path)
+    size = F.col("_metadata.file_size")  # filtered before anything else, so that only the files wanted are opened
+
+    def numbered(some: DataFrame) -> DataFrame:
+        return some.select(
+            F.col("_metadata.file_path").alias("path"),
+            F.col("_metadata.file_block_start").alias("_start"),
+            F.monotonically_increasing_id().alias("_seq"),
+            "value",
+        )
+
+    own = Window.partitionBy("path")
+    small = numbered(files.where(size <= whole)).select(
+        "path",
+        (F.col("_seq") - F.min("_seq").over(own)).alias("line_no"),
+        F.min(F.is_valid_utf8("value")).over(own).alias("_utf8"),
         "value",
     )
+    raw = numbered(files.where(size > whole))
     splits = raw.groupBy("path", "_start").agg(
         F.min("_seq").alias("_first"),
         F.count(F.lit(1)).alias("_n"),
         F.bool_and(F.is_valid_utf8("value")).alias("_valid"),
     )
-    per_file = Window.partitionBy("path")
-    before = per_file.orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    before = own.orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
     placed = splits.select(
         "path",
         "_start",
         (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
-        F.min("_valid").over(per_file).alias("_utf8"),
+        F.min("_valid").over(own).alias("_utf8"),
     )
+    large = raw.join(placed, ["path", "_start"]).select("path", (F.col("_seq") + F.col("_shift")).alias("line_no"), "_utf8", "value")
     latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
-    return raw.join(placed, ["path", "_start"]).select(
-        "path",
-        (F.col("_seq") + F.col("_shift")).alias("line_no"),
-        F.when(F.col("_utf8"), F.col("value")).otherwise(latin).alias("line"),
-    )
+    line = F.when(F.col("_utf8"), F.col("value")).otherwise(latin).alias("line")
+    return small.unionByName(large).select("path", "line_no", line)
 
 
 def split_path(df: DataFrame, path: str = "path") -> DataFrame:
