@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tidegauge.models import linear, regressors, search, trees
@@ -158,3 +159,24 @@ def test_full_grids_share_chains():
     assert len(s) == 27 and len({x.chain() for x in s}) == 7
     s = [regressors.tree_settings(f, p) for f, p in grids.forecast_grid() if f in regressors.TREES]
     assert len(s) == 12 and len({x.chain() for x in s}) == 6
+
+
+def test_a_combination_of_bins_passes_the_trees_once(spark, monkeypatch):
+    from pyspark.ml.functions import array_to_vector
+
+    from tidegauge.models import search
+
+    x = F.array((F.col("id") % 5).cast("double"), F.when(F.col("id") % 7 < 6, (F.col("id") % 7).cast("double")))
+    label = F.when(F.col("id") % 11 > 0, (F.col("id") % 5 * 3 + F.col("id") % 13).cast("double"))
+    rows = spark.range(5_000).repartition(8).select(array_to_vector(F.transform(x, lambda v: F.coalesce(v, F.lit(float("nan"))))).alias("features"), label.alias("label"))
+    scored = []
+    join = search.join_facts
+    monkeypatch.setattr(search, "join_facts", lambda left, facts, keys: scored.append(facts.count()) or join(left, facts, keys))
+    fitted = search.Fitted(rows, [("tree", {}), ("ridge", {}), ("gbt", {"n_estimators": 3}), ("xgboost", {"n_estimators": 2})])
+    got = fitted.predictions(rows).collect()
+    assert scored == [35]  # of 5,000 rows
+    held = rows.select(vector_to_array("features").alias("x"), "label").collect()
+    want = fitted.trees.predict(np.array([r.x for r in held]))
+    key = lambda label, p: (-1.0 if label is None else label, *np.round(p, 6))
+    assert len(got) == 5_000 and all(len(r["__p"]) == 4 for r in got)
+    assert sorted(key(r.label, r["__p"][1:]) for r in got) == sorted(key(r.label, p) for r, p in zip(held, want, strict=True))

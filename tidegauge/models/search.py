@@ -1,23 +1,27 @@
 """Model selection and grid search: all candidates are fitted together on the same split.
 
 Linear candidates share one set of sums, tree candidates one binned table and its chains of trees;
-the validation rows are scored once, by all of them.
+the validation rows are read once for all of them, and combinations of bins pass the trees once.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.models.linear import LinearModel, gramian
 from tidegauge.models.regressors import LINEAR, training_frame, tree_settings
-from tidegauge.models.trees import TABLE_BYTES, Ensemble, fit_trees, with_predictions
+from tidegauge.models.sums import array_matrix
+from tidegauge.models.trees import TABLE_BYTES, Ensemble, binned, fit_trees, packed, unpacked
+from tidegauge.operators.ordering import join_facts
 from tidegauge.operators.stats import error_metrics
+from tidegauge.session import ship_package
 
 RESULT_SCHEMA = (
     "candidate_id int, family string, params string, mae double, r2 double, acc double, error string"
@@ -52,22 +56,50 @@ class Fitted:
     def ids(self) -> list[int]:
         return [*self.linear, *self.order]
 
-    def predictor(self) -> Predictor:
+    def predictions(self, rows: DataFrame) -> DataFrame:
+        """``(label, __p)`` of ``(features, label)`` rows: an array of the linear candidates' predictions, then the trees'.
+
+        A linear prediction is made row by row. Rows of the same bins are the same to every tree, so each
+        combination of bins goes through the trees once, however many rows have it.
+        """
+        ship_package(rows.sparkSession)
         weights = np.array([list(m.coefficients) for m in self.linear.values()])
-        return Predictor(weights, np.array([m.intercept for m in self.linear.values()]), self.trees)
+        base = np.array([m.intercept for m in self.linear.values()])
+        sc = rows.sparkSession.sparkContext
+        trees = self.trees
+        cuts = trees.cuts if trees else None
+
+        def line(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    x = array_matrix(batch.column(0))
+                    guess = x @ weights.T + base if len(base) else np.zeros((len(x), 0))
+                    cell = packed(binned(x, cuts)) if cuts else pa.nulls(len(x), pa.binary())
+                    yield pa.RecordBatch.from_arrays([cell, batch.column(1), _arrays(guess)], ["cell", "label", "line"])
+
+        plain = rows.select(vector_to_array("features").alias("x"), "label").mapInArrow(line, "cell binary, label double, line array<double>")
+        if not trees:
+            return plain.select("label", F.col("line").alias("__p"))
+        shared = sc.broadcast(trees)
+
+        def grown(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    guess = shared.value.predict_bins(unpacked(batch.column(0)))
+                    yield pa.RecordBatch.from_arrays([batch.column(0), _arrays(guess)], ["cell", "trees"])
+
+        # A fixed number of parts: few bytes, but much work.
+        cells = plain.select("cell").distinct().repartition(_PARTS_A_CORE * sc.defaultParallelism, "cell")
+        known = cells.mapInArrow(grown, "cell binary, trees array<double>")
+        return join_facts(plain, known, ["cell"]).select("label", F.concat("line", "trees").alias("__p"))
 
 
-@dataclass(frozen=True)
-class Predictor:
-    """From a matrix to one column a fitted candidate: the linear ones, then the trees."""
+_PARTS_A_CORE = 4
 
-    weights: np.ndarray
-    base: np.ndarray
-    trees: Ensemble | None
 
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        parts = [x @ self.weights.T + self.base] if len(self.base) else []
-        return np.concatenate(parts + ([self.trees.predict(x)] if self.trees else []), axis=1)
+def _arrays(matrix: np.ndarray) -> pa.ListArray:
+    width = matrix.shape[1]
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(matrix) + 1) * width, pa.int32()), pa.array(np.ascontiguousarray(matrix).ravel()))
 
 
 def table_search(
@@ -88,8 +120,7 @@ def table_search(
     bad = spark.createDataFrame(list(fitted.errors.items()), "candidate_id int, error string")
     acc = f"acc_{round(threshold * 100):d}"
     if fitted.ids:
-        scored = with_predictions(valid.select("features", "label"), "features", fitted.predictor(), len(fitted.ids), "__p")
-        each = scored.select("label", F.posexplode("__p").alias("place", "prediction"))
+        each = fitted.predictions(valid).select("label", F.posexplode("__p").alias("place", "prediction"))
         ids = F.array(*[F.lit(i) for i in fitted.ids])
         each = each.select(ids[F.col("place")].alias("candidate_id"), "label", "prediction")
         metrics = error_metrics(each, "label", "prediction", ["candidate_id"], (threshold,), eps=1e-8, as_percent=False)

@@ -235,6 +235,15 @@ def binned(x: np.ndarray, cuts: Sequence[np.ndarray]) -> np.ndarray:
     return np.stack([np.searchsorted(c, x[:, i], side="left") for i, c in enumerate(cuts)], axis=1).astype(np.uint16)
 
 
+def packed(bins: np.ndarray) -> pa.Array:
+    """The bins of a row as bytes."""
+    return pa.array([b.tobytes() for b in bins], pa.binary())
+
+
+def unpacked(keys: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(keys.to_pylist()), np.uint16).reshape(len(keys), -1)
+
+
 def tabulate(frame: DataFrame, max_bins: int = MAX_BINS) -> Table:
     """Cells of a ``(features, label)`` frame, from three passes over it."""
     ship_package(frame.sparkSession)
@@ -245,8 +254,8 @@ def tabulate(frame: DataFrame, max_bins: int = MAX_BINS) -> Table:
     def pack(batches):
         for batch in batches:
             if batch.num_rows:
-                keys = [b.tobytes() for b in binned(array_matrix(batch.column(0)), cuts)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column(1), batch.column(2)], ["cell", "part", "label"])
+                keys = packed(binned(array_matrix(batch.column(0)), cuts))
+                yield pa.RecordBatch.from_arrays([keys, batch.column(1), batch.column(2)], ["cell", "part", "label"])
 
     part = F.pmod(F.xxhash64("x", "label"), F.lit(PARTS)).cast("int").alias("part")
     rows = _x(frame).select("x", part, "label").mapInArrow(pack, "cell binary, part int, label double")
@@ -407,6 +416,9 @@ class Ensemble:
     def predict(self, x: np.ndarray) -> np.ndarray:
         """A column a candidate."""
         bins, back = np.unique(binned(x, self.cuts), axis=0, return_inverse=True)
+        return self.predict_bins(bins)[back.ravel()]
+
+    def predict_bins(self, bins: np.ndarray) -> np.ndarray:
         out = np.empty((len(bins), len(self.readings)))
         for c, (s, trees) in enumerate(zip(self.chains, self.trees, strict=True)):
             wanted = [(i, r) for i, r in enumerate(self.readings) if r.chain == c]
@@ -418,7 +430,7 @@ class Ensemble:
                 for i, r in wanted:
                     if r.rounds == number:
                         out[:, i] = self.base + totals[r.depth] * (s.rate if s.mode == "boost" else 1 / number)
-        return out[back.ravel()]
+        return out
 
     def nodes(self, candidate: int = 0) -> list[tuple[int, int, int | None, float | None, int | None, float]]:
         """(tree, node, feature, cut, left child, value) of a candidate's trees; values up to a cut go left, the right child is the next."""
