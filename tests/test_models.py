@@ -241,3 +241,22 @@ def test_queries_fit_the_full_grids_and_settings(monkeypatch):
         getattr(learning, name)(None, None)
     assert all(c in asked["table"] for c in grids.table_grid()) and asked["forecast"] == grids.forecast_grid()
     assert (asked["forest"], asked["gbt"], asked["xgboost"]) == (200, 200, 400)
+
+
+def test_epochs_read_packed_blocks_where_they_lie(spark, monkeypatch):
+    rows = spark.range(3_000).select(
+        F.array((F.col("id") % 7).cast("double"), (F.col("id") % 5).cast("double")).alias("x"),
+        F.when(F.col("id") % 9 > 0, (F.col("id") % 11).cast("double")).alias("y"),
+    )
+    kept = rows.where("y is not null")
+    seen = []
+    own = retrain.batch_epoch
+    monkeypatch.setattr(retrain, "batch_epoch", lambda blocks, *a: seen.append(blocks) or own(blocks, *a))
+    mlp.fit_mlp(kept, rows, 2, (4,), epochs=3, batch_size=16, block_rows=100, seed=1)
+    assert len(seen) == 3 and all(b is seen[0] for b in seen)
+    assert seen[0].count() == len({r.block for r in mlp.in_blocks(kept, 100).collect()})  # a row a block: no sort or shuffle of rows
+    net = network.Network.create(2, (4,), seed=1)
+    held = [(r.x, r.y) for r in rows.collect() if r.y is not None]
+    want = np.mean((net.predict(np.array([x for x, _ in held])) - np.array([y for _, y in held])) ** 2)
+    assert mlp.mean_squared_error(rows, net) == pytest.approx(want)
+    assert mlp.mean_squared_error(rows.where("y is null"), net) is None

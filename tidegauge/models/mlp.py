@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.models.network import Adam, Network
-from tidegauge.session import cut_lineage
 
 
 def rows_frame(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
@@ -74,8 +73,19 @@ def predict_column(net: Network, x: Column | str) -> Column:
 
 
 def mean_squared_error(rows: DataFrame, net: Network) -> float:
-    error = predict_column(net, "x") - F.col("y")
-    return rows.agg(F.avg(error * error)).first()[0]
+    """Over the rows with a label."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = 0, 0.0
+        for b in batches:
+            if b.num_rows:
+                error = net.predict(_matrix(b.column(0), b.num_rows)) - np.asarray(b.column(1), dtype=float)
+                error = error[np.asarray(b.column(1).is_valid())]
+                n, total = n + len(error), total + float(error @ error)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total])], ["n", "total"])
+
+    sums = rows.select("x", "y").mapInArrow(partial, "n long, total double").agg(F.sum("n"), F.sum("total")).first()
+    return sums[1] / sums[0] if sums[0] else None
 
 
 @dataclass
@@ -118,13 +128,12 @@ class _Trained:
 
 
 def in_blocks(train: DataFrame, block_rows: int) -> DataFrame:
-    """``(block, h, x, y)`` written once: rows hashed into blocks of about ``block_rows``."""
+    """``(block, h, x, y)``: rows hashed into blocks of about ``block_rows``."""
     n = train.count()
     if not n:
         raise ValueError("no training rows")
     h = F.xxhash64("x", "y")
-    rows = train.select(F.pmod(h, F.lit(-(-n // block_rows))).cast("int").alias("block"), h.alias("h"), "x", "y")
-    return cut_lineage(rows.repartition("block"))
+    return train.select(F.pmod(h, F.lit(-(-n // block_rows))).cast("int").alias("block"), h.alias("h"), "x", "y")
 
 
 def fit_mlp(
@@ -158,9 +167,9 @@ def fit_mlp(
     plateau = Plateau(plateau_patience)
     best, best_value, bad, history = net.copy(), float("inf"), 0, []
     if batch_size:
-        from tidegauge.models.retrain import BLOCK_ROWS, batch_epoch
+        from tidegauge.models.retrain import BLOCK_ROWS, batch_epoch, pack_blocks
 
-        blocks = in_blocks(train, block_rows or BLOCK_ROWS)
+        blocks = pack_blocks(in_blocks(train, block_rows or BLOCK_ROWS))
         own = _Trained(_Settings(loss, batch_size), net, opt)
     for epoch in range(epochs):
         if batch_size:

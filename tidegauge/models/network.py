@@ -136,14 +136,21 @@ class Adam:
         self.m, self.v, self.t = np.zeros(size), np.zeros(size), 0
 
     def step(self, params: np.ndarray, grad: np.ndarray) -> np.ndarray:
-        grad = grad + self.weight_decay * params
-        grad[: self.frozen] = 0.0
+        if self.weight_decay or self.frozen:
+            grad = grad + self.weight_decay * params
+            grad[: self.frozen] = 0.0
         self.t += 1
-        self.m = 0.9 * self.m + 0.1 * grad
-        self.v = 0.999 * self.v + 0.001 * grad * grad
-        m = self.m / (1 - 0.9**self.t)
-        v = self.v / (1 - 0.999**self.t)
-        change = self.lr * m / (np.sqrt(v) + 1e-8)
+        square = 0.001 * grad
+        square *= grad
+        self.m *= 0.9
+        self.m += 0.1 * grad
+        self.v *= 0.999
+        self.v += square
+        change = self.m / (1 - 0.9**self.t)
+        change *= self.lr
+        scale = np.sqrt(self.v / (1 - 0.999**self.t), out=square)
+        scale += 1e-8
+        change /= scale
         change[: self.frozen] = 0.0
         return params - change
 

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ VALID_FRACTION = 0.2
 MIN_IMPROVEMENT = 1e-6
 
 BLOCK_ROWS = 4096
-_FAN_IN = 32  # block results that one task adds up
+_FAN_IN = 32  # results of tasks that one task adds up
 
 RESULT_SCHEMA = (
     "candidate_id int, lr double, batch_size int, hidden array<int>, activation string, loss string, "
@@ -73,37 +74,61 @@ class _Run:
         return (*base, mode, *[self.best_metrics[m] for m in _METRICS], self.best.to_json() if full else None, None)
 
 
+_BLOCK = "block int, n int, x binary, y binary"
 _SUMS = "candidate_id int, part int, n long, steps long, sums array<double>"
+_PARTS_A_CORE = 4
+
+
+def pack_blocks(rows: DataFrame) -> DataFrame:
+    """Rows ``(block, h, x, y)`` written once, a row a block: its matrix and labels in order of ``h``.
+
+    Every epoch reads them where they lie; nothing is sorted, shuffled or unpacked row by row again.
+    """
+    schema = pa.schema([("block", pa.int32()), ("n", pa.int32()), ("x", pa.binary()), ("y", pa.binary())])
+
+    def pack(key, table):
+        table = table.sort_by("h")
+        x, y = np.asarray(table["x"].combine_chunks().flatten(), dtype=float), np.asarray(table["y"], dtype=float)
+        cell = {"block": key[0].as_py(), "n": table.num_rows, "x": x.tobytes(), "y": y.tobytes()}
+        return pa.Table.from_pylist([cell], schema)
+
+    packed = rows.select("block", "h", "x", "y").groupBy("block").applyInArrow(pack, _BLOCK)
+    # A fixed number of parts: few bytes, but much work.
+    last = rows.agg(F.max("block")).first()[0] or 0
+    return cut_lineage(packed.repartition(min(last + 1, _PARTS_A_CORE * rows.sparkSession.sparkContext.defaultParallelism)))
 
 
 def batch_epoch(blocks: DataFrame, runs: list[_Run], epoch: int, seed: int) -> None:
-    """One epoch of all candidates, averaged over the blocks."""
+    """One epoch of all candidates over packed blocks, averaged over them."""
     shared = blocks.sparkSession.sparkContext.broadcast([(r.row, r.net, r.opt) for r in runs])
     schema = pa.schema([("candidate_id", pa.int32()), ("part", pa.int32()), ("n", pa.int64()), ("steps", pa.int64()), ("sums", pa.list_(pa.float64()))])
 
-    def train(key, table):
-        block = key[0].as_py()
-        table = table.sort_by("h")
-        n = table.num_rows
-        x = np.asarray(table["x"].combine_chunks().flatten(), dtype=float).reshape(n, -1)
-        y = np.asarray(table["y"], dtype=float)
-        out = []
-        for row, net, opt in shared.value:
-            net, own = net.copy(), Adam(len(net.params), opt.lr, opt.weight_decay, opt.frozen)
-            own.m, own.v, own.t = opt.m.copy(), opt.v.copy(), opt.t
-            rng = np.random.default_rng([seed, epoch, block])
-            fit_epochs(net, x, y, own, row.loss, int(row.batch_size), rng)
-            sums = np.concatenate([net.params, own.m, own.v]) * n
-            out.append({"candidate_id": row.candidate_id, "part": block % _FAN_IN, "n": n, "steps": own.t, "sums": sums.tolist()})
-        return pa.Table.from_pylist(out, schema)
+    def train(batches):
+        total: dict[int, list] = {}
+        for batch in batches:
+            for b in batch.to_pylist():
+                n = b["n"]
+                x, y = np.frombuffer(b["x"]).reshape(n, -1), np.frombuffer(b["y"])
+                for row, net, opt in shared.value:
+                    net, own = net.copy(), Adam(len(net.params), opt.lr, opt.weight_decay, opt.frozen)
+                    own.m, own.v, own.t = opt.m.copy(), opt.v.copy(), opt.t
+                    rng = np.random.default_rng([seed, epoch, b["block"]])
+                    fit_epochs(net, x, y, own, row.loss, int(row.batch_size), rng)
+                    sums = np.concatenate([net.params, own.m, own.v]) * n
+                    cell = total.setdefault(row.candidate_id, [0, 0, 0.0])
+                    total[row.candidate_id] = [cell[0] + n, max(cell[1], own.t), cell[2] + sums]
+        part = TaskContext.get().partitionId()
+        for i, (n, steps, sums) in total.items():
+            yield pa.RecordBatch.from_pylist([{"candidate_id": i, "part": part, "n": n, "steps": steps, "sums": sums.tolist()}], schema)
 
     def add(key, table):
+        table = table.sort_by("part")
         sums = np.sum([np.asarray(v.values) for v in table["sums"]], axis=0)
-        cell = {"candidate_id": key[0].as_py(), "part": 0, "n": sum(table["n"].to_pylist()), "steps": max(table["steps"].to_pylist()), "sums": sums.tolist()}
+        cell = {"candidate_id": key[0].as_py(), "part": table["part"][0].as_py(), "n": sum(table["n"].to_pylist()), "steps": max(table["steps"].to_pylist()), "sums": sums.tolist()}
         return pa.Table.from_pylist([cell], schema)
 
-    trained = blocks.groupBy("block").applyInArrow(train, _SUMS)
-    halfway = trained.groupBy("candidate_id", "part").applyInArrow(add, _SUMS)
+    trained = blocks.mapInArrow(train, _SUMS)
+    halfway = trained.groupBy("candidate_id", F.floor(F.col("part") / _FAN_IN)).applyInArrow(add, _SUMS)
     by_id = {r.row.candidate_id: r for r in runs}
     for got in halfway.groupBy("candidate_id").applyInArrow(add, _SUMS).collect():  # a parameter grid
         by_id[got.candidate_id].set(np.array(got.sums), got.n, got.steps)
@@ -155,10 +180,11 @@ def score_candidates(
     """
     runs = [_Run(r, in_dim, current, freeze, seed) for r in candidates.orderBy("candidate_id").collect()]
     active = [r for r in runs if not r.error]
+    packed = pack_blocks(train) if active else train
     for epoch in range(max(1, epochs)):
         if not active:
             break
-        batch_epoch(train, active, epoch, seed)
+        batch_epoch(packed, active, epoch, seed)
         if not full and epoch < epochs - 1:
             continue
         metrics = _measure(valid, {r.row.candidate_id: r.net for r in active})
@@ -217,7 +243,7 @@ def two_stage_search(
     train = marked.filter("not is_valid").select(
         F.pmod(h, F.lit(blocks)).cast("int").alias("block"), h.alias("h"), "x", "y"
     )
-    train = cut_lineage(train.repartition("block"))
+    train = cut_lineage(train)
     valid = marked.filter("is_valid").select("x", "y")
     warm = score_candidates(grid, train, valid, facts.width, current, WARM_EPOCHS, False, freeze, seed)
     best_ids = finalists(warm, k).select("candidate_id")
