@@ -117,6 +117,22 @@ def test_copies_of_one_text_are_one_piece_of_evidence(spark):
     assert "wretchling" in lexicon.words and not {"lorem", "ipsum", "dolor"} & set(lexicon.words)
 
 
+def test_copies_are_found_without_moving_their_texts(spark):
+    rows = [(i, f"grobian{i % 40} wretchling{i % 40} lorem", int(i % 2)) for i in range(300)]
+    rows += [(5, "another text of a repeated id", 1), (7, None, 1), (8, "", 0), (10, None, 0), (5, "another text of a repeated id", 1)]
+    texts = spark.createDataFrame(rows, "id long, text string, toxic int").withColumn("at", F.monotonically_increasing_id())
+    kept, sizes = toxicity._one_of_copies(texts)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "Aggregate" not in plan
+    least = {}
+    for i, text, label in rows:
+        key = label, text or ""
+        least[key] = min(i, least.get(key, i))
+    got = [(r.toxic, r.text or "", r.id) for r in kept.collect()]
+    assert sorted(got) == sorted((*k, i) for k, i in least.items())
+    assert sizes == Counter(label for label, _ in least)
+
+
 def test_misspellings_that_clean_texts_hold_are_all_counted(spark):
     alphabet = "bcdfghjklmnpqrstvwxz"
     wrong = [f"grob{a}an" for a in alphabet] + [f"gro{a}ian" for a in alphabet if a != "b"] + [f"{a}robian" for a in alphabet if a != "g"]

@@ -310,15 +310,18 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
     return rows.join(F.broadcast(marks), "id")
 
 
-def _one_of_copies(rows: DataFrame) -> DataFrame:
+def _one_of_copies(rows: DataFrame) -> tuple[DataFrame, dict[int, int]]:
     """One row of the copies, and most near copies, of a text with one label: those with the same smallest word hashes.
 
     A term is evidence if different texts hold it; a text that was copied a thousand times shows its words once.
+    Only hashes and row numbers (``at``) are shuffled; the numbers of the rows that stay are as bounded as the
+    labels and travel, so that the texts lie where they are. Also the number of rows that stay, by label.
     """
     words = F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+")
-    sketch = F.slice(F.array_sort(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))), 1, SKETCH_WORDS)
-    least = rows.groupBy("toxic", sketch.alias("sketch")).agg(F.min(F.struct("id", "text")).alias("r"))
-    return least.select("r.id", "r.text", "toxic")
+    sketch = F.slice(F.sort_array(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))), 1, SKETCH_WORDS)
+    keys = rows.select("toxic", sketch.alias("sketch"), F.struct("id", F.xxhash64("text").alias("hash"), "at").alias("r"))
+    least = cut_lineage(keys.groupBy("toxic", "sketch").agg(F.min("r").alias("r")).select("toxic", "r.at"))
+    return rows.join(F.broadcast(least.select("at")), "at", "left_semi"), dict(least.groupBy("toxic").count().collect())
 
 
 def fit(
@@ -339,14 +342,13 @@ def fit(
     terms, ``fit_rows`` the rows that the few coefficients are fitted on.
     """
     spark = docs.sparkSession
-    rows = cut_lineage(_labelled(docs, labels, id_col, text_col, label_col, label_rows))
+    rows = cut_lineage(_labelled(docs, labels, id_col, text_col, label_col, label_rows).withColumn("at", F.monotonically_increasing_id()))
     sizes = dict(rows.groupBy("toxic").count().collect())
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
         return Lexicon(coefficients=(math.log((n1 + 0.5) / (n0 + 0.5)) if n1 + n0 else -2.2, *[0.0] * FEATURES))
     labelled, all_rows = rows, n1 + n0
-    rows = cut_lineage(_one_of_copies(rows))
-    sizes = dict(rows.groupBy("toxic").count().collect())
+    rows, sizes = _one_of_copies(rows)
     n1, n0 = sizes[1], sizes[0]
     ones = _count(rows.where("toxic = 1"), lambda: lambda text: _units(set(words_of(text)))).where(F.col("n") >= MIN_SUPPORT)
     ones = cut_lineage(ones.select("kind", "unit", F.col("n").alias("a")))
